@@ -48,19 +48,19 @@ class TextChain:
     steps: tuple
 
     def _run(self, text: Column) -> tuple[Column, Column]:
-        terms, shown, tokenized, display = text, text, False, None
+        """Terms and display form."""
+        terms, tokenized, display = text, False, None
         for step in self.steps:
             if step == TOKENIZE:
                 terms = F.regexp_extract_all(terms, F.lit(r"(?U)[^\s-]+-?|-"), F.lit(0))
-                tokenized, shown = True, terms
+                tokenized = True
             elif step == DISPLAY:
-                display = terms
+                display = F.array_join(terms, " ") if tokenized else terms
             else:
                 terms = F.transform(terms, lambda t, f=step: f(t)) if tokenized else step(terms)
-        if not tokenized:
-            terms = F.array(terms)
-        display = shown if display is None else display
-        return terms, F.array_join(display, " ") if tokenized else display
+        if display is None:
+            display = F.array_join(terms, " ") if tokenized else terms
+        return (terms if tokenized else F.array(terms)), display
 
     def tokens(self, text: Column) -> Column:
         return F.filter(self._run(text)[0], lambda t: t != "")
@@ -72,7 +72,8 @@ class TextChain:
         return self._run(text)[1]
 
     def sort(self, text: Column) -> Column:
-        return F.when(F.size(self.tokens(text)) > 0, self.joined(text)).otherwise(text)
+        """Sort form of the text, null when it has no term."""
+        return F.when(F.size(self.tokens(text)) > 0, self.joined(text))
 
 
 class LettersChain(TextChain):

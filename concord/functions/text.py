@@ -12,7 +12,8 @@ TRIM_SUFFIX = " ,/.:(["
 ARTICLES = ("the", "den", "der", "die", "des", "an", "a")
 
 SPACES = r"[ \t\n\x0B\f\r]"
-OPEN_MARK, CLOSE_MARK = "", ""
+# private-use characters, they survive XML escaping
+OPEN_MARK, CLOSE_MARK = "\ue000", "\ue001"
 
 
 def char_class(chars: str) -> str:
@@ -50,10 +51,9 @@ def skip_article(text: Column) -> Column:
     return F.regexp_replace(text, f"(?i)^(?:{'|'.join(ARTICLES)})(?= |\\z)", "")
 
 
-def sort_string(text: Column, articles: bool = False) -> Column:
-    """Sort form: `key_norm` from the first letter on; the text itself when it has no letter."""
-    body = skip_article(text) if articles else text
-    return F.when(body.rlike("[A-Za-z]"), key_norm(F.regexp_replace(body, "^[^A-Za-z]+", ""))).otherwise(text)
+def sort_string(text: Column) -> Column:
+    """Sort form: `key_norm` from the first letter on; null when the text has no letter."""
+    return F.when(text.rlike("[A-Za-z]"), key_norm(F.regexp_replace(text, "^[^A-Za-z]+", "")))
 
 
 def xml_escape(text: Column) -> Column:
