@@ -41,6 +41,10 @@ TOKENIZE = "tokenize"
 DISPLAY = "display"
 
 
+def _each(terms: Column, step: Step) -> Column:
+    return F.transform(terms, lambda t: step(t))
+
+
 @dataclass(frozen=True)
 class TextChain:
     """Steps are column functions or the words TOKENIZE and DISPLAY. A pandas UDF is a column function, too."""
@@ -57,7 +61,7 @@ class TextChain:
             elif step == DISPLAY:
                 display = F.array_join(terms, " ") if tokenized else terms
             else:
-                terms = F.transform(terms, lambda t, f=step: f(t)) if tokenized else step(terms)
+                terms = _each(terms, step) if tokenized else step(terms)
         if display is None:
             display = F.array_join(terms, " ") if tokenized else terms
         return (terms if tokenized else F.array(terms)), display

@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F
 TRIM_SUFFIX = " ,/.:(["
 ARTICLES = ("the", "den", "der", "die", "des", "an", "a")
 
-SPACES = r"[ \t\n\x0B\f\r]"
+SPACES = " \t\n\x0b\f\r"
 # private-use characters, they survive XML escaping
 OPEN_MARK, CLOSE_MARK = "\ue000", "\ue001"
 
@@ -22,8 +22,9 @@ def char_class(chars: str) -> str:
 
 def trim_suffix(text: Column, suffix: str = TRIM_SUFFIX) -> Column:
     """Leading white space off, then trailing characters of `suffix` off, but never the first one."""
-    left = F.regexp_replace(text, f"^{SPACES}+", "")
-    return F.regexp_replace(left, f"(?s)(?<=.){char_class(suffix)}+\\z", "")
+    left = F.ltrim(text, F.lit(SPACES))
+    cut = F.rtrim(left, F.lit(suffix))
+    return F.when(cut == "", F.substr(left, F.lit(1), F.lit(1))).otherwise(cut)
 
 
 def trim_generic(text: Column) -> Column:

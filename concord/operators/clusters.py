@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from typing import Callable, Sequence
+from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from concord.catalog import Catalog
+from concord.catalog import Catalog, FieldSpec
 from concord.functions.chains import TextChain
-from concord.operators.records import filled, md, raw_texts
+from concord.operators.records import filled, md, raw_texts, shown
 from concord.session import cut
 
 CONTENT = "content: "
@@ -19,41 +19,48 @@ def _field_key(name: str, texts: Column, chain: TextChain) -> Column:
     return F.array_join(F.transform(texts, lambda t: F.rtrim(F.concat(F.lit(f"{name} "), chain.joined(t)))), " ")
 
 
-def merge_key(
-    texts: Callable[[str], Column],
-    catalog: Catalog,
-    source: Column,
-    position: Column,
-    supplied: Column | None = None,
-    keys: Sequence[str] | None = None,
-) -> Column:
-    """Merge key of a record.
+def _key_fields(catalog: Catalog, keys: Sequence[str] | None) -> list[FieldSpec]:
+    if keys:
+        return [catalog[k] if k in catalog else FieldSpec(k) for k in keys]
+    return [f for f in catalog if f.mergekey != "no"]
 
-    In order: the fields named at query time (`keys`), the key the record brings along (`supplied`), the required and
-    optional fields of the catalog. A missing required field discards the key. Without a key the record stands alone.
-    """
-    chain = catalog.chain("mergekey")
-    names = list(keys) if keys else [f.name for f in catalog if f.mergekey != "no"]
-    parts = {n: _field_key(n, texts(n), chain) for n in names}
-    content = F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts.values()]) if parts else F.lit("")
+
+def _content(parts: dict[FieldSpec, Column], keys: Sequence[str] | None, supplied: Column | None) -> Column:
+    """Key text out of the parts of the fields; empty or null when there is none."""
+    content = F.trim(F.concat_ws(" ", *parts.values())) if parts else F.lit("")
     if not keys:
-        for f in catalog:
+        for f, part in parts.items():
             if f.mergekey == "required":
-                content = F.when(parts[f.name] != "", content)
+                content = F.when(part != "", content)
         if supplied is not None:
-            content = F.when(filled(supplied), chain.joined(supplied)).otherwise(content)
+            content = F.coalesce(supplied, content)
+    return content
+
+
+def _key_or_alone(content: Column, source: Column, position: Column) -> Column:
     alone = F.format_string("position: %s-%06d", source, position.cast("int"))
-    return F.when(filled(content), F.concat(F.lit(CONTENT), content)).otherwise(alone)
+    return F.when(content != "", F.concat(F.lit(CONTENT), content)).otherwise(alone)
 
 
 def with_merge_key(
     records: DataFrame, catalog: Catalog, keys: Sequence[str] | None = None, supplied: str | None = None
 ) -> DataFrame:
-    """Add the merge key as `cluster`; records with the same key are one cluster."""
-    key = merge_key(
-        raw_texts, catalog, F.col("source"), F.col("position"), F.col(supplied) if supplied else None, keys
-    )
-    return records.withColumn("cluster", key)
+    """Add the merge key as `cluster`; records with the same key are one cluster.
+
+    In order: the fields named at query time (`keys`), the key the record brings along (column `supplied`), the required
+    and optional fields of the catalog. A missing required field discards the key. A record without key stands alone.
+    """
+    chain = catalog.chain("mergekey")
+    fields = _key_fields(catalog, keys)
+    # every part is a column of its own, so that it is computed once
+    parts = {f"key_{i}": _field_key(f.name, raw_texts(f), chain) for i, f in enumerate(fields)}
+    if supplied:
+        parts["key_s"] = F.when(filled(F.col(supplied)), chain.joined(F.col(supplied)))
+    named = {f: F.col(f"key_{i}") for i, f in enumerate(fields)}
+    content = _content(named, keys, F.col("key_s") if supplied else None)
+    with_content = records.withColumns(parts).withColumn("key_c", content)
+    key = _key_or_alone(F.col("key_c"), F.col("source"), F.col("position"))
+    return with_content.withColumn("cluster", key).drop("key_c", *parts)
 
 
 def explode_subrecords(payloads: DataFrame, catalog: Catalog, keys: Sequence[str] | None = None) -> DataFrame:
@@ -62,11 +69,15 @@ def explode_subrecords(payloads: DataFrame, catalog: Catalog, keys: Sequence[str
     `payloads` has `source, position, arrival, subrecords array<struct<key, values>>`.
     """
 
+    chain = catalog.chain("mergekey")
+
     def key(sub: Column) -> Column:
         texts = lambda n: F.transform(
             F.filter(sub["values"], lambda v: (v["field"] == n) & filled(v["value"])), lambda v: v["value"]
         )
-        return merge_key(texts, catalog, F.col("source"), F.col("position"), sub["key"], keys)
+        parts = {f: _field_key(f.name, texts(f.name), chain) for f in _key_fields(catalog, keys)}
+        supplied = F.when(filled(sub["key"]), chain.joined(sub["key"]))
+        return _key_or_alone(_content(parts, keys, supplied), F.col("source"), F.col("position"))
 
     with_keys = payloads.withColumn("keys", F.array_distinct(F.transform("subrecords", key)))
     return with_keys.select(
@@ -135,21 +146,31 @@ def assign_clusters(records: DataFrame) -> DataFrame:
 # -- exact duplicates ------------------------------------------------------------------------------------------------
 
 
-def equality_columns(catalog: Catalog) -> list[Column]:
-    """What two records of a source must share, field by field, to be the same record."""
-    columns = []
-    for f in catalog:
-        parts = ["disp"] if f.type == "generic" else ["num"] if f.type == "float" else ["min", "max"]
-        columns += [md(f.name, p) for p in parts]
-    return columns
+def _equal_part(spec: FieldSpec) -> Column:
+    """What two records must share in a field to be the same record."""
+    if spec.type == "generic":
+        return F.transform(md(spec.name), shown)
+    if spec.type == "float":
+        return md(spec.name, "num")
+    return F.transform(md(spec.name), lambda v: F.struct(v["min"], v["max"]))
 
 
 def drop_exact_duplicates(records: DataFrame, catalog: Catalog) -> DataFrame:
     """Keep the first of the records that share cluster, source and all typed values.
 
-    `row_number() = 1` is pushed below the shuffle as a group limit, so copies of one record do not travel. The hash in
-    front only makes sorting cheap; the columns behind it decide.
+    Records are compared by a 128-bit fingerprint of those. `row_number() = 1` is pushed below the shuffle as a group
+    limit, so copies of one record do not travel.
     """
-    same = [F.col("cluster"), F.col("source"), *equality_columns(catalog)]
-    order = W.partitionBy(F.xxhash64(*same), *same).orderBy("arrival")
-    return records.withColumn("copy", F.row_number().over(order)).filter("copy = 1").drop("copy")
+    same = []
+    for f in catalog:
+        # the size tells [a, b] and [] from [a] and [b]
+        same += [F.size(md(f.name)), _equal_part(f)]
+    parts = {f"same_{i}": part for i, part in enumerate(same)}
+    columns = ["cluster", "source", *parts]
+    marked = records.withColumns(parts).withColumns(
+        {"print_1": F.xxhash64(*columns), "print_2": F.xxhash64(F.lit(1), *columns)}
+    ).drop(*parts)
+    order = W.partitionBy("print_1", "print_2").orderBy("arrival")
+    return (
+        marked.withColumn("copy", F.row_number().over(order)).filter("copy = 1").drop("copy", "print_1", "print_2")
+    )

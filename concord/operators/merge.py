@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from concord.catalog import Catalog, FieldSpec
-from concord.functions.text import skip_article
-from concord.operators.records import explode_values, filled, md
+from concord.functions.text import skip_article, trim_generic
+from concord.operators.records import real_values
 
 SINGLE = ("longest", "range", "first")
 PARTS = (("disp", "string"), ("min", "int"), ("max", "int"), ("num", "double"))
@@ -16,43 +18,43 @@ def _parts(spec: FieldSpec) -> tuple[str, ...]:
     return ("disp",) if spec.type == "generic" else ("num",) if spec.type == "float" else ("min", "max")
 
 
-def _norm_disp(spec: FieldSpec, catalog: Catalog, v: Column) -> tuple[Column, Column]:
-    """Normal and display form a value has in the cluster."""
+def _norm_disp(spec: FieldSpec, catalog: Catalog, value: Column) -> tuple[Column, Column]:
+    """Normal and display form a text has in the cluster."""
     if spec.icurule:
         chain = catalog.chain(spec.icurule)
-        return chain.joined(v["value"]), chain.display(v["value"])
-    return v["disp"], v["disp"]
+        return chain.joined(value), chain.display(value)
+    return trim_generic(value), trim_generic(value)
 
 
 def _longest(spec: FieldSpec, catalog: Catalog) -> Column:
     def entry(v: Column, i: Column) -> Column:
-        norm, disp = _norm_disp(spec, catalog, v)
-        return F.when(
-            filled(v["value"]),
-            F.struct((-F.octet_length(norm)).alias("size"), F.col("arrival"), i.alias("ord"), disp.alias("disp")),
-        )
+        norm, disp = _norm_disp(spec, catalog, v["value"])
+        return F.struct((-F.octet_length(norm)).alias("size"), F.col("arrival"), i.alias("ord"), disp.alias("disp"))
 
-    return F.min(F.array_min(F.transform(md(spec.name), entry)))
+    return F.min(F.array_min(F.transform(real_values(spec), entry)))
 
 
 def _range(spec: FieldSpec) -> list[tuple[str, Column]]:
     low, high = ("num", "num") if spec.type == "float" else ("min", "max")
-    kept = F.filter(md(spec.name), lambda v: filled(v["value"]))
+    values = real_values(spec)
     return [
-        ("min", F.min(F.array_min(F.transform(kept, lambda v: v[low])))),
-        ("max", F.max(F.array_max(F.transform(kept, lambda v: v[high])))),
+        ("min", F.min(F.array_min(F.transform(values, lambda v: v[low])))),
+        ("max", F.max(F.array_max(F.transform(values, lambda v: v[high])))),
     ]
 
 
+def _plain(spec: FieldSpec, catalog: Catalog, v: Column) -> Column:
+    none = {n: F.lit(None).cast(t) for n, t in PARTS}
+    if spec.type == "generic":
+        none["disp"] = _norm_disp(spec, catalog, v["value"])[1]
+    for n in _parts(spec):
+        if n != "disp":
+            none[n] = v[n]
+    return F.struct(*[none[n].alias(n) for n, _ in PARTS])
+
+
 def _first(spec: FieldSpec, catalog: Catalog) -> Column:
-    def plain(v: Column) -> Column:
-        if spec.type == "generic":
-            return F.struct(_norm_disp(spec, catalog, v)[1].alias("disp"))
-        if spec.type == "float":
-            return F.struct(v["num"].alias("num"))
-        return F.struct(v["min"].alias("min"), v["max"].alias("max"))
-
-    values = F.transform(F.filter(md(spec.name), lambda v: filled(v["value"])), plain)
+    values = F.transform(real_values(spec), lambda v: _plain(spec, catalog, v))
     return F.min(F.when(F.size(values) > 0, F.struct(F.col("arrival"), values.alias("values"))))
 
 
@@ -104,58 +106,70 @@ def merge_records(records: DataFrame, catalog: Catalog, extra: list[Column] = ()
     )
 
 
+def _units(spec: FieldSpec, catalog: Catalog) -> Column:
+    """What a record gives to the merge of a field: `field, pick, size, ord, list`.
+
+    Units with the same `pick` compete: one per normal form for unique, all of a field for the other policies. The
+    smallest (size, arrival, ord) wins; its `list` becomes the merged values.
+    """
+    generic = spec.type == "generic"
+
+    def unit(pick: Column, size: Column, ord_: Column, values: Column) -> Column:
+        return F.struct(
+            F.lit(spec.name).alias("field"), pick.alias("pick"), size.alias("size"), ord_.alias("ord"), values.alias("list")
+        )
+
+    def one(v: Column, i: Column) -> Column:
+        norm = _norm_disp(spec, catalog, v["value"])[0] if generic else F.lit("")
+        pick = norm if spec.merge == "unique" else F.lit("")
+        size = -F.octet_length(norm) if spec.merge == "longest" else F.lit(0)
+        return unit(pick, size, i, F.array(_plain(spec, catalog, v)))
+
+    if spec.merge == "first":
+        values = F.transform(real_values(spec), lambda v: _plain(spec, catalog, v))
+        return F.filter(F.array(unit(F.lit(""), F.lit(0), F.lit(0), values)), lambda u: F.size(u["list"]) > 0)
+    return F.transform(real_values(spec), one)
+
+
 def merge_values(records: DataFrame, catalog: Catalog, fields: list[str] | None = None) -> DataFrame:
     """Merged values as rows `cluster, field, arrival, ord, disp, min, max, num`; (arrival, ord) is their order.
 
-    All policies; a list of values is never gathered, so a cluster may have any number of them.
+    All policies in one aggregation with map-side combine. A list of values is never gathered, so a cluster may have any
+    number of them. A float range has its low end in `num`; both ends are in `merge_records`.
     """
     chosen = [f for f in catalog if f.merge != "no" and (fields is None or f.name in fields)]
     out = ["cluster", "field", "arrival", "ord", "disp", "min", "max", "num"]
-    parts = []
-    for f in chosen:
-        rows = explode_values(records, catalog, [f.name], ["cluster", "arrival"]).filter(filled(F.col("value")))
-        norm = F.col("disp")
-        if f.icurule:
-            chain = catalog.chain(f.icurule)
-            norm = chain.joined(F.col("value"))
-            rows = rows.withColumn("disp", chain.display(F.col("value")))
-        if f.merge == "unique":
-            first = F.min(F.struct("arrival", "ord", "disp")).alias("v")
-            rows = rows.groupBy("cluster", "field", norm.alias("norm")).agg(first).select(
-                "cluster", "field", "v.arrival", "v.ord", "v.disp",
-                *[F.lit(None).cast(t).alias(n) for n, t in (("min", "int"), ("max", "int"), ("num", "double"))],
-            )
-        elif f.merge == "longest":
-            best = F.min(F.struct((-F.octet_length(norm)).alias("size"), "arrival", "ord", "disp")).alias("v")
-            rows = rows.groupBy("cluster", "field").agg(best).select(
-                "cluster", "field", "v.arrival", "v.ord", "v.disp",
-                *[F.lit(None).cast(t).alias(n) for n, t in (("min", "int"), ("max", "int"), ("num", "double"))],
-            )
-        elif f.merge == "first":
-            firsts = records.groupBy("cluster").agg(_first(f, catalog).alias("v")).filter("v is not null")
-            have = [c for c in ("disp", "min", "max", "num") if c in _parts(f)]
-            rows = firsts.select(
-                "cluster", F.lit(f.name).alias("field"), "v.arrival", F.posexplode("v.values").alias("ord", "one")
-            ).select(
-                "cluster", "field", "arrival", "ord",
-                *[(F.col(f"one.{c}") if c in have else F.lit(None).cast(t)).alias(c) for c, t in PARTS],
-            )
-        elif f.merge == "range":
-            rows = rows.groupBy("cluster", "field").agg(
-                F.min("arrival").alias("arrival"),
-                F.lit(0).alias("ord"),
-                F.lit(None).cast("string").alias("disp"),
-                *(
-                    [F.min("min").alias("min"), F.max("max").alias("max"), F.lit(None).cast("double").alias("num")]
-                    if f.type != "float"
-                    else [F.lit(None).cast("int").alias("min"), F.lit(None).cast("int").alias("max"), F.min("num").alias("num")]
-                ),
+    frames = []
+    picked = [f for f in chosen if f.merge != "all"]
+    if picked:
+        units = records.select("cluster", "arrival", F.inline(F.concat(*[_units(f, catalog) for f in picked])))
+        one = lambda n: F.get(F.col("list"), F.lit(0))[n]
+        best = units.groupBy("cluster", "field", "pick").agg(
+            F.min(F.struct("size", "arrival", "ord", "list")).alias("b"),
+            F.min(one("min")).alias("low"),
+            F.max(one("max")).alias("high"),
+            F.min(one("num")).alias("num_low"),
+        )
+        rows = best.select("cluster", "field", "low", "high", "num_low", "b.arrival", "b.ord", F.posexplode("b.list").alias("n", "v"))
+        ranges = F.col("field").isin([f.name for f in picked if f.merge == "range"])
+        frames.append(
+            rows.select(
+                "cluster",
+                "field",
+                "arrival",
+                (F.col("ord") + F.col("n")).alias("ord"),
+                "v.disp",
+                F.when(ranges, F.col("low")).otherwise(F.col("v.min")).alias("min"),
+                F.when(ranges, F.col("high")).otherwise(F.col("v.max")).alias("max"),
+                F.when(ranges, F.col("num_low")).otherwise(F.col("v.num")).alias("num"),
             )
-        parts.append(rows.select(*out))
-    frame = parts[0]
-    for p in parts[1:]:
-        frame = frame.unionByName(p)
-    return frame
+        )
+    for f in chosen:
+        if f.merge == "all":
+            values = F.transform(real_values(f), lambda v: _plain(f, catalog, v))
+            rows = records.select("cluster", F.lit(f.name).alias("field"), "arrival", F.posexplode(values).alias("ord", "v"))
+            frames.append(rows.select("cluster", "field", "arrival", "ord", "v.*"))
+    return reduce(lambda a, b: a.unionByName(b), [f.select(*out) for f in frames])
 
 
 def result_counts(clusters: DataFrame, status: DataFrame, num: int = 20) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -60,6 +61,13 @@ def page(ordered: DataFrame, start: int = 0, num: int = 20) -> DataFrame:
 # -- numbers along an order ------------------------------------------------------------------------------------------
 
 
+def _join_on(rows: DataFrame, groups: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Equi-join that also matches null with null; every row has its group."""
+    renamed = groups.withColumnsRenamed({n: f"{n}_g" for n in names})
+    condition = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{n}_g")) for n in names])
+    return rows.join(renamed, condition).drop(*[f"{n}_g" for n in names])
+
+
 def number_rows(
     df: DataFrame, order: Sequence[Column], bucket: Column, name: str, by: Sequence[str] = ()
 ) -> DataFrame:
@@ -74,13 +82,8 @@ def number_rows(
     before = W.partitionBy(*by).orderBy("bucket_").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.withColumn("offset_", F.coalesce(F.sum("size_").over(before), F.lit(0))).drop("size_")
     local = keyed.withColumn("local_", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
-    # a bucket may be null, so null-safe equality
-    same = [local[c].eqNullSafe(offsets[c]) for c in group]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    return local.join(offsets, condition).select(
-        *[local[c] for c in df.columns], (F.col("local_") + F.col("offset_")).cast("long").alias(name)
+    return _join_on(local, offsets, group).select(
+        *df.columns, (F.col("local_") + F.col("offset_")).cast("long").alias(name)
     )
 
 
@@ -99,22 +102,8 @@ def neighbours(df: DataFrame, order: Sequence[Column], bucket: Column, name: str
     # one row per bucket, so this window is small
     b = W.orderBy("bucket_")
     edges = ends.select("bucket_", F.lag("tail_").over(b).alias("before_"), F.lead("head_").over(b).alias("after_"))
-    joined = local.join(edges, local["bucket_"].eqNullSafe(edges["bucket_"]))
-    return joined.select(
-        *[local[c] for c in df.columns],
+    return _join_on(local, edges, ["bucket_"]).select(
+        *df.columns,
         F.coalesce("prev_", "before_").alias("prev"),
         F.coalesce("next_", "after_").alias("next"),
     )
-
-
-def neighbours_of(clusters: DataFrame, catalog: Catalog, recid: str, spec: SortSpec | None = None, start: int = 0, num: int = 20) -> DataFrame:
-    """Previous and next record id of one record on a page of results."""
-    rows = page(clusters.orderBy(*sort_columns(catalog, spec)), start, num)
-    columns = sort_columns(catalog, spec)
-    w = W.orderBy(*columns)
-    return (
-        rows.withColumn("prev", F.lag("recid").over(w))
-        .withColumn("next", F.lead("recid").over(w))
-        .filter(F.col("recid") == recid)
-        .select("recid", "prev", "next")
-    )

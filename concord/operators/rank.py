@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 from functools import reduce
@@ -13,7 +14,8 @@ from concord.catalog import Catalog, FieldSpec, parse_weight
 from concord.functions.chains import LETTERS, TextChain
 from concord.functions.text import word_pattern
 from concord.operators.merge import merge_records
-from concord.operators.records import filled, md
+from concord.operators.records import real_values, text_of
+from concord.session import stored
 
 
 @dataclass(frozen=True)
@@ -60,7 +62,8 @@ def _count_words(text: Column, terms: list[Term], weights: list[Column], chain:
     else:
         tokens = chain.tokens(text)
         length = F.size(tokens)
-        counts = [F.size(F.filter(tokens, lambda x, t=t: x == t.text)) for t in terms]
+        occurrences = lambda word: F.size(F.filter(tokens, lambda x: x == word))
+        counts = [occurrences(t.text) for t in terms]
     return F.struct(length.alias("len"), *[(w * c).cast("int").alias(f"w{i}") for i, (w, c) in enumerate(zip(weights, counts))])
 
 
@@ -141,15 +144,11 @@ def with_term_counts(
     follow = catalog.rank_follow if follow is None else follow
     mode = length or catalog.rank_length
     chain = catalog.chain("relevance")
-    counted = []
-    for f in catalog:
-        fixed = _weights(f, terms, weights)
-        dynamic = value_rank and weights is None
-        if fixed is None and not dynamic:
-            continue
-
-        def one(v: Column, f: FieldSpec = f, fixed=fixed, dynamic: bool = dynamic) -> Column:
-            text = catalog.chain(f.icurule).display(v["value"]) if f.icurule else v["value"]
+    dynamic = value_rank and weights is None
+
+    def value_counts(f: FieldSpec, fixed: list[int] | None) -> Column:
+        def one(v: Column) -> Column:
+            text = catalog.chain(f.icurule).display(v["value"]) if f.icurule else text_of(f, v)
             if dynamic:
                 rank = F.coalesce(v["attrs"]["rank"], F.lit(f.rank))
                 w = [F.coalesce(_value_weight(rank, t), F.lit(0)) for t in terms]
@@ -159,17 +158,19 @@ def with_term_counts(
                 return _count_words(text, terms, w, chain)
             return _fold_words(text, terms, w, chain, lead, follow)
 
-        counted.append(F.transform(F.filter(md(f.name), lambda v: filled(v["value"])), one))
+        return F.transform(real_values(f), one)
+
+    fixed = {f: _weights(f, terms, weights) for f in catalog}
+    counted = [value_counts(f, w) for f, w in fixed.items() if w is not None or dynamic]
     if not counted:
         zero = F.array(*[F.lit(0.0) for _ in terms])
         return records.withColumn("tf", zero).withColumn("hit", F.array(*[F.lit(False) for _ in terms]))
     every = F.concat(*counted) if len(counted) > 1 else counted[0]
     with_counts = records.withColumn("counts", every)
-    tf = [
-        F.aggregate("counts", F.lit(0.0), lambda a, c, i=i: a + _length_divide(c[f"w{i}"], c["len"], mode))
-        for i in range(len(terms))
-    ]
-    hit = [F.exists("counts", lambda c, i=i: c[f"w{i}"] > 0) for i in range(len(terms))]
+    sum_of = lambda w: F.aggregate("counts", F.lit(0.0), lambda a, c: a + _length_divide(c[w], c["len"], mode))
+    any_of = lambda w: F.exists("counts", lambda c: c[w] > 0)
+    tf = [sum_of(f"w{i}") for i in range(len(terms))]
+    hit = [any_of(f"w{i}") for i in range(len(terms))]
     return with_counts.withColumn("tf", F.array(*tf)).withColumn("hit", F.array(*hit)).drop("counts")
 
 
@@ -189,33 +190,45 @@ def ranked_clusters(counted: DataFrame, catalog: Catalog, terms: list[Term]) ->
     )
 
 
-def doc_freq(clusters: DataFrame, counted: DataFrame, terms: list[Term]) -> DataFrame:
-    """One row `n, df array<long>`: records, and records whose cluster had the term when they arrived.
+@dataclass(frozen=True)
+class Frequency:
+    """Records in the result and, per term, records whose cluster had the term when they arrived."""
+
+    n: int
+    df: tuple[int, ...]
+
+    def idf(self, i: int) -> float:
+        return math.log((1 + self.n) / self.df[i]) if self.df[i] else 0.0
+
+
+def doc_freq(clusters: DataFrame, counted: DataFrame, terms: list[Term]) -> Frequency:
+    """Document frequency of the terms: a few numbers, counted by one pass over the clusters.
 
-    Every member of a cluster with the term counts, less the members that came before its first hit. Those can only be
-    members without the term in a cluster whose first member lacks it, so the second part is a join of a thin rest.
+    Every member of a cluster with the term counts, less the members that came before its first hit. Such members can
+    only be records without the term in a cluster whose first member lacks it; the second pass joins just those, and runs
+    only if there are such clusters.
     """
     names = range(len(terms))
-    whole = clusters.agg(
-        F.coalesce(F.sum("members"), F.lit(0)).alias("n"),
-        *[
-            F.coalesce(F.sum(F.when(F.col("first_hit")[i].isNotNull(), F.col("members"))), F.lit(0)).alias(f"all{i}")
-            for i in names
-        ],
-    )
-    late_any = reduce(lambda a, b: a | b, [F.coalesce(F.col("first_hit")[i] > F.col("first_arrival"), F.lit(False)) for i in names])
-    late = clusters.filter(late_any).select("cluster", "first_hit")
-    lacking = counted.filter(~F.forall("hit", lambda h: h)).select("cluster", "arrival")
-    early = lacking.join(late, "cluster").agg(
-        *[F.count(F.when(F.col("arrival") < F.col("first_hit")[i], 1)).alias(f"early{i}") for i in names]
+    late = reduce(
+        lambda a, b: a | b, [F.coalesce(F.col("first_hit")[i] > F.col("first_arrival"), F.lit(False)) for i in names]
     )
-    missed = early.select(F.array(*[F.col(f"early{i}") for i in names])).scalar()
-    return whole.select("n", F.array(*[F.col(f"all{i}") - missed[i] for i in names]).alias("df"))
+    whole = clusters.agg(
+        F.sum("members").alias("n"),
+        F.count_if(late).alias("late"),
+        *[F.sum(F.when(F.col("first_hit")[i].isNotNull(), F.col("members"))).alias(f"df{i}") for i in names],
+    ).first()
+    df = [whole[f"df{i}"] or 0 for i in names]
+    if whole["late"]:
+        lacking = counted.filter(~F.forall("hit", lambda h: h)).select("cluster", "arrival")
+        joined = lacking.join(clusters.filter(late).select("cluster", "first_hit"), "cluster")
+        early = joined.agg(*[F.count_if(F.col("arrival") < F.col("first_hit")[i]) for i in names]).first()
+        df = [d - e for d, e in zip(df, early)]
+    return Frequency(whole["n"] or 0, tuple(df))
 
 
 def with_relevance(
     clusters: DataFrame,
-    frequency: DataFrame,
+    frequency: Frequency,
     terms: list[Term],
     cluster: bool = True,
     explain: bool = False,
@@ -224,34 +237,25 @@ def with_relevance(
 
     With `cluster=False` it is divided by the number of members. `explain=True` adds the numbers of every step.
     """
-    stats = frequency.select(F.struct("n", "df")).scalar()
-    steps = []
-    for i, t in enumerate(terms):
-        df, n = stats["df"][i], stats["n"]
-        idf = F.when(df > 0, F.ln((1 + n) / df)).otherwise(0.0)
-        add = (100000 * F.col("tf")[i] * idf).cast("int")
-        steps.append((t, df, n, idf, add))
-    total = reduce(lambda a, b: a + b, [s[4] for s in steps])
+    add = [(100000 * F.col("tf")[i] * F.lit(frequency.idf(i))).cast("int") for i in range(len(terms))]
+    total = reduce(lambda a, b: a + b, add)
+    # integer division toward zero
     score = total if cluster else (total / F.col("members")).cast("int")
     out = clusters.withColumn("relevance", score.cast("int"))
     if explain:
-        out = out.withColumn(
-            "explain",
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(t.text).alias("term"),
-                        F.col("tf")[i].alias("tf"),
-                        df.alias("df"),
-                        n.alias("n"),
-                        idf.alias("idf"),
-                        add.alias("add"),
-                        (F.lit(1) if cluster else F.col("members")).alias("divided_by"),
-                    )
-                    for i, (t, df, n, idf, add) in enumerate(steps)
-                ]
-            ),
-        )
+        steps = [
+            F.struct(
+                F.lit(t.text).alias("term"),
+                F.col("tf")[i].alias("tf"),
+                F.lit(frequency.df[i]).alias("df"),
+                F.lit(frequency.n).alias("n"),
+                F.lit(frequency.idf(i)).alias("idf"),
+                add[i].alias("add"),
+                (F.lit(1).cast("long") if cluster else F.col("members")).alias("divided_by"),
+            )
+            for i, t in enumerate(terms)
+        ]
+        out = out.withColumn("explain", F.array(*steps))
     return out
 
 
@@ -267,11 +271,14 @@ def rank(
     explain: bool = False,
     value_rank: bool = False,
 ) -> DataFrame:
-    """Merged and scored clusters of records that carry `cluster`. Persist `records` if they are costly to make."""
+    """Merged and scored clusters of records that carry `cluster`.
+
+    The clusters are made once and stored, since both the document frequency and the scores need them.
+    """
     terms = query_terms(query, catalog)
     if not terms:
         return merge_records(records, catalog).withColumn("relevance", F.lit(0))
     counted = with_term_counts(records, catalog, terms, weights, lead, follow, length, value_rank)
-    clusters = ranked_clusters(counted, catalog, terms)
+    clusters = stored(ranked_clusters(counted, catalog, terms), "clusters")
     by_cluster = catalog.rank_cluster if cluster is None else cluster
     return with_relevance(clusters, doc_freq(clusters, counted, terms), terms, by_cluster, explain)

@@ -5,8 +5,8 @@ Frames used by all operators:
 raw      `source, position, arrival, key, values array<struct<field, value, attrs map>>`
 records  `source, position, arrival, md struct<one array per catalog field>`
 
-`arrival` is any orderable column that is unique over all records. A value of `md` is a struct `value, attrs` plus
-`disp` (generic), `min, max` (year, date) or `num` (float).
+`arrival` is any orderable column that is unique over all records. A value of `md` is a struct `value, attrs`, with
+`min, max` (year, date) or `num` (float) behind it. Numbers that come from a table have no text in `value`.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from concord.functions.values import dates, to_float, years
 ATTRS = "map<string,string>"
 RAW_VALUE = f"struct<value:string,attrs:{ATTRS}>"
 TYPED_VALUE = {
-    "generic": f"struct<value:string,attrs:{ATTRS},disp:string>",
+    "generic": RAW_VALUE,
     "year": f"struct<value:string,attrs:{ATTRS},min:int,max:int>",
     "date": f"struct<value:string,attrs:{ATTRS},min:int,max:int>",
     "float": f"struct<value:string,attrs:{ATTRS},num:double>",
@@ -37,12 +37,36 @@ def md(name: str, part: str | None = None) -> Column:
 
 
 def filled(text: Column) -> Column:
-    return text.isNotNull() & (text != "")
+    # null is not filled: callers use it in conditions only
+    return text != ""
 
 
-def raw_texts(name: str) -> Column:
+def real(spec: FieldSpec, v: Column) -> Column:
+    """A value of its own, not the placeholder of an empty one."""
+    return filled(v["value"]) if spec.type == "generic" else filled(v["value"]) | v["attrs"].isNull()
+
+
+def real_values(spec: FieldSpec) -> Column:
+    return F.filter(md(spec.name), lambda v: real(spec, v))
+
+
+def text_of(spec: FieldSpec, v: Column) -> Column:
+    """The text a value came with."""
+    if spec.type == "generic":
+        return v["value"]
+    return F.coalesce(v["value"], v["num" if spec.type == "float" else "min"].cast("string"))
+
+
+def shown(v: Column) -> Column:
+    """Display form of a generic value or of its placeholder."""
+    return trim_generic(F.when(filled(v["value"]), v["value"]).otherwise(v["attrs"]["empty"]))
+
+
+def raw_texts(spec: FieldSpec) -> Column:
     """The non-empty texts of a field, placeholders left out."""
-    return F.filter(md(name, "value"), filled)
+    if spec.type == "generic":
+        return F.filter(md(spec.name, "value"), filled)
+    return F.transform(real_values(spec), lambda v: text_of(spec, v))
 
 
 # -- conform and type ------------------------------------------------------------------------------------------------
@@ -67,15 +91,15 @@ def unknown_fields(raw: DataFrame, catalog: Catalog) -> DataFrame:
     return names.filter(~F.col("field").isin(catalog.names)).groupBy("field").agg(F.count(F.lit(1)).alias("ignored"))
 
 
-def _typed(spec: FieldSpec, value: Column, attrs: Column) -> Column:
+def _typed(spec: FieldSpec, v: Column) -> Column:
     """Typed struct of one value, null when it does not parse."""
-    shown = F.when(filled(value), value).otherwise(attrs["empty"])
-    head = [value.alias("value"), F.map_filter(attrs, lambda k, _: k != "empty").alias("attrs")]
     if spec.type == "generic":
-        return F.struct(*head, trim_generic(shown).alias("disp"))
+        return v
+    text = F.when(filled(v["value"]), v["value"]).otherwise(v["attrs"]["empty"])
+    head = [v["value"].alias("value"), v["attrs"].alias("attrs")]
     if spec.type == "float":
-        return F.struct(*head, to_float(shown).alias("num"))
-    found = years(shown) if spec.type == "year" else dates(shown)
+        return F.struct(*head, to_float(text).alias("num"))
+    found = years(text) if spec.type == "year" else dates(text)
     return F.when(found.isNotNull(), F.struct(*head, found["min"].alias("min"), found["max"].alias("max")))
 
 
@@ -83,8 +107,9 @@ def type_values(records: DataFrame, catalog: Catalog) -> DataFrame:
     """Typed values of every field; values that do not parse are dropped."""
 
     def of(spec: FieldSpec) -> Column:
-        typed = F.transform(md(spec.name), lambda v: _typed(spec, v["value"], v["attrs"]))
-        return F.filter(typed, lambda v: v.isNotNull())
+        if spec.type == "generic":
+            return md(spec.name)
+        return F.filter(F.transform(md(spec.name), lambda v: _typed(spec, v)), lambda v: v.isNotNull())
 
     return records.withColumn("md", F.struct(*[of(s).alias(s.name) for s in catalog]))
 
@@ -92,60 +117,60 @@ def type_values(records: DataFrame, catalog: Catalog) -> DataFrame:
 def table_records(
     table: DataFrame,
     catalog: Catalog,
-    columns: Mapping[str, Column | str | list],
-    source: Column | str,
-    arrival: Column | str,
-    position: Column | str | None = None,
+    columns: Mapping[str, str | list[str]],
+    source: str,
+    arrival: str,
+    position: str | None = None,
 ) -> DataFrame:
-    """Records straight from the columns of a table.
+    """Records straight from a table.
 
-    `columns` maps a field to a column, or to a list of columns that each give one value. Number columns given for a
-    number field are taken as they are.
+    `columns` maps a field to an SQL expression, or to a list of them that each give one value. Integer expressions are
+    taken as years or dates, numbers as floats, as they are; everything else is text.
     """
-    kinds = dict(table.dtypes)
-
-    def one(spec: FieldSpec, given: Column | str) -> Column:
-        kind = kinds.get(given) if isinstance(given, str) else None
-        value = F.col(given) if isinstance(given, str) else given
-        none = F.lit(None).cast(ATTRS)
+    given = {f.name: columns.get(f.name, []) for f in catalog}
+    given = {n: [e] if isinstance(e, str) else list(e) for n, e in given.items()}
+    flat = [e for es in given.values() for e in es]
+    kinds = {e: kind for e, (_, kind) in zip(flat, table.selectExpr(*[f"({e}) AS c{i}" for i, e in enumerate(flat)]).dtypes)}
+    bare = f"'value', CAST(NULL AS STRING), 'attrs', CAST(NULL AS {ATTRS})"
+
+    def one(spec: FieldSpec, e: str) -> tuple[str, str]:
+        """Condition and struct of one value."""
+        kind = kinds[e]
         if spec.type in ("year", "date") and kind in ("int", "bigint", "smallint"):
-            number = value.cast("int")
-            typed = F.struct(
-                value.cast("string").alias("value"), none.alias("attrs"), number.alias("min"), number.alias("max")
-            )
-        elif spec.type == "float" and kind in ("double", "float", "int", "bigint"):
-            typed = F.struct(value.cast("string").alias("value"), none.alias("attrs"), value.cast("double").alias("num"))
-        else:
-            value = value.cast("string")
-            typed = F.when(filled(value), _typed(spec, value, none))
-        return F.when(value.isNotNull(), typed).cast(TYPED_VALUE[spec.type])
-
-    def of(spec: FieldSpec) -> Column:
-        given = columns.get(spec.name, [])
-        parts = [one(spec, c) for c in (given if isinstance(given, (list, tuple)) else [given])]
-        return F.array_compact(F.array(*parts).cast(f"array<{TYPED_VALUE[spec.type]}>"))
-
-    as_col = lambda c: F.col(c) if isinstance(c, str) else c
-    head = [as_col(source).alias("source"), as_col(arrival).alias("arrival")]
-    if position is not None:
-        head.append(as_col(position).cast("int").alias("position"))
-    return table.select(*head, F.struct(*[of(s).alias(s.name) for s in catalog]).alias("md"))
+            return f"({e}) IS NOT NULL", f"named_struct({bare}, 'min', int({e}), 'max', int({e}))"
+        if spec.type == "float" and kind in ("double", "float", "int", "bigint"):
+            return f"({e}) IS NOT NULL", f"named_struct({bare}, 'num', double({e}))"
+        return f"string({e}) <> ''", f"named_struct('value', string({e}), 'attrs', CAST(NULL AS {ATTRS}))"
+
+    def of(spec: FieldSpec) -> str:
+        parts = [one(spec, e) for e in given[spec.name]]
+        if not parts:
+            return f"CAST(array() AS array<{TYPED_VALUE[spec.type]}>)"
+        if len(parts) == 1:
+            return f"CASE WHEN {parts[0][0]} THEN array({parts[0][1]}) ELSE array() END"
+        return "array_compact(array(" + ", ".join(f"CASE WHEN {c} THEN {v} END" for c, v in parts) + "))"
+
+    fields = ", ".join(f"{of(f)} AS `{f.name}`" for f in catalog)
+    head = [f"{source} AS source", f"{arrival} AS arrival"] + ([f"int({position}) AS position"] if position else [])
+    records = table.selectExpr(*head, f"struct({fields}) AS md")
+    numbers = ("int", "bigint", "smallint", "double", "float")
+    if any(kinds[e] not in numbers for f in catalog if f.numeric for e in given[f.name]):
+        return type_values(records, catalog)
+    return records
 
 
 def explode_values(records: DataFrame, catalog: Catalog, fields: list[str], keep: list[str]) -> DataFrame:
-    """One row per value of `fields`: `keep..., field, ord, value, attrs, disp, min, max, num`."""
+    """One row per value of `fields`, placeholders left out: `keep..., field, ord, value, min, max, num`."""
 
     def wide(spec: FieldSpec) -> Column:
-        have = {"value", "attrs"} | ({"disp"} if spec.type == "generic" else {"num"} if spec.type == "float" else {"min", "max"})
+        have = () if spec.type == "generic" else ("num",) if spec.type == "float" else ("min", "max")
         part = lambda v, n, t: (v[n] if n in have else F.lit(None).cast(t)).alias(n)
         return F.transform(
-            md(spec.name),
+            real_values(spec),
             lambda v, i: F.struct(
                 F.lit(spec.name).alias("field"),
                 i.alias("ord"),
-                part(v, "value", "string"),
-                part(v, "attrs", ATTRS),
-                part(v, "disp", "string"),
+                text_of(spec, v).alias("value"),
                 part(v, "min", "int"),
                 part(v, "max", "int"),
                 part(v, "num", "double"),

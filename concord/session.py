@@ -46,3 +46,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and cut its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it back: made once, read with column pruning, and safe when
+    executors are lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
