@@ -43,7 +43,7 @@ def winning_settings(
     """
     spark = settings.sparkSession
     rows = settings.select(
-        "target", "name", "value", F.coalesce(F.col("precedence"), F.lit(0)).alias("precedence"), F.col("ord").cast("long").alias("ord")
+        "target", "name", "value", F.coalesce(F.col("precedence"), F.lit(0)).alias("precedence"), F.col("ord")
     )
     # one row per target and name before it meets the sources
     rank = F.struct("precedence", "ord", "value")
