@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from concord.catalog import Catalog
 from concord.operators.records import md
@@ -94,7 +94,10 @@ def _search(m: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.where(usable, a, 1.0), np.where(usable, b, 0.0)
 
 
-@F.pandas_udf("a double, b double")
+FIT = T.StructType([T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
+
+
+@F.pandas_udf(FIT)
 def _fit(m: pd.DataFrame) -> pd.DataFrame:
     a, b = _search(m)
     return pd.DataFrame({"a": a, "b": b})

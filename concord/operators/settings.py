@@ -41,11 +41,11 @@ def winning_settings(
     Every source lists the keys under which a target can name it (its prefixes, its part behind the slash, itself), so
     the wildcard match is an equi-join.
     """
-    spark = settings.sparkSession
     rows = settings.select(
         "target", "name", "value", F.coalesce(F.col("precedence"), F.lit(0)).alias("precedence"), F.col("ord")
     )
     # one row per target and name before it meets the sources
+    kind = rows.schema["ord"].dataType
     rank = F.struct("precedence", "ord", "value")
     rows = rows.groupBy("target", "name").agg(F.max(rank).alias("r")).select("target", "name", "r.*")
     found = rows.filter(~F.endswith("target", F.lit("*")) & ~F.startswith("target", F.lit("*")) & (F.col("target") != ""))
@@ -69,15 +69,16 @@ def winning_settings(
     applied = reach.join(patterns, ["kind", "key"]).select("source", "name", "value", "precedence", "specific", "ord")
     defaults = [(f"pz:limitmap:{f.name}", f.limitmap) for f in (catalog or ()) if f.limitmap]
     if defaults:
+        # null comes before every other row
         pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(v).alias("value")) for n, v in defaults])
         applied = applied.union(
             every.select("source", F.inline(pairs)).select(
-                "source", "name", "value", F.lit(0), F.lit(EXACT), F.lit(-1).cast("long")
+                "source", "name", "value", F.lit(0), F.lit(EXACT), F.lit(None).cast(kind)
             )
         )
     if overrides is not None:
         applied = applied.union(
-            overrides.select("source", "name", "value", F.lit(OVERRIDE), F.lit(EXACT), F.col("ord").cast("long"))
+            overrides.select("source", "name", "value", F.lit(OVERRIDE), F.lit(EXACT), F.col("ord").cast(kind))
         )
     winner = F.max(F.struct("precedence", "specific", "ord", "value"))["value"]
     return applied.groupBy("source", "name").agg(winner.alias("value"))

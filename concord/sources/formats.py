@@ -201,7 +201,7 @@ def map_primo(payloads: DataFrame, column: str = "payload") -> DataFrame:
         .when(has_range(pages), pages)
         .when(start.isNotNull(), F.concat_ws("-", start, F.nullif(end, F.lit(""))))
     )
-    fulltext = F.when(col("delivery.fulltext").isNotNull(), F.when(F.startswith(col("delivery.fulltext"), F.lit("fulltext")), "yes").otherwise("no"))
+    fulltext = F.when(col("delivery.fulltext") == "fulltext", "yes").otherwise("no")
     medium = lambda t: F.when((t == "article") & (fulltext == "yes"), "e-article").otherwise(t)
     values = F.concat(
         _each("id", col("control.recordid")),
@@ -212,7 +212,7 @@ def map_primo(payloads: DataFrame, column: str = "payload") -> DataFrame:
         _one("pages-number", page_range),
         _each("issn", col("addata.issn")),
         _each("journal-title", col("addata.jtitle")),
-        _one("has-fulltext", fulltext),
+        _one("has-fulltext", F.when(F.col(f"{r}.delivery").isNotNull(), fulltext)),
         _each("medium", F.transform(col("display.type"), medium)),
         _each("title", col("display.title")),
         _each("journal-subpart", col("display.ispartof")),
