@@ -66,7 +66,7 @@ def with_merge_key(
 def explode_subrecords(payloads: DataFrame, catalog: Catalog, keys: Sequence[str] | None = None) -> DataFrame:
     """One row per sub-record; all sub-records of a payload carry the distinct merge keys of the payload.
 
-    `payloads` has `source, position, arrival, subrecords array<struct<key, values>>`.
+    Payloads without sub-records, such as broken ones, give no row. `payloads` has `source, position, arrival, subrecords array<struct<key, values>>`.
     """
 
     chain = catalog.chain("mergekey")
@@ -81,8 +81,8 @@ def explode_subrecords(payloads: DataFrame, catalog: Catalog, keys: Sequence[str
 
     with_keys = payloads.withColumn("keys", F.array_distinct(F.transform("subrecords", key)))
     return with_keys.select(
-        "source", "position", "arrival", "keys", F.posexplode("subrecords").alias("sub", "record")
-    ).select(
+        "source", "position", "arrival", "keys", F.posexplode_outer("subrecords").alias("sub", "record")
+    ).filter("record IS NOT NULL").select(
         "source",
         "position",
         F.struct("arrival", "sub").alias("arrival"),

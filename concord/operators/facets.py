@@ -33,7 +33,7 @@ def facet_values(records: DataFrame, catalog: Catalog, keep: Sequence[str] = ("s
         if f.icurule:
             text = F.when(F.col("field") == f.name, catalog.chain(f.icurule).display(F.col("value"))).otherwise(text)
     terms = F.when(F.col("field").isin(years), ends).otherwise(F.array(text)) if years else F.array(text)
-    return values.select(*keep, F.col("field").alias("facet"), "ord", F.explode(terms).alias("term"))
+    return values.select(*keep, F.col("field").alias("facet"), "ord", F.explode_outer(terms).alias("term"))
 
 
 def _forms(terms: DataFrame, catalog: Catalog) -> DataFrame:

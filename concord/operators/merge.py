@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from concord.catalog import Catalog, FieldSpec
 from concord.functions.text import skip_article, trim_generic
-from concord.operators.records import real_values
+from concord.operators.records import real_values, unfold
 
 SINGLE = ("longest", "range", "first")
 PARTS = (("disp", "string"), ("min", "int"), ("max", "int"), ("num", "double"))
@@ -142,7 +142,7 @@ def merge_values(records: DataFrame, catalog: Catalog, fields: list[str] | None
     frames = []
     picked = [f for f in chosen if f.merge != "all"]
     if picked:
-        units = records.select("cluster", "arrival", F.inline(F.concat(*[_units(f, catalog) for f in picked])))
+        units = unfold(records, ["cluster", "arrival"], F.concat(*[_units(f, catalog) for f in picked]), "field")
         one = lambda n: F.get(F.col("list"), F.lit(0))[n]
         best = units.groupBy("cluster", "field", "pick").agg(
             F.min(F.struct("size", "arrival", "ord", "list")).alias("b"),
@@ -167,8 +167,8 @@ def merge_values(records: DataFrame, catalog: Catalog, fields: list[str] | None
     for f in chosen:
         if f.merge == "all":
             values = F.transform(real_values(f), lambda v: _plain(f, catalog, v))
-            rows = records.select("cluster", F.lit(f.name).alias("field"), "arrival", F.posexplode(values).alias("ord", "v"))
-            frames.append(rows.select("cluster", "field", "arrival", "ord", "v.*"))
+            rows = records.select("cluster", F.lit(f.name).alias("field"), "arrival", F.posexplode_outer(values).alias("ord", "v"))
+            frames.append(rows.filter("ord IS NOT NULL").select("cluster", "field", "arrival", "ord", "v.*"))
     return reduce(lambda a, b: a.unionByName(b), [f.select(*out) for f in frames])
 
 

@@ -12,7 +12,7 @@ records  `source, position, arrival, md struct<one array per catalog field>`
 from __future__ import annotations
 
 from functools import reduce
-from typing import Mapping
+from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -69,6 +69,15 @@ def raw_texts(spec: FieldSpec) -> Column:
     return F.transform(real_values(spec), lambda v: text_of(spec, v))
 
 
+def unfold(df: DataFrame, keep: Sequence[str], structs: Column, required: str) -> DataFrame:
+    """One row per struct of an array, its members as columns; `required` is a member that is never null.
+
+    The outer form with a filter behind it: for a plain `inline` the optimizer puts a test of the array below it, and the
+    expressions of the array would run twice.
+    """
+    return df.select(*keep, F.inline_outer(structs)).filter(F.col(required).isNotNull())
+
+
 # -- conform and type ------------------------------------------------------------------------------------------------
 
 
@@ -87,7 +96,7 @@ def conform(raw: DataFrame, catalog: Catalog) -> DataFrame:
 
 def unknown_fields(raw: DataFrame, catalog: Catalog) -> DataFrame:
     """How many values had a field name that the catalog does not know."""
-    names = raw.select(F.explode("values.field").alias("field"))
+    names = raw.select(F.explode_outer("values.field").alias("field"))
     return names.filter(~F.col("field").isin(catalog.names)).groupBy("field").agg(F.count(F.lit(1)).alias("ignored"))
 
 
@@ -178,7 +187,7 @@ def explode_values(records: DataFrame, catalog: Catalog, fields: list[str], keep
         )
 
     arrays = [wide(catalog[f]) for f in fields]
-    return records.select(*keep, F.inline(F.concat(*arrays)))
+    return unfold(records, keep, F.concat(*arrays), "field")
 
 
 # -- constants of a source -------------------------------------------------------------------------------------------

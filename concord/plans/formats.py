@@ -27,14 +27,14 @@ def _text(value: Column | str) -> Column:
     return F.lit(value) if isinstance(value, str) else xml_escape(F.coalesce(value.cast("string"), F.lit("")))
 
 
-def tag(name: str, *inner: Column | str, **attrs: str) -> Column:
+def tag(element: str, *inner: Column | str, **attrs: str) -> Column:
     """An element around text columns or elements made by `tag` (which must not be escaped again)."""
-    head = name + "".join(f' {k}="{v}"' for k, v in attrs.items())
-    return F.concat(F.lit(f"<{head}>"), *[F.lit(x) if isinstance(x, str) else x for x in inner], F.lit(f"</{name}>"))
+    head = element + "".join(f' {k}="{v}"' for k, v in attrs.items())
+    return F.concat(F.lit(f"<{head}>"), *[F.lit(x) if isinstance(x, str) else x for x in inner], F.lit(f"</{element}>"))
 
 
-def leaf(name: str, value: Column | str, **attrs: str) -> Column:
-    return tag(name, _text(value), **attrs)
+def leaf(element: str, value: Column | str, **attrs: str) -> Column:
+    return tag(element, _text(value), **attrs)
 
 
 def maybe(condition: Column, element: Column) -> Column:
@@ -43,7 +43,7 @@ def maybe(condition: Column, element: Column) -> Column:
 
 def exploded(raw: DataFrame, *keep: str) -> DataFrame:
     """Rows of dynamic values; a value that is only a placeholder shows that."""
-    rows = raw.select(*keep, F.explode("values").alias("v"))
+    rows = raw.select(*keep, F.explode_outer("values").alias("v")).filter("v IS NOT NULL")
     return rows.select(*keep, F.col("v.field").alias("field"), F.coalesce("v.value", F.concat(F.lit("empty:"), F.col("v.attrs")["empty"])).alias("value"))
 
 
@@ -84,13 +84,13 @@ def internal_failures(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def subrecords(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = I.parse_payloads(order_payloads(spark, sf)).filter("failure IS NULL").drop("payload", "failure")
+    parsed = I.parse_payloads(order_payloads(spark, sf)).drop("payload", "failure")
     return C.explode_subrecords(parsed, OFFERS)
 
 
 @register
 def internal_values(spark: SparkSession, sf: str) -> DataFrame:
-    rows = subrecords(spark, sf).select("position", F.col("arrival.sub").alias("sub"), F.explode("values").alias("v"))
+    rows = subrecords(spark, sf).select("position", F.col("arrival.sub").alias("sub"), F.explode_outer("values").alias("v")).filter("v IS NOT NULL")
     return rows.select("position", "sub", "v.field", "v.value", F.col("v.attrs")["rank"].alias("rank"), F.col("v.attrs")["empty"].alias("placeholder"))
 
 
@@ -319,7 +319,7 @@ def dkabm_fields(spark: SparkSession, sf: str) -> DataFrame:
     two = tag("object", leaf("score", F.lit("0.5")), tag("record", leaf("title", F.col("source"))))
     payload = tag("searchResult", one, two)
     parsed = FO.map_dkabm(doc_rows(spark, sf).select("doc_id", payload.alias("payload")))
-    rows = parsed.select("doc_id", F.posexplode("subrecords").alias("sub", "r")).select("doc_id", "sub", F.explode("r.values").alias("v"))
+    rows = parsed.select("doc_id", F.posexplode_outer("subrecords").alias("sub", "r")).select("doc_id", "sub", F.explode_outer("r.values").alias("v"))
     value = F.when(F.col("v.field").isin("description", "title"), F.md5("v.value")).otherwise(F.col("v.value"))
     return rows.select("doc_id", "sub", "v.field", value.alias("value"))
 

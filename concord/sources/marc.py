@@ -1,7 +1,7 @@
 """MARC records: MARCXML and TurboMARC in, catalog values out by mapping tables and derived fields.
 
 A MARC frame keeps a record in one row: `source, position, arrival, leader, fields array<struct<tag, value, subfields
-array<struct<code, value>>>>`, so that no shuffle is needed to map it.
+array<struct<code, value>>>>, c001, c007, c008`, so that no shuffle is needed to map it.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ MARC_SCHEMA = (
     " datafield array<struct<_tag:string,subfield:array<struct<_code:string,_VALUE:string>>>>, _corrupt_record string"
 )
 MAX_MAPPING = 10_000
+CONTROLS = ("001", "007", "008")
 
 # -- fixed values: mapping tables as `tag subfield field`; `$` is the field itself, `*` all subfields ------------------
 
@@ -194,13 +195,21 @@ def _marc_fields(x: str) -> Column:
 def parse_marcxml(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """MARC frame out of a column with MARCXML records; `failure` marks what is not well formed."""
     parsed = payloads.withColumn("x", F.from_xml(F.col(column), MARC_SCHEMA, XML_OPTIONS))
-    return parsed.withColumns(
-        {
-            "leader": F.col("x.leader"),
-            "fields": _marc_fields("x"),
-            "failure": F.when(F.col("x._corrupt_record").isNotNull() | F.col("x").isNull(), "ingest"),
-        }
-    ).drop("x")
+    return _with_controls(
+        parsed.withColumns(
+            {
+                "leader": F.col("x.leader"),
+                "fields": _marc_fields("x"),
+                "failure": F.when(F.col("x._corrupt_record").isNotNull() | F.col("x").isNull(), "ingest"),
+            }
+        ).drop("x")
+    )
+
+
+def _with_controls(marc: DataFrame) -> DataFrame:
+    """The control fields that rules look into, as columns `c001, c007, c008`."""
+    first = lambda t: F.get(F.filter("fields", lambda f: f["tag"] == t), F.lit(0))["value"]
+    return marc.withColumns({f"c{t}": first(t) for t in CONTROLS})
 
 
 def turbo_to_marcxml(payload: Column) -> Column:
@@ -229,17 +238,19 @@ def read_marcxml(spark: SparkSession, path: str, row_tag: str = "record") -> Dat
     """MARC frame `file, leader, fields, failure` out of MARCXML files."""
     rows = spark.read.format("xml").options(**XML_OPTIONS, rowTag=row_tag).schema(MARC_SCHEMA).load(path)
     parsed = rows.select(F.input_file_name().alias("file"), F.struct("*").alias("x"))
-    return parsed.select(
-        "file",
-        F.col("x.leader").alias("leader"),
-        _marc_fields("x").alias("fields"),
-        F.when(F.col("x._corrupt_record").isNotNull(), "ingest").alias("failure"),
+    return _with_controls(
+        parsed.select(
+            "file",
+            F.col("x.leader").alias("leader"),
+            _marc_fields("x").alias("fields"),
+            F.when(F.col("x._corrupt_record").isNotNull(), "ingest").alias("failure"),
+        )
     )
 
 
 def marc_rows(marc: DataFrame, *keep: str) -> DataFrame:
     """Long rows: `keep..., field_no, tag, value, sub_no, code, sub_value`."""
-    fields = marc.select(*keep, F.posexplode("fields").alias("field_no", "f"))
+    fields = marc.select(*keep, F.posexplode_outer("fields").alias("field_no", "f")).filter("f IS NOT NULL")
     return fields.select(*keep, "field_no", "f.tag", "f.value", F.posexplode_outer("f.subfields").alias("sub_no", "s")).select(
         *keep, "field_no", "tag", "value", "sub_no", F.col("s.code").alias("code"), F.col("s.value").alias("sub_value")
     )
@@ -324,7 +335,7 @@ def tag_subs(tag: str, code: str) -> Column:
 
 
 def control(tag: str) -> Column:
-    return F.get(tagged(tag), F.lit(0))["value"]
+    return F.col(f"c{tag}")
 
 
 def _char(text: Column, at: int, n: int = 1) -> Column:
@@ -448,28 +459,38 @@ def _before(text: Column, mark: str) -> Column:
 
 
 def parse_citation(text: Column) -> Column:
-    """struct(volume, issue, pages) out of a journal part such as `Vol. 3, issue 2, p 12-18`; empty when not there."""
+    """struct(volume, issue, pages) out of a journal part such as `Vol. 3, issue 2, p 12-18`; empty when not there.
+
+    Every part is one pattern over the lower-cased text: the word behind the first `vol ` (else `v `), the one behind the
+    first `issue` up to a comma, and everything behind the first ` p ` (else `,p`, else ` p`).
+    """
     plain = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ.", "abcdefghijklmnopqrstuvwxyz ")
-    tail = lambda *marks: F.coalesce(*[F.nullif(_after(plain, m), F.lit("")) for m in marks], F.lit(""))
-    volume = _before(_squeeze(tail("vol ", "v ")), " ")
-    issue = _before(F.translate(_squeeze(_after(plain, "issue")), ",", " "), " ")
-    pages = _squeeze(tail(" p ", ",p", " p"))
-    return F.struct(volume.alias("volume"), issue.alias("issue"), pages.alias("pages"))
+    volume = r"(?s)^(?:(?>.*?vol )(?=.)|(?!.*vol .)(?>.*?v ))\s*(\S+)\s+\S"
+    issue = r"(?s)^(?>.*?issue)\s*([^\s,]*)(?:,|\s+\S)"
+    pages = r"(?s)^(?:(?>.*? p )(?=.)|(?!.* p .)(?>.*?,p)(?=.)|(?!.* p .)(?!.*,p.)(?>.*? p))(.*)$"
+    return F.struct(
+        F.regexp_extract(plain, volume, 1).alias("volume"),
+        F.regexp_extract(plain, issue, 1).alias("issue"),
+        _squeeze(F.regexp_extract(plain, pages, 1)).alias("pages"),
+    )
 
 
 def derive_citation() -> Column:
     """Citation, journal part and its volume, issue and pages out of 773."""
     part = lambda f: F.array_join(subs(f, "g"), "")
-    line = F.transform(tagged("773"), lambda f: F.array_join(F.transform(f["subfields"], lambda s: _squeeze(s["value"])), " "))
-    parts = F.filter(F.transform(tagged("773"), part), lambda t: t != "")
-    of = lambda name: F.filter(F.transform(parts, lambda t: parse_citation(t)[name]), lambda t: t != "")
-    return F.concat(
-        _each("citation", line),
-        _each("journal-subpart", parts),
-        _each("volume-number", of("volume")),
-        _each("issue-number", of("issue")),
-        _each("pages-number", of("pages")),
-    )
+    line = lambda f: F.array_join(F.transform(f["subfields"], lambda s: _squeeze(s["value"])), " ")
+
+    def split(text: Column) -> Column:
+        found = parse_citation(text)
+        return F.array(
+            _value("journal-subpart", text),
+            _value("volume-number", found["volume"]),
+            _value("issue-number", found["issue"]),
+            _value("pages-number", found["pages"]),
+        )
+
+    of = lambda f: F.concat(F.array(_value("citation", line(f))), F.flatten(F.transform(F.array(part(f)), split)))
+    return F.filter(F.flatten(F.transform(tagged("773"), of)), lambda v: v["value"] != "")
 
 
 def derive_titles() -> Column:
@@ -557,26 +578,32 @@ def _as_raw(values: Column) -> Column:
     ).cast(RAW_VALUES)
 
 
+def _finish(mapped: DataFrame) -> DataFrame:
+    return mapped.withColumn("values", _as_raw(F.col("values"))).drop("leader", "fields", *[f"c{t}" for t in CONTROLS])
+
+
 def map_marc21(marc: DataFrame, medium: str = "detailed", resolver: str | None = None) -> DataFrame:
     """Raw frame out of MARC21 records: the mapping table plus all derived fields."""
-    parts = [
-        map_fields(F.col("fields"), mapping_rows(MARC21)),
-        derive_ids(),
-        derive_date(),
-        derive_titles(),
-        derive_citation(),
-        derive_holdings(),
-        _one("medium", derive_medium(medium)),
-    ]
+    parts = {
+        "v_map": map_fields(F.col("fields"), mapping_rows(MARC21)),
+        "v_ids": derive_ids(),
+        "v_date": derive_date(),
+        "v_title": derive_titles(),
+        "v_cite": derive_citation(),
+        "v_hold": derive_holdings(),
+        "v_medium": _one("medium", derive_medium(medium)),
+    }
     if resolver is not None:
-        parts.append(_one("open-url", open_url(F.lit(resolver))))
-    return marc.withColumn("values", _as_raw(F.concat(*parts))).drop("leader", "fields")
+        parts["v_url"] = _one("open-url", open_url(F.lit(resolver)))
+    # a column per group of fields keeps the expressions small
+    mapped = marc.withColumns(parts)
+    return _finish(mapped.withColumn("values", F.concat(*parts)).drop(*parts))
 
 
 def map_marc(marc: DataFrame, mapping: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Raw frame by a mapping table of the caller, with the raw form of the simple medium."""
     values = F.concat(map_fields(F.col("fields"), mapping), _one("medium", derive_medium("simple", raw=True)))
-    return marc.withColumn("values", _as_raw(values)).drop("leader", "fields")
+    return _finish(marc.withColumn("values", values))
 
 
 def map_unimarc(marc: DataFrame) -> DataFrame:
@@ -592,7 +619,7 @@ def map_unimarc(marc: DataFrame) -> DataFrame:
         _each("description", notes),
         _each("author", F.transform(tagged("700", "701", "702"), name)),
     )
-    return marc.withColumn("values", _as_raw(values)).drop("leader", "fields")
+    return _finish(marc.withColumn("values", values))
 
 
 def map_danmarc2(marc: DataFrame) -> DataFrame:
@@ -619,4 +646,4 @@ def map_danmarc2(marc: DataFrame) -> DataFrame:
     )
     first = lambda tag: F.coalesce(F.get(tag_subs(tag, "a"), F.lit(0)), F.lit(""))
     key = F.concat(F.lit("title "), first("245"), F.lit(" author "), first("100"), F.lit(" medium "), medium)
-    return marc.withColumn("key", key).withColumn("values", _as_raw(values)).drop("leader", "fields")
+    return _finish(marc.withColumn("key", key).withColumn("values", values))

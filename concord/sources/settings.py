@@ -18,7 +18,7 @@ def parse_settings(files: DataFrame, column: str = "payload") -> DataFrame:
     options = {"mode": "PERMISSIVE", "ignoreNamespace": "true", "valueTag": "_text"}
     parsed = files.withColumn("x", F.from_xml(F.col(column), schema, options))
     # element content of a setting is a value, too
-    sets = parsed.select("file", "x", F.posexplode("x.set").alias("n", "s"))
+    sets = parsed.select("file", "x", F.posexplode_outer("x.set").alias("n", "s")).filter("s IS NOT NULL")
     own = lambda a: F.coalesce(F.col(f"s._{a}"), F.col(f"x._{a}"))
     rows = sets.select(
         "file",
