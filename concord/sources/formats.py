@@ -64,6 +64,7 @@ GENERIC_PARTS = {
 
 def _value(field: str | Column, text: Column, empty: bool = False) -> Column:
     attrs = F.create_map(F.lit("empty"), F.lit(EMPTY)) if empty else F.create_map().cast("map<string,string>")
+    text = F.nullif(text, F.lit("")) if empty else text
     name = F.lit(field) if isinstance(field, str) else field
     return F.struct(name.alias("field"), text.alias("value"), attrs.alias("attrs"))
 
