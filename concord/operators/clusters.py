@@ -27,7 +27,7 @@ def _key_fields(catalog: Catalog, keys: Sequence[str] | None) -> list[FieldSpec]
 
 def _content(parts: dict[FieldSpec, Column], keys: Sequence[str] | None, supplied: Column | None) -> Column:
     """Key text out of the parts of the fields; empty or null when there is none."""
-    content = F.trim(F.concat_ws(" ", *parts.values())) if parts else F.lit("")
+    content = F.array_join(F.filter(F.array(*parts.values()), filled), " ") if parts else F.lit("")
     if not keys:
         for f, part in parts.items():
             if f.mergekey == "required":

@@ -86,10 +86,19 @@ def latest(spark: SparkSession, path: str, keys: Sequence[str], schema: T.Struct
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "update") -> str:
-    """Run a stream over what is there now; the path of its table."""
+    """Run a stream over what is there now; the path of its table.
+
+    Batches without data are off for the run: state with a timeout would ask for them forever.
+    """
     spark = stream.sparkSession
     path = scratch_path(spark, name)
-    query = write_updates(stream, path, scratch_path(spark, f"{name}-checkpoint"), mode)
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        query = write_updates(stream, path, scratch_path(spark, f"{name}-checkpoint"), mode)
+    finally:
+        spark.conf.set(setting, before)
     query.awaitTermination()
     return path
 

@@ -95,3 +95,30 @@ def test_components_against_brute_force(spark, seed):
     got = {r["id"]: r["cluster"] for r in C.assign_clusters(frame).collect()}
     want = brute_components([list(dict.fromkeys(g)) for g in groups])
     assert got == {i: want[g[0]] for i, g in enumerate(groups)}
+
+
+def test_merge_keys(spark):
+    catalog = Catalog(
+        (
+            FieldSpec("title", merge="longest", mergekey="required"),
+            FieldSpec("author", merge="unique", mergekey="optional"),
+            FieldSpec("medium", merge="longest", mergekey="optional"),
+        )
+    )
+    rows = [
+        (1, "The Book", None, "cd 2", None),
+        (2, "The Book", "!", "cd", None),
+        (3, None, "Ann", "cd", None),
+        (4, "x", None, None, "Own, key"),
+    ]
+    table = spark.createDataFrame(rows, "id int, title string, author string, medium string, k string")
+    records = R.table_records(table, catalog, {"title": "title", "author": "author", "medium": "medium"}, "'s'", "id", "id")
+    records = records.join(table.select(F.col("id").alias("arrival"), "k"), "arrival")
+    keys = lambda **o: [r["cluster"] for r in C.with_merge_key(records, catalog, **o).orderBy("arrival").collect()]
+    assert keys(supplied="k") == [
+        "content: title the book medium cd",
+        "content: title the book author medium cd",
+        "position: s-000003",
+        "content: own key",
+    ]
+    assert keys(keys=["medium"])[2:] == ["content: medium cd", "position: s-000004"]
