@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -50,10 +51,14 @@ def main() -> None:
     if os.path.isdir(warm):
         run(core.search_page, warm)
     seconds = {}
+    only = sys.argv[1:]
     for name, query in HEADLINE.items():
+        if only and name not in only:
+            continue
         started = time.perf_counter()
         run(query, folder)
         seconds[name] = round(time.perf_counter() - started, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     found = re.search(r"sf([\d.]+)", folder)
     line = {
         "metric": "headline queries",

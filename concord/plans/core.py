@@ -12,6 +12,7 @@ from concord.functions import text as X, values as V
 from concord.operators import clusters as C, facets as FA, filters as FI, merge as M, order as O, rank as R
 from concord.operators.records import md
 from concord.plans.views import DOCS, OFFERS, docs, docs_table, offers, table
+from concord.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 QUERY = "small widget"
@@ -213,6 +214,8 @@ def _numbered(spark: SparkSession, sf: str, spec: list[tuple[str, bool]], bucket
     """Clusters numbered along a sort order."""
     if clusters is None:
         clusters = M.merge_records(kept_offers(spark, sf), OFFERS)
+    # numbered rows and bucket sizes both need the clusters
+    clusters = stored(clusters, "clusters")
     return O.number_rows(clusters, O.sort_columns(OFFERS, spec), bucket, "rank").select("recid", "rank")
 
 
@@ -280,7 +283,7 @@ def page_past_end(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def neighbours_title(spark: SparkSession, sf: str) -> DataFrame:
-    clusters = M.merge_records(kept_offers(spark, sf), OFFERS)
+    clusters = stored(M.merge_records(kept_offers(spark, sf), OFFERS), "clusters")
     order = O.sort_columns(OFFERS, [("title", True)])
     return O.neighbours(clusters, order, _first_byte(F.col("sort.title"), True)).select("recid", "prev", "next")
 
