@@ -106,7 +106,7 @@ def _fit(m: pd.DataFrame) -> pd.DataFrame:
 def score_fit(scores: DataFrame, method: str = "search") -> DataFrame:
     """`source, a, b` that bring the scores of a source to the curve 1 / position.
 
-    `search` is the coordinate search of the reference formula, `ols` the least squares solution of the same objective.
+    `search` steps along one coordinate at a time, `ols` is the least squares solution of the same objective.
     Scores by position stay as they are.
     """
     moments = _moments(scores)

@@ -6,7 +6,7 @@ from concord.plans.oracle import ARRIVAL, CLUSTERS, KEPT, WIDGET, rank, snippet,
 from concord.plans.oracle_sources import SETTINGS
 
 SQL: dict[str, str] = {}
-NONE = "'empty:PAZPAR2_NULL_VALUE'"
+NONE = "'empty:NULL_VALUE'"
 
 
 def fields(table: str, key: str, rows: list[tuple[str, str, str]], where: str = "true") -> str:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from concord.sources.internal import RAW_VALUES
 
 XML_OPTIONS = {"mode": "PERMISSIVE", "ignoreNamespace": "true"}
-EMPTY = "PAZPAR2_NULL_VALUE"
+# placeholder shown for an empty value
+EMPTY = "NULL_VALUE"
 
 # -- fixed values ------------------------------------------------------------------------------------------------------
 

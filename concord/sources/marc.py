@@ -162,7 +162,8 @@ DANMARC2 = """
 SUBJECT_TAGS = ("600", "610", "611", "630", "648", "650", "651", "653", "654", "655", "656", "657", "658", "662", "69X")
 # year type characters of control field 008, and those that have an end year
 YEAR_TYPES, RANGE_TYPES = "cestpudikmr", "dikmr"
-EMPTY = "PAZPAR2_NULL_VALUE"
+# placeholder shown for an empty value
+EMPTY = "NULL_VALUE"
 
 
 # -- reading -----------------------------------------------------------------------------------------------------------
