@@ -11,6 +11,7 @@ from typing import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+MAX_CHAINS = 1000
 Normalizer = Callable[[DataFrame], DataFrame]
 
 
@@ -52,7 +53,11 @@ def normalize_by_source(raw: DataFrame, sources: DataFrame, registry: Mapping[st
     """
     chosen = sources.select("source", choice(F.col("settings")).alias("normalizer"))
     known = sorted(registry)
-    lists = [r[0] for r in chosen.filter(F.contains("normalizer", F.lit(","))).select("normalizer").distinct().limit(1000).collect()]
+    # the names in use are configuration: few, and checked
+    found = chosen.filter(F.contains("normalizer", F.lit(","))).select("normalizer").distinct().limit(MAX_CHAINS + 1).collect()
+    if len(found) > MAX_CHAINS:
+        raise ValueError(f"sources may name {MAX_CHAINS} different chains")
+    lists = [r[0] for r in found]
     for names in lists:
         if all(n.strip() in registry for n in names.split(",")):
             known.append(names)

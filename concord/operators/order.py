@@ -74,7 +74,8 @@ def number_rows(
     """Row numbers from 1 along `order`, per `by` or over all rows, without one big window.
 
     `bucket` must never decrease along `order`, and a bucket must fit one task. Rows are numbered within (by, bucket);
-    the sizes of the buckets, a small aggregate, give the offset of each. Both halves use the same partitioning.
+    the sizes of the buckets, a small aggregate, give the offset of each. `df` is read twice: store it
+    first if it is costly to make.
     """
     keyed = df.withColumn("bucket_", bucket)
     group = [*by, "bucket_"]
