@@ -38,7 +38,7 @@ def _content(parts: dict[FieldSpec, Column], keys: Sequence[str] | None, supplie
 
 
 def _key_or_alone(content: Column, source: Column, position: Column) -> Column:
-    alone = F.format_string("position: %s-%06d", source, position.cast("int"))
+    alone = F.format_string("position: %s-%06d", source, position.cast("bigint"))
     return F.when(content != "", F.concat(F.lit(CONTENT), content)).otherwise(alone)
 
 
@@ -110,29 +110,35 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def key_components(keys: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Connected components of merge keys: `key, cluster` for every key that is linked to another one.
+def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """Connected components of the links `u, v`: `node, component` for every node that is linked to another one, named by
+    its least node.
 
-    Takes a frame with an array column `keys`. Alternating large-star and small-star rounds (Kiveris et al., 2014):
-    every round is a group-by with map-side minimum and an equi-join, and the number of rounds grows with the logarithm
-    of the longest chain. Only records with several keys take part.
+    Alternating large-star and small-star rounds (Kiveris et al., 2014): every round is a group-by with map-side minimum
+    and an equi-join, and the number of rounds grows with the logarithm of the longest chain.
     """
-    links = keys.filter(F.size("keys") > 1).select(
-        F.array_min("keys").alias("v"), F.explode("keys").alias("u")
-    )
-    edges = cut(links.filter("u <> v").select("u", "v").distinct())
+    edges = cut(edges.filter("u <> v").select("u", "v").distinct())
     digest = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = digest(edges)
     for _ in range(max_rounds):
         edges = cut(_small_star(_large_star(edges)))
         after = digest(edges)
         if after == before:
-            roots = edges.select(F.col("v").alias("key")).distinct()
-            return edges.select(F.col("u").alias("key"), F.col("v").alias("cluster")).union(
-                roots.select("key", F.col("key").alias("cluster"))
+            roots = edges.select(F.col("v").alias("node")).distinct()
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+                roots.select("node", F.col("node").alias("component"))
             )
         before = after
-    raise RuntimeError(f"key components did not settle in {max_rounds} rounds")
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def key_components(keys: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """Connected components of merge keys: `key, cluster` for every key that is linked to another one.
+
+    Takes a frame with an array column `keys`. Only records with several keys take part.
+    """
+    links = keys.filter(F.size("keys") > 1).select(F.array_min("keys").alias("v"), F.explode("keys").alias("u"))
+    return components(links, max_rounds).toDF("key", "cluster")
 
 
 def assign_clusters(records: DataFrame) -> DataFrame:
