@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concord.llm import near
+from concord.llm import lm, near
 from concord.llm.common import table
 
 
+def op5_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op8_minhash_near_dedup": op8_minhash_near_dedup}
+QUERIES = {
+    "op5_kneser_ney_quality": op5_kneser_ney_quality,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
+}
 
 SQL = {
     "op8_minhash_near_dedup": r"""
