@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from concord.llm import bpe, lm, near
+from concord.llm import bpe, flac, lm, near
 from concord.llm.common import table
 
 
@@ -28,10 +28,25 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = flac.load(flac.store(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        "payload_bytes",
+        "payload_sha256",
+        "tail_crc32",
+        F.octet_length("media").cast("bigint").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op5_kneser_ney_quality": op5_kneser_ney_quality,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_flac_media": op9_flac_media,
 }
 
 SQL = {
