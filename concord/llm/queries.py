@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from concord.llm import bpe, flac, lm, near
+from concord.llm import bpe, flac, html, lm, near
 from concord.llm.common import table
 
 
@@ -42,11 +42,16 @@ def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op5_kneser_ney_quality": op5_kneser_ney_quality,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_flac_media": op9_flac_media,
+    "op10_html_main_text": op10_html_main_text,
 }
 
 SQL = {
