@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from concord.llm import bpe, flac, html, lm, near
+from concord.llm import bpe, fertility, flac, html, lm, near
 from concord.llm.common import table
 
 
@@ -24,6 +24,12 @@ def op5_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
 
 
+def op7_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = fertility.Vocabulary.read(public_tokenizers.path("piece_bpe_32k.model"))
+    judged = fertility.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), vocabulary)
+    return judged.drop("lang", "text_key")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -49,12 +55,14 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op5_kneser_ney_quality": op5_kneser_ney_quality,
+    "op7_tokenizer_fertility": op7_tokenizer_fertility,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_flac_media": op9_flac_media,
     "op10_html_main_text": op10_html_main_text,
 }
 
 SQL = {
+    "op7_tokenizer_fertility": op7_tokenizer_fertility,
     "op8_minhash_near_dedup": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
