@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from concord.llm import bpe, fertility, flac, html, lm, near
+from concord.llm import bpe, fertility, flac, html, ids, lm, near
 from concord.llm.common import table
 
 
@@ -24,6 +24,12 @@ def op5_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
 
 
+def op6_token_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coder = ids.Coder.read(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ids.read(ids.write(docs, coder, ids.folder(spark), end_id=2))
+
+
 def op7_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = fertility.Vocabulary.read(public_tokenizers.path("piece_bpe_32k.model"))
     judged = fertility.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), vocabulary)
@@ -55,6 +61,7 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op5_kneser_ney_quality": op5_kneser_ney_quality,
+    "op6_token_id_shards": op6_token_id_shards,
     "op7_tokenizer_fertility": op7_tokenizer_fertility,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_flac_media": op9_flac_media,
@@ -62,6 +69,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op6_token_id_shards": op6_token_id_shards,
     "op7_tokenizer_fertility": op7_tokenizer_fertility,
     "op8_minhash_near_dedup": r"""
 WITH RECURSIVE words AS (
