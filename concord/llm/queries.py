@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from concord.llm import bpe, fertility, flac, html, ids, lm, near
+from concord.llm import bpe, fertility, flac, html, ids, licences, lm, near
 from concord.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
 
@@ -60,6 +64,7 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_licence_digests": op4_licence_digests,
     "op5_kneser_ney_quality": op5_kneser_ney_quality,
     "op6_token_id_shards": op6_token_id_shards,
     "op7_tokenizer_fertility": op7_tokenizer_fertility,
@@ -69,6 +74,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_licence_digests": licences.sql(),
     "op6_token_id_shards": op6_token_id_shards,
     "op7_tokenizer_fertility": op7_tokenizer_fertility,
     "op8_minhash_near_dedup": r"""
