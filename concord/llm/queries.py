@@ -5,10 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from concord.llm import bpe, fertility, flac, html, ids, licences, lm, near
+from concord.llm import bpe, fertility, flac, html, ids, licences, lm, mixing, near, urls
 from concord.llm.common import table
 
 
+def op1_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    # the path of a page ends with the number of the document it shows, which is the one that is labelled
+    shown = F.regexp_extract("url", r"/([0-9]+)(?:\.html|/)?(?:[?#].*)?$", 1)
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
+    numbered = pages.select("url", F.when(shown != "", shown).cast("bigint").alias("doc_id"))
+    return urls.judge(pages, urls.mine(numbered.join(labels, "doc_id").select("url", "blocked")))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coder = bpe.ByteBpe(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), coder), coder)
@@ -20,6 +29,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    cell = [F.coalesce(c, F.lit(mixing.NONE)).alias(c) for c in ("source", "lang")]
+    return mixed.select("doc_id", *cell, "topic", "n_tokens", F.round("rate", 6).alias("rate"), "copies")
+
+
 def op4_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -63,7 +78,9 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_association_rules": op1_url_association_rules,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_source_mixing": op3_source_mixing,
     "op4_licence_digests": op4_licence_digests,
     "op5_kneser_ney_quality": op5_kneser_ney_quality,
     "op6_token_id_shards": op6_token_id_shards,
@@ -74,6 +91,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_source_mixing": mixing.sql(),
     "op4_licence_digests": licences.sql(),
     "op6_token_id_shards": op6_token_id_shards,
     "op7_tokenizer_fertility": op7_tokenizer_fertility,
