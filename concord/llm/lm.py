@@ -37,7 +37,7 @@ REACH = 8.0
 SHORT = 40
 
 _BLOCK_SCHEMA = (
-    "block bigint, rows array<bigint>, ids array<bigint>, langs array<string>, grams array<bigint>, "
+    "block bigint, rows array<bigint>, ids array<bigint>, langs array<string>, keys array<bigint>, grams array<bigint>, "
     "sizes binary, places binary, counts binary"
 )
 
@@ -77,7 +77,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         base = TaskContext.get().partitionId() << 40
         block = seen = 0
         for part in slices(batches, "text"):
-            ids, langs, texts = (part.column(k).to_pylist() for k in range(3))
+            ids, langs, text_keys, texts = (part.column(k).to_pylist() for k in range(4))
             texts = ["" if t is None else t for t in texts]
             whole = "".join([START + t + END for t in texts])
             chars = np.frombuffer(whole.encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -92,18 +92,24 @@ def blocks(docs: DataFrame) -> DataFrame:
                         pa.array([[base + seen + d for d in range(first, last + 1)]], pa.list_(pa.int64())),
                         pa.array([ids[first : last + 1]], pa.list_(pa.int64())),
                         pa.array([langs[first : last + 1]], pa.list_(pa.string())),
+                        pa.array([text_keys[first : last + 1]], pa.list_(pa.int64())),
                         pa.array([keys], pa.list_(pa.int64())),
                         pa.array([_pack(sizes.astype(np.uint16))], pa.binary()),
                         # distances between documents are small and pack well; 2,048 documents at most
                         pa.array([_pack(np.diff(place, prepend=0).astype(np.int16))], pa.binary()),
                         pa.array([_pack(counts.astype(np.uint32))], pa.binary()),
                     ],
-                    ["block", "rows", "ids", "langs", "grams", "sizes", "places", "counts"],
+                    ["block", "rows", "ids", "langs", "keys", "grams", "sizes", "places", "counts"],
                 )
                 block += 1
             seen += len(texts)
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.col("lang").cast("string").alias("lang"),
+        F.xxhash64("text").alias("text_key"),
+        "text",
+    )
     return rows.mapInArrow(run, _BLOCK_SCHEMA)
 
 
@@ -182,7 +188,7 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
 
 
 def scores(parts: DataFrame, probabilities: DataFrame) -> DataFrame:
-    """`row, doc_id, lang, n_grams, logp` per document: how many n-grams, and the sum of their log probabilities."""
+    """`row, doc_id, lang, text_key, n_grams, logp` per document: how many n-grams, and the sum of their log probabilities."""
     asked = parts.select("block", F.posexplode("grams").alias("at", "gram"))
     # a block has BLOCK n-grams at most
     told = (
@@ -190,11 +196,11 @@ def scores(parts: DataFrame, probabilities: DataFrame) -> DataFrame:
         .groupBy("block")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "logp"))), lambda x: x["logp"]).alias("logps"))
     )
-    met = parts.select("block", "rows", "ids", "langs", "sizes", "places", "counts").join(told, "block")
+    met = parts.select("block", "rows", "ids", "langs", "keys", "sizes", "places", "counts").join(told, "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, rows, ids, langs, sizes, places, counts, logps in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, rows, ids, langs, text_keys, sizes, places, counts, logps in zip(*(c.to_pylist() for c in batch.columns)):
                 sizes, counts = _unpack(sizes, np.uint16).astype(np.int64), _unpack(counts, np.uint32)
                 place = np.cumsum(_unpack(places, np.int16).astype(np.int64))
                 logp = np.repeat(np.array(logps), sizes)
@@ -203,24 +209,27 @@ def scores(parts: DataFrame, probabilities: DataFrame) -> DataFrame:
                         pa.array(rows, pa.int64()),
                         pa.array(ids, pa.int64()),
                         pa.array(langs, pa.string()),
+                        pa.array(text_keys, pa.int64()),
                         pa.array(np.bincount(place, counts, len(rows)).astype(np.int64)),
                         pa.array(np.bincount(place, counts * logp, len(rows))),
                     ],
-                    ["row", "doc_id", "lang", "n_grams", "logp"],
+                    ["row", "doc_id", "lang", "text_key", "n_grams", "logp"],
                 )
 
-    schema = "row bigint, doc_id bigint, lang string, n_grams bigint, logp double"
+    schema = "row bigint, doc_id bigint, lang string, text_key bigint, n_grams bigint, logp double"
     summed = met.mapInArrow(run, schema).groupBy("row")
     return summed.agg(
         F.first("doc_id").alias("doc_id"),
         F.first("lang").alias("lang"),
+        F.first("text_key").alias("text_key"),
         F.sum("n_grams").alias("n_grams"),
         F.sum("logp").alias("logp"),
     )
 
 
 def classify(docs: DataFrame, labels: DataFrame, reach: float = REACH) -> DataFrame:
-    """`doc_id, lang, n_grams, perplexity, low, high, kept` for every row of `docs` (`doc_id, text, lang`).
+    """`doc_id, lang, text_key, n_grams, perplexity, low, high, kept` for every row of `docs` (`doc_id, text, lang`); `text_key`
+    is a hash of the text.
 
     Trusted text is all text of documents that `labels` (`doc_id, quality`) gives quality 1. A document is kept when its
     log perplexity lies within `reach` times the distance of the 5 % and 95 % quantiles from the median, all of the
@@ -246,6 +255,7 @@ def classify(docs: DataFrame, labels: DataFrame, reach: float = REACH) -> DataFr
     return rows.select(
         "doc_id",
         "f.lang",
+        "text_key",
         F.when(F.col("entropy").isNotNull(), F.col("n_grams")).otherwise(0).alias("n_grams"),
         F.exp("entropy").alias("perplexity"),
         F.exp(low).alias("low"),

@@ -1,8 +1,8 @@
 """Mixing sources to target weights: iterative proportional fitting over source, language and topic, then sampling.
 
 Tokens are summed per cell (source, language, topic). The fit scales cells in turn to the targets of each marginal until
-all three hold. A document is taken as often as its cell's fitted tokens stand to its tokens: the whole part of that rate
-for certain, the rest by a hash of its id.
+all three hold. A document is taken with the probability by which the fitted tokens of its cell stand to its tokens, drawn by
+a hash of its id; where the fit wants more tokens than a cell has, the whole cell is taken.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from concord.session import stored
 
 DIMENSIONS = ("source", "lang", "topic")
+_CELL = tuple(f"cell_{d}" for d in DIMENSIONS)
 #: Rounds of the fit at most, and the largest relative distance from a target at which it ends.
 ROUNDS, TOLERANCE = 40, 1e-9
 #: Stands for a missing source or language.
@@ -37,7 +38,7 @@ class Targets(NamedTuple):
     source: float = 0.5
     lang: float = 0.7
     topic: float = 0.8
-    budget: float = 0.8
+    budget: float = 0.5
 
 
 def topic_of(text: Column, topics: Sequence[tuple[str, str]] = TOPICS) -> Column:
@@ -99,31 +100,27 @@ def _uniform(key: Column) -> Column:
 
 
 def mix(docs: DataFrame, targets: Targets = Targets(), topics: Sequence[tuple[str, str]] = TOPICS) -> DataFrame:
-    """`docs` (`doc_id, text, lang, source` and more) with `topic, n_tokens, rate, copies` for every row.
+    """`docs` (`doc_id, text, lang, source` and more) with `topic, n_tokens, rate, taken` for every row.
 
-    `copies` says how often a document is in the mix, on average `rate`, equal for all documents of a cell. Texts without
-    words weigh nothing and get rate 0. A missing source or language is a value of its own. Rows with equal doc_id draw
-    the same number; a null doc_id draws that of the empty key. Columns of these names in `docs` are replaced; an empty
-    table gives an empty result.
+    `rate` is the share of its cell's tokens that the fit wants, the probability of a document; at 1 and above all are
+    taken. Texts without words weigh nothing and get rate 0. A missing source or language is a value of its own. Rows
+    with equal doc_id draw the same number; a null doc_id draws that of the empty key. Columns of these names in `docs`
+    are replaced; an empty table gives an empty result.
     """
-    rows = described(docs.drop("topic", "n_tokens", "rate", "copies"), topics)
-    keys = [f"cell_{d}" for d in DIMENSIONS]
-    cells = stored(rows.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    fitted = fit(cells, targets).select(*keys, (F.col("fitted") / F.col("tokens")).alias("cell_rate"))
-    met = rows.join(fitted, keys, "left")
+    added = ("topic", "n_tokens", "rate", "taken", *_CELL, "cell_rate")
+    columns = [c for c in docs.columns if c not in added]
+    rows = described(docs.select(*columns), topics)
+    cells = stored(rows.groupBy(*_CELL).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    fitted = fit(cells, targets).select(*_CELL, (F.col("fitted") / F.col("tokens")).alias("cell_rate"))
+    met = rows.join(stored(fitted, "rates"), [*_CELL], "left")
     rate = F.when(F.col("n_tokens") > 0, F.coalesce("cell_rate", F.lit(0.0))).otherwise(0.0)
-    met = met.withColumn("rate", F.round(rate, 9))
     drawn = _uniform(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"/{SEED}")))
-    whole = F.floor("rate")
-    copies = whole + (drawn < F.col("rate") - whole).cast("bigint")
-    columns = [c for c in docs.columns if c not in ("topic", "n_tokens", "rate", "copies")]
-    return met.withColumn("copies", copies.cast("bigint")).select(
-        *columns, F.col("cell_topic").alias("topic"), "n_tokens", "rate", "copies"
-    )
+    met = met.withColumn("rate", F.round(rate, 9))
+    return met.select(*columns, F.col("cell_topic").alias("topic"), "n_tokens", "rate", (drawn < F.col("rate")).alias("taken"))
 
 
 def sql(targets: Targets = Targets(), rounds: int = 25) -> str:
-    """The rates and copies over the view `documents`, with a fixed number of rounds that is more than enough."""
+    """The rates and the draw over the view `documents`, with a fixed number of rounds that is more than enough."""
     case = " ".join(f"WHEN regexp_matches(t, '{pattern}') THEN '{name}'" for name, pattern in TOPICS)
     parts = [
         rf"""
@@ -154,6 +151,6 @@ WITH {",".join(parts)},
 r AS (
   SELECT d.*, CASE WHEN n_tokens > 0 THEN round(coalesce(f / w, 0), 9) ELSE 0.0 END AS rate
   FROM d LEFT JOIN c{n} USING (source, lang, topic))
-SELECT doc_id, source, lang, topic, n_tokens, round(rate, 6) AS rate, CAST(floor(rate) AS BIGINT) + CAST(
-    CAST('0x' || substr(md5(concat(doc_id, '/{SEED}')), 1, 8) AS BIGINT) / 4294967296.0 < rate - floor(rate) AS BIGINT) AS copies
+SELECT doc_id, source, lang, topic, n_tokens, round(rate, 6) AS rate,
+  CAST('0x' || substr(md5(concat(doc_id, '/{SEED}')), 1, 8) AS BIGINT) / 4294967296.0 < rate AS taken
 FROM r"""

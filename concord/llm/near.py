@@ -1,19 +1,19 @@
 """Near duplicates: MinHash signatures joined by their coordinates, links confirmed on the full shingle sets.
 
 Texts with the same shingle set are one node from the start. Every node has 128 pairs of coordinate and value. Two nodes
-that agree in at least `MATCHES` coordinates must share one of the first `128 - MATCHES + 1` pairs of either, if both
-order their pairs alike; ordered by rising frequency, that prefix skips the pairs that half the corpus has. So only
-prefixes are posted. Every list of nodes under one pair is then compared without writing out its square:
+that agree in at least `POSTED_MATCHES` of them must share one of the first `128 - POSTED_MATCHES + 1` pairs of either, if
+both order their pairs alike; ordered by rising frequency, that prefix skips the pairs that half the corpus has. So only
+prefixes are posted. 128 more coordinates, of two bytes each, are not posted and sharpen the comparison. Every list of nodes under one pair is then compared without writing out its square:
 
-1. each node with two pivots of the list, the least node and one that changes from list to list; pairs that agree in
+1. each node with two pivots of the list, the least node and one that changes among lists; pairs that agree in
    `MATCHES` coordinates are confirmed and components built;
 2. members that are then in different components, in blocks of bounded size inside tasks: again only pairs that agree in
    `MATCHES` coordinates come out, each from one list only, and are confirmed.
 
 A pair inside one component is not compared again, for it cannot change the result.
 
-At a similarity of 0.75, 96 of 128 coordinates agree on average; fewer than 84 do for one pair in 200, and at 0.8 for one
-in 30,000.
+At a similarity of 0.75, 192 of 256 coordinates agree on average; fewer than 174 do for one pair in 250, and at 0.8 for
+one in 300,000. Fewer than 80 of the 128 posted ones do for one pair in 2,500.
 """
 
 from __future__ import annotations
@@ -31,9 +31,12 @@ from concord.llm.shingles import WordHashes, coordinates, mixed, shingle_sets, s
 from concord.operators.clusters import components
 from concord.session import stored
 
-COORDINATES = 128
-MATCHES = 84
-PREFIX = COORDINATES - MATCHES + 1
+#: Coordinates that are posted, with values of 32 bits, and further ones, with 16.
+POSTED, MORE = 128, 128
+WIDTH = 4 * POSTED + 2 * MORE
+#: Coordinates of all that must agree, and of those that are posted.
+MATCHES, POSTED_MATCHES = 174, 80
+PREFIX = POSTED - POSTED_MATCHES + 1
 #: Similarity in percent.
 SIMILARITY = 75
 #: Coordinate-value pairs are counted in so many buckets: a table of one byte per bucket goes to the tasks.
@@ -44,16 +47,14 @@ BLOCK = 512
 SLOTS = 1 << 22
 
 
-def _bytes(matrix: np.ndarray) -> pa.Array:
-    """One binary value per row of a matrix."""
-    matrix = np.ascontiguousarray(matrix)
-    width = matrix.dtype.itemsize * (matrix.shape[1] if matrix.ndim > 1 else 1)
-    offsets = pa.py_buffer(np.arange(len(matrix) + 1, dtype=np.int32) * np.int32(width))
-    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, offsets, pa.py_buffer(matrix.tobytes())])
+def _signed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Posted and further coordinates of signatures, a row each."""
+    whole = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), WIDTH)
+    return np.ascontiguousarray(whole[:, : 4 * POSTED]).view(np.uint32), np.ascontiguousarray(whole[:, 4 * POSTED :]).view(np.uint16)
 
 
-def _matrix(column: pa.Array, dtype, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(len(column), width)
+def _signature(values: np.ndarray) -> bytes:
+    return values[:POSTED].tobytes() + values[POSTED:].astype(np.uint16).tobytes()
 
 
 def _digest(shingles: np.ndarray) -> bytes:
@@ -61,30 +62,32 @@ def _digest(shingles: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """`doc_id, n_shingles, digest, signature` of every text. Texts without words have null in the last two."""
+    """`doc_id, text_key, n_shingles, digest, signature` of every text; `text_key` is a hash of the text. Texts without words
+    have null in the last two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, functions = WordHashes(), coordinates(COORDINATES)
+        memo, functions = WordHashes(), coordinates(POSTED + MORE)
         for part in slices(batches, "text"):
             sets = shingle_sets(utf8(part, "text"), memo)
             signed = iter(signatures(sets, functions))
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
+                    part.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([next(signed).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([_signature(next(signed)) if len(s) else None for s in sets], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "digest", "signature"],
+                ["doc_id", "text_key", "n_shingles", "digest", "signature"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, signature binary")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, n_shingles bigint, digest binary, signature binary")
 
 
 def _pairs(signed: np.ndarray) -> np.ndarray:
     """Coordinate-value pairs as 64-bit integers."""
-    return (signed.astype(np.uint64) << np.uint64(7)) | np.arange(COORDINATES, dtype=np.uint64)
+    return (signed.astype(np.uint64) << np.uint64(7)) | np.arange(POSTED, dtype=np.uint64)
 
 
 def _buckets(pairs: np.ndarray) -> np.ndarray:
@@ -97,9 +100,9 @@ def frequencies(nodes: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            if batch.num_rows:
-                signed = _matrix(batch.column(0), np.uint32, COORDINATES)
-                counts += np.bincount(_buckets(_pairs(signed)).ravel(), minlength=BUCKETS)
+            for at in range(0, batch.num_rows, 1024):
+                posted, _ = _signed(batch.column(0).slice(at, 1024))
+                counts += np.bincount(_buckets(_pairs(posted)).ravel(), minlength=BUCKETS)
         full = np.flatnonzero(counts)
         for at in range(0, len(full), 1 << 14):
             some = full[at : at + (1 << 14)]
@@ -122,7 +125,7 @@ def postings(nodes: DataFrame, levels: np.ndarray) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
-                pairs = _pairs(_matrix(some.column(1), np.uint32, COORDINATES))
+                pairs = _pairs(_signed(some.column(1))[0])
                 rank = (shared.value[_buckets(pairs)].astype(np.uint64) << np.uint64(56)) | (mixed(pairs) >> np.uint64(8))
                 first = np.argpartition(rank, PREFIX - 1, axis=1)[:, :PREFIX]
                 chosen = np.take_along_axis(pairs, first, 1).astype(np.int64)
@@ -154,8 +157,9 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 some = batch.slice(at, 4096)
-                same = _matrix(some.column(2), np.uint32, COORDINATES) == _matrix(some.column(3), np.uint32, COORDINATES)
-                yield some.select([0, 1]).filter(pa.array(same.sum(1) >= MATCHES))
+                (x, more_x), (y, more_y) = _signed(some.column(2)), _signed(some.column(3))
+                same = (x == y).sum(1) + (more_x == more_y).sum(1)
+                yield some.select([0, 1]).filter(pa.array(same >= MATCHES))
 
     both = pairs.join(left, "a").join(right, "b").filter(sized)
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
@@ -198,7 +202,7 @@ def _rest(shared: DataFrame, of: DataFrame, nodes: DataFrame) -> DataFrame:
         p0, p1 = get("p0").view(np.uint64), get("p1").view(np.uint64)
         inside = np.stack([p0, p1], 1).view(np.uint8)
         inside = np.unpackbits(inside, axis=1, bitorder="little").astype(bool)
-        signed = _matrix(names["signature"], np.uint32, COORDINATES)
+        posted, more = _signed(names["signature"])
         found_a, found_b = [], []
         second = np.flatnonzero(own == j)
         for at in np.flatnonzero(own == i):
@@ -208,8 +212,8 @@ def _rest(shared: DataFrame, of: DataFrame, nodes: DataFrame) -> DataFrame:
             others = others[100 * low >= SIMILARITY * high]
             if not len(others):
                 continue
-            same = signed[others] == signed[at]
-            enough = same.sum(1) >= MATCHES
+            same = posted[others] == posted[at]
+            enough = same.sum(1) + (more[others] == more[at]).sum(1) >= MATCHES
             if not enough.any():
                 continue
             others, same = others[enough], same[enough]
@@ -312,14 +316,11 @@ def _confirmed(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """`doc_id, n_shingles, component_id, kept` for every row of `docs` (`doc_id, text`, more columns are ignored).
+def groups(docs: DataFrame) -> DataFrame:
+    """`doc_id, text_key, n_shingles, component, component_id` for every row of `docs` (`doc_id, text`).
 
-    Documents are linked when 100 * shared shingles >= 75 * all shingles of both; `component_id` is the least doc_id that
-    links reach and `kept` says that a row has it. Null and empty texts and texts without words have no shingles and are
-    linked with nothing. Repeated rows are linked; if they repeat the doc_id too, all of them are kept. A null doc_id
-    takes part but is never the least, and such a row is not kept; with nothing but null ids around, `component_id` is
-    null. An empty table gives an empty result.
+    `component` numbers the groups of linked texts and is null for texts without words, which are linked with nothing;
+    `component_id` is as in `near_duplicates`.
     """
     sketch = stored(sketches(docs), "sketch")
     # rows without a word have no class and never enter a group
@@ -331,7 +332,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = posted.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("pair")
     shared = stored(posted.join(lists, "pair"), "shared")
 
-    pivots = _pivot_pairs(shared, "node").union(_pivot_pairs(shared, "xxhash64(node, pair)")).distinct()
+    # the same eight orders for all lists: lists of much the same members have few pivots
+    pivots = _pivot_pairs(shared, "node").union(_pivot_pairs(shared, "xxhash64(node, pair & 7)")).distinct()
     pairs = stored(_agreeing(pivots, nodes), "pairs")
     links = stored(_confirmed(pairs, stored(_shingles_of(docs, nodes, pairs), "shingles")), "links")
     rest = stored(_rest(shared, components(links), nodes), "rest")
@@ -340,10 +342,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     met = _with_component(nodes.select("node", "digest", "doc_id"), of)
     least_id = met.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = met.join(least_id, "component").select("digest", "component_id")
-    rows = sketch.select("doc_id", "n_shingles", "digest").join(linked, "digest", "left")
+    linked = met.join(least_id, "component").select("digest", "component", "component_id")
+    rows = sketch.select("doc_id", "text_key", "n_shingles", "digest").join(linked, "digest", "left")
     # a row without shingles is its own component
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")
-    )
+    reached = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.select("doc_id", "text_key", "n_shingles", "component", reached.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """`doc_id, n_shingles, component_id, kept` for every row of `docs` (`doc_id, text`, more columns are ignored).
+
+    Documents are linked when 100 * shared shingles >= 75 * all shingles of both; `component_id` is the least doc_id that
+    links reach and `kept` says that a row has it. Null and empty texts and texts without words have no shingles and are
+    linked with nothing. Repeated rows are linked; if they repeat the doc_id too, all of them are kept. A null doc_id
+    takes part but is never the least, and such a row is not kept; with nothing but null ids around, `component_id` is
+    null. An empty table gives an empty result.
+    """
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return groups(docs).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))

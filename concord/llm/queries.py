@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -32,7 +33,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     cell = [F.coalesce(c, F.lit(mixing.NONE)).alias(c) for c in ("source", "lang")]
-    return mixed.select("doc_id", *cell, "topic", "n_tokens", F.round("rate", 6).alias("rate"), "copies")
+    return mixed.select("doc_id", *cell, "topic", "n_tokens", F.round("rate", 6).alias("rate"), "taken")
 
 
 def op4_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,8 @@ def op4_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return lm.classify(docs, table(spark, sf_dir, "labels")).drop("text_key")
 
 
 def op6_token_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +90,7 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_flac_media": op9_flac_media,
     "op10_html_main_text": op10_html_main_text,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
