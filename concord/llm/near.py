@@ -3,7 +3,7 @@
 Texts with the same shingle set are one node from the start. Every node has 128 pairs of coordinate and value. Two nodes
 that agree in at least `POSTED_MATCHES` of them must share one of the first `128 - POSTED_MATCHES + 1` pairs of either, if
 both order their pairs alike; ordered by rising frequency, that prefix skips the pairs that half the corpus has. So only
-prefixes are posted. 128 more coordinates, of two bytes each, are not posted and sharpen the comparison. Every list of nodes under one pair is then compared without writing out its square:
+prefixes are posted. 128 more coordinates are not posted and sharpen the comparison. Every list of nodes under one pair is then compared without writing out its square:
 
 1. each node with two pivots of the list, the least node and one that changes among lists; pairs that agree in
    `MATCHES` coordinates are confirmed and components built;
@@ -31,9 +31,8 @@ from concord.llm.shingles import WordHashes, coordinates, mixed, shingle_sets, s
 from concord.operators.clusters import components
 from concord.session import stored
 
-#: Coordinates that are posted, with values of 32 bits, and further ones, with 16.
-POSTED, MORE = 128, 128
-WIDTH = 4 * POSTED + 2 * MORE
+#: Coordinates that are posted, with values of 32 bits, and all coordinates, of which 16 bits are compared.
+POSTED, ALL = 128, 256
 #: Coordinates of all that must agree, and of those that are posted.
 MATCHES, POSTED_MATCHES = 174, 80
 PREFIX = POSTED - POSTED_MATCHES + 1
@@ -47,47 +46,55 @@ BLOCK = 512
 SLOTS = 1 << 22
 
 
-def _signed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Posted and further coordinates of signatures, a row each."""
-    whole = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), WIDTH)
-    return np.ascontiguousarray(whole[:, : 4 * POSTED]).view(np.uint32), np.ascontiguousarray(whole[:, 4 * POSTED :]).view(np.uint16)
+def _rows(column: pa.Array, width: int) -> np.ndarray:
+    """16-bit numbers, `width` in a row."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), width)
 
 
-def _signature(values: np.ndarray) -> bytes:
-    return values[:POSTED].tobytes() + values[POSTED:].astype(np.uint16).tobytes()
+def _halves(values: np.ndarray) -> tuple[bytes, bytes]:
+    """What is compared of a signature: 16 bits of every coordinate; and the other 16 of those that are posted."""
+    return values.astype(np.uint16).tobytes(), (values[:POSTED] >> np.uint32(16)).astype(np.uint16).tobytes()
 
 
 def _digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+_SKETCH = "doc_id bigint, text_key bigint, n_shingles bigint, digest binary, signature binary, upper binary"
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """`doc_id, text_key, n_shingles, digest, signature` of every text; `text_key` is a hash of the text. Texts without words
-    have null in the last two."""
+    """`doc_id, text_key, n_shingles, digest, signature, upper` of every text; `text_key` is a hash of the text. `signature`
+    has 16 bits of every coordinate, `upper` the upper 16 of those that are posted. Texts without words have null in the
+    last three."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, functions = WordHashes(), coordinates(POSTED + MORE)
+        memo, functions = WordHashes(), coordinates(ALL)
         for part in slices(batches, "text"):
             sets = shingle_sets(utf8(part, "text"), memo)
-            signed = iter(signatures(sets, functions))
+            signed = iter([_halves(v) for v in signatures(sets, functions)])
+            signed = [next(signed) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
                     part.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([_signature(next(signed)) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([s for s, _ in signed], pa.binary()),
+                    pa.array([u for _, u in signed], pa.binary()),
                 ],
-                ["doc_id", "text_key", "n_shingles", "digest", "signature"],
+                ["doc_id", "text_key", "n_shingles", "digest", "signature", "upper"],
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, n_shingles bigint, digest binary, signature binary")
+    return rows.mapInArrow(run, _SKETCH)
 
 
-def _pairs(signed: np.ndarray) -> np.ndarray:
-    """Coordinate-value pairs as 64-bit integers."""
-    return (signed.astype(np.uint64) << np.uint64(7)) | np.arange(POSTED, dtype=np.uint64)
+def _pairs(signature: pa.Array, upper: pa.Array) -> np.ndarray:
+    """Coordinate-value pairs of signatures as 64-bit integers."""
+    low = _rows(signature, ALL)[:, :POSTED].astype(np.uint64)
+    value = (_rows(upper, POSTED).astype(np.uint64) << np.uint64(16)) | low
+    return (value << np.uint64(7)) | np.arange(POSTED, dtype=np.uint64)
 
 
 def _buckets(pairs: np.ndarray) -> np.ndarray:
@@ -101,14 +108,14 @@ def frequencies(nodes: DataFrame) -> np.ndarray:
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                posted, _ = _signed(batch.column(0).slice(at, 1024))
-                counts += np.bincount(_buckets(_pairs(posted)).ravel(), minlength=BUCKETS)
+                some = batch.slice(at, 1024)
+                counts += np.bincount(_buckets(_pairs(some.column(0), some.column(1))).ravel(), minlength=BUCKETS)
         full = np.flatnonzero(counts)
         for at in range(0, len(full), 1 << 14):
             some = full[at : at + (1 << 14)]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["bucket", "n"])
 
-    counted = nodes.select("signature").mapInArrow(run, "bucket bigint, n bigint")
+    counted = nodes.select("signature", "upper").mapInArrow(run, "bucket bigint, n bigint")
     summed = counted.groupBy("bucket").agg(F.sum("n").alias("n"))
     level = F.least(F.lit(255), F.floor(4 * F.log2(F.col("n").cast("double")))).cast("int").alias("level")
     found = summed.select("bucket", level).toPandas()
@@ -125,14 +132,14 @@ def postings(nodes: DataFrame, levels: np.ndarray) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
-                pairs = _pairs(_signed(some.column(1))[0])
+                pairs = _pairs(some.column(1), some.column(2))
                 rank = (shared.value[_buckets(pairs)].astype(np.uint64) << np.uint64(56)) | (mixed(pairs) >> np.uint64(8))
                 first = np.argpartition(rank, PREFIX - 1, axis=1)[:, :PREFIX]
                 chosen = np.take_along_axis(pairs, first, 1).astype(np.int64)
                 node = np.repeat(some.column(0).to_numpy(zero_copy_only=False), PREFIX)
                 yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel()), pa.array(node)], ["pair", "node"])
 
-    return nodes.select("node", "signature").mapInArrow(run, "pair bigint, node bigint")
+    return nodes.select("node", "signature", "upper").mapInArrow(run, "pair bigint, node bigint")
 
 
 def _with_component(rows: DataFrame, of: DataFrame) -> DataFrame:
@@ -157,9 +164,8 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 some = batch.slice(at, 4096)
-                (x, more_x), (y, more_y) = _signed(some.column(2)), _signed(some.column(3))
-                same = (x == y).sum(1) + (more_x == more_y).sum(1)
-                yield some.select([0, 1]).filter(pa.array(same >= MATCHES))
+                same = _rows(some.column(2), ALL) == _rows(some.column(3), ALL)
+                yield some.select([0, 1]).filter(pa.array(same.sum(1) >= MATCHES))
 
     both = pairs.join(left, "a").join(right, "b").filter(sized)
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
@@ -202,7 +208,7 @@ def _rest(shared: DataFrame, of: DataFrame, nodes: DataFrame) -> DataFrame:
         p0, p1 = get("p0").view(np.uint64), get("p1").view(np.uint64)
         inside = np.stack([p0, p1], 1).view(np.uint8)
         inside = np.unpackbits(inside, axis=1, bitorder="little").astype(bool)
-        posted, more = _signed(names["signature"])
+        signed = _rows(names["signature"], ALL)
         found_a, found_b = [], []
         second = np.flatnonzero(own == j)
         for at in np.flatnonzero(own == i):
@@ -212,12 +218,12 @@ def _rest(shared: DataFrame, of: DataFrame, nodes: DataFrame) -> DataFrame:
             others = others[100 * low >= SIMILARITY * high]
             if not len(others):
                 continue
-            same = posted[others] == posted[at]
-            enough = same.sum(1) + (more[others] == more[at]).sum(1) >= MATCHES
+            same = signed[others] == signed[at]
+            enough = same.sum(1) >= MATCHES
             if not enough.any():
                 continue
             others, same = others[enough], same[enough]
-            first = (same & inside[others] & inside[at]).argmax(1)
+            first = (same[:, :POSTED] & inside[others] & inside[at]).argmax(1)
             others = others[first == coordinate]
             found_a.append(np.minimum(node[others], node[at]))
             found_b.append(np.maximum(node[others], node[at]))
@@ -325,8 +331,9 @@ def groups(docs: DataFrame) -> DataFrame:
     sketch = stored(sketches(docs), "sketch")
     # rows without a word have no class and never enter a group
     classes = sketch.filter("digest IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
-    )
+        F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"),
+        F.first("upper").alias("upper"),
+    )
     nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     posted = stored(postings(nodes, frequencies(nodes)), "postings")
     lists = posted.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("pair")
