@@ -10,12 +10,10 @@ from concord.catalog import Catalog
 from concord.functions.chains import WHOLE
 from concord.operators.records import explode_values, filled
 
-MAX_TERM_BYTES = 255
-
 
 def term_factor(hits: Column, maxrecs: Column) -> Column:
     """How many hits one fetched record stands for: max(hits, maxrecs) div max(1, maxrecs)."""
-    return F.floor(F.greatest(hits, maxrecs) / F.greatest(F.lit(1), maxrecs)).cast("long")
+    return F.call_function("div", F.greatest(hits, maxrecs).cast("bigint"), F.greatest(F.lit(1), maxrecs).cast("bigint"))
 
 
 def facet_values(records: DataFrame, catalog: Catalog, keep: Sequence[str] = ("source", "arrival")) -> DataFrame:
@@ -47,7 +45,7 @@ def _forms(terms: DataFrame, catalog: Catalog) -> DataFrame:
             norm = F.when(mine, chain.joined(F.col("term"))).otherwise(norm)
             display = F.when(mine, chain.display(F.col("term"))).otherwise(display)
     formed = terms.withColumn("norm", norm).withColumn("display", display)
-    return formed.filter(filled(F.col("norm")) & (F.octet_length("norm") <= MAX_TERM_BYTES))
+    return formed.filter(filled(F.col("norm")))
 
 
 def split_ids(terms: DataFrame, split: Collection[str]) -> DataFrame:

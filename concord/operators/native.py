@@ -139,7 +139,7 @@ def cluster_scores(clusters: DataFrame, scored: DataFrame, combine: str = "max")
     Clusters without a scored member keep their relevance.
     """
     pick = F.max("norm_score") if combine == "max" else F.min(F.struct("arrival", "norm_score"))["norm_score"]
-    best = scored.groupBy("cluster").agg((10000 * pick).cast("int").alias("native"))
+    best = scored.groupBy("cluster").agg((10000 * pick).cast("bigint").alias("native"))
     return clusters.join(best, "cluster", "left").withColumn(
         "relevance", F.coalesce(F.col("native"), F.col("relevance"))
     ).drop("native")

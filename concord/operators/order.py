@@ -8,6 +8,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from concord.catalog import Catalog
+from concord.session import stored
 
 SortSpec = Sequence[tuple[str, bool]]
 
@@ -53,58 +54,49 @@ def keeps_native_order(status: DataFrame) -> bool:
     return row["n"] == 1 and row["s"] == 1
 
 
-def page(ordered: DataFrame, start: int = 0, num: int = 20) -> DataFrame:
-    """Rows start .. start + num - 1; none when the start lies past the end."""
-    return ordered.offset(start).limit(num)
-
+def page(
+    clusters: DataFrame, catalog: Catalog, spec: SortSpec | None = None, start: int = 0, num: int = 20, native_order: bool = False
+) -> DataFrame:
+    """Rows start .. start + num - 1 of the sorted clusters; none when the start lies past the end.
 
-# -- numbers along an order ------------------------------------------------------------------------------------------
+    The first page is a top-k. A later one is cut out of the numbered rows, so that the rows before it don't travel.
+    """
+    spec = [("position", True)] if native_order else spec
+    order = sort_columns(catalog, spec)
+    if start == 0:
+        return clusters.orderBy(*order).limit(num)
+    numbered = number_rows(clusters, order, "number_")
+    return numbered.filter(F.col("number_").between(start + 1, start + num)).orderBy("number_").drop("number_")
 
 
-def _join_on(rows: DataFrame, groups: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Equi-join that also matches null with null; every row has its group."""
-    renamed = groups.withColumnsRenamed({n: f"{n}_g" for n in names})
-    condition = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{n}_g")) for n in names])
-    return rows.join(renamed, condition).drop(*[f"{n}_g" for n in names])
+# -- numbers along an order ------------------------------------------------------------------------------------------
 
 
-def number_rows(
-    df: DataFrame, order: Sequence[Column], bucket: Column, name: str, by: Sequence[str] = ()
-) -> DataFrame:
-    """Row numbers from 1 along `order`, per `by` or over all rows, without one big window.
+def number_rows(df: DataFrame, order: Sequence[Column], name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Row numbers from 1 along `order`, per `by` or over all rows.
 
-    `bucket` must never decrease along `order`, and a bucket must fit one task. Rows are numbered within (by, bucket);
-    the sizes of the buckets, a small aggregate, give the offset of each. `df` is read twice: store it
-    first if it is costly to make.
+    Rows are dealt by ranges of (by, order), sorted within each range and stored; a row number is the place of a row in its
+    range plus the rows of its group in the ranges before, one row per range and group. So no group and no equal key is
+    in one task, as long as `order` tells rows apart; rows that it doesn't are numbered in any order.
     """
-    keyed = df.withColumn("bucket_", bucket)
-    group = [*by, "bucket_"]
-    sizes = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("size_"))
-    before = W.partitionBy(*by).orderBy("bucket_").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.withColumn("offset_", F.coalesce(F.sum("size_").over(before), F.lit(0))).drop("size_")
-    local = keyed.withColumn("local_", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
-    return _join_on(local, offsets, group).select(
-        *df.columns, (F.col("local_") + F.col("offset_")).cast("long").alias(name)
+    keys = [*[F.col(b) for b in by], *order]
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # the upper bits are the range, the lower 33 the place in it
+    placed = stored(dealt.withColumn("place_", F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumn("range_", F.shiftright("place_", 33))
+    sizes = placed.groupBy("range_", *by).agg(F.count(F.lit(1)).alias("size_"), F.min("place_").alias("least_"))
+    before = W.partitionBy(*by).orderBy("range_").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("range_", *by, (F.coalesce(F.sum("size_").over(before), F.lit(0)) - F.col("least_") + 1).alias("offset_"))
+    renamed = offsets.withColumnsRenamed({n: f"{n}_g" for n in ("range_", *by)})
+    same = [F.col(n).eqNullSafe(F.col(f"{n}_g")) for n in ("range_", *by)]
+    return placed.join(renamed, reduce(lambda a, b: a & b, same)).select(
+        *df.columns, (F.col("place_") + F.col("offset_")).alias(name)
     )
 
 
-def neighbours(df: DataFrame, order: Sequence[Column], bucket: Column, name: str = "recid") -> DataFrame:
-    """Previous and next `name` of every row along `order`; see `number_rows` for `bucket`.
-
-    Within a bucket by lag and lead; over its edges by the last and first row of the buckets beside it.
-    """
-    keyed = df.withColumn("bucket_", bucket)
-    w = W.partitionBy("bucket_").orderBy(*order)
-    local = keyed.withColumn("prev_", F.lag(name).over(w)).withColumn("next_", F.lead(name).over(w))
-    ends = local.groupBy("bucket_").agg(
-        F.max(F.when(F.col("prev_").isNull(), F.col(name))).alias("head_"),
-        F.max(F.when(F.col("next_").isNull(), F.col(name))).alias("tail_"),
-    )
-    # one row per bucket, so this window is small
-    b = W.orderBy("bucket_")
-    edges = ends.select("bucket_", F.lag("tail_").over(b).alias("before_"), F.lead("head_").over(b).alias("after_"))
-    return _join_on(local, edges, ["bucket_"]).select(
-        *df.columns,
-        F.coalesce("prev_", "before_").alias("prev"),
-        F.coalesce("next_", "after_").alias("next"),
-    )
+def neighbours(df: DataFrame, order: Sequence[Column], name: str = "recid") -> DataFrame:
+    """Previous and next `name` of every row along `order`, by the row numbers."""
+    numbered = number_rows(df, order, "number_")
+    near = lambda step, to: numbered.select((F.col("number_") + step).alias("number_"), F.col(name).alias(to))
+    joined = numbered.join(near(1, "prev"), "number_", "left").join(near(-1, "next"), "number_", "left")
+    return joined.select(*df.columns, "prev", "next")

@@ -237,11 +237,11 @@ def with_relevance(
 
     With `cluster=False` it is divided by the number of members. `explain=True` adds the numbers of every step.
     """
-    add = [(100000 * F.col("tf")[i] * F.lit(frequency.idf(i))).cast("int") for i in range(len(terms))]
+    add = [(100000 * F.col("tf")[i] * F.lit(frequency.idf(i))).cast("bigint") for i in range(len(terms))]
     total = reduce(lambda a, b: a + b, add)
     # integer division toward zero
-    score = total if cluster else (total / F.col("members")).cast("int")
-    out = clusters.withColumn("relevance", score.cast("int"))
+    score = total if cluster else F.call_function("div", total, F.col("members"))
+    out = clusters.withColumn("relevance", score)
     if explain:
         steps = [
             F.struct(
@@ -277,7 +277,7 @@ def rank(
     """
     terms = query_terms(query, catalog)
     if not terms:
-        return merge_records(records, catalog).withColumn("relevance", F.lit(0))
+        return merge_records(records, catalog).withColumn("relevance", F.lit(0).cast("bigint"))
     counted = with_term_counts(records, catalog, terms, weights, lead, follow, length, value_rank)
     clusters = stored(ranked_clusters(counted, catalog, terms), "clusters")
     by_cluster = catalog.rank_cluster if cluster is None else cluster

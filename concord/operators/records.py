@@ -160,7 +160,7 @@ def table_records(
         return "array_compact(array(" + ", ".join(f"CASE WHEN {c} THEN {v} END" for c, v in parts) + "))"
 
     fields = ", ".join(f"{of(f)} AS `{f.name}`" for f in catalog)
-    head = [f"{source} AS source", f"{arrival} AS arrival"] + ([f"int({position}) AS position"] if position else [])
+    head = [f"{source} AS source", f"{arrival} AS arrival"] + ([f"bigint({position}) AS position"] if position else [])
     records = table.selectExpr(*head, f"struct({fields}) AS md")
     numbers = ("int", "bigint", "smallint", "double", "float")
     if any(kinds[e] not in numbers for f in catalog if f.numeric for e in given[f.name]):
@@ -192,9 +192,6 @@ def explode_values(records: DataFrame, catalog: Catalog, fields: list[str], keep
 
 # -- constants of a source -------------------------------------------------------------------------------------------
 
-MAX_PARAMETERS = 16
-
-
 def add_source_values(raw: DataFrame, sources: DataFrame, catalog: Catalog) -> DataFrame:
     """Append the per-source constants of the `postproc` fields to the values of every record.
 
@@ -220,7 +217,7 @@ def add_source_values(raw: DataFrame, sources: DataFrame, catalog: Catalog) -> D
 
 def with_source_params(raw: DataFrame, sources: DataFrame, catalog: Catalog) -> DataFrame:
     """Give the normalizer the constants of the `parameter` fields as a map column `params`."""
-    names = [f.name for f in catalog if f.setting == "parameter"][:MAX_PARAMETERS]
+    names = [f.name for f in catalog if f.setting == "parameter"]
     joined = raw.join(sources.select("source", "settings"), "source", "left")
     params = F.map_filter("settings", lambda k, v: k.isin(names) & v.isNotNull())
     return joined.withColumn("params", params).drop("settings")

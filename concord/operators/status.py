@@ -10,8 +10,9 @@ ACTIVE = ("Client_Connecting", "Client_Working")
 
 def approx_hits(hits: Column, fetched: Column, filtered: Column) -> Column:
     """Hits that are left under local limits: ((10 hits (fetched - filtered)) div fetched + 5) div 10."""
-    scaled = F.floor(10 * hits.cast("long") * (fetched - filtered) / F.nullif(fetched, F.lit(0)))
-    return F.when(fetched > 0, F.floor((scaled + 5) / 10)).otherwise(hits).cast("long")
+    div = lambda a, b: F.call_function("div", a.cast("bigint"), b.cast("bigint"))
+    scaled = div(10 * hits.cast("bigint") * (fetched - filtered), F.nullif(fetched, F.lit(0)))
+    return F.when(fetched > 0, div(scaled + 5, F.lit(10))).otherwise(hits.cast("bigint"))
 
 
 def status_by_source(sources: DataFrame, fetched: DataFrame) -> DataFrame:

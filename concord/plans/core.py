@@ -68,7 +68,7 @@ def search_page(spark: SparkSession, sf: str) -> DataFrame:
     """First page of the search: match, cluster, merge, rank, sort, page."""
     records = kept_offers(spark, sf, condition=FI.match(OFFERS, any_=["small", "widget"]))
     ranked = R.rank(records, OFFERS, QUERY)
-    return shown_clusters(O.page(O.sort_clusters(ranked, OFFERS), 0, 20), "relevance")
+    return shown_clusters(O.page(ranked, OFFERS), "relevance")
 
 
 @register
@@ -205,87 +205,80 @@ def merge_values_mixed(spark: SparkSession, sf: str) -> DataFrame:
 # -- sort and page ---------------------------------------------------------------------------------------------------
 
 
-def _first_byte(key: Column, ascending: bool) -> Column:
-    byte = F.ascii(F.coalesce(key, F.lit("")))
-    return byte if ascending else -byte
-
-
-def _numbered(spark: SparkSession, sf: str, spec: list[tuple[str, bool]], bucket: Column, clusters: DataFrame | None = None) -> DataFrame:
+def _numbered(spark: SparkSession, sf: str, spec: list[tuple[str, bool]], clusters: DataFrame | None = None) -> DataFrame:
     """Clusters numbered along a sort order."""
     if clusters is None:
         clusters = M.merge_records(kept_offers(spark, sf), OFFERS)
-    # numbered rows and bucket sizes both need the clusters
+    # the ranges are sampled first, so the clusters are needed twice
     clusters = stored(clusters, "clusters")
-    return O.number_rows(clusters, O.sort_columns(OFFERS, spec), bucket, "rank").select("recid", "rank")
+    return O.number_rows(clusters, O.sort_columns(OFFERS, spec), "rank").select("recid", "rank")
 
 
 @register
 def sort_title(spark: SparkSession, sf: str) -> DataFrame:
-    return _numbered(spark, sf, [("title", True)], _first_byte(F.col("sort.title"), True))
+    return _numbered(spark, sf, [("title", True)])
 
 
 @register
 def sort_author_title_desc(spark: SparkSession, sf: str) -> DataFrame:
-    return _numbered(spark, sf, [("author", False), ("title", False)], _first_byte(F.col("sort.author"), False))
+    return _numbered(spark, sf, [("author", False), ("title", False)])
 
 
 @register
 def sort_date_asc(spark: SparkSession, sf: str) -> DataFrame:
-    return _numbered(spark, sf, [("date", True), ("title", True)], F.coalesce("sort.date.min", F.lit(2**31 - 1)))
+    return _numbered(spark, sf, [("date", True), ("title", True)])
 
 
 @register
 def sort_date_desc(spark: SparkSession, sf: str) -> DataFrame:
-    return _numbered(spark, sf, [("date", False)], -F.coalesce("sort.date.max", F.lit(-(2**31) + 1)))
+    return _numbered(spark, sf, [("date", False)])
 
 
 @register
 def sort_price_asc(spark: SparkSession, sf: str) -> DataFrame:
-    return _numbered(spark, sf, [("price", True)], F.floor(F.coalesce("sort.price.min", F.lit(-1.0)) / 100))
+    return _numbered(spark, sf, [("price", True)])
 
 
 @register
 def sort_price_desc(spark: SparkSession, sf: str) -> DataFrame:
-    return _numbered(spark, sf, [("price", False)], F.floor(-F.coalesce("sort.price.max", F.lit(-1.0)) / 100))
+    return _numbered(spark, sf, [("price", False)])
 
 
 @register
 def sort_position(spark: SparkSession, sf: str) -> DataFrame:
     clusters = M.merge_records(kept_offers(spark, sf, position=True), OFFERS)
-    return _numbered(spark, sf, [("position", False)], F.col("first_position"), clusters)
+    return _numbered(spark, sf, [("position", False)], clusters)
 
 
 @register
 def sort_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     """Retrieval order of the clusters, numbered from 1."""
-    return _numbered(spark, sf, [("retrieval", True)], F.floor(F.col("first_arrival.l_orderkey") / 1000))
+    return _numbered(spark, sf, [("retrieval", True)])
 
 
 @register
 def sort_relevance(spark: SparkSession, sf: str) -> DataFrame:
-    clusters = R.rank(kept_offers(spark, sf), OFFERS, QUERY)
-    return _numbered(spark, sf, [("relevance", False)], -F.floor(F.col("relevance") / 1000000), clusters)
+    return _numbered(spark, sf, [("relevance", False)], R.rank(kept_offers(spark, sf), OFFERS, QUERY))
 
 
 @register
 def page_title(spark: SparkSession, sf: str) -> DataFrame:
     """Third page of twenty by title."""
-    clusters = M.merge_records(kept_offers(spark, sf), OFFERS)
-    return O.page(O.sort_clusters(clusters, OFFERS, [("title", True)]), 40, 20).select("recid", "members")
+    clusters = stored(M.merge_records(kept_offers(spark, sf), OFFERS), "clusters")
+    return O.page(clusters, OFFERS, [("title", True)], 40, 20).select("recid", "members")
 
 
 @register
 def page_past_end(spark: SparkSession, sf: str) -> DataFrame:
     """A page behind the last cluster is empty."""
-    clusters = M.merge_records(kept_offers(spark, sf), OFFERS)
-    return O.page(O.sort_clusters(clusters, OFFERS, [("title", True)]), 1000000, 20).select("recid", "members")
+    clusters = stored(M.merge_records(kept_offers(spark, sf), OFFERS), "clusters")
+    return O.page(clusters, OFFERS, [("title", True)], 1000000, 20).select("recid", "members")
 
 
 @register
 def neighbours_title(spark: SparkSession, sf: str) -> DataFrame:
     clusters = stored(M.merge_records(kept_offers(spark, sf), OFFERS), "clusters")
-    order = O.sort_columns(OFFERS, [("title", True)])
-    return O.neighbours(clusters, order, _first_byte(F.col("sort.title"), True)).select("recid", "prev", "next")
+    return O.neighbours(clusters, O.sort_columns(OFFERS, [("title", True)])).select("recid", "prev", "next")
 
 
 # -- facets ----------------------------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from concord.functions.text import sort_string, xml_escape
 from concord.operators import clusters as C, merge as M, normalize as NO, rank as R, records as RE
 from concord.plans.core import QUERY, kept_offers
 from concord.plans.sources import resolved
-from concord.plans.views import ARRIVAL, DOCS, OFFERS, offers_table, spread, table
+from concord.plans.views import ARRIVAL, DOCS, OFFERS, offers_table, table
 from concord.session import scratch_path
 from concord.sources import formats as FO, internal as I, marc as MA, settings as SE, sinks as SI
 
@@ -114,7 +114,7 @@ def value_ranks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parts(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "part"), "p_partkey")
+    return table(spark, sf, "part")
 
 
 def _marc(turbo: bool) -> Column:
@@ -284,7 +284,7 @@ def doc_payload(root: str = "dc") -> Column:
 
 
 def doc_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents"), "doc_id")
+    return table(spark, sf, "documents")
 
 
 def _doc_values(raw: DataFrame) -> DataFrame:
@@ -392,7 +392,7 @@ def generic_fields(spark: SparkSession, sf: str) -> DataFrame:
         leaf("body", F.col("html")),
         tag("item", leaf("location", F.lit("A & B")), leaf("callno", F.col("page_id"))),
     )
-    rows = spread(table(spark, sf, "pages"), "page_id").select("page_id", payload.alias("payload"))
+    rows = table(spark, sf, "pages").select("page_id", payload.alias("payload"))
     values = exploded(FO.map_generic(rows), "page_id")
     return values.withColumn("value", F.when(F.col("field").isin("body", "title", "title-complete"), F.md5("value")).otherwise(F.col("value")))
 

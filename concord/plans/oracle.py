@@ -116,7 +116,7 @@ def scored(k_terms: int, cluster: bool = True) -> str:
     running AS (SELECT *, {running} FROM counted),
     stats AS (SELECT count(*) AS n, {df} FROM running),
     summed AS (SELECT key AS recid, count(*) AS members, {sums} FROM counted GROUP BY key),
-    ranked AS (SELECT summed.*, stats.* , ({score})::INT AS relevance FROM summed CROSS JOIN stats)"""
+    ranked AS (SELECT summed.*, stats.* , ({score})::BIGINT AS relevance FROM summed CROSS JOIN stats)"""
 
 
 TITLE6 = {"title": 6, "author": 2}
@@ -149,7 +149,7 @@ _IDF = "round(CASE WHEN df{0} > 0 THEN ln((1 + n)::DOUBLE / df{0}) ELSE 0 END, 9
 SQL["rank_explain"] = f"""{KEPT}, {rank(WIDGET)}""" + " UNION ALL ".join(
     f"""
     SELECT recid, '{t}' AS term, tf{i} AS tf, df{i} AS df, n, {_IDF.format(i)} AS idf,
-        trunc(100000 * tf{i} * (CASE WHEN df{i} > 0 THEN ln((1 + n)::DOUBLE / df{i}) ELSE 0 END))::INT AS "add", 1 AS divided_by FROM ranked"""
+        trunc(100000 * tf{i} * (CASE WHEN df{i} > 0 THEN ln((1 + n)::DOUBLE / df{i}) ELSE 0 END))::BIGINT AS "add", 1 AS divided_by FROM ranked"""
     for i, t in enumerate(("small", "widget"))
 )
 

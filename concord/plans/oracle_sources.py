@@ -135,8 +135,8 @@ SQL["normalize_scores_ols"] = f"""{_KEPT}
         CASE WHEN any_value(m) = 0 THEN 0.0 ELSE round(regr_intercept(1.0::DOUBLE / position, price), 6) END AS b
     FROM scored WHERE m < 2 GROUP BY source"""
 SQL["native_cluster_scores"] = f"""{_KEPT}, {rank(WIDGET)},
-    best AS (SELECT key, trunc(10000 * max(1.0::DOUBLE / position))::INT AS s FROM scored WHERE m = 0 GROUP BY key)
+    best AS (SELECT key, trunc(10000 * max(1.0::DOUBLE / position))::BIGINT AS s FROM scored WHERE m = 0 GROUP BY key)
     SELECT recid, coalesce(s, relevance) AS relevance FROM ranked LEFT JOIN best ON key = recid"""
 SQL["native_cluster_first"] = f"""{_KEPT}, {rank(WIDGET)},
-    best AS (SELECT key, trunc(10000 * min_by(1.0::DOUBLE / position, arr))::INT AS s FROM scored WHERE m = 0 GROUP BY key)
+    best AS (SELECT key, trunc(10000 * min_by(1.0::DOUBLE / position, arr))::BIGINT AS s FROM scored WHERE m = 0 GROUP BY key)
     SELECT recid, coalesce(s, relevance) AS relevance FROM ranked LEFT JOIN best ON key = recid"""

@@ -35,15 +35,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows over all cores when a table comes in fewer pieces than there are cores; big tables are left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
-def offers_table(spark: SparkSession, sf: str) -> DataFrame:
-    """lineitem with part and supplier."""
-    line = spread(table(spark, sf, "lineitem").select(*ARRIVAL), "l_orderkey")
+def offers_table(spark: SparkSession, sf: str, position: bool = False) -> DataFrame:
+    """lineitem with part and supplier; `position` numbers the line items of a supplier as they arrive, before the joins."""
+    line = table(spark, sf, "lineitem").select(*ARRIVAL)
+    if position:
+        line = number_rows(line, [F.col(c) for c in ARRIVAL], "position", ["l_suppkey"])
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     supplier = table(spark, sf, "supplier").select("s_suppkey", "s_name")
     return (
@@ -55,10 +51,7 @@ def offers_table(spark: SparkSession, sf: str) -> DataFrame:
 
 def offers(spark: SparkSession, sf: str, position: bool = False, catalog: Catalog = OFFERS) -> DataFrame:
     """Every line item is the offer of a supplier; `position` numbers the offers of a supplier as they arrive."""
-    rows = offers_table(spark, sf)
-    if position:
-        # order keys grow along the arrival order; a bucket is what one supplier sells in a run of orders
-        rows = number_rows(rows, [F.col(c) for c in ARRIVAL], F.floor(F.col("l_orderkey") / 100000), "position", ["s_name"])
+    rows = offers_table(spark, sf, position)
     columns = {"title": "p_name", "author": "p_brand", "medium": "p_type", "date": "l_year", "price": "l_extendedprice"}
     arrival = f"struct({', '.join(ARRIVAL)})"
     return table_records(rows, catalog, columns, "s_name", arrival, "position" if position else None)
@@ -67,7 +60,7 @@ def offers(spark: SparkSession, sf: str, position: bool = False, catalog: Catalo
 def docs_table(spark: SparkSession, sf: str) -> DataFrame:
     """documents with their quality label and the first line as title."""
     label = table(spark, sf, "labels").select("doc_id", "quality")
-    text = spread(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
+    text = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
     return text.join(label, "doc_id", "left").withColumn("title", F.substring_index("text", "\n", 1))
 
 

@@ -1,4 +1,4 @@
-"""Row numbers and neighbours in several buckets against sorting on the driver; sort rules; settings golden."""
+"""Row numbers, neighbours and pages against sorting on the driver; sort rules; settings golden."""
 
 import random
 
@@ -13,7 +13,7 @@ def test_number_rows(spark):
     rng = random.Random(3)
     rows = [(rng.choice("ab"), rng.randrange(1000), i) for i in range(500)] + [("a", None, 1000)]
     frame = spark.createDataFrame(rows, "g string, x int, id int")
-    out = O.number_rows(frame, [F.col("x"), F.col("id")], F.floor(F.col("x") / 100), "n", ["g"])
+    out = O.number_rows(frame, [F.col("x"), F.col("id")], "n", ["g"])
     got = {r["id"]: r["n"] for r in out.collect()}
     want = {}
     for g in "ab":
@@ -25,7 +25,7 @@ def test_number_rows(spark):
 def test_neighbours(spark):
     rows = [(i * 7 % 101, f"r{i}") for i in range(101)]
     frame = spark.createDataFrame(rows, "x int, recid string")
-    out = O.neighbours(frame, [F.col("x")], F.floor(F.col("x") / 10)).collect()
+    out = O.neighbours(frame, [F.col("x")]).collect()
     ordered = [r[1] for r in sorted(rows)]
     at = {r: i for i, r in enumerate(ordered)}
     for r in out:
@@ -34,6 +34,25 @@ def test_neighbours(spark):
         assert r["next"] == (ordered[i + 1] if i + 1 < len(ordered) else None)
 
 
+def test_equal_keys_are_dealt_evenly(spark):
+    frame = spark.range(20_000).select(F.lit(1).alias("x"), F.col("id").cast("string").alias("recid"))
+    dealt = frame.repartitionByRange(4, "x", "recid").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in dealt) <= 2 * 20_000 / 4
+    numbered = O.number_rows(frame, [F.col("x"), F.col("recid")], "n")
+    assert numbered.agg(F.count_distinct("n"), F.min("n"), F.max("n")).first() == (20_000, 1, 20_000)
+
+
+def test_deep_pages(spark):
+    catalog = Catalog((FieldSpec("title", sortkey="text", merge="longest"),))
+    rows = [(f"r{i:03d}", (f"t{i % 7}",)) for i in range(100)]
+    frame = spark.createDataFrame(rows, "recid string, sort struct<title:string>")
+    ordered = [r[0] for r in sorted(rows, key=lambda r: (r[1], r[0]))]
+    for start, num in ((0, 5), (37, 20), (95, 20), (100, 5)):
+        page = O.page(frame, catalog, [("title", True)], start, num)
+        assert [r["recid"] for r in page.collect()] == ordered[start : start + num]
+        assert "Offset" not in page._jdf.queryExecution().optimizedPlan().toString()
+
+
 CATALOG = Catalog((FieldSpec("date", type="year", sortkey="numeric"), FieldSpec("score", type="float", merge="range", sortkey="numeric")))
 
 
