@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from concord.catalog import Catalog
 from concord.operators.records import md
 
-MAX_ROUNDS = 1000
 ENOUGH = 100.0
 STEP_CHANGE = 0.5
 
@@ -53,10 +52,11 @@ def _moments(scores: DataFrame) -> DataFrame:
     )
 
 
-def _search(m: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _search(m: pd.DataFrame, max_rounds: int) -> tuple[np.ndarray, ...]:
     """Fit a s + b to 1 / position by coordinate steps, for all rows at once.
 
-    The squared error is a quadratic in a and b, so the moments of a source stand for all its records.
+    The squared error is a quadratic in a and b, so the moments of a source stand for all its records. Also says which
+    searches came to their end within `max_rounds`.
     """
     n, s, t, ss, tt, st = (m[c].to_numpy(float) for c in ("n", "s", "t", "ss", "tt", "st"))
     low, high = m["low"].to_numpy(float), m["high"].to_numpy(float)
@@ -68,7 +68,7 @@ def _search(m: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     step_a, step_b = a / 10, np.abs(b) / 10
     best = error(a, b)
     going = usable.copy()
-    for _ in range(MAX_ROUNDS):
+    for _ in range(max_rounds):
         if not going.any():
             break
         tries = np.stack([error(a + step_a, b), error(a - step_a, b), error(a, b + step_b), error(a, b - step_b)])
@@ -91,20 +91,21 @@ def _search(m: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         step_b = np.where(stuck & ~change_a, step_b * (1 - STEP_CHANGE), step_b)
         settled = (np.abs(step_a) * ENOUGH < np.abs(a)) & (np.abs(step_b) * ENOUGH < np.abs(b))
         going &= ~settled
-    return np.where(usable, a, 1.0), np.where(usable, b, 0.0)
+    return np.where(usable, a, 1.0), np.where(usable, b, 0.0), ~going
 
 
-FIT = T.StructType([T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
+def _fit(max_rounds: int):
+    @F.pandas_udf("a double, b double, settled boolean")
+    def fit(m: pd.DataFrame) -> pd.DataFrame:
+        a, b, settled = _search(m, max_rounds)
+        return pd.DataFrame({"a": a, "b": b, "settled": settled})
 
+    return fit
 
-@F.pandas_udf(FIT)
-def _fit(m: pd.DataFrame) -> pd.DataFrame:
-    a, b = _search(m)
-    return pd.DataFrame({"a": a, "b": b})
 
-
-def score_fit(scores: DataFrame, method: str = "search") -> DataFrame:
-    """`source, a, b` that bring the scores of a source to the curve 1 / position.
+def score_fit(scores: DataFrame, method: str = "search", max_rounds: int = 1000) -> DataFrame:
+    """`source, a, b, settled` that bring the scores of a source to the curve 1 / position; a search that isn't settled was
+    ended after `max_rounds`.
 
     `search` steps along one coordinate at a time, `ols` is the least squares solution of the same objective.
     Scores by position stay as they are.
@@ -112,10 +113,10 @@ def score_fit(scores: DataFrame, method: str = "search") -> DataFrame:
     moments = _moments(scores)
     if method == "search":
         m = F.struct("n", "s", "t", "ss", "tt", "st", "low", "high")
-        fitted = moments.withColumn("fit", _fit(m))
+        fitted = moments.withColumn("fit", _fit(max_rounds)(m))
     elif method == "ols":
         slope = F.when(F.col("ss") > 0, F.col("st") / F.col("ss")).otherwise(0.0)
-        fitted = moments.withColumn("fit", F.struct(slope.alias("a"), (F.col("t") - slope * F.col("s")).alias("b")))
+        fitted = moments.withColumn("fit", F.struct(slope.alias("a"), (F.col("t") - slope * F.col("s")).alias("b"), F.lit(True).alias("settled")))
     else:
         raise ValueError("method must be search or ols")
     by_position = F.col("mode") == "position"
@@ -123,6 +124,7 @@ def score_fit(scores: DataFrame, method: str = "search") -> DataFrame:
         "source",
         F.when(by_position, 1.0).otherwise(F.col("fit.a")).alias("a"),
         F.when(by_position, 0.0).otherwise(F.col("fit.b")).alias("b"),
+        (by_position | F.col("fit.settled")).alias("settled"),
     )
 
 
@@ -130,7 +132,7 @@ def normalize_scores(scores: DataFrame, method: str = "search") -> DataFrame:
     """Scores with `norm_score` on the common scale."""
     return scores.join(score_fit(scores, method), "source").withColumn(
         "norm_score", F.col("a") * F.col("score") + F.col("b")
-    ).drop("a", "b")
+    ).drop("a", "b", "settled")
 
 
 def cluster_scores(clusters: DataFrame, scored: DataFrame, combine: str = "max") -> DataFrame:

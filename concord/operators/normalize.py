@@ -11,7 +11,6 @@ from typing import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_CHAINS = 1000
 Normalizer = Callable[[DataFrame], DataFrame]
 
 
@@ -45,22 +44,17 @@ def choice(settings: Column) -> Column:
     return F.when(stated == "auto", F.lower(settings["pz:requestsyntax"])).otherwise(stated)
 
 
-def normalize_by_source(raw: DataFrame, sources: DataFrame, registry: Mapping[str, Normalizer]) -> DataFrame:
+def normalize_by_source(
+    raw: DataFrame, sources: DataFrame, registry: Mapping[str, Normalizer], chains: Sequence[str] = ()
+) -> DataFrame:
     """Every source through the normalizer it names; a comma separated list is a chain.
 
-    One branch per registered name (or chain) that the sources use. Records of a source with an unknown normalizer, or
-    none, come out with `failure`.
+    One branch per registered name and per chain in `chains`. Records of a source with a normalizer that is neither, or
+    with none, come out with `failure`.
     """
     chosen = sources.select("source", choice(F.col("settings")).alias("normalizer"))
     known = sorted(registry)
-    # the names in use are configuration: few, and checked
-    found = chosen.filter(F.contains("normalizer", F.lit(","))).select("normalizer").distinct().limit(MAX_CHAINS + 1).collect()
-    if len(found) > MAX_CHAINS:
-        raise ValueError(f"sources may name {MAX_CHAINS} different chains")
-    lists = [r[0] for r in found]
-    for names in lists:
-        if all(n.strip() in registry for n in names.split(",")):
-            known.append(names)
+    known += [c for c in chains if all(n.strip() in registry for n in c.split(","))]
     joined = raw.join(chosen, "source", "left")
     branches = []
     for name in known:

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from concord.functions.text import sort_string, xml_escape
 from concord.operators import clusters as C, merge as M, normalize as NO, rank as R, records as RE
-from concord.plans.core import QUERY, kept_offers
+from concord.plans.core import QUERY, kept_offers, with_fields
 from concord.plans.sources import resolved
 from concord.plans.views import ARRIVAL, DOCS, OFFERS, offers_table, table
-from concord.session import scratch_path
+from concord.session import scratch_path, stored
 from concord.sources import formats as FO, internal as I, marc as MA, settings as SE, sinks as SI
 
 QUERIES = {}
@@ -197,7 +197,7 @@ def marc_mapping(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "mapping")
     lines = [(line,) for line in MAPPING.splitlines()]
     spark.createDataFrame(lines, "value string").coalesce(1).write.text(path)
-    mapping = MA.collect_mapping(MA.read_mapping(spark, path))
+    mapping = MA.read_mapping(spark, path)
     return exploded(MA.map_marc(marc_frame(spark, sf), mapping), "p_partkey")
 
 
@@ -208,7 +208,7 @@ def marc_medium_simple(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def marc_open_url(spark: SparkSession, sf: str) -> DataFrame:
-    return marc_frame(spark, sf).select("p_partkey", MA.open_url(F.lit("http://resolver/x")).alias("url"))
+    return marc_frame(spark, sf).select("p_partkey", MA.open_url(F.lit("http://resolver/x"), "catalog").alias("url"))
 
 
 @register
@@ -453,7 +453,7 @@ def normalized_by_source(spark: SparkSession, sf: str) -> DataFrame:
     settings = F.create_map(F.lit("pz:xslt"), name, F.lit("pz:requestsyntax"), F.lit("MARC21"))
     sources = parts(spark, sf).select("p_brand").distinct().select(F.col("p_brand").alias("source"), settings.alias("settings"))
     registry = {"dc": FO.map_dc, "marc21": lambda df: MA.map_marc21(MA.parse_marcxml(df)), "solr": FO.map_solr_doc, "keep": lambda df: df}
-    done = NO.normalize_by_source(raw, sources, registry)
+    done = NO.normalize_by_source(raw, sources, registry, chains=["solr,keep"])
     titles = F.transform(F.filter("values", lambda v: v["field"] == "title"), lambda v: v["value"])
     return done.select("source", "position", "failure", F.get(titles, F.lit(0)).alias("title"))
 
@@ -503,16 +503,25 @@ def result_locations(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def result_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """Hits with nested members; the members of all parts of a hit together."""
-    clusters, records = _results(spark, sf)
-    docs = SI.to_result_docs(clusters, records, OFFERS, chunk=50)
-    return docs.groupBy("recid").agg(
-        F.count(F.lit(1)).cast("int").alias("parts_used"),
-        F.max("count").alias("members"),
-        F.sum(F.size("locations")).alias("located"),
-        F.first("merged.title").alias("title"),
-        F.sum(F.aggregate("locations", F.lit(0).cast("long"), lambda a, x: a + x["checksum"])).alias("checksums"),
-    ).drop("parts_used")
+    """Hits with all merged values, list fields too, and all fields of every member."""
+    catalog = with_fields(OFFERS, author={"merge": "unique", "sortkey": "no"}, medium={"merge": "all"})
+    records = stored(kept_offers(spark, sf, position=True), "records")
+    docs = SI.to_result_docs(R.rank(records, catalog, QUERY), records, catalog, resolved(spark, sf))
+    none = F.lit(None).cast("string")
+    value = lambda n: F.get(F.col(f"md.`{n}`"), F.lit(0))["value"].alias(n)
+    ends = lambda n, form: F.concat_ws("/", form(F.col(f"merged.{n}.min")), form(F.col(f"merged.{n}.max"))).alias(n)
+    money = lambda c: F.format_string("%.6f", c)
+    hit = docs.hits.select(
+        "recid", F.lit("hit").alias("kind"), none.alias("id"), none.alias("name"), F.col("count").alias("number"),
+        "merged.title", none.alias("author"), none.alias("medium"), none.alias("date"), ends("price", money),
+    )
+    only = lambda n: F.when(F.col("field") == n, F.col("disp")).alias(n)
+    listed = docs.values.select(
+        "recid", F.lit("value"), none, none, F.lit(None).cast("bigint"), none, only("author"), only("medium"), none, none
+    )
+    shown = [value(n) for n in ("title", "author", "medium", "date", "price")]
+    member = docs.members.select("recid", F.lit("member"), "id", "name", "checksum", *shown)
+    return hit.union(listed).union(member)
 
 
 @register

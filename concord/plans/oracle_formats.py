@@ -136,7 +136,7 @@ SQL["marc_mapping"] = fields(
     ],
 )
 SQL["marc_medium_simple"] = f"SELECT p_partkey, {_SIMPLE} AS medium FROM part"
-SQL["marc_open_url"] = f"""SELECT p_partkey, 'http://resolver/x?generatedby=pz2&aulast=' || {BRAND} || '&aufirst=Ann'
+SQL["marc_open_url"] = f"""SELECT p_partkey, 'http://resolver/x?generatedby=catalog&aulast=' || {BRAND} || '&aufirst=Ann'
     || CASE WHEN {K} % 3 = 0 THEN '&date=' || {YEAR} ELSE '' END
     || CASE WHEN {K} % 4 = 0 THEN '&volume=' || substr({SUBPART}, 4) ELSE '' END || '&isbn=' || {K}
     || '&title=' || CASE WHEN {K} % 4 = 0 THEN 'Journal of ' || {NAME} || '&atitle=' || {NAME} || ' :' ELSE {NAME} || ' :' END AS url FROM part"""
@@ -307,8 +307,14 @@ SQL["result_locations"] = f"""{KEPT}, {_SETTINGS}
     SELECT kept.source AS id, coalesce(n, 'Unknown') AS name, {CHECKSUM.replace('source', 'kept.source')} AS checksum,
         coalesce({snippet('title', "'small', 'widget'")}, title) AS title, yr::VARCHAR AS date, printf('%.6f', price) AS price
     FROM kept LEFT JOIN wide ON kept.source = wide.source"""
-SQL["result_docs"] = f"""{KEPT}, {CLUSTERS}, sums AS (SELECT key AS recid, sum({CHECKSUM})::BIGINT AS checksums FROM kept GROUP BY key)
-    SELECT recid, members, members AS located, title, checksums FROM clusters JOIN sums USING (recid)"""
+SQL["result_docs"] = f"""{KEPT}, {CLUSTERS}, {_SETTINGS}
+    SELECT recid, 'hit' AS kind, NULL::VARCHAR AS id, NULL::VARCHAR AS name, members AS number, title, NULL::VARCHAR AS author,
+        NULL::VARCHAR AS medium, NULL::VARCHAR AS date, printf('%.6f', price_low) || '/' || printf('%.6f', price_high) AS price
+    FROM clusters
+    UNION ALL SELECT DISTINCT key, 'value', NULL, NULL, NULL::BIGINT, NULL, author, NULL, NULL, NULL FROM kept
+    UNION ALL SELECT key, 'value', NULL, NULL, NULL::BIGINT, NULL, NULL, medium, NULL, NULL FROM kept
+    UNION ALL SELECT key, 'member', kept.source, coalesce(n, 'Unknown'), {CHECKSUM.replace('source', 'kept.source')}, kept.title, kept.author,
+        kept.medium, yr::VARCHAR, printf('%.6f', price) FROM kept LEFT JOIN wide ON kept.source = wide.source"""
 SQL["result_json"] = f"""{KEPT}, {CLUSTERS}, {rank(WIDGET)}
     SELECT recid, to_json({{'title': title, 'medium': medium, 'members': clusters.members, 'relevance': relevance}})::VARCHAR AS doc
     FROM clusters JOIN ranked USING (recid) ORDER BY relevance DESC, recid LIMIT 20"""

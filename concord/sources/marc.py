@@ -19,7 +19,6 @@ MARC_SCHEMA = (
     "leader string, controlfield array<struct<_tag:string,_VALUE:string>>,"
     " datafield array<struct<_tag:string,subfield:array<struct<_code:string,_VALUE:string>>>>, _corrupt_record string"
 )
-MAX_MAPPING = 10_000
 CONTROLS = ("001", "007", "008")
 
 # -- fixed values: mapping tables as `tag subfield field`; `$` is the field itself, `*` all subfields ------------------
@@ -268,18 +267,10 @@ def mapping_rows(text: str) -> list[tuple[str, str, str]]:
     return rows
 
 
-def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """Mapping file as `ord, tag, code, field`."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.split(F.trim("value"), " +").alias("p"))
-    return lines.filter(F.size("p") == 3).select("ord", F.col("p")[0].alias("tag"), F.col("p")[1].alias("code"), F.col("p")[2].alias("field"))
-
-
-def collect_mapping(mapping: DataFrame) -> list[tuple[str, str, str]]:
-    """A mapping frame as rows for `map_fields`; a mapping is configuration, so its size is checked."""
-    rows = mapping.orderBy("ord").limit(MAX_MAPPING + 1).collect()
-    if len(rows) > MAX_MAPPING:
-        raise ValueError(f"a mapping may have {MAX_MAPPING} rows")
-    return [(r["tag"], r["code"], r["field"]) for r in rows]
+def read_mapping(spark: SparkSession, path: str) -> list[tuple[str, str, str]]:
+    """Rows of a mapping file, in its order. A mapping is configuration, which becomes part of the plan."""
+    lines = spark.read.text(path).select("value").collect()
+    return mapping_rows("\n".join(r["value"] for r in lines))
 
 
 def _value(field: str, value: Column) -> Column:
@@ -538,8 +529,8 @@ def derive_holdings() -> Column:
 # -- OpenURL -------------------------------------------------------------------------------------------------------------
 
 
-def open_url(resolver: Column) -> Column:
-    """OpenURL of a MARC record: author, date, volume, isbn, issn, title and article title, as far as they are there."""
+def open_url(resolver: Column, generated_by: str = "concord") -> Column:
+    """OpenURL of a MARC record, with the name of who made it: author, date, volume, isbn, issn, title and article title, as far as they are there."""
     first = lambda tag, code: F.get(tag_subs(tag, code), F.lit(0))
     text = lambda c: F.coalesce(c, F.lit(""))
     author = F.array_join(F.transform(tagged("100", "700"), lambda f: F.coalesce(first_sub(f, "a"), F.lit(""))), "")
@@ -561,7 +552,7 @@ def open_url(resolver: Column) -> Column:
         ("atitle", F.when(in_journal, plain(first("245", "a"))).otherwise("")),
     ]
     pieces = [F.when(v != "", F.concat(F.lit(f"&{n}="), v)).otherwise("") for n, v in parts]
-    return F.concat(resolver, F.lit("?generatedby=pz2"), *pieces)
+    return F.concat(resolver, F.lit(f"?generatedby={generated_by}"), *pieces)
 
 
 # -- whole records -------------------------------------------------------------------------------------------------------

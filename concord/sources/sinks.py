@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from typing import Callable
+from typing import Callable, NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from concord.catalog import Catalog
 from concord.functions.values import checksum, print_float, print_range
+from concord.operators.merge import merge_values
 from concord.operators.records import filled, md, shown
 
-CHUNK = 1000
-
 
 def printed(catalog: Catalog, name: str, snippet: Callable[[Column], Column] | None = None) -> Column:
     """Values of a field of a record as they are shown: `array<struct<value, attrs>>`."""
@@ -64,30 +63,29 @@ def locations(
     )
 
 
-def to_result_docs(
-    clusters: DataFrame,
-    records: DataFrame,
-    catalog: Catalog,
-    sources: DataFrame | None = None,
-    brief: bool = True,
-    chunk: int = CHUNK,
-) -> DataFrame:
-    """Hits with their members nested: `recid, part, parts, count, merged, locations`.
+class ResultDocs(NamedTuple):
+    """Hits `recid, count, merged`; list fields as rows `recid, field, arrival, ord, disp, min, max, num`; members as rows
+    `recid, arrival, id, name, checksum, md`. Nothing is gathered, so a hit may have any number of members."""
 
-    Members are spread over documents of about `chunk` members, so that no document and no task holds a big cluster whole;
-    a cluster of usual size is one document.
-    """
-    parts = F.ceil(F.col("members") / chunk).cast("int")
-    heads = project(clusters, catalog, brief).withColumn("parts", parts)
-    wanted = heads.select("cluster", "parts")
-    members = locations(records, sources, catalog, brief).join(wanted, "cluster")
-    part = F.pmod(F.xxhash64("id", "arrival"), F.col("parts")).cast("int")
-    grouped = members.withColumn("part", part).groupBy("cluster", "part").agg(
-        F.array_sort(F.collect_list(F.struct("arrival", "id", "name", "checksum"))).alias("locations")
-    )
-    return heads.join(grouped, "cluster").select(
-        "recid", "part", "parts", F.col("members").alias("count"), "merged", "locations"
-    )
+    hits: DataFrame
+    values: DataFrame
+    members: DataFrame
+
+
+def to_result_docs(
+    clusters: DataFrame, records: DataFrame, catalog: Catalog, sources: DataFrame | None = None, brief: bool = True
+) -> ResultDocs:
+    """Everything that is shown of the hits `clusters`, made of `records`: merged values of all policies, and the fields of
+    every member."""
+    wanted = clusters.select("cluster", "recid")
+    hits = project(clusters, catalog, brief).select("recid", F.col("members").alias("count"), "merged")
+    lists = [n for n in shown_fields(catalog, brief) if catalog[n].merge in ("unique", "all")]
+    values = merge_values(records, catalog, lists).join(wanted, "cluster").drop("cluster") if lists else None
+    if values is None:
+        schema = "recid string, field string, arrival string, ord int, disp string, min int, max int, num double"
+        values = clusters.sparkSession.createDataFrame([], schema)
+    members = locations(records, sources, catalog, brief).join(wanted, "cluster").drop("cluster")
+    return ResultDocs(hits, values, members)
 
 
 def get_record(
