@@ -198,7 +198,7 @@ def judge(docs: DataFrame, vocabulary: Vocabulary, reach: float = REACH) -> Data
     quantiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(f"q_{m}") for m in MEASURES]
     bands = found.filter("NOT base_failed").groupBy("lang").agg(*quantiles)
     met = found.alias("f").join(bands.alias("b"), F.col("f.lang").eqNullSafe(F.col("b.lang")), "left")
-    room = reach * (1 + SHORT / F.col("n_tokens"))
+    room = reach * (1 + SHORT / F.greatest("n_tokens", F.lit(1)))
     kept = ~F.col("base_failed")
     for m in MEASURES:
         kept = kept & _band(m, F.col(f"q_{m}"), room)
