@@ -5,7 +5,7 @@ then few different n-grams stand for all the text that a task reads: a task coun
 n-gram once for a block of documents with the documents that have it, and from there on only those blocks move, about a
 third of the size of the stored texts. Order 4 would double that.
 
-1. `blocks`: per block of at most 4 million characters the sorted n-grams and, for each, documents and counts.
+1. `blocks`: per block of at most 2 million characters the sorted n-grams and, for each, documents and counts.
 2. `gram_counts`: blocks meet the labels of their documents; counts in trusted text, summed per n-gram over the corpus.
 3. `log_probabilities`: the model as joins and group-bys over different n-grams, resolved for every n-gram of the corpus.
 4. `scores`: n-grams of blocks are joined with their log probability (a join sharded by n-gram) and come back as one row
@@ -28,7 +28,9 @@ from concord.session import stored
 #: Marks before and after a text; a text that holds them is scored like any other.
 START, END = "\x02\x02", "\x03"
 #: N-grams of a block at most.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
+#: Text bytes that a task holds as numbers at once.
+SLICE = 2 << 20
 #: Bits of a character in an n-gram key.
 BITS = 21
 #: How many times the distance of the 5 % and 95 % quantiles from the median a log perplexity may lie off the median.
@@ -76,7 +78,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
         block = seen = 0
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             ids, langs, text_keys, texts = (part.column(k).to_pylist() for k in range(4))
             texts = ["" if t is None else t for t in texts]
             whole = "".join([START + t + END for t in texts])
