@@ -133,10 +133,10 @@ def _idle_update(ttl_ms: int):
             state.remove()
             return
         members, low, high = state.get if state.exists else (0, float("inf"), float("-inf"))
-        # the rows of a key come in pieces of bounded size
+        # one row per key and batch of a task, in pieces of bounded size
         for piece in pieces:
-            members += len(piece)
-            low, high = min(low, float(piece["num"].min())), max(high, float(piece["num"].max()))
+            members += int(piece["members"].sum())
+            low, high = min(low, float(piece["low"].min())), max(high, float(piece["high"].max()))
         state.update((members, low, high))
         state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({"cluster": [key[0]], "members": [members], "low": [low], "high": [high]})
@@ -145,9 +145,18 @@ def _idle_update(ttl_ms: int):
 
 
 def stream_idle_clusters(records: DataFrame, ttl_ms: int = 60_000) -> DataFrame:
-    """Clusters `cluster, members, low, high` of a stream `cluster, num`, forgotten when idle for `ttl_ms`."""
+    """Clusters `cluster, members, low, high` of a stream `cluster, num`, forgotten when idle for `ttl_ms`.
+
+    Rows are combined per cluster inside the tasks first, so a hot cluster sends a few rows to its state.
+    """
+
+    def combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.groupby("cluster", dropna=False)["num"].agg(members="size", low="min", high="max").reset_index()
+
     return (
         records.select("cluster", "num")
+        .mapInPandas(combined, IDLE_ROW)
         .groupBy("cluster")
         .applyInPandasWithState(_idle_update(ttl_ms), IDLE_ROW, IDLE_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
     )
