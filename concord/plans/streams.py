@@ -56,7 +56,7 @@ def stream_status(spark: SparkSession, sf: str) -> DataFrame:
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Users per event type, each once. The state is kept for an hour of events; a user that comes back later is in the
     table again, so the reader counts different ones."""
-    events = ST.stream_table(spark, sf, "events").select(F.col("event_type").alias("source"), "user_id", "ts")
+    events = ST.stream_table(spark, sf, "events").select(F.col("event_type").alias("source"), "user_id", F.col("ts").cast("timestamp").alias("ts"))
     path = ST.run_to_table(ST.stream_dedup(events, ["source", "user_id"], "ts"), "dedup", "append")
     return spark.read.parquet(path).groupBy("source").agg(F.count_distinct("user_id").alias("users"))
 
