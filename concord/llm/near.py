@@ -172,7 +172,8 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _rest(shared: DataFrame, of: DataFrame, nodes: DataFrame) -> DataFrame:
-    """`a, b`: all pairs of members of one list in different components that agree in `MATCHES` coordinates.
+    """`pair, i, j, a, b`: all pairs of members of one list (under `pair`) in different components that agree in `MATCHES`
+    coordinates, with the two blocks of the list that they are from.
 
     Members get a block number by their hash, so that a block holds about `BLOCK` of them, and a list of n blocks gives
     n * (n + 1) / 2 tasks' worth of block pairs. A pair that meets in several lists comes out of the one with the least
@@ -229,9 +230,9 @@ def _rest(shared: DataFrame, of: DataFrame, nodes: DataFrame) -> DataFrame:
             found_b.append(np.maximum(node[others], node[at]))
         if not found_a:
             return None
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"]
-        )
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        group = [pa.array(np.full(len(a), int(get(name)[0]))) for name in ("pair", "i", "j")]
+        return pa.RecordBatch.from_arrays([*group, pa.array(a), pa.array(b)], ["pair", "i", "j", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # of the group that may go on in the next batch
@@ -256,7 +257,7 @@ def _rest(shared: DataFrame, of: DataFrame, nodes: DataFrame) -> DataFrame:
         if held and (found := group(held)) is not None:
             yield found
 
-    return ordered.select(columns).mapInArrow(run, "a bigint, b bigint")
+    return ordered.select(columns).mapInArrow(run, "pair bigint, i bigint, j bigint, a bigint, b bigint")
 
 
 def _slots(ids: pa.Array) -> np.ndarray:
@@ -303,19 +304,35 @@ def _shingles_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFra
     return met.select("node", "shingles").dropDuplicates(["node"])
 
 
+def _similar(x: bytes, y: bytes) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= SIMILARITY * (len(x) + len(y) - both)
+
+
+def _confirmed_in_blocks(rest: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Links `u, v` among the pairs of `_rest`. A set goes once to every pair of blocks in which its node has pairs, not
+    once to every pair; there are at most 2 * `BLOCK` sets, give or take the hash."""
+    group = ["pair", "i", "j"]
+    ends = [rest.select(*[F.col(g).alias(f"of_{g}") for g in group], F.col(end).alias("node")) for end in ("a", "b")]
+    sets = ends[0].union(ends[1]).distinct().join(shingles, "node")
+
+    def run(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        held = dict(zip(sets.column("node").to_pylist(), sets.column("shingles").to_pylist()))
+        links = [(a, b) for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()) if _similar(held[a], held[b])]
+        return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
+
+    return sets.groupBy(*[f"of_{g}" for g in group]).cogroup(rest.groupBy(*group)).applyInArrow(run, "u bigint, v bigint")
+
+
 def _confirmed(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     """Of the pairs `a, b` those whose shingle sets are similar enough, as links `u, v`."""
     left = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
 
-    def similar(x: bytes, y: bytes) -> bool:
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return 100 * both >= SIMILARITY * (len(x) + len(y) - both)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "sa"):
-            keep = [similar(x, y) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            keep = [_similar(x, y) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
             yield part.select([0, 1]).rename_columns(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
@@ -344,7 +361,7 @@ def groups(docs: DataFrame) -> DataFrame:
     pairs = stored(_agreeing(pivots, nodes), "pairs")
     links = stored(_confirmed(pairs, stored(_shingles_of(docs, nodes, pairs), "shingles")), "links")
     rest = stored(_rest(shared, components(links), nodes), "rest")
-    links = links.union(_confirmed(rest, stored(_shingles_of(docs, nodes, rest), "shingles")))
+    links = links.union(_confirmed_in_blocks(rest, stored(_shingles_of(docs, nodes, rest), "shingles")))
     of = components(links)
 
     met = _with_component(nodes.select("node", "digest", "doc_id"), of)
