@@ -48,9 +48,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_made: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: made once, read with column pruning, and safe when
-    executors are lost."""
+    executors are lost. The table stays until `drop_stored`."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables that `stored` has made since the last call; their number. Call it when the results that were made
+    of them are written: frames that read them are of no use any more."""
+    n = len(_made)
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n

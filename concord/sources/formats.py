@@ -255,12 +255,14 @@ def _plain(body: Column) -> Column:
 def map_generic(payloads: DataFrame, column: str = "payload", medium: str | None = None) -> DataFrame:
     """Records of any elements: some have fields of their own, an element that is not known gives a field of its name.
 
-    A page range is made of start and end page. `medium` of the caller comes instead of the one in the record.
+    A page range is made of start and end page. `medium` of the caller comes instead of the one in the record. A payload
+    that isn't well-formed, or has no record, fails and gives no values.
     """
+    broken = F.from_xml(F.col(column), "_corrupt_record string")["_corrupt_record"].isNotNull()
+    no_record = ~F.col(column).rlike(r"(?s)<record(\s[^>]*)?(/>|>.*</record\s*>)")
     inner = F.regexp_extract(column, r"(?s)<record(?:\s[^>]*)?>(.*)</record\s*>", 1)
-    parsed = payloads.withColumn("elements", _elements(inner)).withColumn(
-        "failure", F.when(~F.col(column).rlike(r"(?s)<record(\s[^>]*)?(/>|>.*</record\s*>)"), "ingest")
-    )
+    failed = payloads.withColumn("failure", F.when(broken | no_record, "ingest"))
+    parsed = failed.withColumn("elements", F.when(F.col("failure").isNull(), _elements(inner)))
     renamed = F.create_map(*[x for n, fields in GENERIC_FIELDS.items() for x in (F.lit(n), F.array(*[F.lit(f) for f in fields]))])
 
     def parts_of(name: str, e: Column) -> Column:
