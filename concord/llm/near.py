@@ -3,7 +3,8 @@
 Texts with the same shingle set are one node from the start. Every node has 128 pairs of coordinate and value. Two nodes
 that agree in at least `POSTED_MATCHES` of them must share one of the first `128 - POSTED_MATCHES + 1` pairs of either, if
 both order their pairs alike; ordered by rising frequency, that prefix skips the pairs that half the corpus has. So only
-prefixes are posted. 128 more coordinates are not posted and sharpen the comparison. Every list of nodes under one pair is then compared without writing out its square:
+prefixes are posted. 128 more coordinates are not posted and sharpen the comparison. Every list of nodes under one pair is
+then compared without writing out its square:
 
 1. each node with two pivots of the list, the least node and one that changes among lists; pairs that agree in
    `MATCHES` coordinates are confirmed and components built;
