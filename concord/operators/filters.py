@@ -197,8 +197,8 @@ def slice_sources(records: DataFrame, start: int = 0, maxrecs: int = 100, source
     """
     if sources is None:
         return records.filter(F.col("position").between(start + 1, start + maxrecs))
-    own = sources.select("source", leading_int(F.col("settings")["pz:maxrecs"]).alias("own"))
-    own = own.filter("own >= 0")
+    stated = F.col("settings")["pz:maxrecs"]
+    own = sources.select("source", F.when(filled(stated), leading_int(stated)).alias("own")).filter("own >= 0")
     limit = F.coalesce("own", F.lit(maxrecs))
     joined = records.join(own, "source", "left")
     return joined.filter((F.col("position") > start) & (F.col("position") <= start + limit)).drop("own")
