@@ -2,7 +2,8 @@
 
 Tokens are summed per cell (source, language, topic). The fit scales cells in turn to the targets of each marginal until
 all three hold. A document is taken with the probability by which the fitted tokens of its cell stand to its tokens, drawn by
-a hash of its id; where the fit wants more tokens than a cell has, the whole cell is taken.
+a hash of its id. The bounded fit never wants more tokens than a cell has: what a full cell can't give goes to the others, and
+targets that the tokens can't meet are told.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ DIMENSIONS = ("source", "lang", "topic")
 _CELL = tuple(f"cell_{d}" for d in DIMENSIONS)
 #: Rounds of the fit at most, and the largest relative distance from a target at which it ends.
 ROUNDS, TOLERANCE = 40, 1e-9
+#: The same distance for the bounded fit, whose last cells fill up slowly.
+BOUNDED_TOLERANCE = 1e-6
 #: Stands for a missing source or language.
 NONE = "(none)"
 SEED = "mix-1"
@@ -94,29 +97,105 @@ def fit(cells: DataFrame, targets: Targets, rounds: int = ROUNDS, tolerance: flo
     return cells.withColumn("settled", F.lit(settled))
 
 
+def _wanted(cells: DataFrame, targets: Targets) -> dict[str, DataFrame]:
+    """Per dimension its values with `own` tokens, the `target` by share, and `wanted`: the target where the value has as many
+    tokens, all it has otherwise, and what is then missing dealt over the rest by the same shares."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    found = {}
+    for d in DIMENSIONS:
+        own = cells.groupBy(f"cell_{d}").agg(F.sum("tokens").cast("double").alias("own"))
+        power = own.withColumn("power", F.pow("own", F.lit(getattr(targets, d))))
+        every = power.agg(F.sum("power")).first()[0] or 1.0
+        share = F.col("power") / F.lit(every) * F.lit(total * targets.budget)
+        values = stored(power.withColumn("target", share).drop("power"), f"target-{d}")
+        scale = 1.0
+        while True:
+            full = F.col("own") <= F.col("target") * F.lit(scale)
+            taken, free = values.agg(
+                F.sum(F.when(full, F.col("own")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("target")))
+            ).first()
+            raised = (total * targets.budget - taken) / free if free else scale
+            if raised <= scale * (1 + 1e-12):
+                break
+            scale = raised
+        found[d] = stored(values.withColumn("wanted", F.least("own", F.col("target") * F.lit(scale))), f"wanted-{d}")
+    return found
+
+
+def bounded_fit(
+    cells: DataFrame, targets: Targets, rounds: int = ROUNDS, tolerance: float = BOUNDED_TOLERANCE
+) -> tuple[DataFrame, DataFrame]:
+    """`cells` as in `fit`, with `fitted` of at most `tokens` and with `settled`; and the marginals (`dimension, value, own,
+    target, wanted, held`) of those fitted tokens.
+
+    A cell has a weight, of which its tokens are the bound. Every value of a dimension scales the weights of its cells so
+    that the full ones and the others together hold what is wanted. Full cells keep their weight and come down again when
+    others rise. `settled` says that all marginals hold what is wanted; where `wanted` is below `target`, the value has no
+    more tokens. Values that need each other's tokens may leave no mix at all that holds; the marginals tell how far it is off.
+    """
+    cells = cells.filter("tokens > 0").withColumn("weight", F.col("tokens") * F.lit(targets.budget))
+    wanted = _wanted(cells, targets)
+    fitted = F.least(F.col("weight"), F.col("tokens").cast("double"))
+    full = F.col("weight") >= F.col("tokens")
+
+    def held(cells: DataFrame, d: str) -> DataFrame:
+        return cells.groupBy(f"cell_{d}").agg(
+            F.sum(fitted).alias("held"),
+            F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("taken"),
+            F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("free"),
+        )
+
+    settled = False
+    for _ in range(rounds):
+        for d in DIMENSIONS:
+            left = (F.col("wanted") - F.col("taken")) / F.when(F.col("free") > 0, F.col("free"))
+            # with the full cells above what is wanted they come down, and full cells that are wanted whole stay
+            factor = F.when(left > 0, left).otherwise(F.least(F.lit(1.0), F.col("wanted") / F.col("held")))
+            factors = held(cells, d).join(wanted[d], f"cell_{d}").select(f"cell_{d}", factor.alias("factor"))
+            cells = cells.join(factors, f"cell_{d}").withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+        cells = stored(cells, "cells")
+        met = [
+            held(cells, d).join(wanted[d], f"cell_{d}").select(
+                F.lit(d).alias("dimension"), F.col(f"cell_{d}").alias("value"), "own", "target", "wanted", "held"
+            )
+            for d in DIMENSIONS
+        ]
+        marginals = stored(met[0].unionByName(met[1]).unionByName(met[2]), "marginals")
+        worst = marginals.agg(F.max(F.abs(F.col("held") / F.col("wanted") - 1))).first()[0]
+        if worst is None or worst < tolerance:
+            settled = True
+            break
+    return cells.withColumn("fitted", fitted).withColumn("settled", F.lit(settled)).drop("weight"), marginals
+
+
 def _uniform(key: Column) -> Column:
     """A number in [0, 1) from the digest of a key."""
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
-def mix(docs: DataFrame, targets: Targets = Targets(), topics: Sequence[tuple[str, str]] = TOPICS) -> DataFrame:
-    """`docs` (`doc_id, text, lang, source` and more) with `topic, n_tokens, rate, taken` for every row.
+def mix(
+    docs: DataFrame, targets: Targets = Targets(), topics: Sequence[tuple[str, str]] = TOPICS, bounded: bool = True
+) -> DataFrame:
+    """`docs` (`doc_id, text, lang, source` and more) with `topic, n_tokens, rate, taken, settled` for every row.
 
     `rate` is the share of its cell's tokens that the fit wants, the probability of a document; at 1 and above all are
-    taken. Texts without words weigh nothing and get rate 0. A missing source or language is a value of its own. Rows
+    taken. With `bounded` no rate is above 1, else a rate above 1 wants tokens that the cell doesn't have, and the mix lacks
+    them. `settled` says whether the fit holds its marginals. Texts without words weigh nothing and get rate 0. A missing source or language is a value of its own. Rows
     with equal doc_id draw the same number; a null doc_id draws that of the empty key. Columns of these names in `docs`
     are replaced; an empty table gives an empty result.
     """
-    added = ("topic", "n_tokens", "rate", "taken", *_CELL, "cell_rate")
+    added = ("topic", "n_tokens", "rate", "taken", "settled", *_CELL, "cell_rate")
     columns = [c for c in docs.columns if c not in added]
     rows = described(docs.select(*columns), topics)
     cells = stored(rows.groupBy(*_CELL).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    fitted = fit(cells, targets).select(*_CELL, (F.col("fitted") / F.col("tokens")).alias("cell_rate"))
+    fitted = bounded_fit(cells, targets)[0] if bounded else fit(cells, targets)
+    fitted = fitted.select(*_CELL, (F.col("fitted") / F.col("tokens")).alias("cell_rate"), "settled")
     met = rows.join(stored(fitted, "rates"), [*_CELL], "left")
     rate = F.when(F.col("n_tokens") > 0, F.coalesce("cell_rate", F.lit(0.0))).otherwise(0.0)
     drawn = _uniform(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"/{SEED}")))
     met = met.withColumn("rate", F.round(rate, 9))
-    return met.select(*columns, F.col("cell_topic").alias("topic"), "n_tokens", "rate", (drawn < F.col("rate")).alias("taken"))
+    taken = (drawn < F.col("rate")).alias("taken")
+    return met.select(*columns, F.col("cell_topic").alias("topic"), "n_tokens", "rate", taken, "settled")
 
 
 def sql(targets: Targets = Targets(), rounds: int = 25) -> str:

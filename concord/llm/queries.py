@@ -31,7 +31,8 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    # its SQL has the rates of the unbounded fit; the pipeline mixes by the bounded one
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), bounded=False)
     cell = [F.coalesce(c, F.lit(mixing.NONE)).alias(c) for c in ("source", "lang")]
     return mixed.select("doc_id", *cell, "topic", "n_tokens", F.round("rate", 6).alias("rate"), "taken")
 

@@ -350,6 +350,36 @@ def test_fit_meets_all_marginals(spark):
     assert all(r["settled"] for r in fitted)
 
 
+def test_rates_of_skewed_sources_hold_the_marginals(spark):
+    # one source has a third of the tokens, and most cells of the others are small
+    cells = [("hot", lang, topic, 400 * n * m) for lang, n in (("en", 5), ("de", 1)) for topic, m in (("x", 9), ("y", 2))]
+    cells += [(f"s{k}", lang, topic, 3 + 17 * k * (1 + (k + i) % 4)) for k in range(30) for i, (lang, topic) in enumerate((("en", "x"), ("de", "y"), ("en", "y")))]
+    frame = spark.createDataFrame(cells, "cell_source string, cell_lang string, cell_topic string, tokens bigint")
+    targets = mixing.Targets(0.5, 0.7, 0.8, 0.5)
+    fitted, marginals = mixing.bounded_fit(frame, targets)
+    rows = fitted.collect()
+    assert len(rows) == len(cells) and all(0 < r["fitted"] <= r["tokens"] and r["settled"] for r in rows)
+    # the rates that a plain fit clips miss the budget
+    clipped = sum(min(r["fitted"], r["tokens"]) for r in mixing.fit(frame, targets).collect())
+    total = sum(c[3] for c in cells)
+    assert clipped < 0.49 * total and sum(r["fitted"] for r in rows) == pytest.approx(0.5 * total, rel=1e-5)
+    for m in marginals.collect():
+        held = sum(r["fitted"] for r in rows if r[f"cell_{m['dimension']}"] == m["value"])
+        assert held == pytest.approx(m["held"]) and held == pytest.approx(m["wanted"], rel=1e-5)
+        assert m["wanted"] >= m["target"] * (1 - 1e-9) or m["wanted"] == m["own"]
+
+
+def test_marginals_out_of_reach_are_told(spark):
+    # all of de is one cell of a source that may only hold little of the mix
+    cells = [("a", "de", "x", 100), ("a", "en", "x", 10_000), ("b", "en", "x", 90)]
+    frame = spark.createDataFrame(cells, "cell_source string, cell_lang string, cell_topic string, tokens bigint")
+    fitted, marginals = mixing.bounded_fit(frame, mixing.Targets(0.0, 0.0, 1.0, 0.5))
+    told = {(m["dimension"], m["value"]): m for m in marginals.collect()}
+    assert told["source", "b"]["wanted"] == told["source", "b"]["own"] == 90 < told["source", "b"]["target"]
+    assert told["lang", "de"]["wanted"] == 100 < told["lang", "de"]["target"]
+    assert sum(r["fitted"] for r in fitted.collect()) == pytest.approx(0.5 * 10_190, rel=1e-5)
+
+
 def test_mix_of_odd_rows(odd, none):
     mixed = mixing.mix(odd.withColumn("rate", F.lit("x")).withColumn("cell_lang", F.lit("x")))
     rows = mixed.collect()
