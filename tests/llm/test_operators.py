@@ -294,6 +294,23 @@ def test_junk_goes_and_clean_text_stays(spark):
     assert kept == set(range(30))
 
 
+def test_junk_of_any_length_goes_by_the_spread_of_its_length(spark):
+    import random
+
+    rng = random.Random(4)
+    pool = [rng.choice(["ri", "ga", "hou", "wa", "mor"]) + rng.choice(["ver", "den", "se", "ter", "ning"]) for _ in range(40)]
+    often = [1 / (k + 1) for k in range(40)]
+    clean = [(k, " ".join(rng.choices(pool, often, k=rng.choice([6, 20, 80, 300]))), "en") for k in range(160)]
+    # the commonest words again and again, words in other shares over a long text, and short strings that no language has
+    junk = [(200 + k, " ".join([pool[k]] * 1200), "en") for k in range(2)]
+    junk += [(210 + k, " ".join(rng.choices(pool, k=1200)), "en") for k in range(3)]
+    junk += [(300 + k, f"{k}#%%&Q{k}$", "en") for k in range(8)]
+    docs = spark.createDataFrame(clean + junk, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(k, 1) for k in range(160)], "doc_id bigint, quality int")
+    kept = {r["doc_id"] for r in lm.classify(docs, labels).filter("kept").collect()}
+    assert not kept & {d for d, *_ in junk} and len(kept) >= 0.95 * len(clean)
+
+
 def test_classifier_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(5, 1), (None, 1), (5, 1)], "doc_id bigint, quality int")
     got = lm.classify(odd, labels).collect()
