@@ -1,8 +1,8 @@
 """Quality rules: counts of words, lines and symbols, and how a public vocabulary cuts a text into tokens.
 
 A vocabulary with byte fallback shows three things about a text: characters per token, the share of tokens that are single
-bytes, and the entropy of its tokens. A text far off the texts of its language in one of them is rejected. The bands are
-quantiles of all texts of a language, so they need no list of languages.
+bytes, and the entropy of its tokens. A text far off the texts of its language and length in one of them is rejected. The
+bands are quantiles of all texts of a language, so they need no list of languages.
 """
 
 from __future__ import annotations
@@ -19,12 +19,13 @@ from concord.llm.common import slices, utf8
 from concord.llm.shingles import mixed
 from concord.session import stored
 
-#: How many times the distance of the quartiles from the median a measure may lie off the median.
-REACH = 7.0
+#: How many times the distance of the quartiles from the median a measure may lie off the median, at the length of the text;
+#: chosen by the labels of sf0.1. All byte shares there are 0, so that its reach is not chosen by them.
+REACH = {"chars_per_token": 5.0, "byte_share": 7.0, "token_entropy": 6.0}
 #: What a measure may always lie off the median: most texts of a language can have the same value.
-LEAST_ROOM = 0.05
-#: A text of so many tokens has twice that room.
-SHORT = 100
+LEAST_ROOM = {"chars_per_token": 0.05, "byte_share": 0.05, "token_entropy": 0.02}
+#: Texts within so many distances of the quartiles from the median of their language make the trend over the length.
+TREND = 3.0
 #: Words that a worker remembers, after which it starts anew.
 MEMO = 300_000
 
@@ -177,31 +178,77 @@ def measures(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return rows.mapInArrow(run, _SCHEMA)
 
 
-def _band(name: str, q: Column, room: Column) -> Column:
-    low = q[1] - F.greatest(room * (q[1] - q[0]), F.lit(LEAST_ROOM))
-    high = q[1] + F.greatest(room * (q[2] - q[1]), F.lit(LEAST_ROOM))
-    return F.coalesce(F.col(name).between(low, high), F.lit(True))
+def _trends(passed: DataFrame) -> DataFrame:
+    """`lang` and per measure `t_...`, by how much it rises with the logarithm of the number of tokens; without a spread of
+    lengths 0. Texts far off the median have no say."""
+    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(f"q_{m}") for m in MEASURES]
+    met = passed.alias("f").join(passed.groupBy("lang").agg(*quartiles).alias("b"), F.col("f.lang").eqNullSafe(F.col("b.lang")))
+    slopes = []
+    for m in MEASURES:
+        q, value = F.col(f"q_{m}"), F.col(m)
+        near = value.between(q[1] - TREND * (q[1] - q[0]), q[1] + TREND * (q[2] - q[1]))
+        slope = F.regr_slope(F.when(near, value), F.when(near, F.log("n_tokens")))
+        slopes.append(F.coalesce(F.nanvl(slope, F.lit(0.0)), F.lit(0.0)).alias(f"t_{m}"))
+    return met.groupBy("f.lang").agg(*slopes)
+
+
+def _spread_powers(leveled: DataFrame, middles: DataFrame) -> dict[str, float]:
+    """Per measure the power of the number of tokens with which distances from the median go, 0 if that can't be told."""
+    met = leveled.alias("f").join(middles.alias("b"), F.col("f.lang").eqNullSafe(F.col("b.lang")))
+    slopes = []
+    for m in MEASURES:
+        off = F.abs(F.col(f"l_{m}") - F.col(f"m_{m}"))
+        slopes.append(F.regr_slope(F.when(off > 1e-9, F.log(off)), F.when(off > 1e-9, F.log("n_tokens"))))
+    found = met.agg(*slopes).first()
+    return {m: min(max(p, -1.0), 0.0) if p is not None and p == p else 0.0 for m, p in zip(MEASURES, found)}
+
+
+def _with_trends(rows: DataFrame, trends: DataFrame) -> DataFrame:
+    """`rows` with `l_...`, the measures without their trend over the length."""
+    met = rows.alias("f").join(trends.alias("t"), F.col("f.lang").eqNullSafe(F.col("t.lang")), "left")
+    leveled = [(F.col(m) - F.col(f"t_{m}") * F.log("n_tokens")).alias(f"l_{m}") for m in MEASURES]
+    return met.select("f.*", *leveled)
+
+
+def _band(name: str, reach: float) -> Column:
+    """Whether the distance `d_...` from the median, relative to the spread `s_...` at the text's length, is in the band."""
+    q, spread, least = F.col(f"q_{name}"), F.col(f"s_{name}"), F.lit(LEAST_ROOM[name])
+    low, high = -F.greatest(-reach * q[0] * spread, least), F.greatest(reach * q[1] * spread, least)
+    return F.coalesce((F.col(f"d_{name}") * spread).between(low, high), F.lit(True))
 
 
-def judge(docs: DataFrame, vocabulary: Vocabulary, reach: float = REACH) -> DataFrame:
+def judge(docs: DataFrame, vocabulary: Vocabulary, reach: dict[str, float] = REACH) -> DataFrame:
     """`doc_id, lang, text_key, n_words`, the four counts, `base_failed, n_tokens`, the three measures and `kept` for every
     row of `docs` (`doc_id, text, lang`); `text_key` is a hash of the text.
 
     The base rules reject texts of less than 50 words and texts in which more than half of the words lie in repeated
-    three-word windows. Others are rejected if a measure lies outside its band: the median of the texts of the same
-    language that pass the base rules, with `reach` times the distance of the quartiles as room, more for short texts
-    (1 + SHORT / n_tokens) and `LEAST_ROOM` at least. A null language is a language of its own. Null and empty texts have no words and
+    three-word windows. Others are rejected if a measure lies outside its band, which is made by the texts of the same
+    language that pass the base rules: their median along a line over the logarithm of the number of tokens, with `reach`
+    times the distance of the quartiles as room, relative to a power of the number of tokens with which distances go, and
+    `LEAST_ROOM` at least. A null language is a language of its own. Null and empty texts have no words and
     fail. Repeated rows get equal values; ties at a bound are inside; an empty table gives an empty result.
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     found = stored(measures(docs, vocabulary).withColumn("base_failed", failed), "measures")
-    quantiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(f"q_{m}") for m in MEASURES]
-    bands = found.filter("NOT base_failed").groupBy("lang").agg(*quantiles)
-    met = found.alias("f").join(bands.alias("b"), F.col("f.lang").eqNullSafe(F.col("b.lang")), "left")
-    room = reach * (1 + SHORT / F.greatest("n_tokens", F.lit(1)))
+    passed = found.filter("NOT base_failed")
+    leveled = stored(_with_trends(found, stored(_trends(passed), "trends")), "leveled")
+    passed = leveled.filter("NOT base_failed")
+    medians = passed.groupBy("lang").agg(*[F.percentile_approx(f"l_{m}", 0.5, 10_000).alias(f"m_{m}") for m in MEASURES])
+    medians = stored(medians, "medians")
+    powers = _spread_powers(passed, medians)
+
+    def apart(rows: DataFrame) -> DataFrame:
+        met = rows.alias("f").join(medians.alias("b"), F.col("f.lang").eqNullSafe(F.col("b.lang")), "left")
+        spread = {m: F.pow(F.greatest("n_tokens", F.lit(1)).cast("double"), F.lit(p)) for m, p in powers.items()}
+        off = [((F.col(f"l_{m}") - F.col(f"m_{m}")) / spread[m]).alias(f"d_{m}") for m in MEASURES]
+        return met.select("f.*", *off, *[spread[m].alias(f"s_{m}") for m in MEASURES])
+
+    quartiles = [F.percentile_approx(f"d_{m}", [0.25, 0.75], 10_000).alias(f"q_{m}") for m in MEASURES]
+    bands = apart(passed).groupBy("lang").agg(*quartiles)
+    met = apart(leveled).alias("f").join(bands.alias("b"), F.col("f.lang").eqNullSafe(F.col("b.lang")), "left")
     kept = ~F.col("base_failed")
     for m in MEASURES:
-        kept = kept & _band(m, F.col(f"q_{m}"), room)
+        kept = kept & _band(m, reach[m])
     return met.select(
         "doc_id", "f.lang", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "n_tokens", *MEASURES, kept.alias("kept"),

@@ -220,6 +220,21 @@ def test_bands_reject_what_is_unlike_its_language(spark):
     assert [r["doc_id"] for r in judged.filter("NOT base_failed AND NOT kept").collect()] == [99]
 
 
+def test_bands_follow_the_length(spark):
+    import random
+
+    rng = random.Random(6)
+    pool = [a + b for a in "house water people garden river window letter market".split() for b in ("", "s", "ing", "er", "land", "side", "man", "able")]
+    rows = [(k, " ".join(rng.choices(pool, k=rng.choice([60, 120, 400, 900]))), "en") for k in range(160)]
+    # few words in any order: as poor as a long text, but short; and marks behind the words
+    rows += [(200 + k, " ".join(rng.choices(pool[k : k + 10], k=130)), "en") for k in range(4)]
+    rows += [(300 + k, " ".join(w + "%%%" for w in rng.choices(pool, k=400)), "en") for k in range(4)]
+    judged = fertility.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), VOCABULARY)
+    assert judged.filter("base_failed").count() == 0
+    gone = {r["doc_id"] for r in judged.filter("NOT kept").collect()}
+    assert {d for d, *_ in rows if d >= 200} <= gone and len(gone) <= 8 + 8
+
+
 # -- quality classifier -----------------------------------------------------------------------------------------------
 
 
