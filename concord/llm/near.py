@@ -178,7 +178,7 @@ def _rest(shared: DataFrame, of: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Members get a block number by their hash, so that a block holds about `BLOCK` of them, and a list of n blocks gives
     n * (n + 1) / 2 tasks' worth of block pairs. A pair that meets in several lists comes out of the one with the least
-    coordinate.
+    coordinate, of those in both prefixes in which both halves of the values are equal.
     """
     members = _with_component(shared, of)
     mixed_lists = members.groupBy("pair").agg(
@@ -193,13 +193,18 @@ def _rest(shared: DataFrame, of: DataFrame, nodes: DataFrame) -> DataFrame:
     prefix = shared.groupBy("node").agg(
         F.bit_or(F.when(coordinate < 64, bit).otherwise(F.lit(0).cast("bigint"))).alias("p0"),
         F.bit_or(F.when(coordinate >= 64, bit).otherwise(F.lit(0).cast("bigint"))).alias("p1"),
+        # and the upper halves of their values, PREFIX at most, by rising coordinate
+        F.transform(
+            F.array_sort(F.collect_list(F.struct(coordinate.alias("at"), (F.shiftright("pair", 23) - 32768).alias("value")))),
+            lambda x: x["value"].cast("smallint"),
+        ).alias("uppers"),
     )
     known = nodes.select("node", "n_shingles", "signature").join(prefix, "node")
     rows = rows.join(known, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     ordered = dealt.repartition("pair", "i", "j").sortWithinPartitions("pair", "i", "j", "own", "node")
-    columns = ["pair", "i", "j", "own", "node", "component", "n_shingles", "p0", "p1", "signature"]
+    columns = ["pair", "i", "j", "own", "node", "component", "n_shingles", "p0", "p1", "uppers", "signature"]
 
     def compare(table: pa.RecordBatch) -> pa.RecordBatch | None:
         names = {name: table.column(k) for k, name in enumerate(columns)}
@@ -210,6 +215,8 @@ def _rest(shared: DataFrame, of: DataFrame, nodes: DataFrame) -> DataFrame:
         p0, p1 = get("p0").view(np.uint64), get("p1").view(np.uint64)
         inside = np.stack([p0, p1], 1).view(np.uint8)
         inside = np.unpackbits(inside, axis=1, bitorder="little").astype(bool)
+        upper = np.zeros(inside.shape, np.int16)
+        upper[inside] = names["uppers"].flatten().to_numpy(zero_copy_only=False)
         signed = _rows(names["signature"], ALL)
         found_a, found_b = [], []
         second = np.flatnonzero(own == j)
@@ -225,7 +232,7 @@ def _rest(shared: DataFrame, of: DataFrame, nodes: DataFrame) -> DataFrame:
             if not enough.any():
                 continue
             others, same = others[enough], same[enough]
-            first = (same[:, :POSTED] & inside[others] & inside[at]).argmax(1)
+            first = (same[:, :POSTED] & (upper[others] == upper[at]) & inside[others] & inside[at]).argmax(1)
             others = others[first == coordinate]
             found_a.append(np.minimum(node[others], node[at]))
             found_b.append(np.maximum(node[others], node[at]))
