@@ -72,9 +72,11 @@ class Block(NamedTuple):
     main: int
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page. Inline elements and line breaks stay inside a block, every other tag ends it."""
+def blocks(page: str) -> tuple[list[Block], str | None]:
+    """The text blocks of a page, and the language that its `html` tag names, wherever the tag is. Inline elements
+    and line breaks stay inside a block, every other tag ends it."""
     found: list[Block] = []
+    language: str | None = None
     pieces: list[str] = []
     stack: list[tuple[str, bool, int]] = []  # open elements: name, aside, main
     aside, main, mains = False, 0, 0
@@ -115,6 +117,8 @@ def blocks(page: str) -> list[Block]:
             if not of_aside:
                 continue
         close()
+        if name == "html" and language is None and (named := _LANGUAGE.search(attributes)):
+            language = named[1].lower()
         if name in DROPPED:
             if not closing and not attributes.endswith("/"):
                 after = re.compile(rf"</{re.escape(name)}\b[^>]*>|\Z", re.I).search(page, at)
@@ -137,7 +141,7 @@ def blocks(page: str) -> list[Block]:
             aside = aside or outside or bool(attributes) and _is_aside(attributes)
             stack.append((name, aside, main))
     close()
-    return found
+    return found, language
 
 
 def _is_aside(attributes: str) -> bool:
@@ -148,7 +152,7 @@ def _is_aside(attributes: str) -> bool:
 
 _EVERY_STOP = frozenset(w for words in STOP_WORDS.values() for w in words)
 _BY_LANGUAGE = {lang: frozenset(words) for lang, words in STOP_WORDS.items()}
-_LANGUAGE = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([a-zA-Z]{2})", re.I)
+_LANGUAGE = re.compile(r"\blang\s*=\s*[\"']?([a-zA-Z]{2})", re.I)
 _EDGES = ".,;:!?()[]{}\"'«»„“”‚‘’…–—|"
 
 
@@ -207,9 +211,8 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
 
 def main_text(page: str, limits: Limits = Limits()) -> str:
     """The good blocks of a page, one per line."""
-    found = blocks(page)
-    language = _LANGUAGE.search(page, 0, 2000)
-    stops = _BY_LANGUAGE.get(language[1].lower(), _EVERY_STOP) if language else _EVERY_STOP
+    found, language = blocks(page)
+    stops = _BY_LANGUAGE.get(language, _EVERY_STOP)
     labels = [first_pass(b, stops, limits) for b in found]
     return "\n".join(b.text for b, good in zip(found, second_pass(found, labels)) if good)
 

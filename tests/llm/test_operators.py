@@ -499,6 +499,13 @@ def test_mined_rules_are_those_of_brute_force(spark):
     assert verdicts == {1: "block", 2: "allow", 3: "allow"}
 
 
+def test_language_of_a_page_with_much_before_it():
+    words = "der die und das haus fluss garten fenster markt brief morgen wasser zeit leute " * 6
+    tag, body = "<html lang=de>", f"<body><p>{words}</p><p>short text</p><p>{words}"
+    late = f"<!-- <html lang=fr> {'x' * 3000} --><script>var a='<html lang=es>{'y' * 3000}'</script>{tag}{body}"
+    assert html.blocks(late)[1] == "de" and html.main_text(late) == html.main_text(tag + body)
+
+
 # -- registered queries -----------------------------------------------------------------------------------------------
 
 
