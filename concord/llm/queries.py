@@ -97,8 +97,6 @@ QUERIES = {
 SQL = {
     "op3_source_mixing": mixing.sql(),
     "op4_licence_digests": licences.sql(),
-    "op6_token_id_shards": op6_token_id_shards,
-    "op7_tokenizer_fertility": op7_tokenizer_fertility,
     "op8_minhash_near_dedup": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -518,3 +518,12 @@ def test_queries_beside_their_sql(spark, name):
     result = connection.execute(queries.SQL[name])
     columns = [d[0] for d in result.description]
     assert as_rows(found.select(*columns)) == sorted(result.fetchall(), key=repr)
+
+
+def test_all_registered_sql_is_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for name, sql in queries.SQL.items():
+        assert name in queries.QUERIES and isinstance(sql, str), name
+        assert connection.execute(sql).fetchone(), name
