@@ -23,7 +23,7 @@ from concord.session import stored
 #: chosen by the labels of sf0.1. All byte shares there are 0, so that its reach is not chosen by them.
 REACH = {"chars_per_token": 5.0, "byte_share": 7.0, "token_entropy": 6.0}
 #: What a measure may always lie off the median: most texts of a language can have the same value.
-LEAST_ROOM = {"chars_per_token": 0.05, "byte_share": 0.05, "token_entropy": 0.02}
+LEAST_ROOM = {"chars_per_token": 0.05, "byte_share": 0.05, "token_entropy": 0.05}
 #: Texts within so many distances of the quartiles from the median of their language make the trend over the length.
 TREND = 3.0
 #: Words that a worker remembers, after which it starts anew.
