@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from concord.llm import bpe, fertility, flac, html, ids, licences, lm, mixing, near, urls
+from concord.llm import bpe, chat, fertility, fim, flac, html, ids, licences, lm, mixing, near, trie, urls
 from concord.llm.common import table
 
 
@@ -80,6 +80,27 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.restore(fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return cut.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.examples(chat.planted(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_url_association_rules": op1_url_association_rules,
     "op2_byte_bpe": op2_byte_bpe,
@@ -91,12 +112,18 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_flac_media": op9_flac_media,
     "op10_html_main_text": op10_html_main_text,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_chat_examples": op13_chat_examples,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
     "op3_source_mixing": mixing.sql(),
     "op4_licence_digests": licences.sql(),
+    "op11_fill_in_middle": fim.sql(),
+    "op12_conversation_trie": trie.sql(),
+    "op13_chat_examples": chat.sql(),
     "op8_minhash_near_dedup": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
