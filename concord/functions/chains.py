@@ -6,10 +6,11 @@ the whole text, the steps after it on every term. `display` remembers the form s
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from typing import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 from concord.functions.text import az_joined, az_tokens, char_class, sort_string
 
@@ -109,6 +110,14 @@ class WholeChain(TextChain):
 LETTERS, WHOLE = LettersChain(), WholeChain()
 DEFAULT_CHAINS = {"relevance": LETTERS, "sort": LETTERS, "mergekey": LETTERS, "facet": WHOLE}
 
+
+def clean_words(text: str, chain: TextChain) -> list[str]:
+    """The terms of a query text."""
+    if chain is LETTERS:
+        return [w.lower() for w in re.findall("[A-Za-z]+", text)]
+    return SparkSession.active().range(1).select(chain.tokens(F.lit(text)).alias("t")).first()["t"]
+
+
 # Ready chains for text with digits and letters of any script.
 WORDS = TextChain((remove_control, TOKENIZE, remove_space_punct, lower))
 TITLE_FACET = TextChain((DISPLAY, title_case))

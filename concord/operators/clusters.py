@@ -145,10 +145,22 @@ def assign_clusters(records: DataFrame) -> DataFrame:
     """Add `cluster` to records with an array of merge `keys`: records that share a key, directly or by way of other
     records, are one cluster."""
     components = key_components(records)
-    first = records.withColumn("key", F.col("keys")[0])
+    first = records.withColumn("key", F.get("keys", F.lit(0)))
     return first.join(components, "key", "left").withColumn("cluster", F.coalesce("cluster", "key")).drop("key")
 
 
+def key_index(records: DataFrame) -> DataFrame:
+    """`cluster, key` for every merge key that a cluster has, each once: what results are found by.
+
+    Records have `cluster` and, if they can have several keys, `keys`. A pair is made distinct inside the tasks first and then by
+    cluster and key together, so that the keys of one cluster are spread over tasks.
+    """
+    if "keys" not in records.columns:
+        return records.select("cluster", F.col("cluster").alias("key")).distinct()
+    pairs = records.select("cluster", F.explode_outer("keys").alias("key"))
+    return pairs.filter("key IS NOT NULL").distinct()
+
+
 # -- exact duplicates ------------------------------------------------------------------------------------------------
 
 

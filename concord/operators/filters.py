@@ -8,7 +8,8 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from concord.catalog import Catalog, FieldSpec
-from concord.functions.chains import LETTERS
+from concord.functions.chains import LETTERS, clean_words
+from concord.functions.proximity import Near, near as is_near
 from concord.functions.text import word_pattern
 from concord.functions.values import leading_int
 from concord.operators.records import filled, md
@@ -217,11 +218,13 @@ def match(
     prefix: str | None = None,
     suffix: str | None = None,
     between: tuple[int | None, int | None] | None = None,
+    near: Near | Sequence[Near] = (),
 ) -> Column:
     """Term predicate over the fields of a record, to be used in `filter`.
 
-    `all_`, `any_` and `none_` take words, `phrase` words side by side in one value, `prefix` and `suffix` a cut-off
-    word, `between` the bounds of a year or date (null is open). `field` restricts it to some fields.
+    `all_`, `any_` and `none_` take words, `phrase` words side by side in one value, `near` words within a distance in
+    one value, `prefix` and `suffix` a cut-off word, `between` the bounds of a year or date (null is open). `field`
+    restricts it to some fields.
     """
     names = [field] if isinstance(field, str) else list(field) if field else [f.name for f in catalog if f.type == "generic"]
     chain = catalog.chain("relevance")
@@ -242,6 +245,11 @@ def match(
         # the joined form has one space between words, so a phrase is a part of it on word borders
         padded = lambda v: F.concat(F.lit(" "), chain.joined(v), F.lit(" "))
         conditions.append(anywhere(lambda v: F.contains(padded(v), F.concat(F.lit(" "), chain.joined(F.lit(phrase)), F.lit(" ")))))
+    for asked in [near] if isinstance(near, Near) else near:
+        cleaned = Near(tuple(t for w in asked.words for t in clean_words(w, chain)), asked.distance, asked.ordered)
+        # texts without one of the words needn't be taken apart
+        conditions += [word(w) for w in dict.fromkeys(cleaned.words)]
+        conditions.append(anywhere(lambda v, c=cleaned: is_near(chain.tokens(v), c)))
     if prefix:
         conditions.append(anywhere(lambda v: F.exists(chain.tokens(v), lambda t: F.startswith(t, F.lit(prefix.lower())))))
     if suffix:

@@ -26,21 +26,30 @@ def _norm_disp(spec: FieldSpec, catalog: Catalog, value: Column) -> tuple[Column
     return trim_generic(value), trim_generic(value)
 
 
-def _longest(spec: FieldSpec, catalog: Catalog) -> Column:
+def longest_entry(spec: FieldSpec, catalog: Catalog) -> Column:
+    """`size, arrival, ord, disp` of the value of a record that is before its others; null without values."""
+
     def entry(v: Column, i: Column) -> Column:
         norm, disp = _norm_disp(spec, catalog, v["value"])
         return F.struct((-F.octet_length(norm)).alias("size"), F.col("arrival"), i.alias("ord"), disp.alias("disp"))
 
-    return F.min(F.array_min(F.transform(real_values(spec), entry)))
+    return F.array_min(F.transform(real_values(spec), entry))
 
 
-def _range(spec: FieldSpec) -> list[tuple[str, Column]]:
+def _longest(spec: FieldSpec, catalog: Catalog) -> Column:
+    return F.min(longest_entry(spec, catalog))
+
+
+def range_ends(spec: FieldSpec) -> tuple[Column, Column]:
+    """Both ends of the values of a record."""
     low, high = ("num", "num") if spec.type == "float" else ("min", "max")
     values = real_values(spec)
-    return [
-        ("min", F.min(F.array_min(F.transform(values, lambda v: v[low])))),
-        ("max", F.max(F.array_max(F.transform(values, lambda v: v[high])))),
-    ]
+    return F.array_min(F.transform(values, lambda v: v[low])), F.array_max(F.transform(values, lambda v: v[high]))
+
+
+def _range(spec: FieldSpec) -> list[tuple[str, Column]]:
+    low, high = range_ends(spec)
+    return [("min", F.min(low)), ("max", F.max(high))]
 
 
 def _plain(spec: FieldSpec, catalog: Catalog, v: Column) -> Column:
@@ -53,8 +62,13 @@ def _plain(spec: FieldSpec, catalog: Catalog, v: Column) -> Column:
     return F.struct(*[none[n].alias(n) for n, _ in PARTS])
 
 
+def first_values(spec: FieldSpec, catalog: Catalog) -> Column:
+    """All values of a record in the form that a merge keeps."""
+    return F.transform(real_values(spec), lambda v: _plain(spec, catalog, v))
+
+
 def _first(spec: FieldSpec, catalog: Catalog) -> Column:
-    values = F.transform(real_values(spec), lambda v: _plain(spec, catalog, v))
+    values = first_values(spec, catalog)
     return F.min(F.when(F.size(values) > 0, F.struct(F.col("arrival"), values.alias("values"))))
 
 
@@ -65,7 +79,6 @@ def merge_records(records: DataFrame, catalog: Catalog, extra: list[Column] = ()
     `merged` has the fields that give one value per cluster (`longest`, `range`) or the values of one record (`first`);
     lists that grow with the cluster are rows of `merge_values`.
     """
-    single = [f for f in catalog if f.merge in SINGLE]
     aggregates: list[Column] = [
         F.count(F.lit(1)).alias("members"),
         F.min("arrival").alias("first_arrival"),
@@ -74,17 +87,35 @@ def merge_records(records: DataFrame, catalog: Catalog, extra: list[Column] = ()
         aggregates.append(F.min("position").alias("first_position"))
     if "keys" in records.columns:
         aggregates.append(F.min(F.struct(F.col("arrival"), F.col("keys")[0].alias("key")))["key"].alias("recid"))
-    merged, sort = [], []
-    for n, f in enumerate(single):
+    for n, f in enumerate(single_fields(catalog)):
         if f.merge == "longest":
             aggregates.append(_longest(f, catalog).alias(f"m{n}"))
+        elif f.merge == "range":
+            aggregates += [column.alias(f"m{n}_{end}") for end, column in _range(f)]
+        else:
+            aggregates.append(_first(f, catalog).alias(f"m{n}"))
+    grouped = records.groupBy(F.xxhash64("cluster").alias("cluster_hash"), "cluster").agg(*aggregates, *extra)
+    if "keys" not in records.columns:
+        grouped = grouped.withColumn("recid", F.col("cluster"))
+    return shaped(grouped, catalog).drop("cluster_hash")
+
+
+def single_fields(catalog: Catalog) -> list[FieldSpec]:
+    """Fields that have one merged value per cluster."""
+    return [f for f in catalog if f.merge in SINGLE]
+
+
+def shaped(grouped: DataFrame, catalog: Catalog) -> DataFrame:
+    """The structs `merged` and `sort` in place of the columns `m0, m1, ...` of an aggregation of clusters."""
+    merged, sort = [], []
+    for n, f in enumerate(single_fields(catalog)):
+        if f.merge == "longest":
             disp = F.col(f"m{n}.disp")
             merged.append(disp.alias(f.name))
             if f.sortkey != "no":
                 body = skip_article(disp) if f.sortkey == "skiparticle" else disp
                 sort.append(F.coalesce(catalog.chain("sort").sort(body), disp).alias(f.name))
         elif f.merge == "range":
-            aggregates += [column.alias(f"m{n}_{end}") for end, column in _range(f)]
             pair = F.when(
                 F.col(f"m{n}_min").isNotNull(),
                 F.struct(F.col(f"m{n}_min").alias("min"), F.col(f"m{n}_max").alias("max")),
@@ -93,16 +124,12 @@ def merge_records(records: DataFrame, catalog: Catalog, extra: list[Column] = ()
             if f.sortkey != "no":
                 sort.append(pair.alias(f.name))
         else:
-            aggregates.append(_first(f, catalog).alias(f"m{n}"))
             merged.append(F.col(f"m{n}.values").alias(f.name))
-    grouped = records.groupBy(F.xxhash64("cluster").alias("cluster_hash"), "cluster").agg(*aggregates, *extra)
-    if "keys" not in records.columns:
-        grouped = grouped.withColumn("recid", F.col("cluster"))
     internal = [c for c in grouped.columns if c[0] == "m" and c[1:2].isdigit()]
     return (
         grouped.withColumn("merged", F.struct(*merged) if merged else F.lit(None))
         .withColumn("sort", F.struct(*sort) if sort else F.lit(None))
-        .drop("cluster_hash", *internal)
+        .drop(*internal)
     )
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 from functools import reduce
 from typing import Mapping, Sequence
@@ -11,7 +10,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from concord.catalog import Catalog, FieldSpec, parse_weight
-from concord.functions.chains import LETTERS, TextChain
+from concord.functions.chains import LETTERS, TextChain, clean_words
 from concord.functions.text import word_pattern
 from concord.operators.merge import merge_records
 from concord.operators.records import real_values, text_of
@@ -36,21 +35,13 @@ def query_terms(query: str | Sequence[str | tuple[str, str]], catalog: Catalog)
     for part in [query] if isinstance(query, str) else query:
         qualifier, text = (None, part) if isinstance(part, str) else part
         for word in text.split(" "):
-            terms += [Term(t, qualifier) for t in _clean(word, chain)]
+            terms += [Term(t, qualifier) for t in clean_words(word, chain)]
     kept: dict[str, Term] = {}
     for t in terms:
         kept.setdefault(t.text, t)
     return list(kept.values())
 
 
-def _clean(word: str, chain: TextChain) -> list[str]:
-    if chain is LETTERS:
-        return [w.lower() for w in re.findall("[A-Za-z]+", word)]
-    from pyspark.sql import SparkSession
-
-    return SparkSession.active().range(1).select(chain.tokens(F.lit(word)).alias("t")).first()["t"]
-
-
 # -- weighted term counts --------------------------------------------------------------------------------------------
 
 

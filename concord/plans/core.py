@@ -297,11 +297,11 @@ def facets_all(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def facets_year(spark: SparkSession, sf: str) -> DataFrame:
-    """Years of the whole texts: both ends of the range count."""
+    """All facets of the documents, with the years of the whole texts: both ends of a range count."""
     catalog = with_fields(DOCS, quality={"type": "year", "termlist": True, "sortkey": "no"})
     rows = docs_table(spark, sf).withColumn("quality", F.col("text"))
     records = _docs_records(rows, catalog)
-    return FA.facets(records, catalog).filter("facet = 'quality'")
+    return FA.facets(records, catalog)
 
 
 def _docs_records(rows: DataFrame, catalog: Catalog) -> DataFrame:
@@ -336,16 +336,14 @@ def _reported(spark: SparkSession, sf: str, term: str) -> DataFrame:
 
 @register
 def facets_reported(spark: SparkSession, sf: str) -> DataFrame:
-    counts = FA.facets(kept_offers(spark, sf), OFFERS, reported=_reported(spark, sf, "p_brand"))
-    return counts.filter("facet IN ('author', 'medium')")
+    return FA.facets(kept_offers(spark, sf), OFFERS, reported=_reported(spark, sf, "p_brand"))
 
 
 @register
 def facets_split(spark: SparkSession, sf: str) -> DataFrame:
     """Reported terms of the form id:term."""
     told = _reported(spark, sf, "concat(p_size, ':', p_brand)")
-    counts = FA.facets(kept_offers(spark, sf), OFFERS, reported=told, split={"author"})
-    return counts.filter("facet = 'author'")
+    return FA.facets(kept_offers(spark, sf), OFFERS, reported=told, split={"author"})
 
 
 @register

@@ -10,7 +10,7 @@ from concord.plans.core import QUERY, kept_offers, with_fields
 from concord.plans.sources import resolved
 from concord.plans.views import ARRIVAL, DOCS, OFFERS, offers_table, table
 from concord.session import scratch_path, stored
-from concord.sources import formats as FO, internal as I, marc as MA, settings as SE, sinks as SI
+from concord.sources import formats as FO, internal as I, marc as MA, settings as SE, sinks as SI, splits as SP
 
 QUERIES = {}
 
@@ -165,8 +165,50 @@ def marc_frame(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def marc_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Long rows of the MARC records: tags have three characters, values are trimmed."""
-    rows = MA.marc_rows(marc_frame(spark, sf), "p_partkey").filter("tag IN ('001', '245', '9', '945')")
-    return rows.select("p_partkey", "tag", "value", "code", "sub_value")
+    return MA.marc_rows(marc_frame(spark, sf), "p_partkey").select("p_partkey", "tag", "value", "code", "sub_value")
+
+
+def _files(spark: SparkSession, records: DataFrame, name: str) -> str:
+    """Records `p_size, value` as a file of XML per size, with line breaks inside the records; the path of the folder."""
+    path = scratch_path(spark, name)
+    lines = records.select("p_size", F.regexp_replace("value", "><", ">\n<").alias("value"))
+    lines.repartition("p_size").write.partitionBy("p_size").text(path)
+    return path
+
+
+@register
+def marc_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The long rows of MARC records that are read from files, in splits."""
+    path = _files(spark, parts(spark, sf).select("p_size", _marc(False).alias("value")), "marc")
+    found = MA.marc_rows(MA.read_marcxml(spark, path), "c001").filter("tag <> '001'")
+    key = F.regexp_extract("c001", r"(\d+)", 1).cast("bigint").alias("p_partkey")
+    return found.select(key, "tag", "value", "code", "sub_value")
+
+
+def _part_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Internal records of the parts; every 50th lacks its end, and every 70th is empty."""
+    title = leaf("metadata", F.col("p_name"), type="title")
+    medium = leaf("metadata", F.col("p_type"), type="medium", rank="3")
+    key = leaf("metadata", F.col("p_partkey"), type="id")
+    broken = F.concat(F.lit("<record>"), title, F.lit('<metadata type="medium">lost'))
+    value = F.when(F.col("p_partkey") % 50 == 0, broken).when(F.col("p_partkey") % 70 == 0, "<record/>")
+    return parts(spark, sf).select("p_size", F.coalesce(value, tag("record", title, medium, key)).alias("value"))
+
+
+@register
+def record_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of internal records that are read from files, in splits."""
+    rows = I.read_records(spark, _files(spark, _part_records(spark, sf), "internal"))
+    rows = I.first_values(rows).select(F.posexplode_outer("values").alias("n", "v")).filter("v IS NOT NULL")
+    return rows.groupBy("v.field", "v.value", F.col("v.attrs")["rank"].alias("rank")).agg(F.count(F.lit(1)).alias("records"))
+
+
+@register
+def converted_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of internal records to documents in as many tasks as there are splits, with a log per file."""
+    source = _files(spark, _part_records(spark, sf), "internal")
+    done = SP.convert_records(spark, source, scratch_path(spark, "converted"), I.parse_payloads)
+    return done.log.select(F.regexp_extract("file", r"p_size=(\d+)", 1).cast("int").alias("p_size"), "documents", "failures")
 
 
 @register

@@ -222,7 +222,8 @@ SQL["facets_all"] = f"""WITH {DOCS} SELECT 'lang' AS facet, lang AS norm, lang A
     WHERE lang <> '' GROUP BY lang"""
 SQL["facets_year"] = f"""WITH docs AS (SELECT doc_id, list_filter(regexp_extract_all(text, '\\d+'), lambda x: length(x) = 4) AS y FROM documents),
     ends AS (SELECT unnest(list_distinct([list_min(y)::INT::VARCHAR, list_max(y)::INT::VARCHAR])) AS term FROM docs WHERE len(y) > 0)
-    SELECT 'quality' AS facet, term AS norm, term AS display, count(*) AS frequency FROM ends GROUP BY term"""
+    SELECT 'quality' AS facet, term AS norm, term AS display, count(*) AS frequency FROM ends GROUP BY term
+    UNION ALL SELECT 'lang', lang, lang, count(*) FROM documents WHERE lang <> '' GROUP BY lang"""
 SQL["facets_scaled"] = f"""{KEPT}, {OFFER_TERMS},
     factors AS (SELECT s_name AS source, greatest(greatest(floor(s_acctbal), 0)::BIGINT, 100) // 100 AS factor FROM supplier),
     counts AS (SELECT facet, term AS display, sum(factor)::BIGINT AS frequency FROM terms JOIN factors USING (source) GROUP BY facet, term)
@@ -235,13 +236,13 @@ REPORTED = """
 SQL["facets_reported"] = f"""{KEPT}, {OFFER_TERMS}, {REPORTED.format(term='p_brand')},
     every AS (
         SELECT facet, term, 1 AS frequency FROM terms
-        WHERE facet = 'medium' OR facet = 'author' AND source NOT IN (SELECT source FROM told)
+        WHERE facet <> 'author' OR source NOT IN (SELECT source FROM told)
         UNION ALL SELECT 'author', term, frequency FROM told)
     SELECT facet, term AS norm, term AS display, sum(frequency)::BIGINT AS frequency FROM every GROUP BY facet, term"""
 _SPLIT = REPORTED.format(term="p_size || ':' || p_brand")
 SQL["facets_split"] = f"""{KEPT}, {OFFER_TERMS}, {_SPLIT},
     every AS (
-        SELECT facet, term, 1 AS frequency FROM terms WHERE facet = 'author' AND source NOT IN (SELECT source FROM told)
+        SELECT facet, term, 1 AS frequency FROM terms WHERE facet <> 'author' OR source NOT IN (SELECT source FROM told)
         UNION ALL SELECT 'author', split_part(term, ':', 2), frequency FROM told)
     SELECT facet, term AS norm, term AS display, sum(frequency)::BIGINT AS frequency FROM every GROUP BY facet, term"""
 SQL["facet_id_lookup"] = f"""WITH {_SPLIT}

@@ -111,15 +111,43 @@ MARC = fields(
 )
 SQL["marc21_fields"] = MARC
 SQL["turbomarc_fields"] = MARC
-_ROW = "SELECT p_partkey, '{}' AS tag, {} AS value, {} AS code, {} AS sub_value FROM part"
-SQL["marc_rows"] = " UNION ALL ".join(
-    [_ROW.format("001", f"CASE WHEN {K} % 2 = 0 THEN 'ocm' ELSE 'x' END || {K}", "NULL", "NULL")]
-    + [_ROW.format("245", "NULL", f"'{c}'", v) for c, v in (("a", f"{NAME} || ' :'"), ("b", KIND), ("c", BRAND))]
-    + [
-        _ROW.format("945", "NULL", f"'{c}'", v)
-        for c, v in (("a", KIND), ("b", f"'C' || {SIZE}"), ("s", f"CASE {SIZE} % 2 WHEN 0 THEN 'N' ELSE '-' END"), ("d", "'due'"))
-    ]
-)
+_ROW = "SELECT p_partkey, '{}' AS tag, {} AS value, {} AS code, {} AS sub_value FROM part WHERE {}"
+
+
+def _control(number: str, value: str) -> str:
+    return _ROW.format(number, value, "NULL", "NULL", ALL)
+
+
+def _data(number: str, subfields: list[tuple[str, str]], where: str = ALL) -> str:
+    return " UNION ALL ".join(_ROW.format(number, "NULL", f"'{code}'", value, where) for code, value in subfields)
+
+
+_C007 = f"CASE {SIZE} % 4 WHEN 1 THEN 'sd fsngnn' WHEN 2 THEN 'vd cvaizq' ELSE 'ta' END"
+_C008 = f"""'960101' || CASE WHEN {K} % 2 = 0 THEN 's' ELSE 'd' END || {YEAR} || ({YEAR} + 9) || 'xxu   n' || ' '
+    || CASE WHEN {K} % 5 = 0 THEN 'o' ELSE ' ' END || '         v  eng'"""
+_DATA = [
+    _data("020", [("a", f"'isbn ' || {K}")]),
+    _data("035", [("b", f"'nr ' || {K}")]),
+    _data("100", [("a", f"{BRAND} || ', Ann B.'")]),
+    _data("245", [("a", f"{NAME} || ' :'"), ("b", KIND), ("c", BRAND)]),
+    _data("260", [("c", f"'[c' || {YEAR} || '].'")], f"{K} % 3 = 0"),
+    _data("500", [("a", "'note & more'"), ("b", NAME)]),
+    _data("650", [("a", KIND), ("x", f"{NAME} || ','"), ("z", BRAND)]),
+    _data("650", [("a", NAME)]),
+    _data("773", [("t", f"'Journal of ' || {NAME}"), ("g", SUBPART)], f"{K} % 4 = 0"),
+    _data("852", [("a", "'Main'"), ("b", KIND), ("h", f"'QA ' || {SIZE}"), ("i", BRAND), ("y", f"({SIZE} % 2)::VARCHAR")]),
+    _data("856", [("u", f"'http://x/' || {K}"), ("3", "'Full text'")]),
+    _data("903", [("a", f"({YEAR} + 1)::VARCHAR")], f"{K} % 7 = 0"),
+    _data("945", [("a", KIND), ("b", f"'C' || {SIZE}"), ("s", f"CASE {SIZE} % 2 WHEN 0 THEN 'N' ELSE '-' END"), ("d", "'due'")]),
+]
+_ID = f"CASE WHEN {K} % 2 = 0 THEN 'ocm' ELSE 'x' END || {K}"
+SQL["marc_rows"] = " UNION ALL ".join([_control("001", _ID), _control("007", _C007), _control("008", _C008), *_DATA])
+SQL["marc_files"] = " UNION ALL ".join([_control("007", _C007), _control("008", _C008), *_DATA])
+_GOOD = f"FROM part WHERE {K} % 50 <> 0 AND {K} % 70 <> 0"
+SQL["record_files"] = f"""SELECT field, value, rank, count(*) AS records FROM (
+    SELECT 'title' AS field, {NAME} AS value, NULL AS rank {_GOOD} UNION ALL SELECT 'medium', {KIND}, '3' {_GOOD}
+    UNION ALL SELECT 'id', {K}::VARCHAR, NULL {_GOOD}) GROUP BY ALL"""
+SQL["converted_records"] = f"""SELECT p_size, count_if({K} % 50 <> 0) AS documents, count_if({K} % 50 = 0) AS failures FROM part GROUP BY p_size"""
 _SIMPLE = f"CASE WHEN {K} % 4 = 0 THEN 'article' ELSE 'book' END"
 SQL["marc_mapping"] = fields(
     "part",

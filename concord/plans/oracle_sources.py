@@ -85,7 +85,7 @@ SQL["limit_clusters_list"] = f"{KEPT} SELECT key AS recid, count(*) AS members F
 SQL["limit_ids"] = """WITH ids AS (
         SELECT s_name AS source, p_brand AS term, max(p_size)::VARCHAR AS id
         FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
-        WHERE s_nationkey < 12 AND p_size > 40 AND l_quantity > 40 GROUP BY s_name, p_brand),
+        WHERE s_nationkey < 12 GROUP BY s_name, p_brand),
     asked AS (SELECT s_name AS source, facet, value FROM supplier,
         (VALUES ('author', 'Brand#2'), ('author', 'Brand#4'), ('medium', 'LARGE')) want(facet, value)),
     found AS (SELECT asked.*, id, asked.source IN (SELECT source FROM ids) AND facet = 'author' AS has_ids
@@ -93,11 +93,30 @@ SQL["limit_ids"] = """WITH ids AS (
     SELECT source, facet, value, coalesce(id, value) AS id FROM found
     WHERE source NOT IN (SELECT source FROM found WHERE has_ids AND id IS NULL)"""
 SQL["slice_sources"] = f"""{OFFERS} SELECT {COLUMNS}, position FROM rows
-    WHERE position > 5 AND position <= 5 + CASE WHEN s_nationkey BETWEEN 1 AND 5 THEN s_nationkey ELSE 20 END"""
+    WHERE position > 5 AND position <= 5 + CASE WHEN s_nationkey < 6 THEN s_nationkey ELSE 20 END"""
 _ANY = "list_contains(string_split(lower(title || ' ' || medium), ' '), '{}')"
 SQL["match_terms"] = f"""{OFFERS} SELECT {COLUMNS} FROM rows
     WHERE {_ANY.format('widget')} AND ({_ANY.format('large')} OR {_ANY.format('small')}) AND NOT {_ANY.format('red')}"""
 SQL["match_phrase"] = f"SELECT doc_id FROM documents WHERE contains(' ' || {words('text')} || ' ', ' de la ')"
+_PLACES = f"""places AS MATERIALIZED (
+        SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (
+            SELECT doc_id, string_split({words('text')}, ' ') AS w FROM documents)),
+    spans AS (
+        SELECT doc_id, 'side_by_side' AS condition, min(y.pos - x.pos) AS span FROM places x JOIN places y USING (doc_id)
+        WHERE x.word = 'the' AND y.word = 'of' AND y.pos > x.pos GROUP BY doc_id
+        UNION ALL SELECT doc_id, 'close', min(abs(y.pos - x.pos)) FROM places x JOIN places y USING (doc_id)
+        WHERE x.word = 'la' AND y.word = 'de' GROUP BY doc_id
+        UNION ALL SELECT y.doc_id, 'loose', min(z.pos - (SELECT max(x.pos) FROM places x WHERE x.doc_id = y.doc_id AND x.word = 'of' AND x.pos < y.pos))
+        FROM (SELECT doc_id, pos, (SELECT min(z.pos) FROM places z WHERE z.doc_id = p.doc_id AND z.word = 'the' AND z.pos > p.pos) AS after
+            FROM places p WHERE word = 'and') y JOIN places z ON z.doc_id = y.doc_id AND z.pos = y.after GROUP BY y.doc_id
+        UNION ALL SELECT t.doc_id, 'twice', min(greatest(i.pos, t.later) - least(i.pos, t.pos)) FROM (
+            SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS later FROM places WHERE word = 'the') t
+        JOIN places i ON i.doc_id = t.doc_id AND i.word = 'in' WHERE later IS NOT NULL GROUP BY t.doc_id)"""
+SQL["near_spans"] = f"""WITH {_PLACES} SELECT doc_id, min(span) FILTER (WHERE condition = 'side_by_side') AS side_by_side,
+    min(span) FILTER (WHERE condition = 'close') AS close, min(span) FILTER (WHERE condition = 'loose') AS loose,
+    min(span) FILTER (WHERE condition = 'twice') AS twice FROM spans WHERE span IS NOT NULL GROUP BY doc_id"""
+SQL["match_near"] = f"""WITH {_PLACES} SELECT doc_id, condition FROM spans
+    WHERE span <= CASE condition WHEN 'side_by_side' THEN 1 WHEN 'close' THEN 3 ELSE 10 END"""
 SQL["match_truncated"] = f"""{OFFERS} SELECT {COLUMNS} FROM rows
     WHERE (len(list_filter(string_split(title, ' '), lambda x: starts_with(x, 'wid') OR ends_with(x, 'ate'))) > 0) AND yr BETWEEN 1997 AND 1999"""
 SQL["match_open_range"] = f"{OFFERS} SELECT {COLUMNS} FROM rows WHERE yr <= 1995"
@@ -118,6 +137,9 @@ _KEYS = f"""keyed AS (
     reach AS (SELECT t AS k, t AS r FROM keyed UNION SELECT b, b FROM keyed UNION SELECT reach.k, links.v FROM reach JOIN links ON reach.r = links.u),
     roots AS (SELECT k, min(r) AS cluster FROM reach GROUP BY k)"""
 SQL["multi_key_clusters"] = f"WITH RECURSIVE {_KEYS} SELECT doc_id, cluster FROM keyed JOIN roots ON t = k"
+SQL["cluster_keys"] = f"WITH RECURSIVE {_KEYS} SELECT DISTINCT cluster, key FROM (SELECT cluster, unnest([t, b]) AS key FROM keyed JOIN roots ON t = k)"
+SQL["record_by_key"] = f"""WITH RECURSIVE {_KEYS}, found AS (SELECT doc_id, cluster FROM keyed JOIN roots ON t = k)
+    SELECT asked.n, f.doc_id FROM (VALUES (0, 3), (1, 30), (2, 60)) asked(n, id) JOIN found w ON w.doc_id = asked.id JOIN found f ON f.cluster = w.cluster"""
 SQL["multi_key_merged"] = f"""WITH RECURSIVE {_KEYS},
     kept AS (SELECT doc_id AS arr, t, cluster, title FROM keyed JOIN roots ON t = k
         QUALIFY row_number() OVER (PARTITION BY cluster, source, {trimmed('title')}, {trimmed('text')}, lang, quality ORDER BY doc_id) = 1)
@@ -134,9 +156,15 @@ SQL["normalize_scores_ols"] = f"""{_KEPT}
     SELECT source, CASE WHEN any_value(m) = 0 THEN 1000000.0 ELSE round(regr_slope(1.0::DOUBLE / position, price) * 1e6, 6) END AS a_millionth,
         CASE WHEN any_value(m) = 0 THEN 0.0 ELSE round(regr_intercept(1.0::DOUBLE / position, price), 6) END AS b
     FROM scored WHERE m < 2 GROUP BY source"""
-SQL["native_cluster_scores"] = f"""{_KEPT}, {rank(WIDGET)},
-    best AS (SELECT key, trunc(10000 * max(1.0::DOUBLE / position))::BIGINT AS s FROM scored WHERE m = 0 GROUP BY key)
+_NORMAL = f"""{_KEPT}, {rank(WIDGET)},
+    given AS (SELECT s.*, 1.0::DOUBLE / position AS t, CASE m WHEN 0 THEN 1.0::DOUBLE / position WHEN 1 THEN price ELSE relevance::DOUBLE END AS own
+        FROM scored s JOIN ranked ON key = recid),
+    fit AS (SELECT source, CASE WHEN any_value(m) = 0 THEN 1.0 ELSE coalesce(regr_slope(t, own), 0) END AS a, any_value(m) AS kind, avg(t) AS t, avg(own) AS o
+        FROM given GROUP BY source),
+    normal AS (SELECT key, arr, a * own + CASE WHEN kind = 0 THEN 0 ELSE fit.t - a * o END AS score FROM given JOIN fit USING (source))"""
+SQL["native_cluster_scores"] = f"""{_NORMAL},
+    best AS (SELECT key, trunc(10000 * max(score))::BIGINT AS s FROM normal GROUP BY key)
     SELECT recid, coalesce(s, relevance) AS relevance FROM ranked LEFT JOIN best ON key = recid"""
-SQL["native_cluster_first"] = f"""{_KEPT}, {rank(WIDGET)},
-    best AS (SELECT key, trunc(10000 * min_by(1.0::DOUBLE / position, arr))::BIGINT AS s FROM scored WHERE m = 0 GROUP BY key)
+SQL["native_cluster_first"] = f"""{_NORMAL},
+    best AS (SELECT key, trunc(10000 * min_by(score, arr))::BIGINT AS s FROM normal GROUP BY key)
     SELECT recid, coalesce(s, relevance) AS relevance FROM ranked LEFT JOIN best ON key = recid"""

@@ -2,8 +2,25 @@
 
 from __future__ import annotations
 
+from concord.plans.oracle_sources import SQL as SOURCES
+
 LETTERS = "translate(user_id::VARCHAR, '0123456789', 'abcdefghij')"
+_RANKED = f"""WITH e AS (SELECT event_id, event_type, value, year(ts) AS yr, {LETTERS} AS user FROM events),
+    c AS (SELECT user, count(*) AS members, min(event_id) AS first_event, count_if(event_type = 'error') AS n0, count_if(event_type = 'click') AS n1,
+        min(event_id) FILTER (event_type = 'error') AS h0, min(event_id) FILTER (event_type = 'click') AS h1,
+        first(event_type ORDER BY strlen(event_type) DESC, event_id) AS medium, min(value) AS low, max(value) AS high, min(yr) AS first_year
+        FROM e GROUP BY user),
+    f AS (SELECT (SELECT count(*) FROM e) AS n, count_if(event_id >= h0) AS df0, count_if(event_id >= h1) AS df1 FROM e JOIN c USING (user))"""
+
+
+def _score(i: int) -> str:
+    return f"CASE WHEN df{i} > 0 THEN trunc(100000 * (2.0 * n{i}) * ln((1 + n) / df{i})) ELSE 0 END"
+
+
 SQL = {
+    "stream_components": SOURCES["multi_key_clusters"],
+    "stream_ranked": f"""{_RANKED} SELECT 'content: title ' || user AS recid, members, ({_score(0)} + {_score(1)})::BIGINT AS relevance,
+        first_event, user AS title, medium, low, high, first_year FROM c, f""",
     "stream_facets": f"""WITH terms AS (
         SELECT 'title' AS facet, {LETTERS} AS norm FROM events UNION ALL SELECT 'medium', event_type FROM events
         UNION ALL SELECT 'date', year(ts)::VARCHAR FROM events)

@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from concord.operators import clusters as C, facets as FA, filters as FI, merge as M, native as N, rank as R, records as RE
 from concord.operators import settings as S, status as ST
+from concord.functions.chains import LETTERS
+from concord.functions.proximity import Near, span
 from concord.functions.text import az_joined
 from concord.plans.core import QUERY, kept_docs, kept_offers, with_fields
 from concord.plans.views import ARRIVAL, DOCS, OFFERS, docs, docs_table, offers, offers_table, table
+from concord.session import stored
+from concord.sources import sinks as SI
 
 QUERIES = {}
 
@@ -241,11 +245,11 @@ def limit_clusters_list(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def limit_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Limit values as the sources know them; a source with ids but without the term is left out."""
-    line = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_quantity")
+    line = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey")
     part = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size")
     supplier = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     joined = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    told = joined.filter("s_nationkey < 12 AND p_size > 40 AND l_quantity > 40")
+    told = joined.filter("s_nationkey < 12")  # the sources that have ids
     ids = told.groupBy(F.col("s_name").alias("source"), F.lit("author").alias("facet"), F.col("p_brand").alias("term")).agg(
         F.max("p_size").cast("string").alias("id")
     )
@@ -266,6 +270,31 @@ def match_terms(spark: SparkSession, sf: str) -> DataFrame:
     return arrival_columns(offers(spark, sf).filter(condition))
 
 
+NEAR = (
+    ("side_by_side", ("the", "of"), 1, True),
+    ("close", ("la", "de"), 3, False),
+    ("loose", ("of", "and", "the"), 10, True),
+    ("twice", ("the", "the", "in"), 10, False),
+)
+
+
+@register
+def near_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """The narrowest window of some words in every whole text, in order and in any order."""
+    tokens = LETTERS.tokens(F.col("text"))
+    found = table(spark, sf, "documents").select("doc_id", tokens.alias("tokens"))
+    spans = [span(F.col("tokens"), words, ordered).alias(name) for name, words, _, ordered in NEAR]
+    return found.select("doc_id", *spans).filter(" OR ".join(f"{name} IS NOT NULL" for name, *_ in NEAR))
+
+
+@register
+def match_near(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with words near each other, at distances 1, 3 and 10, one condition or another."""
+    rows = docs(spark, sf)
+    asked = [(name, rows.filter(FI.match(DOCS, near=Near(words, distance, ordered), field="body"))) for name, words, distance, ordered in NEAR]
+    return RE.union_sources([r.select(F.col("arrival").alias("doc_id"), F.lit(name).alias("condition")) for name, r in asked])
+
+
 @register
 def match_phrase(spark: SparkSession, sf: str) -> DataFrame:
     """Words side by side in the whole texts."""
@@ -325,6 +354,22 @@ def multi_key_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return C.assign_clusters(keyed_docs(spark, sf)).select(F.col("arrival").alias("doc_id"), "cluster")
 
 
+@register
+def cluster_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """All keys of all clusters."""
+    return C.key_index(C.assign_clusters(keyed_docs(spark, sf)))
+
+
+@register
+def record_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    """The members of the clusters of three documents, each found by the key of its text and not by the id of its cluster."""
+    records = stored(C.assign_clusters(keyed_docs(spark, sf)), "records")
+    clusters, index = M.merge_records(records, DOCS), C.key_index(records)
+    asked = [r[0] for r in records.filter("arrival IN (3, 30, 60)").orderBy("arrival").select(F.col("keys")[1]).collect()]
+    found = [SI.get_record(clusters, records, key, keys=index).select(F.lit(n).alias("n"), F.col("arrival").alias("doc_id")) for n, key in enumerate(asked)]
+    return RE.union_sources(found) if found else records.select(F.lit(0).alias("n"), F.col("arrival").alias("doc_id")).limit(0)
+
+
 @register
 def multi_key_merged(spark: SparkSession, sf: str) -> DataFrame:
     """Merged clusters of documents with two keys: the id is the first key of the first document."""
@@ -367,15 +412,13 @@ def normalize_scores_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def native_cluster_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Relevance from the scores of the sources, the best member decides."""
-    clusters, scores = _scored(spark, sf)
-    by_position = scores.filter("mode = 'position'")
-    return N.cluster_scores(clusters, N.normalize_scores(by_position, "ols")).select("recid", "relevance")
+    """Relevance from the scores of all sources, whatever kind they have, the best member decides."""
+    clusters, scores = _scored(spark, sf, internal=True)
+    return N.cluster_scores(clusters, N.normalize_scores(scores, "ols")).select("recid", "relevance")
 
 
 @register
 def native_cluster_first(spark: SparkSession, sf: str) -> DataFrame:
     """The same with the score of the first member."""
-    clusters, scores = _scored(spark, sf)
-    by_position = scores.filter("mode = 'position'")
-    return N.cluster_scores(clusters, N.normalize_scores(by_position, "ols"), "first").select("recid", "relevance")
+    clusters, scores = _scored(spark, sf, internal=True)
+    return N.cluster_scores(clusters, N.normalize_scores(scores, "ols"), "first").select("recid", "relevance")

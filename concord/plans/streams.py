@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from concord.catalog import Catalog, FieldSpec
-from concord.operators import clusters as C, filters as FI, records as RE
+from concord.operators import clusters as C, filters as FI, rank as R, records as RE
 from concord.plans.views import table
+from concord.session import scratch_path
 from concord.sources.internal import parse_payloads
-from concord.streaming import intake as ST
+from concord.plans.sources import keyed_docs
+from concord.streaming import intake as ST, linked as SL, ranked as SR
 
 QUERIES = {}
 
@@ -101,3 +106,73 @@ def stream_intake(spark: SparkSession, sf: str) -> DataFrame:
     payloads = ST.stream_table(spark, sf, "events").select(F.col("event_type").alias("source"), text.alias("payload"))
     parsed = parse_payloads(payloads).withColumn("filtered", F.lit(False))
     return _finish(spark, ST.stream_status(parsed), "intake", ["source"])
+
+
+# -- several batches -------------------------------------------------------------------------------------------------------
+
+
+def _in_batches(table_: DataFrame, order: str, folder: str, run: Callable[[], StreamingQuery], parts: int = 3) -> None:
+    """Write a table to a folder in `parts` ranges of `order`, and run a stream from its checkpoint behind each."""
+    low, high = table_.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        low = high = 0
+    step = (high - low) // parts + 1
+    for k in range(parts):
+        table_.filter(F.col(order).between(low + k * step, low + (k + 1) * step - 1)).write.mode("append").parquet(folder)
+        run().awaitTermination()
+
+
+def _event_stream(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
+    return spark.readStream.schema(rows.schema).parquet(folder)
+
+
+RANKED = Catalog(
+    (
+        FieldSpec("title", merge="longest", mergekey="required", sortkey="text", rank="1"),
+        FieldSpec("medium", merge="longest", rank="2"),
+        FieldSpec("date", type="year", merge="range", sortkey="numeric"),
+        FieldSpec("value", type="float", merge="range"),
+    )
+)
+ASKED = "error click"
+
+
+def _ranked_records(events: DataFrame) -> DataFrame:
+    columns = {"title": LETTERS, "medium": "event_type", "date": "year(ts)", "value": "value"}
+    return C.with_merge_key(RE.table_records(events, RANKED, columns, "event_type", "event_id", "0"), RANKED)
+
+
+@register
+def stream_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters of users, ranked by the events so far, after three runs of a stream that goes on from its checkpoint."""
+    events, terms = table(spark, sf, "events"), R.query_terms(ASKED, RANKED)
+    folder, path, checkpoint = (scratch_path(spark, f"ranked-{n}") for n in ("in", "out", "checkpoint"))
+    own = ST.stream_session(spark)
+
+    def run() -> StreamingQuery:
+        stream = SR.ranked_stream(_ranked_records(_event_stream(own, events, folder)), RANKED, terms)
+        return SR.write_ranked(stream, path, checkpoint)
+
+    _in_batches(events, "event_id", folder, run)
+    found = SR.running_ranks(spark, path, RANKED, terms)
+    return found.select(
+        "recid",
+        "members",
+        "relevance",
+        F.col("first_arrival").alias("first_event"),
+        F.col("merged.title").alias("title"),
+        F.col("merged.medium").alias("medium"),
+        F.col("merged.value.min").alias("low"),
+        F.col("merged.value.max").alias("high"),
+        F.col("merged.date.min").alias("first_year"),
+    )
+
+
+@register
+def stream_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters of documents by two keys, kept up by three runs of a stream; later documents join older clusters."""
+    records = keyed_docs(spark, sf).select("arrival", "keys")
+    folder, path, checkpoint = (scratch_path(spark, f"linked-{n}") for n in ("in", "out", "checkpoint"))
+    _in_batches(records, "arrival", folder, lambda: SL.write_links(_event_stream(spark, records, folder), path, checkpoint))
+    found = SL.with_running_clusters(spark.read.schema(records.schema).parquet(folder), SL.running_components(spark, path))
+    return found.select(F.col("arrival").alias("doc_id"), "cluster")

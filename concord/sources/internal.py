@@ -7,6 +7,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from concord.operators.records import ATTRS
+from concord.sources.splits import split_records
 
 RAW_VALUES = f"array<struct<field:string,value:string,attrs:{ATTRS}>>"
 XML_OPTIONS = {"mode": "PERMISSIVE", "ignoreNamespace": "true", "ignoreSurroundingSpaces": "false"}
@@ -59,15 +60,9 @@ def parse_payloads(payloads: DataFrame, column: str = "payload", attributes: Seq
 def read_records(
     spark: SparkSession, path: str, row_tag: str = "record", attributes: Sequence[str] = ("rank",)
 ) -> DataFrame:
-    """Records of internal XML files: `file, key, values, failure`. Broken records are rows with a failure."""
-    schema = f"_mergekey string, metadata {_metadata_schema(attributes)}, _corrupt_record string"
-    rows = spark.read.format("xml").options(**XML_OPTIONS, rowTag=row_tag).schema(schema).load(path)
-    return rows.select(
-        F.input_file_name().alias("file"),
-        F.col("_mergekey").alias("key"),
-        _values(F.col("metadata"), attributes).alias("values"),
-        F.when(F.col("_corrupt_record").isNotNull(), "ingest").alias("failure"),
-    )
+    """Sub-records of internal XML files: `file, block, subrecords, failure`, files read in splits. Broken records are rows with
+    a failure."""
+    return parse_payloads(split_records(spark, path, row_tag), attributes=attributes).drop("payload")
 
 
 def first_values(payloads: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from concord.sources.internal import RAW_VALUES
+from concord.sources.splits import split_records
 
 XML_OPTIONS = {"mode": "PERMISSIVE", "ignoreNamespace": "true"}
 SUBFIELDS = "array<struct<code:string,value:string>>"
@@ -235,17 +236,8 @@ def parse_turbomarc(payloads: DataFrame, column: str = "payload") -> DataFrame:
 
 
 def read_marcxml(spark: SparkSession, path: str, row_tag: str = "record") -> DataFrame:
-    """MARC frame `file, leader, fields, failure` out of MARCXML files."""
-    rows = spark.read.format("xml").options(**XML_OPTIONS, rowTag=row_tag).schema(MARC_SCHEMA).load(path)
-    parsed = rows.select(F.input_file_name().alias("file"), F.struct("*").alias("x"))
-    return _with_controls(
-        parsed.select(
-            "file",
-            F.col("x.leader").alias("leader"),
-            _marc_fields("x").alias("fields"),
-            F.when(F.col("x._corrupt_record").isNotNull(), "ingest").alias("failure"),
-        )
-    )
+    """MARC frame `file, block, leader, fields, failure` out of MARCXML files, read in splits."""
+    return parse_marcxml(split_records(spark, path, row_tag)).drop("payload")
 
 
 def marc_rows(marc: DataFrame, *keep: str) -> DataFrame:

@@ -94,9 +94,16 @@ def get_record(
     recid: str,
     offset: int | None = None,
     checksum_: int | None = None,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
-    """Members of one cluster in order of arrival; one of them by its offset or by its checksum."""
-    one = clusters.filter(F.col("recid") == recid).select("cluster", "recid")
+    """Members of one cluster in order of arrival; one of them by its offset or by its checksum.
+
+    With an index `keys` (`cluster, key`, see `key_index`), `recid` may be any key of the cluster, also one that the cluster
+    took over when others were joined to it.
+    """
+    one = clusters.filter(F.col("recid") == recid).select("cluster")
+    if keys is not None:
+        one = one.union(keys.filter(F.col("key") == recid).select("cluster"))
     members = records.join(one, "cluster", "left_semi").withColumn(
         "checksum", checksum(F.col("source"), F.col("position"))
     )

@@ -19,6 +19,23 @@ from concord.operators.merge import merge_records
 from concord.operators.status import ACTIVE
 from concord.session import scratch_path
 from concord.sources.internal import parse_payloads
+from concord.sources.splits import stream_split_records
+
+
+def stream_session(spark: SparkSession, **settings: str) -> SparkSession:
+    """A session of its own for streams whose state is typed or kept for a time, with the state store that they need; the
+    caller's session keeps its settings. `settings` are further ones, with `_` for `.` in names."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
+    for name, value in settings.items():
+        own.conf.set(name.replace("_", "."), value)
+    return own
+
+
+#: Keeps state on disk, by column families, with times to live.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,10 +44,11 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def stream_records(spark: SparkSession, folder: str, attributes: Sequence[str] = ("rank",), per_trigger: int = 1000) -> DataFrame:
-    """Files of internal XML as a stream of parsed payloads: `file, payload, subrecords, failure`."""
-    files = spark.readStream.option("wholetext", "true").option("maxFilesPerTrigger", str(per_trigger)).text(folder)
-    return parse_payloads(files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("payload")), attributes=attributes)
+def stream_records(
+    spark: SparkSession, folder: str, attributes: Sequence[str] = ("rank",), per_trigger: int = 1000, row_tag: str = "record"
+) -> DataFrame:
+    """Files of internal XML as a stream of parsed records, files read in splits: `file, block, payload, subrecords, failure`."""
+    return parse_payloads(stream_split_records(spark, folder, row_tag, per_trigger), attributes=attributes)
 
 
 def stream_facets(records: DataFrame, catalog: Catalog) -> DataFrame:
