@@ -1,9 +1,9 @@
 """Mixing sources to target weights: iterative proportional fitting over source, language and topic, then sampling.
 
 Tokens are summed per cell (source, language, topic). The fit scales cells in turn to the targets of each marginal until
-all three hold. A document is taken with the probability by which the fitted tokens of its cell stand to its tokens, drawn by
-a hash of its id. The bounded fit never wants more tokens than a cell has: what a full cell can't give goes to the others, and
-targets that the tokens can't meet are told.
+all three hold. It never wants more tokens than a cell has: what a full cell can't give goes to the others, and targets that
+the tokens can't meet are told. A document is taken with the probability by which the fitted tokens of its cell stand to its
+tokens, drawn by a hash of its id.
 """
 
 from __future__ import annotations
@@ -11,16 +11,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from concord.session import stored
 
 DIMENSIONS = ("source", "lang", "topic")
 _CELL = tuple(f"cell_{d}" for d in DIMENSIONS)
-#: Rounds of the fit at most, and the largest relative distance from a target at which it ends.
-ROUNDS, TOLERANCE = 40, 1e-9
-#: The same distance for the bounded fit, whose last cells fill up slowly.
-BOUNDED_TOLERANCE = 1e-6
+_ADDED = ("topic", "n_tokens", "rate", "taken", "settled", *_CELL, "cell_rate")
+#: Rounds of the fit at most, the relative distance from a marginal at which it ends before, and that at which it counts as settled.
+ROUNDS, EXACT, TOLERANCE = 40, 1e-11, 1e-6
 #: Stands for a missing source or language.
 NONE = "(none)"
 SEED = "mix-1"
@@ -64,108 +63,101 @@ def described(docs: DataFrame, topics: Sequence[tuple[str, str]] = TOPICS) -> Da
     )
 
 
-def fit(cells: DataFrame, targets: Targets, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """`cells` (`cell_source, cell_lang, cell_topic, tokens`) with `fitted`, tokens of a cell in the mix.
+def _targets(cells: DataFrame, targets: Targets) -> DataFrame:
+    """`cells` with tokens, and with `target_d` and `wanted_d` of every dimension d: the target by share; and the target where the
+    value has as many tokens, all it has otherwise, with what is then missing dealt over the rest by the same shares.
 
-    Every round is stored, so that the plan doesn't grow with the rounds. Marginals that can't all be met (empty cells)
-    end after `rounds` with the last scaling exact; that is the column `settled`.
+    Values that have too little are those with the least tokens for their target. In that order it is known for each value
+    by how much the targets from it on would be raised, and the first that has more than its raised target ends the search.
     """
-    cells = cells.filter("tokens > 0")
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    cells = cells.withColumn("fitted", F.col("tokens") * F.lit(targets.budget))
-    wanted = {}
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    budget = F.lit(total * targets.budget)
+    every = [
+        cells.select(F.lit(d).alias("dimension"), F.col(f"cell_{d}").alias("value"), "tokens", F.lit(getattr(targets, d)).alias("power"))
+        for d in DIMENSIONS
+    ]
+    values = every[0].unionByName(every[1]).unionByName(every[2]).groupBy("dimension", "value", "power")
+    values = values.agg(F.sum("tokens").cast("double").alias("own")).withColumn("share", F.pow("own", "power"))
+    whole = W.partitionBy("dimension")
+    values = values.withColumn("target", F.col("share") / F.sum("share").over(whole) * budget)
+    order = whole.orderBy(F.col("own") / F.col("target"), "value")
+    values = values.withColumns(
+        {
+            "poorer": F.coalesce(F.sum("own").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)),
+            "rest": F.sum("target").over(order.rowsBetween(0, W.unboundedFollowing)),
+        }
+    ).withColumn("raised", (budget - F.col("poorer")) / F.col("rest"))
+    enough = F.col("own") > F.col("target") * F.col("raised")
+    scale = F.min(F.when(enough, F.struct(F.col("own") / F.col("target"), "value", "raised"))).over(whole)["raised"]
+    wanted = F.coalesce(F.least("own", F.col("target") * F.col("scale")), F.col("own"))
+    values = stored(values.withColumn("scale", scale).withColumn("wanted", wanted).select("dimension", "value", "target", "wanted"), "targets")
     for d in DIMENSIONS:
-        own = cells.groupBy(f"cell_{d}").agg(F.pow(F.sum("tokens").cast("double"), getattr(targets, d)).alias("power"))
-        every = own.agg(F.sum("power")).first()[0] or 1.0
-        share = F.col("power") / F.lit(every) * F.lit(float(total) * targets.budget)
-        wanted[d] = stored(own.select(f"cell_{d}", share.alias("target")), f"target-{d}")
-    settled = False
-    for _ in range(rounds):
-        off = []
-        for d in DIMENSIONS:
-            held = cells.groupBy(f"cell_{d}").agg(F.sum("fitted").alias("held"))
-            factor = held.join(wanted[d], f"cell_{d}").select(f"cell_{d}", (F.col("target") / F.col("held")).alias("factor"))
-            cells = cells.join(factor, f"cell_{d}").withColumn(f"off_{d}", F.abs(F.col("factor") - 1))
-            cells = cells.withColumn("fitted", F.col("fitted") * F.col("factor")).drop("factor")
-            off.append(f"off_{d}")
+        own = values.filter(F.col("dimension") == d)
+        own = own.select(F.col("value").alias(f"cell_{d}"), F.col("target").alias(f"target_{d}"), F.col("wanted").alias(f"wanted_{d}"))
+        cells = cells.join(own, f"cell_{d}")
+    return cells
+
+
+def _rounds(cells: DataFrame, scaled, rounds: int, tolerance: float) -> DataFrame:
+    """Rounds over all dimensions until every marginal is within `tolerance` before it is scaled, `rounds` at most.
+
+    `scaled(d, window)` gives the factor of a cell and the relative distance of its marginal. The targets are columns of the
+    cells and a marginal is a sum over a window, so a round has an exchange per dimension and no join. Rounds are
+    written two at a time, and so the plan doesn't grow with them.
+    """
+    for _ in range(0, rounds, 2):
+        for _ in range(2):
+            for d in DIMENSIONS:
+                factor, off = scaled(d, W.partitionBy(f"cell_{d}"))
+                cells = cells.withColumns({"factor": factor, f"off_{d}": off})
+                cells = cells.withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
         cells = stored(cells, "cells")
-        worst = cells.agg(F.max(F.greatest(*off))).first()[0]
-        cells = cells.drop(*off)
+        worst = cells.agg(F.max(F.greatest(*[f"off_{d}" for d in DIMENSIONS]))).first()[0]
         if worst is None or worst < tolerance:
-            settled = True
             break
-    return cells.withColumn("settled", F.lit(settled))
-
-
-def _wanted(cells: DataFrame, targets: Targets) -> dict[str, DataFrame]:
-    """Per dimension its values with `own` tokens, the `target` by share, and `wanted`: the target where the value has as many
-    tokens, all it has otherwise, and what is then missing dealt over the rest by the same shares."""
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    found = {}
-    for d in DIMENSIONS:
-        own = cells.groupBy(f"cell_{d}").agg(F.sum("tokens").cast("double").alias("own"))
-        power = own.withColumn("power", F.pow("own", F.lit(getattr(targets, d))))
-        every = power.agg(F.sum("power")).first()[0] or 1.0
-        share = F.col("power") / F.lit(every) * F.lit(total * targets.budget)
-        values = stored(power.withColumn("target", share).drop("power"), f"target-{d}")
-        scale = 1.0
-        while True:
-            full = F.col("own") <= F.col("target") * F.lit(scale)
-            taken, free = values.agg(
-                F.sum(F.when(full, F.col("own")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("target")))
-            ).first()
-            raised = (total * targets.budget - taken) / free if free else scale
-            if raised <= scale * (1 + 1e-12):
-                break
-            scale = raised
-        found[d] = stored(values.withColumn("wanted", F.least("own", F.col("target") * F.lit(scale))), f"wanted-{d}")
-    return found
+    return cells.drop(*[f"off_{d}" for d in DIMENSIONS])
 
 
 def bounded_fit(
-    cells: DataFrame, targets: Targets, rounds: int = ROUNDS, tolerance: float = BOUNDED_TOLERANCE
+    cells: DataFrame, targets: Targets, rounds: int = ROUNDS, tolerance: float = TOLERANCE
 ) -> tuple[DataFrame, DataFrame]:
-    """`cells` as in `fit`, with `fitted` of at most `tokens` and with `settled`; and the marginals (`dimension, value, own,
-    target, wanted, held`) of those fitted tokens.
+    """`cells` (`cell_source, cell_lang, cell_topic, tokens`) with `fitted`, tokens of a cell in the mix and at most its own, and
+    `settled`; and the marginals (`dimension, value, own, target, wanted, held`) of those fitted tokens.
 
     A cell has a weight, of which its tokens are the bound. Every value of a dimension scales the weights of its cells so
     that the full ones and the others together hold what is wanted. Full cells keep their weight and come down again when
     others rise. `settled` says that all marginals hold what is wanted; where `wanted` is below `target`, the value has no
     more tokens. Values that need each other's tokens may leave no mix at all that holds; the marginals tell how far it is off.
     """
-    cells = cells.filter("tokens > 0").withColumn("weight", F.col("tokens") * F.lit(targets.budget))
-    wanted = _wanted(cells, targets)
+    cells = _targets(cells.filter("tokens > 0"), targets).withColumn("weight", F.col("tokens") * F.lit(targets.budget))
     fitted = F.least(F.col("weight"), F.col("tokens").cast("double"))
     full = F.col("weight") >= F.col("tokens")
 
-    def held(cells: DataFrame, d: str) -> DataFrame:
-        return cells.groupBy(f"cell_{d}").agg(
-            F.sum(fitted).alias("held"),
-            F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("taken"),
-            F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("free"),
+    def scaled(d: str, w: W) -> tuple[Column, Column]:
+        wanted, held = F.col(f"wanted_{d}"), F.sum(fitted).over(w)
+        taken = F.sum(F.when(full, F.col("tokens")).otherwise(0)).over(w)
+        free = F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).over(w)
+        left = (wanted - taken) / F.when(free > 0, free)
+        # with the full cells above what is wanted they come down, and full cells that are wanted whole stay
+        factor = F.when(left > 0, left).otherwise(F.least(F.lit(1.0), wanted / held))
+        return factor, F.abs(held / wanted - 1)
+
+    cells = stored(_rounds(cells, scaled, rounds, EXACT).withColumn("fitted", fitted), "fitted")
+    sides = [
+        cells.select(
+            F.lit(d).alias("dimension"), F.col(f"cell_{d}").alias("value"), "tokens", "fitted",
+            F.col(f"target_{d}").alias("target"), F.col(f"wanted_{d}").alias("wanted"),
         )
-
-    settled = False
-    for _ in range(rounds):
-        for d in DIMENSIONS:
-            left = (F.col("wanted") - F.col("taken")) / F.when(F.col("free") > 0, F.col("free"))
-            # with the full cells above what is wanted they come down, and full cells that are wanted whole stay
-            factor = F.when(left > 0, left).otherwise(F.least(F.lit(1.0), F.col("wanted") / F.col("held")))
-            factors = held(cells, d).join(wanted[d], f"cell_{d}").select(f"cell_{d}", factor.alias("factor"))
-            cells = cells.join(factors, f"cell_{d}").withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        cells = stored(cells, "cells")
-        met = [
-            held(cells, d).join(wanted[d], f"cell_{d}").select(
-                F.lit(d).alias("dimension"), F.col(f"cell_{d}").alias("value"), "own", "target", "wanted", "held"
-            )
-            for d in DIMENSIONS
-        ]
-        marginals = stored(met[0].unionByName(met[1]).unionByName(met[2]), "marginals")
-        worst = marginals.agg(F.max(F.abs(F.col("held") / F.col("wanted") - 1))).first()[0]
-        if worst is None or worst < tolerance:
-            settled = True
-            break
-    return cells.withColumn("fitted", fitted).withColumn("settled", F.lit(settled)).drop("weight"), marginals
+        for d in DIMENSIONS
+    ]
+    marginals = sides[0].unionByName(sides[1]).unionByName(sides[2]).groupBy("dimension", "value").agg(
+        F.sum("tokens").cast("double").alias("own"), F.first("target").alias("target"), F.first("wanted").alias("wanted"),
+        F.sum("fitted").alias("held"),
+    )
+    marginals = stored(marginals, "marginals")
+    worst = marginals.agg(F.max(F.abs(F.col("held") / F.col("wanted") - 1))).first()[0]
+    settled = F.lit(worst is None or worst < tolerance)
+    return cells.withColumn("settled", settled).select(*_CELL, "tokens", "fitted", "settled"), marginals
 
 
 def _uniform(key: Column) -> Column:
@@ -173,32 +165,30 @@ def _uniform(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
-def mix(
-    docs: DataFrame, targets: Targets = Targets(), topics: Sequence[tuple[str, str]] = TOPICS, bounded: bool = True
-) -> DataFrame:
+def mix(docs: DataFrame, targets: Targets = Targets(), topics: Sequence[tuple[str, str]] = TOPICS) -> DataFrame:
     """`docs` (`doc_id, text, lang, source` and more) with `topic, n_tokens, rate, taken, settled` for every row.
 
-    `rate` is the share of its cell's tokens that the fit wants, the probability of a document; at 1 and above all are
-    taken. With `bounded` no rate is above 1, else a rate above 1 wants tokens that the cell doesn't have, and the mix lacks
-    them. `settled` says whether the fit holds its marginals. Texts without words weigh nothing and get rate 0. A missing source or language is a value of its own. Rows
-    with equal doc_id draw the same number; a null doc_id draws that of the empty key. Columns of these names in `docs`
-    are replaced; an empty table gives an empty result.
+    `rate` is the share of its cell's tokens that the fit wants, which is the probability of a document; at 1 all of the cell are
+    taken. `settled` says whether the fit holds its marginals. Texts without words weigh nothing and get rate 0. A missing source or
+    language is a value of its own. Rows with equal doc_id draw the same number; a null doc_id draws that of the empty key.
+    Columns of these names in `docs` are replaced; an empty table gives an empty result.
     """
-    added = ("topic", "n_tokens", "rate", "taken", "settled", *_CELL, "cell_rate")
-    columns = [c for c in docs.columns if c not in added]
-    rows = described(docs.select(*columns), topics)
+    columns = [c for c in docs.columns if c not in _ADDED]
+    return sampled(described(docs.select(*columns), topics), targets).select(*columns, *_ADDED[:5])
+
+
+def sampled(rows: DataFrame, targets: Targets = Targets()) -> DataFrame:
+    """`rows`, which are `described`, with the other columns of `mix`. They are read twice, so store them if describing is dear."""
     cells = stored(rows.groupBy(*_CELL).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    fitted = bounded_fit(cells, targets)[0] if bounded else fit(cells, targets)
-    fitted = fitted.select(*_CELL, (F.col("fitted") / F.col("tokens")).alias("cell_rate"), "settled")
+    fitted = bounded_fit(cells, targets)[0].select(*_CELL, (F.col("fitted") / F.col("tokens")).alias("cell_rate"), "settled")
     met = rows.join(stored(fitted, "rates"), [*_CELL], "left")
     rate = F.when(F.col("n_tokens") > 0, F.coalesce("cell_rate", F.lit(0.0))).otherwise(0.0)
     drawn = _uniform(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"/{SEED}")))
     met = met.withColumn("rate", F.round(rate, 9))
-    taken = (drawn < F.col("rate")).alias("taken")
-    return met.select(*columns, F.col("cell_topic").alias("topic"), "n_tokens", "rate", taken, "settled")
+    return met.withColumns({"topic": F.col("cell_topic"), "taken": drawn < F.col("rate")})
 
 
-def sql(targets: Targets = Targets(), rounds: int = 25) -> str:
+def sql(targets: Targets = Targets(), rounds: int = 20) -> str:
     """The rates and the draw over the view `documents`, with a fixed number of rounds that is more than enough."""
     case = " ".join(f"WHEN regexp_matches(t, '{pattern}') THEN '{name}'" for name, pattern in TOPICS)
     parts = [
@@ -207,28 +197,40 @@ d AS MATERIALIZED (
   SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, CASE {case} ELSE '{OTHER}' END AS topic,
     CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
   FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
-c0 AS MATERIALIZED (
-  SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS w, sum(n_tokens) * {targets.budget}::DOUBLE AS f
-  FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)"""
+g AS MATERIALIZED (
+  SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS w FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
+b AS (SELECT sum(w) * {targets.budget}::DOUBLE AS budget FROM g)"""
     ]
     for x in DIMENSIONS:
         power = getattr(targets, x)
         parts.append(f"""
+v_{x} AS MATERIALIZED (
+  SELECT {x}, own, budget, p / sum(p) OVER () * budget AS target
+  FROM (SELECT {x}, sum(w) AS own, pow(sum(w), {power}) AS p FROM g GROUP BY {x}), b),
 t_{x} AS MATERIALIZED (
-  SELECT {x}, p / sum(p) OVER () * (SELECT sum(w) FROM c0) * {targets.budget} AS target
-  FROM (SELECT {x}, pow(sum(w), {power}) AS p FROM c0 GROUP BY {x}))""")
+  SELECT {x}, coalesce(least(own, target * (
+    SELECT min_by(raised, own / target) FROM (
+      SELECT own, target, (budget - coalesce(sum(own) OVER (ORDER BY own / target, {x} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(target) OVER (ORDER BY own / target, {x} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS raised FROM v_{x})
+    WHERE own > target * raised)), own) AS wanted FROM v_{x})""")
+    parts.append(f"""
+c0 AS MATERIALIZED (
+  SELECT g.*, w * {targets.budget}::DOUBLE AS f, t_source.wanted AS w_source, t_lang.wanted AS w_lang, t_topic.wanted AS w_topic
+  FROM g JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))""")
     n = 0
     for _ in range(rounds):
         for x in DIMENSIONS:
             parts.append(f"""
 c{n + 1} AS MATERIALIZED (
-  SELECT c.source, c.lang, c.topic, w, f * target / sum(f) OVER (PARTITION BY c.{x}) AS f
-  FROM c{n} c JOIN t_{x} t ON t.{x} = c.{x})""")
+  SELECT * EXCLUDE (held, taken, free) REPLACE (f * CASE WHEN free > 0 AND w_{x} > taken THEN (w_{x} - taken) / free
+    ELSE least(1, w_{x} / held) END AS f)
+  FROM (SELECT *, sum(least(f, w)) OVER (PARTITION BY {x}) AS held, sum(CASE WHEN f >= w THEN w ELSE 0 END) OVER (PARTITION BY {x}) AS taken,
+    sum(CASE WHEN f >= w THEN 0 ELSE f END) OVER (PARTITION BY {x}) AS free FROM c{n}))""")
             n += 1
     return f"""
 WITH {",".join(parts)},
 r AS (
-  SELECT d.*, CASE WHEN n_tokens > 0 THEN round(coalesce(f / w, 0), 9) ELSE 0.0 END AS rate
+  SELECT d.*, CASE WHEN n_tokens > 0 THEN round(coalesce(least(f, w) / w, 0), 9) ELSE 0.0 END AS rate
   FROM d LEFT JOIN c{n} USING (source, lang, topic))
 SELECT doc_id, source, lang, topic, n_tokens, round(rate, 6) AS rate,
   CAST('0x' || substr(md5(concat(doc_id, '/{SEED}')), 1, 8) AS BIGINT) / 4294967296.0 < rate AS taken

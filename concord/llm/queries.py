@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from concord.llm import bpe, chat, fertility, fim, flac, html, ids, licences, lm, mixing, near, trie, urls
 from concord.llm.common import table
+from concord.session import stored
 
 
 def op1_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +32,9 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # its SQL has the rates of the unbounded fit; the pipeline mixes by the bounded one
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), bounded=False)
-    cell = [F.coalesce(c, F.lit(mixing.NONE)).alias(c) for c in ("source", "lang")]
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mixing.sampled(stored(mixing.described(docs).drop("text"), "described"))
+    cell = [F.col(f"cell_{c}").alias(c) for c in ("source", "lang")]
     return mixed.select("doc_id", *cell, "topic", "n_tokens", F.round("rate", 6).alias("rate"), "taken")
 
 

@@ -32,6 +32,8 @@ QUEUE, READ, RUNS = 100_000, 4096, 16
 SHARED = 6
 #: Conversations that have the same base conversation.
 SERIES = 100
+#: Neighbouring ids that are digested as one piece.
+PIECE = 4096
 
 
 # -- turns ------------------------------------------------------------------------------------------------------------
@@ -137,27 +139,31 @@ def paths(found: DataFrame) -> DataFrame:
 
 def end_digests(ends: DataFrame) -> DataFrame:
     """`e_depth, e1, e2, ends_sha256` of `ends` (`depth, k1, k2, conv_id`): the digest of the ids that end at a node, in rising
-    order with commas between. Rows are sorted by Spark and digested as they pass, so that a task holds one state."""
+    order with commas between. Ids are first put together in pieces of at most `PIECE` of them, wherever their node is; a
+    digest can't be split, so the pieces of a node are sorted by Spark and digested as they pass, and a task holds one state."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, state, done = None, None, []
         for batch in batches:
-            for depth, k1, k2, conv in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for depth, k1, k2, ids in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if (depth, k1, k2) != node:
                     if node is not None:
                         done.append((*node, state.hexdigest()))
-                    node, state = (depth, k1, k2), hashlib.sha256(str(conv).encode())
+                    node, state = (depth, k1, k2), hashlib.sha256(ids.encode())
                 else:
-                    state.update(f",{conv}".encode())
+                    state.update(f",{ids}".encode())
             if done:
                 yield _batch(done, _ENDS)
                 done = []
         if node is not None:
             yield _batch([(*node, state.hexdigest())], _ENDS)
 
-    dealt = ends.repartition("depth", "k1", "k2").sortWithinPartitions("depth", "k1", "k2", "conv_id")
+    pieces = ends.groupBy("depth", "k1", "k2", F.floor(F.col("conv_id") / PIECE).alias("piece")).agg(
+        F.array_join(F.sort_array(F.collect_list("conv_id")).cast("array<string>"), ",").alias("ids")
+    )
+    dealt = pieces.repartition("depth", "k1", "k2").sortWithinPartitions("depth", "k1", "k2", "piece")
     schema = "e_depth bigint, e1 bigint, e2 bigint, ends_sha256 string"
-    return dealt.select("depth", "k1", "k2", "conv_id").mapInArrow(run, schema)
+    return dealt.select("depth", "k1", "k2", "ids").mapInArrow(run, schema)
 
 
 _ENDS = pa.schema([("e_depth", pa.int64()), ("e1", pa.int64()), ("e2", pa.int64()), ("ends_sha256", pa.string())])
