@@ -42,16 +42,56 @@ TOKENIZE = "tokenize"
 DISPLAY = "display"
 
 
+@dataclass(frozen=True)
+class WholeArrays:
+    """A step that can't stand inside of an expression over one term, such as a pandas UDF: it takes the terms of all texts at once,
+    an array of arrays. It must be the last step of a chain."""
+
+    function: Step
+
+
+#: English stems of the terms.
+STEM = WholeArrays(lambda texts: _stem_all()(texts))
+
+
+def _stem_all():
+    from concord.functions.stemming import stem_all
+
+    return stem_all
+
+
 def _each(terms: Column, step: Step) -> Column:
     return F.transform(terms, lambda t: step(t))
 
 
 @dataclass(frozen=True)
 class TextChain:
-    """Steps are column functions or the words TOKENIZE and DISPLAY. A pandas UDF is a column function, too."""
+    """Steps are column functions or the words TOKENIZE and DISPLAY, and at the end a step over `WholeArrays`."""
 
     steps: tuple
 
+    def __post_init__(self) -> None:
+        if any(isinstance(s, WholeArrays) for s in self.steps[:-1]):
+            raise ValueError("a step over whole arrays must be the last one")
+
+    def _split(self) -> tuple[TextChain, WholeArrays | None]:
+        """The chain without its step over whole arrays, and that step."""
+        if self.steps and isinstance(self.steps[-1], WholeArrays):
+            return TextChain(self.steps[:-1]), self.steps[-1]
+        return self, None
+
+    def tokens_all(self, texts: Column) -> Column:
+        """Terms of every text of an array."""
+        plain, last = self._split()
+        found = F.transform(texts, lambda t: plain.tokens(t))
+        return last.function(found) if last else found
+
+    def joined_all(self, texts: Column) -> Column:
+        """Joined terms of every text of an array."""
+        if self._split()[1] is None:
+            return F.transform(texts, lambda t: self.joined(t))
+        return F.transform(self.tokens_all(texts), lambda terms: F.array_join(terms, " "))
+
     def _run(self, text: Column) -> tuple[Column, Column]:
         """Terms and display form."""
         terms, tokenized, display = text, False, None
@@ -68,13 +108,15 @@ class TextChain:
         return (terms if tokenized else F.array(terms)), display
 
     def tokens(self, text: Column) -> Column:
+        if self._split()[1] is not None:
+            return F.get(self.tokens_all(F.array(text)), F.lit(0))
         return F.filter(self._run(text)[0], lambda t: t != "")
 
     def joined(self, text: Column) -> Column:
         return F.array_join(self.tokens(text), " ")
 
     def display(self, text: Column) -> Column:
-        return self._run(text)[1]
+        return self._split()[0]._run(text)[1]
 
     def sort(self, text: Column) -> Column:
         """Sort form of the text, null when it has no term."""
@@ -121,4 +163,5 @@ def clean_words(text: str, chain: TextChain) -> list[str]:
 # Ready chains for text with digits and letters of any script.
 WORDS = TextChain((remove_control, TOKENIZE, remove_space_punct, lower))
 TITLE_FACET = TextChain((DISPLAY, title_case))
+ENGLISH = TextChain((remove_control, TOKENIZE, remove_space_punct, lower, STEM))
 TRIMMED_FACET = TextChain((trim_trailing(",.!; "),))

@@ -16,7 +16,7 @@ CONTENT = "content: "
 
 def _field_key(name: str, texts: Column, chain: TextChain) -> Column:
     """`name token token` for every text, joined by spaces."""
-    return F.array_join(F.transform(texts, lambda t: F.rtrim(F.concat(F.lit(f"{name} "), chain.joined(t)))), " ")
+    return F.array_join(F.transform(chain.joined_all(texts), lambda j: F.rtrim(F.concat(F.lit(f"{name} "), j))), " ")
 
 
 def _key_fields(catalog: Catalog, keys: Sequence[str] | None) -> list[FieldSpec]:
@@ -173,21 +173,25 @@ def _equal_part(spec: FieldSpec) -> Column:
     return F.transform(md(spec.name), lambda v: F.struct(v["min"], v["max"]))
 
 
-def drop_exact_duplicates(records: DataFrame, catalog: Catalog) -> DataFrame:
-    """Keep the first of the records that share cluster, source and all typed values.
-
-    Records are compared by a 128-bit fingerprint of those. `row_number() = 1` is pushed below the shuffle as a group
-    limit, so copies of one record do not travel.
-    """
+def fingerprint(records: DataFrame, catalog: Catalog) -> DataFrame:
+    """Records with `print_1, print_2`: 128 bits of cluster, source and all typed values."""
     same = []
     for f in catalog:
         # the size tells [a, b] and [] from [a] and [b]
         same += [F.size(md(f.name)), _equal_part(f)]
     parts = {f"same_{i}": part for i, part in enumerate(same)}
     columns = ["cluster", "source", *parts]
-    marked = records.withColumns(parts).withColumns(
-        {"print_1": F.xxhash64(*columns), "print_2": F.xxhash64(F.lit(1), *columns)}
-    ).drop(*parts)
+    prints = {"print_1": F.xxhash64(*columns), "print_2": F.xxhash64(F.lit(1), *columns)}
+    return records.withColumns(parts).withColumns(prints).drop(*parts)
+
+
+def drop_exact_duplicates(records: DataFrame, catalog: Catalog) -> DataFrame:
+    """Keep the first of the records that share cluster, source and all typed values.
+
+    Records are compared by a fingerprint of those. `row_number() = 1` is pushed below the shuffle as a group limit, so copies
+    of one record do not travel.
+    """
+    marked = fingerprint(records, catalog)
     order = W.partitionBy("print_1", "print_2").orderBy("arrival")
     return (
         marked.withColumn("copy", F.row_number().over(order)).filter("copy = 1").drop("copy", "print_1", "print_2")

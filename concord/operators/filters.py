@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from typing import Mapping, Sequence
 
@@ -136,6 +137,41 @@ def _is_number(text: str) -> bool:
     return True
 
 
+@dataclass(frozen=True)
+class SourceColumn:
+    """The table column that a field is made of, and how: `plain` (the field is the column itself) or `year` (of a date or timestamp)."""
+
+    name: str
+    made: str = "plain"
+
+    def __post_init__(self) -> None:
+        if self.made not in ("plain", "year"):
+            raise ValueError(f"no inverse for {self.made!r}")
+
+
+def table_condition(catalog: Catalog, limits: Limits, sources: Mapping[str, SourceColumn]) -> Column | None:
+    """What the limits mean for the columns of the table that records are made of, or None if they mean nothing there.
+
+    Years become ranges of dates, numbers a list of values: both reach the reader, which leaves out files, row groups and
+    partitions by them. Rows that it lets through are still to be limited as records: text, fields without a source and `*` have no
+    such condition. A null in the column meets no limit, and neither does a record without the value.
+    """
+    conditions = []
+    for field, wanted in limits.items():
+        source = sources.get(field)
+        if source is None or field not in catalog:
+            continue
+        column, spec = F.col(source.name), catalog[field]
+        if source.made == "year" and spec.type in ("year", "date"):
+            days = [(F.make_date(F.lit(y), F.lit(1), F.lit(1)), F.make_date(F.lit(y + 1), F.lit(1), F.lit(1))) for y in {_leading(w) for w in wanted} if 0 < y < 9999]
+            conditions.append(_any([(column >= low) & (column < high) for low, high in days]))
+        elif source.made == "plain" and spec.type == "float" and all(_is_number(w) for w in wanted):
+            conditions.append(column.isin([float(w) for w in wanted]))
+        elif source.made == "plain" and spec.type in ("year", "date"):
+            conditions.append(column.isin([_leading(w) for w in wanted]))
+    return _all(conditions) if conditions else None
+
+
 def limit_records(records: DataFrame, catalog: Catalog, limits: Limits, mark: bool = False) -> DataFrame:
     """Records within the limits. With `mark` all records stay and `filtered` tells which ones the limits remove."""
     condition = limit_condition(catalog, limits)

@@ -9,7 +9,9 @@ from __future__ import annotations
 from functools import reduce
 from typing import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from concord.session import scratch_path, stored
 
 Normalizer = Callable[[DataFrame], DataFrame]
 
@@ -32,10 +34,13 @@ def chain(steps: Sequence[Normalizer]) -> Normalizer:
 
 
 def normalize(raw: DataFrame, steps: Sequence[Normalizer], ids: Sequence[str] = ("source", "position")) -> tuple[DataFrame, DataFrame]:
-    """Records that came through all steps, and the ids of those that did not."""
-    done = chain(steps)(raw)
+    """Records that came through all steps, and the ids of those that did not. The steps run once; what they give is stored."""
+    done = stored(chain(steps)(raw), "normalized")
     good = done.filter(F.col("failure").isNull()).drop("failure")
-    return good, raw.select(*ids).join(good.select(*ids), list(ids), "left_anti")
+    marked = done.filter(F.col("failure").isNotNull()).select(*ids)
+    # a step may also give no row for a record, or a failed row beside good ones
+    silent = raw.select(*ids).join(done.select(*ids), list(ids), "left_anti")
+    return good, marked.join(good.select(*ids), list(ids), "left_anti").unionByName(silent).distinct()
 
 
 def choice(settings: Column) -> Column:
@@ -55,10 +60,15 @@ def normalize_by_source(
     chosen = sources.select("source", choice(F.col("settings")).alias("normalizer"))
     known = sorted(registry)
     known += [c for c in chains if all(n.strip() in registry for n in c.split(","))]
-    joined = raw.join(chosen, "source", "left")
+    table = scratch_path(raw.sparkSession, "chosen")
+    given = raw.join(chosen, "source", "left")
+    # written once by normalizer, so that every branch reads its own part
+    given.withColumn("part", F.coalesce("normalizer", F.lit(""))).write.partitionBy("part").parquet(table)
+    part = T.StructField("part", T.StringType())
+    joined = raw.sparkSession.read.schema(T.StructType([*given.schema.fields, part])).parquet(table)
     branches = []
     for name in known:
         steps = [registry[n.strip()] for n in name.split(",")]
-        branches.append(chain(steps)(joined.filter(F.col("normalizer") == name)))
-    lost = joined.filter(F.col("normalizer").isNull() | ~F.col("normalizer").isin(known)).withColumn("failure", F.lit("record"))
+        branches.append(chain(steps)(joined.filter(F.col("part") == name).drop("part")))
+    lost = joined.filter(~F.col("part").isin(known)).drop("part").withColumn("failure", F.lit("record"))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*branches, lost]).drop("normalizer")

@@ -140,7 +140,7 @@ def _marc(turbo: bool) -> Column:
         field("035", sub("b", F.concat(F.lit("nr "), key))),
         field("100", sub("a", F.concat(brand, F.lit(", Ann B.")))),
         field("245", sub("a", F.concat(F.lit(" "), name, F.lit(" : "))), sub("b", kind), sub("c", brand)),
-        maybe(key % 3 == 0, field("260", sub("c", F.concat(F.lit("[c"), year, F.lit("]."))))),
+        maybe(key % 3 == 0, field("260", sub("a", F.lit("Town :")), sub("b", brand), sub("c", F.concat(F.lit("[c"), year, F.lit("]."))))),
        
         field("500", sub("a", F.lit("note & more")), sub("b", name)),
         field("650", sub("a", kind), sub("x", F.concat(name, F.lit(","))), sub("z", brand)),
@@ -467,6 +467,7 @@ def settings_files(spark: SparkSession, sf: str) -> DataFrame:
     body = F.concat(
         F.lit('<set name="pz:name" value="'), key, F.lit('"/>'),
         F.lit('<set name="pz:allow" value="1" target="*" precedence="3"/>'),
+        F.lit('<set name="pz:map" value="not this">\n  <map n="'), key, F.lit('"><x>1 &amp; 2</x></map>\n</set>'),
         F.when(key % 2 == 0, '<set name="pz:elements"/>').otherwise('<set value="x"/>'),
     )
     payload = F.concat(opening, body, F.lit("</settings>"))

@@ -80,7 +80,10 @@ MARC = fields(
         ("title-responsibility", BRAND, ALL),
         ("title-complete", f"{NAME} || ' : ' || {KIND}", ALL),
         ("date", YEAR, f"{K} % 3 = 0"),
+        ("publication-place", "'Town :'", f"{K} % 3 = 0"),
+        ("publication-name", BRAND, f"{K} % 3 = 0"),
         ("publication-date", f"'[c' || {YEAR} || '].'", f"{K} % 3 = 0"),
+        ("publication-statement", f"'Town : ' || {BRAND} || ' [c' || {YEAR} || '].'", f"{K} % 3 = 0"),
         ("date", YEAR, f"{K} % 3 <> 0 AND {K} % 2 = 0"),
         ("date", f"{YEAR} || '-' || ({YEAR} + 9)", f"{K} % 3 <> 0 AND {K} % 2 = 1"),
         ("date", f"{YEAR} + 1", f"{K} % 7 = 0"),
@@ -130,7 +133,7 @@ _DATA = [
     _data("035", [("b", f"'nr ' || {K}")]),
     _data("100", [("a", f"{BRAND} || ', Ann B.'")]),
     _data("245", [("a", f"{NAME} || ' :'"), ("b", KIND), ("c", BRAND)]),
-    _data("260", [("c", f"'[c' || {YEAR} || '].'")], f"{K} % 3 = 0"),
+    _data("260", [("a", "'Town :'"), ("b", BRAND), ("c", f"'[c' || {YEAR} || '].'")], f"{K} % 3 = 0"),
     _data("500", [("a", "'note & more'"), ("b", NAME)]),
     _data("650", [("a", KIND), ("x", f"{NAME} || ','"), ("z", BRAND)]),
     _data("650", [("a", NAME)]),
@@ -318,7 +321,8 @@ SQL["opac_holdings"] = f"""WITH held AS (SELECT DISTINCT l_partkey AS position,
 # -- settings files, normalizers -------------------------------------------------------------------------------------------
 
 SQL["settings_rows"] = """SELECT s_name AS file, s_name AS target, 'pz:name' AS name, s_suppkey::VARCHAR AS value, s_nationkey AS precedence FROM supplier
-    UNION ALL SELECT s_name, '*', 'pz:allow', '1', 3 FROM supplier"""
+    UNION ALL SELECT s_name, '*', 'pz:allow', '1', 3 FROM supplier
+    UNION ALL SELECT s_name, s_name, 'pz:map', '<map n="' || s_suppkey || '"><x>1 &amp; 2</x></map>', s_nationkey FROM supplier"""
 SQL["settings_rejected"] = """SELECT s_name AS file, CASE s_suppkey % 2 WHEN 0 THEN 'pz:elements' END AS name, s_name AS target,
     CASE s_suppkey % 2 WHEN 0 THEN 'value' ELSE 'name' END AS missing FROM supplier"""
 _NR = "regexp_extract(p_brand, '(\\d+)', 1)::INT % 4"

@@ -77,6 +77,8 @@ SQL["source_values"] = f"""{OFFERS} SELECT {COLUMNS}, medium || CASE WHEN s_nati
     s_nationkey::VARCHAR AS param FROM rows"""
 
 SQL["limit_records"] = f"{OFFERS} SELECT {COLUMNS} FROM rows WHERE title IN ('small widget', 'old rod') AND yr IN (1996, 2000)"
+SQL["limit_prices"] = f"""{OFFERS} SELECT {COLUMNS} FROM rows WHERE yr IN (1995, 1997) AND price IN (
+    SELECT l_extendedprice FROM (SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 50))"""
 SQL["limit_any_field"] = f"{OFFERS} SELECT {COLUMNS} FROM rows WHERE lower(medium) = 'standard' OR yr = 1997"
 SQL["limit_unknown_field"] = f"{OFFERS} SELECT count(*) AS records, count(*) AS filtered FROM rows"
 SQL["limit_clusters"] = f"""{KEPT}, {CLUSTERS} SELECT recid, members FROM clusters

@@ -17,7 +17,22 @@ def _score(i: int) -> str:
     return f"CASE WHEN df{i} > 0 THEN trunc(100000 * (2.0 * n{i}) * ln((1 + n) / df{i})) ELSE 0 END"
 
 
+_EVENTS = f"""e AS (SELECT event_id, event_type, {LETTERS} AS user, year(ts) AS yr, floor(value)::BIGINT AS v, event_id % 50 = 0 AS broken,
+        event_type IN ('click', 'error', 'view') AS inside FROM events),
+    o AS (SELECT *, CASE WHEN broken THEN 'rejected' WHEN NOT inside THEN 'filtered'
+        WHEN row_number() OVER (PARTITION BY broken, event_type, user, yr, v ORDER BY event_id) > 1 THEN 'duplicate' ELSE 'kept' END AS outcome FROM e)"""
 SQL = {
+    "stream_expiring": """WITH e AS (SELECT user_id::VARCHAR AS cluster, epoch_us(ts) // 1000 AS at_ms, value FROM events),
+    g AS (SELECT *, CASE WHEN at_ms - lag(at_ms) OVER w <= 172800000 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY cluster ORDER BY at_ms)),
+    n AS (SELECT *, sum(fresh) OVER (PARTITION BY cluster ORDER BY at_ms ROWS UNBOUNDED PRECEDING) AS life FROM g),
+    l AS (SELECT cluster, life, min(at_ms) AS start, max(at_ms) AS stop, count(*) AS members, min(value) AS low, max(value) AS high FROM n GROUP BY cluster, life)
+    SELECT cluster, start, stop, members, low, high, stop + 172800000 <= (SELECT max(at_ms) FROM e) AS expired FROM l""",
+    "stream_flow": f"""WITH {_EVENTS} SELECT event_type AS source, count(*) AS records, count_if(outcome = 'kept') AS kept,
+        count_if(outcome = 'duplicate') AS duplicate, count_if(outcome = 'filtered') AS filtered, count_if(outcome = 'rejected') AS rejected
+        FROM o GROUP BY event_type""",
+    "flow_kept": f"""WITH {_EVENTS} SELECT event_id, 'content: title ' || user AS cluster FROM o WHERE outcome = 'kept'
+        UNION ALL SELECT count(*), 'colour' FROM o WHERE outcome <> 'rejected' HAVING count(*) > 0""",
+    "stream_gated": "SELECT 0 AS stopped_after, 1 AS batches, count(*) > 0 AS any_records FROM events",
     "stream_components": SOURCES["multi_key_clusters"],
     "stream_ranked": f"""{_RANKED} SELECT 'content: title ' || user AS recid, members, ({_score(0)} + {_score(1)})::BIGINT AS relevance,
         first_event, user AS title, medium, low, high, first_year FROM c, f""",

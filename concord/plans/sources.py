@@ -212,7 +212,16 @@ def source_values(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def limit_records(spark: SparkSession, sf: str) -> DataFrame:
-    return arrival_columns(FI.limit_records(offers(spark, sf), OFFERS, {"title": ["Small, Widget!", "old rod"], "date": ["1996-1998", "2000"]}))
+    limits = {"title": ["Small, Widget!", "old rod"], "date": ["1996-1998", "2000"]}
+    return arrival_columns(FI.limit_records(offers(spark, sf, limits=limits), OFFERS, limits))
+
+
+@register
+def limit_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """Offers of some years at the prices of the first line items; both limits reach the reader."""
+    prices = table(spark, sf, "lineitem").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").limit(50)
+    limits = {"date": ["1995", "1997"], "price": [repr(r[0]) for r in prices.select("l_extendedprice").collect()] or ["0"]}
+    return arrival_columns(FI.limit_records(offers(spark, sf, limits=limits), OFFERS, limits))
 
 
 @register

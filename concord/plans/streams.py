@@ -13,7 +13,7 @@ from concord.plans.views import table
 from concord.session import scratch_path
 from concord.sources.internal import parse_payloads
 from concord.plans.sources import keyed_docs
-from concord.streaming import intake as ST, linked as SL, ranked as SR
+from concord.streaming import expiry as SE, flow as SF, intake as ST, linked as SL, ranked as SR
 
 QUERIES = {}
 
@@ -84,7 +84,9 @@ def stream_clusters(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def stream_idle_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Clusters whose state has a time to live; nothing expires within the run."""
-    records = event_records(ST.stream_table(spark, sf, "events")).withColumn("num", F.get(RE.md("value"), F.lit(0))["num"])
+    # batches without data are off, or state that is kept by the clock would ask for them forever
+    own = ST.stream_session(spark, spark_sql_streaming_noDataMicroBatches_enabled="false")
+    records = event_records(ST.stream_table(own, sf, "events")).withColumn("num", F.get(RE.md("value"), F.lit(0))["num"])
     return _finish(spark, ST.stream_idle_clusters(records, ttl_ms=3_600_000), "idle", ["cluster"])
 
 
@@ -176,3 +178,80 @@ def stream_components(spark: SparkSession, sf: str) -> DataFrame:
     _in_batches(records, "arrival", folder, lambda: SL.write_links(_event_stream(spark, records, folder), path, checkpoint))
     found = SL.with_running_clusters(spark.read.schema(records.schema).parquet(folder), SL.running_components(spark, path))
     return found.select(F.col("arrival").alias("doc_id"), "cluster")
+
+
+IDLE_MS = 2 * 24 * 3600 * 1000
+
+
+@register
+def stream_expiring(spark: SparkSession, sf: str) -> DataFrame:
+    """Lives of users: a user who does nothing for two days is forgotten, and comes back as a new one."""
+    rows = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("cluster"), F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("num"), "event_id")
+    folder, path, checkpoint = (scratch_path(spark, f"expiring-{n}") for n in ("in", "out", "checkpoint"))
+    own = ST.stream_session(spark)
+
+    def run() -> StreamingQuery:
+        return ST.write_updates(SE.stream_expiring_clusters(_event_stream(own, rows, folder), IDLE_MS), path, checkpoint)
+
+    _in_batches(rows, "event_id", folder, run)
+    schema = spark.createDataFrame([], SE.LIFE).schema
+    return ST.latest(spark, path, ["cluster", "start"], schema)
+
+
+def _event_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event is a record; some are broken, some come twice, and all have a field that is unknown."""
+    kind, user, value = F.col("event_type"), F.expr(LETTERS), F.col("value")
+    body = F.concat(
+        F.lit('<record><metadata type="title">'), user, F.lit('</metadata><metadata type="medium">'), kind,
+        F.lit('</metadata><metadata type="date">'), F.year("ts"), F.lit('</metadata><metadata type="value">'), F.floor(value),
+        F.lit('</metadata><metadata type="colour">none</metadata>'), F.when(F.col("event_id") % 50 == 0, "").otherwise("</record>"),
+    )
+    rows = table(spark, sf, "events").select(kind.alias("source"), F.col("event_id").alias("position"), F.col("event_id").alias("arrival"), body.alias("payload"))
+    return rows
+
+
+LIMITED = {"medium": ["click", "error", "view"]}
+
+
+@register
+def stream_flow(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as payloads through the whole intake in three runs: outcomes per source."""
+    payloads = _event_payloads(spark, sf)
+    folder, path, checkpoint = (scratch_path(spark, f"flow-{n}") for n in ("in", "out", "checkpoint"))
+    run = lambda: SF.run_intake(_event_stream(spark, payloads, folder), EVENTS, path, checkpoint, LIMITED)
+    _in_batches(payloads, "arrival", folder, run)
+    return SF.intake_status(SF.taken(spark, path, SF.prepared(payloads, EVENTS, LIMITED)))
+
+
+@register
+def flow_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """The records that the intake keeps of a whole table, and the values that it doesn't know."""
+    rows = SF.take(_event_payloads(spark, sf), EVENTS, LIMITED)
+    kept = rows.filter("outcome = 'kept'").select(F.col("arrival.arrival").alias("event_id"), "cluster")
+    unknown = SF.intake_unknown(rows).select(F.col("ignored").alias("event_id"), F.col("field").alias("cluster"))
+    return kept.unionByName(unknown)
+
+
+@register
+def stream_gated(spark: SparkSession, sf: str) -> DataFrame:
+    """A run over many files that stops as soon as enough users are there: as many records as its finished batches had."""
+    events = table(spark, sf, "events").select("event_id", "user_id", F.col("event_type").alias("source"))
+    folder, path, checkpoint = (scratch_path(spark, f"gated-{n}") for n in ("in", "out", "checkpoint"))
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    step = ((high or 0) - (low or 0)) // 4 + 1
+    for k in range(4):
+        between = F.col("event_id").between((low or 0) + k * step, (low or 0) + (k + 1) * step - 1)
+        events.filter(between).withColumn("part", F.lit(k)).write.mode("append").parquet(f"{folder}/part={k}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "1").parquet(f"{folder}/part=*")
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    def enough(own: SparkSession, batch: int) -> bool:
+        counts = own.read.schema("source string, batch bigint").parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("records"))
+        status = counts.select(F.lit("Client_Working").alias("state"), "records", F.lit(False).alias("preferred"))
+        return bool(ST.ready(status, "any").first()[0])
+
+    last = ST.run_until(stream, write, enough, checkpoint)
+    rows = spark.read.schema("event_id bigint, user_id bigint, source string, batch bigint").parquet(path)
+    return rows.agg(F.lit(last).alias("stopped_after"), F.count_distinct("batch").alias("batches"), (F.count(F.lit(1)) > 0).alias("any_records"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from concord.catalog import Catalog, FieldSpec
+from concord.operators.filters import Limits, SourceColumn, table_condition
 from concord.operators.order import number_rows
 from concord.operators.records import table_records
 
@@ -35,23 +36,39 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def offers_table(spark: SparkSession, sf: str, position: bool = False) -> DataFrame:
-    """lineitem with part and supplier; `position` numbers the line items of a supplier as they arrive, before the joins."""
+#: What the fields of an offer are made of, where limits can be turned into conditions on the table.
+OFFER_SOURCES = {"date": SourceColumn("l_shipdate", "year"), "price": SourceColumn("l_extendedprice")}
+
+
+def offers_table(spark: SparkSession, sf: str, position: bool = False, where: Column | None = None) -> DataFrame:
+    """lineitem with part and supplier; `position` numbers the line items of a supplier as they arrive, before the joins.
+
+    lineitem and part grow together, so they are joined by a shuffle on the part, and what is made of titles comes behind it, in
+    as many tasks as there are partitions and not in as many as files have row groups.
+    """
     line = table(spark, sf, "lineitem").select(*ARRIVAL)
+    if where is not None:
+        if position:
+            raise ValueError("positions count all line items of a supplier")
+        line = line.filter(where)
     if position:
         line = number_rows(line, [F.col(c) for c in ARRIVAL], "position", ["l_suppkey"])
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     supplier = table(spark, sf, "supplier").select("s_suppkey", "s_name")
     return (
-        line.join(part, line["l_partkey"] == part["p_partkey"])
+        line.join(part.hint("merge"), line["l_partkey"] == part["p_partkey"])
         .join(supplier, line["l_suppkey"] == supplier["s_suppkey"])
         .withColumn("l_year", F.year("l_shipdate"))
     )
 
 
-def offers(spark: SparkSession, sf: str, position: bool = False, catalog: Catalog = OFFERS) -> DataFrame:
-    """Every line item is the offer of a supplier; `position` numbers the offers of a supplier as they arrive."""
-    rows = offers_table(spark, sf, position)
+def offers(
+    spark: SparkSession, sf: str, position: bool = False, catalog: Catalog = OFFERS, limits: Limits | None = None
+) -> DataFrame:
+    """Every line item is the offer of a supplier; `position` numbers the offers of a supplier as they arrive. With `limits`
+    only line items that may meet them are read."""
+    where = table_condition(catalog, limits, OFFER_SOURCES) if limits else None
+    rows = offers_table(spark, sf, position, where)
     columns = {"title": "p_name", "author": "p_brand", "medium": "p_type", "date": "l_year", "price": "l_extendedprice"}
     arrival = f"struct({', '.join(ARRIVAL)})"
     return table_records(rows, catalog, columns, "s_name", arrival, "position" if position else None)

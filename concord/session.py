@@ -53,11 +53,23 @@ _made: list[str] = []
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: made once, read with column pruning, and safe when
-    executors are lost. The table stays until `drop_stored`."""
+    executors are lost. The table stays until `drop_table` or `drop_stored`."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_path = path
     _made.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete a table that `stored` has made, once everything that was made of it is written."""
+    _delete(table.sparkSession, table.stored_path)
 
 
 def drop_stored(spark: SparkSession) -> int:
@@ -65,6 +77,5 @@ def drop_stored(spark: SparkSession) -> int:
     of them are written: frames that read them are of no use any more."""
     n = len(_made)
     while _made:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _made.pop())
     return n

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from concord.sources.elements import with_children
 from concord.sources.internal import RAW_VALUES
 
 XML_OPTIONS = {"mode": "PERMISSIVE", "ignoreNamespace": "true"}
@@ -231,59 +232,38 @@ def map_primo(payloads: DataFrame, column: str = "payload") -> DataFrame:
 # -- generic connector records ---------------------------------------------------------------------------------------------
 
 
-def _unescape(text: Column) -> Column:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
-
-
-def _elements(inner: Column) -> Column:
-    """Child elements as array<struct<name, body>>, body still as XML."""
-    pattern = r"(?s)<(?:[\w.-]+:)?([A-Za-z_][\w.-]*)(?:\s[^>]*)?(?<!/)>(.*?)</(?:[\w.-]+:)?\1\s*>"
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(inner, F.lit(pattern), F.lit(1)).alias("name"),
-        F.regexp_extract_all(inner, F.lit(pattern), F.lit(2)).alias("body"),
-    )
-    return F.transform(pairs, lambda p: F.struct(p["name"].alias("name"), p["body"].alias("body")))
-
-
-def _plain(body: Column) -> Column:
-    """Text of an element without the tags inside."""
-    return _unescape(F.trim(F.regexp_replace(body, "<[^>]*>", "")))
-
-
 def map_generic(payloads: DataFrame, column: str = "payload", medium: str | None = None) -> DataFrame:
-    """Records of any elements: some have fields of their own, an element that is not known gives a field of its name.
+    """Records of any elements: some have fields of their own, an element that is not known gives a field of its name with
+    all the text in it.
 
     A page range is made of start and end page. `medium` of the caller comes instead of the one in the record. A payload
-    that isn't well-formed, or has no record, fails and gives no values.
+    that isn't well-formed, or whose root isn't `record`, fails and gives no values.
     """
-    broken = F.from_xml(F.col(column), "_corrupt_record string")["_corrupt_record"].isNotNull()
-    no_record = ~F.col(column).rlike(r"(?s)<record(\s[^>]*)?(/>|>.*</record\s*>)")
-    inner = F.regexp_extract(column, r"(?s)<record(?:\s[^>]*)?>(.*)</record\s*>", 1)
-    failed = payloads.withColumn("failure", F.when(broken | no_record, "ingest"))
-    parsed = failed.withColumn("elements", F.when(F.col("failure").isNull(), _elements(inner)))
+    read = with_children(payloads, column)
+    failed = F.col("root").isNull() | (F.col("root") != "record")
+    parsed = read.withColumn("failure", F.when(failed, "ingest"))
     renamed = F.create_map(*[x for n, fields in GENERIC_FIELDS.items() for x in (F.lit(n), F.array(*[F.lit(f) for f in fields]))])
+    plain = lambda text: F.trim(text)
 
     def parts_of(name: str, e: Column) -> Column:
-        body = lambda part: F.regexp_extract(e["body"], f"(?s)<{part}(?:\\s[^>]*)?>(.*?)</{part}\\s*>", 1)
-        return F.array(*[_value(field, _plain(body(part)), empty=True) for part, field in GENERIC_PARTS[name]])
+        part = lambda p: plain(F.get(F.filter(e["parts"], lambda x: x["name"] == p), F.lit(0))["text"])
+        return F.array(*[_value(field, F.coalesce(part(p), F.lit("")), empty=True) for p, field in GENERIC_PARTS[name]])
 
     def fields_of(e: Column) -> Column:
-        plain = F.transform(F.coalesce(renamed[e["name"]], F.array(e["name"])), lambda f: _value(f, _plain(e["body"])))
+        found = F.transform(F.coalesce(renamed[e["name"]], F.array(e["name"])), lambda f: _value(f, plain(e["text"])))
         out = F
         for name in GENERIC_PARTS:
             out = out.when(e["name"] == name, parts_of(name, e))
-        return out.otherwise(plain)
+        return out.otherwise(found)
 
-    first = lambda name: _plain(F.get(F.filter("elements", lambda e: e["name"] == name), F.lit(0))["body"])
+    first = lambda name: plain(F.get(F.filter("elements", lambda e: e["name"] == name), F.lit(0))["text"])
     start, end = F.nullif(first("startpage"), F.lit("")), F.nullif(first("endpage"), F.lit(""))
     values = F.concat(
         _one("medium", F.coalesce(F.lit(medium or None).cast("string"), first("medium"))),
         _one("pages-number", F.when(start.isNotNull(), F.concat_ws("-", start, end))),
         F.flatten(F.transform(F.filter("elements", lambda e: e["name"] != "medium"), fields_of)),
     )
-    return _finish(parsed, values).drop("elements")
+    return _finish(parsed, values).drop("elements", "root")
 
 
 # -- OPAC holdings ---------------------------------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from concord.functions.text import xml_escape
 from concord.sources.internal import RAW_VALUES
 from concord.sources.splits import split_records
 
@@ -213,19 +214,30 @@ def _with_controls(marc: DataFrame) -> DataFrame:
     return marc.withColumns({f"c{t}": first(t) for t in CONTROLS})
 
 
+def plain_markup(payload: Column) -> Column:
+    """XML without comments and with the text of CDATA sections escaped, so that every `<` begins a tag. One pass from left to right
+    finds both, so that neither is looked for inside the other."""
+    pattern = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>"
+    outside, inside = F.split(payload, pattern, -1), F.regexp_extract_all(payload, F.lit(pattern), F.lit(0))
+    text = lambda s: xml_escape(F.substr(s, F.lit(10), F.length(s) - 12))
+    replaced = F.transform(inside, lambda s: F.when(F.startswith(s, F.lit("<!--")), "").otherwise(text(s)))
+    joined = F.array_join(F.transform(F.arrays_zip(outside.alias("o"), replaced.alias("i")), lambda p: F.concat(p["o"], F.coalesce(p["i"], F.lit("")))), "")
+    return F.when(F.contains(payload, F.lit("<!")), joined).otherwise(payload)
+
+
 def turbo_to_marcxml(payload: Column) -> Column:
     """Element-per-tag records rewritten to tag and code attributes: `<d245><sa>` to `<datafield><subfield>`."""
-    prefix = r"(?:[\w.-]+:)?"
+    prefix, payload = r"(?:[\w.-]+:)?", plain_markup(payload)
     for pattern, new in (
         (f"<(/?){prefix}r(?=[\\s>/])", "<$1record"),
         (f"<(/?){prefix}l(?=[\\s>/])", "<$1leader"),
-        (f"<{prefix}c(\\w{{3}})(?=[\\s>])", '<controlfield tag="$1"'),
-        (f"</{prefix}c\\w{{3}}>", "</controlfield>"),
-        (f"<{prefix}d(\\w{{3}})(?=[\\s>])", '<datafield tag="$1"'),
-        (f"</{prefix}d\\w{{3}}>", "</datafield>"),
-        (f"<{prefix}s(\\w)(?=[\\s>])", '<subfield code="$1"'),
-        (f"<{prefix}s(?=[\\s>])", "<subfield"),
-        (f"</{prefix}s\\w?>", "</subfield>"),
+        (f"<{prefix}c(\\w{{3}})(?=[\\s>/])", '<controlfield tag="$1"'),
+        (f"</{prefix}c\\w{{3}}\\s*>", "</controlfield>"),
+        (f"<{prefix}d(\\w{{3}})(?=[\\s>/])", '<datafield tag="$1"'),
+        (f"</{prefix}d\\w{{3}}\\s*>", "</datafield>"),
+        (f"<{prefix}s(\\w)(?=[\\s>/])", '<subfield code="$1"'),
+        (f"<{prefix}s(?=[\\s>/])", "<subfield"),
+        (f"</{prefix}s\\w?\\s*>", "</subfield>"),
     ):
         payload = F.regexp_replace(payload, pattern, new)
     return payload
@@ -478,17 +490,24 @@ def derive_citation() -> Column:
 
 
 def derive_titles() -> Column:
-    """Complete title, long subjects, text of electronic locations."""
+    """Complete title, publication statements, long subjects, text of electronic locations."""
     complete = F.filter(
         F.transform(tagged("245"), lambda f: F.when(F.size(subs(f, "a")) > 0, F.array_join(subs(f, "a", "b", "n", "p"), " "))),
         lambda t: t.isNotNull(),
     )
+    published = F.transform(tagged("260", "264"), lambda f: F.array_join(subs(f, "a", "b", "c"), " "))
+    published = F.filter(published, lambda t: t != "")
     no_comma = lambda t: F.regexp_replace(_squeeze(t), ",$", "")
     long = F.transform(
         tagged(*SUBJECT_TAGS), lambda f: F.array_join(F.transform(f["subfields"], lambda s: no_comma(s["value"])), ", ")
     )
     text = F.filter(F.transform(tagged("856"), lambda f: first_sub(f, "y", "3", "a")), lambda t: t.isNotNull())
-    return F.concat(_each("title-complete", complete), _each("subject-long", long), _each("electronic-text", text))
+    return F.concat(
+        _each("title-complete", complete),
+        _each("publication-statement", published),
+        _each("subject-long", long),
+        _each("electronic-text", text),
+    )
 
 
 def derive_holdings() -> Column:

@@ -6,12 +6,12 @@ per micro-batch, and a reader takes the newest row of every key.
 
 from __future__ import annotations
 
-from typing import Iterator, Sequence
+from typing import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.errors import StreamingQueryException
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from concord.catalog import Catalog
 from concord.operators.facets import facets
@@ -20,6 +20,7 @@ from concord.operators.status import ACTIVE
 from concord.session import scratch_path
 from concord.sources.internal import parse_payloads
 from concord.sources.splits import stream_split_records
+from concord.streaming.expiry import TimedClusters
 
 
 def stream_session(spark: SparkSession, **settings: str) -> SparkSession:
@@ -104,23 +105,57 @@ def latest(spark: SparkSession, path: str, keys: Sequence[str], schema: T.Struct
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "update") -> str:
-    """Run a stream over what is there now; the path of its table.
-
-    Batches without data are off for the run: state with a timeout would ask for them forever.
-    """
+    """Run a stream over what is there now; the path of its table."""
     spark = stream.sparkSession
     path = scratch_path(spark, name)
-    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "false")
-    try:
-        query = write_updates(stream, path, scratch_path(spark, f"{name}-checkpoint"), mode)
-    finally:
-        spark.conf.set(setting, before)
-    query.awaitTermination()
+    write_updates(stream, path, scratch_path(spark, f"{name}-checkpoint"), mode).awaitTermination()
     return path
 
 
+# -- gate and stop -------------------------------------------------------------------------------------------------------------
+
+
+class Stopped(Exception):
+    """Raised in a batch that came while its query was being stopped."""
+
+
+def run_until(
+    stream: DataFrame,
+    write: Callable[[DataFrame, int], None],
+    gate: Callable[[SparkSession, int], bool],
+    checkpoint: str,
+    mode: str = "append",
+    available_now: bool = True,
+) -> int | None:
+    """Run a stream through `write(rows, batch)` until `gate(spark, batch)` holds behind a batch, then stop it; the number of
+    that batch, or None if the input came to its end before.
+
+    A batch that has begun meanwhile writes nothing and isn't committed, so that what was written is just the finished batches,
+    and a later run from the same checkpoint goes on behind them.
+    """
+    opened: list[int] = []
+
+    def each(rows: DataFrame, batch: int) -> None:
+        if opened:
+            raise Stopped
+        write(rows, batch)
+        if gate(rows.sparkSession, batch):
+            opened.append(batch)
+
+    writer = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint)
+    query = (writer.trigger(availableNow=True) if available_now else writer).start()
+    try:
+        while not opened and not query.awaitTermination(0.2):
+            pass
+        if opened:
+            query.stop()
+            query.awaitTermination()
+    except StreamingQueryException:
+        if not opened:
+            raise
+    return opened[0] if opened else None
+
+
 # -- readiness ---------------------------------------------------------------------------------------------------------------
 
 
@@ -141,29 +176,12 @@ def ready(status: DataFrame, mode: str = "any") -> Column | DataFrame:
 
 # -- idle expiry -------------------------------------------------------------------------------------------------------------
 
-IDLE_STATE = "members long, low double, high double"
 IDLE_ROW = "cluster string, members long, low double, high double"
 
 
-def _idle_update(ttl_ms: int):
-    def update(key, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        members, low, high = state.get if state.exists else (0, float("inf"), float("-inf"))
-        # one row per key and batch of a task, in pieces of bounded size
-        for piece in pieces:
-            members += int(piece["members"].sum())
-            low, high = min(low, float(piece["low"].min())), max(high, float(piece["high"].max()))
-        state.update((members, low, high))
-        state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({"cluster": [key[0]], "members": [members], "low": [low], "high": [high]})
-
-    return update
-
-
 def stream_idle_clusters(records: DataFrame, ttl_ms: int = 60_000) -> DataFrame:
-    """Clusters `cluster, members, low, high` of a stream `cluster, num`, forgotten when idle for `ttl_ms`.
+    """Clusters `cluster, members, low, high` of a stream `cluster, num`, forgotten by the state store when idle for `ttl_ms` by the
+    clock. The session must have been made by `stream_session`.
 
     Rows are combined per cluster inside the tasks first, so a hot cluster sends a few rows to its state.
     """
@@ -172,9 +190,5 @@ def stream_idle_clusters(records: DataFrame, ttl_ms: int = 60_000) -> DataFrame:
         for batch in batches:
             yield batch.groupby("cluster", dropna=False)["num"].agg(members="size", low="min", high="max").reset_index()
 
-    return (
-        records.select("cluster", "num")
-        .mapInPandas(combined, IDLE_ROW)
-        .groupBy("cluster")
-        .applyInPandasWithState(_idle_update(ttl_ms), IDLE_ROW, IDLE_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
-    )
+    rows = records.select("cluster", "num").mapInPandas(combined, IDLE_ROW)
+    return rows.groupBy("cluster").transformWithStateInPandas(TimedClusters(ttl_ms), IDLE_ROW, "Update", "ProcessingTime")

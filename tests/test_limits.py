@@ -1,7 +1,10 @@
 """No caps: scores above 32 bits, many parameters, long facet terms, a limit of no records."""
 
+from datetime import date
 from math import log
 
+import pytest
+
 from concord import Catalog, FieldSpec
 from concord.operators import facets as FA, filters as FI, rank as R, records as RE
 
@@ -33,3 +36,27 @@ def test_a_source_can_be_limited_to_nothing(spark):
     sources = spark.createDataFrame([("a", {"pz:maxrecs": "0"}), ("b", {"x": "1"})], "source string, settings map<string,string>")
     kept = FI.slice_sources(records, 0, 1, sources).select("source", "position").collect()
     assert [tuple(r) for r in kept] == [("b", 1)]
+
+
+def test_limits_reach_the_reader(spark, tmp_path):
+    rows = [(i, f"t{i}", date(1990 + i % 12, 1 + i % 12, 1 + i % 28), float(i % 5)) for i in range(200)] + [(200, "x", None, None)]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "id int, name string, shipped date, price double").write.parquet(path)
+    table = spark.read.parquet(path)
+    catalog = Catalog((FieldSpec("title"), FieldSpec("date", type="year"), FieldSpec("price", type="float")))
+    sources = {"date": FI.SourceColumn("shipped", "year"), "price": FI.SourceColumn("price"), "title": FI.SourceColumn("name")}
+    records = lambda t: RE.table_records(t, catalog, {"title": "name", "date": "year(shipped)", "price": "price"}, "'s'", "id")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    ids = lambda found: sorted(r["arrival"] for r in found.collect())
+    for limits in ({"date": ["1995", "1999-2000"]}, {"date": ["1995"], "price": ["2", "3.0"]}, {"price": ["4"], "title": ["t"]}, {"date": ["0", "x"]}):
+        condition = FI.table_condition(catalog, limits, sources)
+        pruned = FI.limit_records(records(table.filter(condition)), catalog, limits)
+        assert ids(pruned) == ids(FI.limit_records(records(table), catalog, limits))
+        plan = pruned._jdf.queryExecution().executedPlan().toString()
+        if limits != {"date": ["0", "x"]}:  # nothing is read at all for these
+            pushed = plan.split("PushedFilters: ")[1].split("ReadSchema")[0]
+            assert all((name in pushed) == (field in limits) for name, field in (("shipped", "date"), ("price", "price")))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert FI.table_condition(catalog, {"title": ["t"], "*": ["1"], "nothing": ["x"]}, sources) is None
+    with pytest.raises(ValueError):
+        FI.SourceColumn("shipped", "month")

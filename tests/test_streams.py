@@ -42,10 +42,12 @@ def test_clusters_and_facets_of_several_batches(spark, tmp_path):
 
 def test_idle_clusters_are_forgotten(spark, tmp_path):
     a, b = ("a", "x", 1.0, 1), ("b", "x", 5.0, 2)
-    _, stream = batches(spark, tmp_path, [[a, a, ("a", "x", 9.0, 3)], [b], [a]])
+    folder, _ = batches(spark, tmp_path, [[a, a, ("a", "x", 9.0, 3)], [b], [a]])
+    own = ST.stream_session(spark, spark_sql_streaming_noDataMicroBatches_enabled="false")
+    stream = own.readStream.schema(SCHEMA).option("maxFilesPerTrigger", "1").parquet(folder)
     for ttl, members in ((1, 1), (3_600_000, 4)):
         running = ST.stream_idle_clusters(stream, ttl)
         path = ST.run_to_table(running, "idle")
-        newest = {r["cluster"]: r for r in ST.latest(spark, path, ["cluster"], running.schema).collect()}
+        newest = {r["cluster"]: r for r in ST.latest(spark, path, ["cluster"], spark.createDataFrame([], ST.IDLE_ROW).schema).collect()}
         assert newest["a"]["members"] == members and newest["b"]["members"] == 1
         assert newest["a"]["high"] == (1.0 if members == 1 else 9.0)
