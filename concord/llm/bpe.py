@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from concord.llm import mph
-from concord.llm.common import slices
+from concord.llm.common import frugal, slices
 
 #: Pre-tokens that a worker remembers, after which it starts anew.
 MEMO = 400_000
@@ -122,7 +122,7 @@ def encode(docs: DataFrame, bpe: ByteBpe, text: str = "text", to: str = "ids") -
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{to}` array<int>"])
     rows = docs.select(*[docs[n] for n in names], docs[text].cast("string").alias(text))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def decode(encoded: DataFrame, bpe: ByteBpe, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -141,4 +141,4 @@ def decode(encoded: DataFrame, bpe: ByteBpe, ids: str = "ids", to: str = "decode
                 yield pa.RecordBatch.from_arrays([*part.columns, data], [*names, to])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{to}` binary"])
-    return encoded.select(*names).mapInArrow(run, schema)
+    return encoded.select(*names).mapInArrow(frugal(run), schema)

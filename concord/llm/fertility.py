@@ -15,7 +15,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from concord.llm.common import slices, utf8
+from concord.llm.common import frugal, slices, utf8
 from concord.llm.shingles import mixed
 from concord.session import stored
 
@@ -175,7 +175,7 @@ def measures(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         F.xxhash64("text").alias("text_key"),
         "text",
     )
-    return rows.mapInArrow(run, _SCHEMA)
+    return rows.mapInArrow(frugal(run), _SCHEMA)
 
 
 def _trends(passed: DataFrame) -> DataFrame:

@@ -25,7 +25,9 @@ STOP_WORDS = {
 }
 
 # fixed values: elements by what they mean for their content
-DROPPED = frozenset("script style noscript template iframe svg canvas object head title textarea select button".split())
+DROPPED = frozenset("script style noscript template iframe svg canvas object title textarea select button".split())
+#: Elements around a page or its article, whose class words say nothing about what is in them.
+WHOLE = frozenset("html head body main article".split())
 ASIDE = frozenset("nav aside footer form menu dialog".split())
 MAIN = frozenset("article main".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -34,8 +36,19 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr br img".split()
 )
-#: Elements whose end tag may be left out; they are not waited for.
-LOOSE = frozenset("p li dt dd option tr td th thead tbody tfoot".split())
+#: Elements whose end tag may be left out, and what starts end them; a paragraph is ended by every element that isn't inline.
+ENDED_BY = {
+    "li": frozenset(["li"]),
+    "dt": frozenset("dt dd".split()),
+    "dd": frozenset("dt dd".split()),
+    "option": frozenset(["option"]),
+    "tr": frozenset("tr thead tbody tfoot".split()),
+    "td": frozenset("td th tr thead tbody tfoot".split()),
+    "th": frozenset("td th tr thead tbody tfoot".split()),
+    "thead": frozenset("tbody tfoot".split()),
+    "tbody": frozenset("tbody tfoot".split()),
+    "tfoot": frozenset(["tbody"]),
+}
 #: Words in class, id or role of an element that is not part of the article.
 ASIDE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|menu|modal|nav|navbar|"
@@ -50,6 +63,8 @@ _TOKEN = re.compile(
     re.S,
 )
 _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: End of the attributes of an empty element: a slash that isn't part of an unquoted value.
+_EMPTY = re.compile(r"(?:^|[\s\"'])/\Z")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
@@ -78,7 +93,8 @@ def blocks(page: str) -> tuple[list[Block], str | None]:
     found: list[Block] = []
     language: str | None = None
     pieces: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, aside, main
+    stack: list[tuple[str, bool, int, bool]] = []  # open elements: name, aside, main, heading
+    outer = ("", False, 0, False)
     aside, main, mains = False, 0, 0
     heading = in_link = False
     link_chars = 0
@@ -120,26 +136,34 @@ def blocks(page: str) -> tuple[list[Block], str | None]:
         if name == "html" and language is None and (named := _LANGUAGE.search(attributes)):
             language = named[1].lower()
         if name in DROPPED:
-            if not closing and not attributes.endswith("/"):
+            # of these only an svg can be empty, a slash in others means nothing
+            if not closing and not (name == "svg" and _EMPTY.search(attributes)):
                 after = re.compile(rf"</{re.escape(name)}\b[^>]*>|\Z", re.I).search(page, at)
                 at = after.end()
             continue
         in_link = in_link and name != "body"
-        if name in HEADING:
-            heading = not closing
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
                     break
-            aside, main = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        elif name not in VOID and (name not in LOOSE or _is_aside(attributes)):
+            _, aside, main, heading = stack[-1] if stack else outer
+            continue
+        if name not in INLINE:
+            k = len(stack) - 1
+            while k >= 0 and stack[k][0] in INLINE:
+                k -= 1
+            if k >= 0 and (stack[k][0] == "p" or name in ENDED_BY.get(stack[k][0], ())):
+                del stack[k:]
+                _, aside, main, heading = stack[-1] if stack else outer
+        if name not in VOID:
             if name in MAIN:
                 mains += 1
                 main = mains
             outside = name in ASIDE or name == "header" and not main
-            aside = aside or outside or bool(attributes) and _is_aside(attributes)
-            stack.append((name, aside, main))
+            aside = aside or outside or bool(attributes) and name not in WHOLE and _is_aside(attributes)
+            heading = heading or name in HEADING
+            stack.append((name, aside, main, heading))
     close()
     return found, language
 

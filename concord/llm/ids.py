@@ -56,8 +56,9 @@ class Coder:
 
     The tokenizer merges inside matches of its pattern only and cuts a match by itself in the same way, so the ids of a
     text are those of its matches one after the other. Where a space stands between two characters that aren't white
-    space, a match begins: such texts are taken apart at their spaces, which is cheaper, and others by the pattern. Special
-    tokens in a text are ordinary text.
+    space, a match begins: such texts are taken apart at their spaces, which is cheaper, and others by the pattern. The string of
+    a special token gets that token's id, as the library does unless it is told otherwise, and what is around it is encoded by
+    itself.
     """
 
     def __init__(self, definition: str, pattern: str) -> None:
@@ -80,8 +81,14 @@ class Coder:
         # Spark has the cores in use already
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(self.definition)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # texts are cut at their strings before
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        if any(t.lstrip or t.rstrip or t.single_word for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("special tokens that take in what is around them are not known here")
+        longest = sorted(added, key=len, reverse=True)
+        self.special = regex.compile(f"({'|'.join(map(regex.escape, longest))})") if added else None
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.special_ids = {content: i.to_bytes(self.width, "little") for content, i in added.items()}
         self.find = regex.compile(self.pattern).findall
         self.words: dict[str, bytes] = {}  # raw ids of a space and this word
         self.other: dict[str, bytes] = {}  # raw ids of matches of the pattern
@@ -117,6 +124,13 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Raw ids of every text."""
+        if not self.special or not any(map(self.special.search, texts)):
+            return self._encode(texts)
+        pieces = [self.special.split(t) for t in texts]  # every second piece is a special token
+        plain = iter(self._encode([p for each in pieces for p in each[::2]]))
+        return [b"".join(self.special_ids[p] if k % 2 else next(plain) for k, p in enumerate(each)) for each in pieces]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) + len(self.other) > MEMO:
             self.words.clear()
             self.other.clear()

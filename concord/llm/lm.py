@@ -22,7 +22,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from concord.llm.common import slices
+from concord.llm.common import frugal, slices
 from concord.session import stored
 
 #: Marks before and after a text; a text that holds them is scored like any other.
@@ -112,7 +112,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         F.xxhash64("text").alias("text_key"),
         "text",
     )
-    return rows.mapInArrow(run, _BLOCK_SCHEMA)
+    return rows.mapInArrow(frugal(run), _BLOCK_SCHEMA)
 
 
 def gram_counts(parts: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def gram_counts(parts: DataFrame, trusted: DataFrame) -> DataFrame:
                 n = np.add.reduceat(counts * good[place], np.cumsum(sizes) - sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(n)], ["gram", "n"])
 
-    return met.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return met.mapInArrow(frugal(run), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -219,7 +219,7 @@ def scores(parts: DataFrame, probabilities: DataFrame) -> DataFrame:
                 )
 
     schema = "row bigint, doc_id bigint, lang string, text_key bigint, n_grams bigint, logp double"
-    summed = met.mapInArrow(run, schema).groupBy("row")
+    summed = met.mapInArrow(frugal(run), schema).groupBy("row")
     return summed.agg(
         F.first("doc_id").alias("doc_id"),
         F.first("lang").alias("lang"),

@@ -27,10 +27,10 @@ import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from concord.llm.common import slices, utf8
+from concord.llm.common import frugal, slices, utf8
 from concord.llm.shingles import WordHashes, coordinates, mixed, shingle_sets, signatures
 from concord.operators.clusters import components
-from concord.session import stored
+from concord.session import drop_table, stored
 
 #: Coordinates that are posted, with values of 32 bits, and all coordinates, of which 16 bits are compared.
 POSTED, ALL = 128, 256
@@ -41,8 +41,8 @@ PREFIX = POSTED - POSTED_MATCHES + 1
 SIMILARITY = 75
 #: Coordinate-value pairs are counted in so many buckets: a table of one byte per bucket goes to the tasks.
 BUCKETS = 1 << 18
-#: Members of a list that are compared with so many others at once.
-BLOCK = 512
+#: Members of a list that are compared with so many others at once, and pairs that are confirmed at once.
+BLOCK, PAIRS = 2048, 4096
 #: Bits of the table that tells which documents' sets are wanted.
 SLOTS = 1 << 22
 
@@ -88,7 +88,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, _SKETCH)
+    return rows.mapInArrow(frugal(run), _SKETCH)
 
 
 def _pairs(signature: pa.Array, upper: pa.Array) -> np.ndarray:
@@ -116,7 +116,7 @@ def frequencies(nodes: DataFrame) -> np.ndarray:
             some = full[at : at + (1 << 14)]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["bucket", "n"])
 
-    counted = nodes.select("signature", "upper").mapInArrow(run, "bucket bigint, n bigint")
+    counted = nodes.select("signature", "upper").mapInArrow(frugal(run), "bucket bigint, n bigint")
     summed = counted.groupBy("bucket").agg(F.sum("n").alias("n"))
     level = F.least(F.lit(255), F.floor(4 * F.log2(F.col("n").cast("double")))).cast("int").alias("level")
     found = summed.select("bucket", level).toPandas()
@@ -140,7 +140,7 @@ def postings(nodes: DataFrame, levels: np.ndarray) -> DataFrame:
                 node = np.repeat(some.column(0).to_numpy(zero_copy_only=False), PREFIX)
                 yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel()), pa.array(node)], ["pair", "node"])
 
-    return nodes.select("node", "signature", "upper").mapInArrow(run, "pair bigint, node bigint")
+    return nodes.select("node", "signature", "upper").mapInArrow(frugal(run), "pair bigint, node bigint")
 
 
 def _with_component(rows: DataFrame, of: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield some.select([0, 1]).filter(pa.array(same.sum(1) >= MATCHES))
 
     both = pairs.join(left, "a").join(right, "b").filter(sized)
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "sa", "sb").mapInArrow(frugal(run), "a bigint, b bigint")
 
 
 def _rest(shared: DataFrame, of: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -265,7 +265,7 @@ def _rest(shared: DataFrame, of: DataFrame, nodes: DataFrame) -> DataFrame:
         if held and (found := group(held)) is not None:
             yield found
 
-    return ordered.select(columns).mapInArrow(run, "pair bigint, i bigint, j bigint, a bigint, b bigint")
+    return ordered.select(columns).mapInArrow(frugal(run), "pair bigint, i bigint, j bigint, a bigint, b bigint")
 
 
 def _slots(ids: pa.Array) -> np.ndarray:
@@ -307,7 +307,7 @@ def _shingles_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFra
                 )
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = texts.mapInArrow(run, "id bigint, digest binary, shingles binary")
+    sets = texts.mapInArrow(frugal(run), "id bigint, digest binary, shingles binary")
     met = sets.join(wanted, (sets["digest"] == wanted["digest"]) & sets["id"].eqNullSafe(wanted["doc_id"]))
     return met.select("node", "shingles").dropDuplicates(["node"])
 
@@ -320,8 +320,12 @@ def _similar(x: bytes, y: bytes) -> bool:
 
 def _confirmed_in_blocks(rest: DataFrame, shingles: DataFrame) -> DataFrame:
     """Links `u, v` among the pairs of `_rest`. A set goes once to every pair of blocks in which its node has pairs, not
-    once to every pair; there are at most 2 * `BLOCK` sets, give or take the hash."""
-    group = ["pair", "i", "j"]
+    once to every pair. A pair of blocks with many pairs is cut by hashes of both ends, so that a group has about `PAIRS` of
+    them."""
+    blocks, group = ["pair", "i", "j"], ["pair", "i", "j", "x", "y"]
+    cuts = rest.groupBy(*blocks).agg(F.ceil(F.sqrt(F.count(F.lit(1)) / PAIRS)).cast("int").alias("cuts"))
+    part = lambda end: F.pmod(F.xxhash64(F.lit("part"), end), F.col("cuts")).cast("int")
+    rest = stored(rest.join(cuts, blocks).withColumns({"x": part("a"), "y": part("b")}).drop("cuts"), "cut")
     ends = [rest.select(*[F.col(g).alias(f"of_{g}") for g in group], F.col(end).alias("node")) for end in ("a", "b")]
     sets = ends[0].union(ends[1]).distinct().join(shingles, "node")
 
@@ -344,7 +348,7 @@ def _confirmed(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
             yield part.select([0, 1]).rename_columns(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return both.mapInArrow(run, "u bigint, v bigint")
+    return both.mapInArrow(frugal(run), "u bigint, v bigint")
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -363,12 +367,16 @@ def groups(docs: DataFrame) -> DataFrame:
     posted = stored(postings(nodes, frequencies(nodes)), "postings")
     lists = posted.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("pair")
     shared = stored(posted.join(lists, "pair"), "shared")
+    drop_table(posted)
 
     # the same eight orders for all lists: lists of much the same members have few pivots
     pivots = _pivot_pairs(shared, "node").union(_pivot_pairs(shared, "xxhash64(node, pair & 7)")).distinct()
     pairs = stored(_agreeing(pivots, nodes), "pairs")
-    links = stored(_confirmed(pairs, stored(_shingles_of(docs, nodes, pairs), "shingles")), "links")
+    sets = stored(_shingles_of(docs, nodes, pairs), "shingles")
+    links = stored(_confirmed(pairs, sets), "links")
+    drop_table(sets)
     rest = stored(_rest(shared, components(links), nodes), "rest")
+    drop_table(shared)
     links = links.union(_confirmed_in_blocks(rest, stored(_shingles_of(docs, nodes, rest), "shingles")))
     of = components(links)
 
