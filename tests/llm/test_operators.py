@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import re
 import zlib
 
@@ -381,6 +382,33 @@ def test_licences(spark, none):
     assert licences.scan(none).collect() == []
 
 
+def test_licences_inside_of_documents(spark):
+    commented = "/*\n" + "\n".join(f" * {line}" for line in ("Copyright 1999 Nobody\n\n" + licences.MIT).split("\n")) + "\n */\n\nint main() {}\n"
+    wrapped = " ".join(licences.MIT.split("\n\n")[0].split()) + "\n\n" + "\n\n".join(licences.MIT.split("\n\n")[1:])
+    bsd = licences._BSD_HEAD + licences._BSD_NAME + licences._BSD_TAIL
+    rows = [
+        (1, commented),
+        (2, "Some text.\n\n" + wrapped + "\n \t\nmore text\n\n" + bsd),
+        (2, "Some text.\n\n" + wrapped + "\n \t\nmore text\n\n" + bsd),
+        (3, "Some text.\n\n" + licences.MIT[:-20]),
+        (4, "x\n\n" * 50_000 + licences.ISC + "\n\n" + licences.ISC),
+        (None, licences.MIT + "\n\nend"),
+    ]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id bigint, text string, units string, licence string")
+    got = sorted(((r["doc_id"] or 0, r["licence"], r["embedded"]) for r in licences.scan(docs).collect()), key=repr)
+    assert got == [(0, None, "MIT"), (1, None, "MIT"), (2, None, "BSD-3-Clause,MIT"), (2, None, "BSD-3-Clause,MIT"), (3, None, None), (4, None, "ISC")]
+
+
+@pytest.mark.skipif(not os.path.exists("/usr/share/common-licenses/GPL-3"), reason="no licence texts here")
+def test_listed_licences(spark):
+    texts = {n: open(f"/usr/share/common-licenses/{n}").read() for n in ("GPL-3", "Apache-2.0", "MPL-2.0")}
+    rows = [(1, texts["GPL-3"]), (2, "My program\n\n" + texts["Apache-2.0"].upper() + "\n\n" + texts["MPL-2.0"].replace("License", "Licence"))]
+    rows += [(3, texts["GPL-3"][: texts["GPL-3"].index("END OF TERMS")] + "\n\nand more")]
+    got = {r["doc_id"]: (r["licence"], r["embedded"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: ("GPL-3.0", "GPL-3.0"), 2: (None, "Apache-2.0,MPL-2.0"), 3: (None, "GPL-3.0")}
+    assert len({k.digest for k in licences.listed()}) == len(licences.listed())
+
+
 # -- mixing -----------------------------------------------------------------------------------------------------------
 
 
@@ -473,7 +501,12 @@ def test_mined_rules_are_those_of_brute_force(spark):
         rows.append((f"http://{'spam' if bad else 'good'}{'' if i % 5 else '.x'}.net/{'buy' if bad or i % 3 == 0 else 'read'}/{i}", bad))
     rows += [("http://spam.net/read/7", False), (None, True), ("http://a.net/", None), ("", False)]
     frame = spark.createDataFrame(rows, "url string, blocked boolean")
-    mined = {tuple(r["tokens"]): (r["confidence"], r["support"]) for r in urls.mine(frame, 0.1, 0.7).collect()}
+    # any token of a class will do
+    mined = {
+        tuple(sorted(choice)): (r["confidence"], r["support"])
+        for r in urls.mine(frame, 0.1, 0.7).collect()
+        for choice in itertools.product(*r["classes"])
+    }
     baskets = [
         (set(r["t"]), r["blocked"])
         for r in frame.filter("url IS NOT NULL AND blocked IS NOT NULL").select(urls.tokens(F.col("url")).alias("t"), "blocked").collect()
@@ -498,6 +531,20 @@ def test_mined_rules_are_those_of_brute_force(spark):
     assert verdicts == {1: "block", 2: "allow", 3: "allow"}
 
 
+def test_rules_of_long_templates(spark):
+    template = "/".join(f"part{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(30))
+    rows = [(f"http://shop.net/{template}/{k}", True) for k in range(20)] + [(f"http://news.net/a/{k}", False) for k in range(400)]
+    # and another whose parts also occur elsewhere, each in other URLs
+    parts = [f"own{chr(97 + i)}" for i in range(24)]
+    rows += [("http://more.net/" + "/".join(parts), True)] * 10 + [(f"http://b.net/{p}/{'q' * i}", i % 3 == 0) for i, p in enumerate(parts)]
+    rules = urls.mine(spark.createDataFrame(rows, "url string, blocked boolean"), max_tokens=8)
+    asked = [(1, "http://x.org.net/partha"), (2, "http://news.net/a/9"), (3, "http://shop.net/"), (4, "x" * 100_000), (5, "http://more.net/owna/ownb/ownd")]
+    pages = spark.createDataFrame([(i, u, "r", "c") for i, u in asked], "page_id bigint, url string, rules string, classes string")
+    verdicts = {r["page_id"]: r["verdict"] for r in urls.judge(pages, rules).collect()}
+    assert verdicts == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "block"}
+    assert max(len(r["tokens"]) for r in rules.collect()) <= 8
+
+
 def test_language_of_a_page_with_much_before_it():
     words = "der die und das haus fluss garten fenster markt brief morgen wasser zeit leute " * 6
     tag, body = "<html lang=de>", f"<body><p>{words}</p><p>short text</p><p>{words}"
