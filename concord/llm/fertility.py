@@ -27,7 +27,9 @@ LEAST_ROOM = {"chars_per_token": 0.05, "byte_share": 0.05, "token_entropy": 0.05
 #: Texts within so many distances of the quartiles from the median of their language make the trend over the length.
 TREND = 3.0
 #: Words that a worker remembers, after which it starts anew.
-MEMO = 300_000
+MEMO = 150_000
+#: Text bytes that are measured at once: with their words and tokens they take some sixty times as much memory.
+SLICE = 1 << 20
 
 _SPACE = b" \t\n\x0b\x0c\r"
 # fixed values of the contract
@@ -161,7 +163,7 @@ def measures(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             columns = _measure(utf8(part, "text"), shared.value)
             arrays = [pa.array(c, from_pandas=True) for c in columns]
             yield pa.RecordBatch.from_arrays(
