@@ -62,14 +62,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _place(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    place, files = _place(spark, path)
+    files.delete(place, True)
+
+
+def numbered_folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers n of the folders `name=n` below `path`, in order; of tables only those that are written whole."""
+    place, files = _place(spark, path)
+    if not files.exists(place):
+        return []
+    jvm = spark.sparkContext._jvm
+    found = [s.getPath() for s in files.listStatus(place) if s.isDirectory() and s.getPath().getName().startswith(f"{name}=")]
+    whole = [p for p in found if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().split("=")[1]) for p in whole)
 
 
 def drop_table(table: DataFrame) -> None:
     """Delete a table that `stored` has made, once everything that was made of it is written."""
-    _delete(table.sparkSession, table.stored_path)
+    delete(table.sparkSession, table.stored_path)
 
 
 def drop_stored(spark: SparkSession) -> int:
@@ -77,5 +94,5 @@ def drop_stored(spark: SparkSession) -> int:
     of them are written: frames that read them are of no use any more."""
     n = len(_made)
     while _made:
-        _delete(spark, _made.pop())
+        delete(spark, _made.pop())
     return n

@@ -17,7 +17,7 @@ from concord.catalog import Catalog
 from concord.operators.facets import facets
 from concord.operators.merge import merge_records
 from concord.operators.status import ACTIVE
-from concord.session import scratch_path
+from concord.session import delete, numbered_folders, scratch_path
 from concord.sources.internal import parse_payloads
 from concord.sources.splits import stream_split_records
 from concord.streaming.expiry import TimedClusters
@@ -85,25 +85,60 @@ def stream_clusters(records: DataFrame, catalog: Catalog, extra: Sequence[Column
 # -- running and reading ---------------------------------------------------------------------------------------------------
 
 
-def write_updates(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", available_now: bool = True) -> StreamingQuery:
-    """Append every micro-batch to the table at `path` with its number in `batch`; a repeated batch replaces itself."""
+def write_updates(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    mode: str = "update",
+    available_now: bool = True,
+    keys: Sequence[str] = (),
+    compact_every: int = 0,
+) -> StreamingQuery:
+    """Append every micro-batch to the table at `path` with its number in `batch`; a repeated batch replaces itself. With `keys`, the
+    table is compacted behind every so many batches."""
 
     def write(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        if keys and compact_every and (batch + 1) % compact_every == 0:
+            compact(rows.sparkSession, path, keys, rows.schema)
 
     writer = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def latest(spark: SparkSession, path: str, keys: Sequence[str], schema: T.StructType) -> DataFrame:
-    """Newest row of every key of a table made by `write_updates`."""
+    """Newest row of every key of a table made by `write_updates`: of its last base and the batches behind it."""
     full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
     rows = spark.read.schema(full).parquet(path)
+    bases = numbered_folders(spark, f"{path}_base", "upto")
+    if bases:
+        base = spark.read.schema(schema).parquet(f"{path}_base/upto={bases[-1]}")
+        rows = rows.filter(F.col("batch") > bases[-1]).unionByName(base.withColumn("batch", F.lit(bases[-1]).cast("bigint")))
     others = [c for c in schema.names if c not in keys]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("row"))
     return newest.select(*keys, "row.*")
 
 
+def compact(spark: SparkSession, path: str, keys: Sequence[str], schema: T.StructType) -> int | None:
+    """Write the newest rows of a table made by `write_updates` as its base, and drop what the base before it stood for; the
+    number of the last batch in the base, or None if there is no new one.
+
+    The base of before and the batches behind it stay until the next call, for readers that have begun with them. A call that
+    breaks off leaves the table as it was.
+    """
+    batches, bases = numbered_folders(spark, path, "batch"), numbered_folders(spark, f"{path}_base", "upto")
+    if not batches or bases and batches[-1] <= bases[-1]:
+        return None
+    latest(spark, path, keys, schema).write.mode("overwrite").parquet(f"{path}_base/upto={batches[-1]}")
+    if bases:
+        for n in batches:
+            if n <= bases[-1]:
+                delete(spark, f"{path}/batch={n}")
+        for n in bases[:-1]:
+            delete(spark, f"{path}_base/upto={n}")
+    return batches[-1]
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str = "update") -> str:
     """Run a stream over what is there now; the path of its table."""
     spark = stream.sparkSession

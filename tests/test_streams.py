@@ -1,11 +1,14 @@
 """Streams in several micro-batches against the batch result, and state that expires."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from concord import Catalog, FieldSpec
 from concord.operators.facets import facets
 from concord.operators.merge import merge_records
 from concord.operators.records import table_records
+from concord.session import numbered_folders
 from concord.streaming import intake as ST
 
 CATALOG = Catalog((FieldSpec("title", termlist=True, merge="longest"), FieldSpec("price", type="float", merge="range")))
@@ -51,3 +54,19 @@ def test_idle_clusters_are_forgotten(spark, tmp_path):
         newest = {r["cluster"]: r for r in ST.latest(spark, path, ["cluster"], spark.createDataFrame([], ST.IDLE_ROW).schema).collect()}
         assert newest["a"]["members"] == members and newest["b"]["members"] == 1
         assert newest["a"]["high"] == (1.0 if members == 1 else 9.0)
+
+
+def test_tables_of_updates_are_compacted(spark, tmp_path):
+    folder, stream = batches(spark, tmp_path, [ROWS[i::9] for i in range(9)])
+    running = ST.stream_clusters(records(stream), CATALOG)
+    path, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    ST.write_updates(running, path, checkpoint, keys=["cluster"], compact_every=3).awaitTermination()
+    whole = merge_records(records(spark.read.schema(SCHEMA).parquet(folder)), CATALOG).select("cluster", "members", "merged")
+    found = lambda: sorted(ST.latest(spark, path, ["cluster"], running.schema).select("cluster", "members", "merged").collect())
+    assert found() == sorted(whole.collect())
+    # the base of all nine batches, the one before it, and what stands behind that
+    assert numbered_folders(spark, f"{path}_base", "upto") == [5, 8] and numbered_folders(spark, path, "batch") == [6, 7, 8]
+    assert ST.compact(spark, path, ["cluster"], running.schema) is None
+    # a base that was not written whole counts for nothing
+    os.makedirs(f"{path}_base/upto=99")
+    assert found() == sorted(whole.collect())
