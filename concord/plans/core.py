@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from concord.catalog import Catalog
 from concord.functions import text as X, values as V
+from concord.functions.chains import ENGLISH, TextChain, trim_trailing
 from concord.operators import clusters as C, facets as FA, filters as FI, merge as M, order as O, rank as R
 from concord.operators.records import md
 from concord.plans.views import DOCS, OFFERS, docs, docs_table, offers, table
@@ -290,6 +291,23 @@ def facets_top(spark: SparkSession, sf: str) -> DataFrame:
     return FA.top_facets(counts, 15)
 
 
+CHAINS = {"upper": TextChain((F.upper,)), "short": TextChain((trim_trailing("0123456789"), F.lower)), "mergekey": ENGLISH}
+
+
+@register
+def facets_chained(spark: SparkSession, sf: str) -> DataFrame:
+    """Facets of fields with a chain of their own: the rule of a facet, and the rule of a field."""
+    catalog = replace(with_fields(OFFERS, medium={"facetrule": "upper"}, author={"icurule": "short"}), chains={n: CHAINS[n] for n in ("upper", "short")})
+    return FA.facets(kept_offers(spark, sf), catalog)
+
+
+@register
+def stemmed_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents clustered by the English stems of their titles; no SQL for the stems."""
+    catalog = replace(DOCS, chains={"mergekey": CHAINS["mergekey"]})
+    return C.with_merge_key(docs(spark, sf, catalog), catalog).select(F.col("arrival").alias("doc_id"), "cluster")
+
+
 @register
 def facets_all(spark: SparkSession, sf: str) -> DataFrame:
     return FA.facets(kept_docs(spark, sf), DOCS)

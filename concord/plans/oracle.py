@@ -218,6 +218,9 @@ def top(counts: str, num: int, where: str = "true") -> str:
 
 COUNTS = "counts AS (SELECT facet, term AS display, count(*) AS frequency FROM terms GROUP BY facet, term)"
 SQL["facets_top"] = f"{KEPT}, {OFFER_TERMS}, {COUNTS} {top('counts', 15)}"
+SQL["facets_chained"] = f"""{KEPT}, {OFFER_TERMS},
+    formed AS (SELECT facet, CASE facet WHEN 'medium' THEN upper(term) WHEN 'author' THEN lower(regexp_replace(term, '[0-9]+$', '')) ELSE term END AS term FROM terms)
+    SELECT facet, term AS norm, term AS display, count(*) AS frequency FROM formed WHERE term <> '' GROUP BY facet, term"""
 SQL["facets_all"] = f"""WITH {DOCS} SELECT 'lang' AS facet, lang AS norm, lang AS display, count(*) AS frequency FROM kept
     WHERE lang <> '' GROUP BY lang"""
 SQL["facets_year"] = f"""WITH docs AS (SELECT doc_id, list_filter(regexp_extract_all(text, '\\d+'), lambda x: length(x) = 4) AS y FROM documents),
