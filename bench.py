@@ -32,6 +32,9 @@ HEADLINE = {
     "stream_clusters": streams.stream_clusters,
 }
 
+#: The table whose rows a query goes through, where it isn't lineitem.
+TABLE = {"rank_docs": "documents", "multi_key_clusters": "documents", "stream_clusters": "events", "resolve_settings": "supplier"}
+
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -59,12 +62,14 @@ def main() -> None:
         run(query, folder)
         seconds[name] = round(time.perf_counter() - started, 3)
         print(name, seconds[name], file=sys.stderr, flush=True)
+    size = {t: spark.read.parquet(f"{folder}/{t}.parquet").count() for t in {TABLE.get(n, "lineitem") for n in seconds}}
     found = re.search(r"sf([\d.]+)", folder)
     line = {
         "metric": "headline queries",
         "value": round(sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,
+        "rows_per_sec": {n: round(size[TABLE.get(n, "lineitem")] / s) for n, s in seconds.items()},
         "sf": float(found.group(1)) if found else None,
     }
     print(json.dumps(line), flush=True)

@@ -195,10 +195,15 @@ def _part_records(spark: SparkSession, sf: str) -> DataFrame:
     return parts(spark, sf).select("p_size", F.coalesce(value, tag("record", title, medium, key)).alias("value"))
 
 
+def record_folder(spark: SparkSession, sf: str) -> str:
+    """A folder of files of these records, one per size."""
+    return _files(spark, _part_records(spark, sf), "internal")
+
+
 @register
 def record_files(spark: SparkSession, sf: str) -> DataFrame:
     """Values of internal records that are read from files, in splits."""
-    rows = I.read_records(spark, _files(spark, _part_records(spark, sf), "internal"))
+    rows = I.read_records(spark, record_folder(spark, sf))
     rows = I.first_values(rows).select(F.posexplode_outer("values").alias("n", "v")).filter("v IS NOT NULL")
     return rows.groupBy("v.field", "v.value", F.col("v.attrs")["rank"].alias("rank")).agg(F.count(F.lit(1)).alias("records"))
 
@@ -206,7 +211,7 @@ def record_files(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def converted_records(spark: SparkSession, sf: str) -> DataFrame:
     """Files of internal records to documents in as many tasks as there are splits, with a log per file."""
-    source = _files(spark, _part_records(spark, sf), "internal")
+    source = record_folder(spark, sf)
     done = SP.convert_records(spark, source, scratch_path(spark, "converted"), I.parse_payloads)
     return done.log.select(F.regexp_extract("file", r"p_size=(\d+)", 1).cast("int").alias("p_size"), "documents", "failures")
 

@@ -22,6 +22,8 @@ _EVENTS = f"""e AS (SELECT event_id, event_type, {LETTERS} AS user, year(ts) AS
     o AS (SELECT *, CASE WHEN broken THEN 'rejected' WHEN NOT inside THEN 'filtered'
         WHEN row_number() OVER (PARTITION BY broken, event_type, user, yr, v ORDER BY event_id) > 1 THEN 'duplicate' ELSE 'kept' END AS outcome FROM e)"""
 SQL = {
+    "stream_record_files": """SELECT p_size::VARCHAR AS source, count(*) AS fetched, 0 AS filtered, count_if(p_partkey % 50 = 0) AS failures
+        FROM part GROUP BY p_size""",
     "stream_expiring": """WITH e AS (SELECT user_id::VARCHAR AS cluster, epoch_us(ts) // 1000 AS at_ms, value FROM events),
     g AS (SELECT *, CASE WHEN at_ms - lag(at_ms) OVER w <= 172800000 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY cluster ORDER BY at_ms)),
     n AS (SELECT *, sum(fresh) OVER (PARTITION BY cluster ORDER BY at_ms ROWS UNBOUNDED PRECEDING) AS life FROM g),

@@ -12,6 +12,7 @@ from concord.operators import clusters as C, filters as FI, rank as R, records a
 from concord.plans.views import table
 from concord.session import scratch_path
 from concord.sources.internal import parse_payloads
+from concord.plans.formats import record_folder
 from concord.plans.sources import keyed_docs
 from concord.streaming import expiry as SE, flow as SF, intake as ST, linked as SL, ranked as SR
 
@@ -255,3 +256,11 @@ def stream_gated(spark: SparkSession, sf: str) -> DataFrame:
     last = ST.run_until(stream, write, enough, checkpoint)
     rows = spark.read.schema("event_id bigint, user_id bigint, source string, batch bigint").parquet(path)
     return rows.agg(F.lit(last).alias("stopped_after"), F.count_distinct("batch").alias("batches"), (F.count(F.lit(1)) > 0).alias("any_records"))
+
+
+@register
+def stream_record_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of records as a stream, read in splits: records and failures per folder."""
+    parsed = ST.stream_records(spark, record_folder(spark, sf)).withColumn("filtered", F.lit(False))
+    sized = parsed.withColumn("source", F.regexp_extract("file", r"p_size=(\d+)", 1))
+    return _finish(spark, ST.stream_status(sized), "record-files", ["source"])
