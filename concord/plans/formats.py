@@ -600,3 +600,12 @@ def snippet_docs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents for result clustering."""
     clusters = M.merge_records(kept_offers(spark, sf), OFFERS)
     return SI.to_snippet_docs(clusters, snippet=("medium", "author"))
+
+
+@register
+def snippet_docs_listed(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents for result clustering whose snippets are lists: all media and authors of the offers of a title."""
+    catalog = with_fields(OFFERS, author={"merge": "unique", "sortkey": "no", "mergekey": "no"}, medium={"merge": "unique", "mergekey": "no"})
+    records = kept_offers(spark, sf, catalog)
+    values = M.merge_values(records, catalog, ["author", "medium"])
+    return SI.to_snippet_docs(M.merge_records(records, catalog), snippet=("medium", "author"), values=values)

@@ -354,3 +354,11 @@ _ONE = f"SELECT source, position, {CHECKSUM} AS checksum FROM kept WHERE key = '
 SQL["one_record"] = f"{KEPT} {_ONE}"
 SQL["one_member"] = f"{KEPT} {_ONE} LIMIT 1 OFFSET 7"
 SQL["snippet_docs"] = f"{KEPT}, {CLUSTERS} SELECT recid AS id, title, NULL::VARCHAR AS url, medium || ' ' || author AS snippet FROM clusters"
+
+SQL["snippet_docs_listed"] = f"""WITH o AS (
+        SELECT 'content: title ' || {words('p_name')} AS key, p_name, p_brand, p_type, ({ARRIVAL}) AS arr
+        FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
+    media AS (SELECT key, string_agg(p_type, ' ' ORDER BY a) AS media FROM (SELECT key, p_type, min(arr) AS a FROM o GROUP BY key, p_type) GROUP BY key),
+    authors AS (SELECT key, string_agg(p_brand, ' ' ORDER BY a) AS authors FROM (SELECT key, p_brand, min(arr) AS a FROM o GROUP BY key, p_brand) GROUP BY key)
+    SELECT key AS id, first(p_name ORDER BY strlen(p_name) DESC, arr) AS title, NULL::VARCHAR AS url, any_value(media) || ' ' || any_value(authors) AS snippet
+    FROM o JOIN media USING (key) JOIN authors USING (key) GROUP BY key"""

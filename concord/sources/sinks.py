@@ -114,10 +114,32 @@ def get_record(
     return members.orderBy("arrival")
 
 
-def to_snippet_docs(clusters: DataFrame, title: str = "title", url: Column | None = None, snippet: tuple[str, ...] = ("description", "title-responsibility")) -> DataFrame:
-    """Documents for result clustering: `id, title, url, snippet`; the snippet is descriptions and responsibility."""
+def to_snippet_docs(
+    clusters: DataFrame,
+    title: str = "title",
+    url: Column | None = None,
+    snippet: tuple[str, ...] = ("description", "title-responsibility"),
+    values: DataFrame | None = None,
+) -> DataFrame:
+    """Documents for result clustering: `id, title, url, snippet`; the snippet is descriptions and responsibility.
+
+    Fields whose merged values are lists come out of `values` (rows of `merge_values`), all of them in their order. Such a snippet is
+    as long as the values of its cluster, so give the hits that are shown.
+    """
     have = clusters.schema["merged"].dataType.names
-    parts = [F.col(f"merged.`{n}`") for n in snippet if n in have]
+    listed = [n for n in snippet if n not in have] if values is not None else []
+    if listed:
+        text = F.struct("field", "arrival", "ord", "disp")
+        of = values.filter(F.col("field").isin(listed) & filled(F.col("disp"))).join(clusters.select("cluster"), "cluster", "left_semi")
+        lists = of.groupBy("cluster").agg(F.sort_array(F.collect_list(text)).alias("listed"))
+        clusters = clusters.join(lists, "cluster", "left")
+
+    def part(name: str) -> Column:
+        if name in have:
+            return F.col(f"merged.`{name}`")
+        return F.nullif(F.array_join(F.transform(F.filter("listed", lambda v: v["field"] == name), lambda v: v["disp"]), " "), F.lit(""))
+
+    parts = [part(n) for n in snippet if n in have or n in listed]
     link = url if url is not None else (F.col("merged.url") if "url" in have else F.lit(None).cast("string"))
     return clusters.select(
         F.col("recid").alias("id"),
