@@ -3,8 +3,8 @@
 Texts with the same shingle set are one node from the start. Every node has 128 pairs of coordinate and value. Two nodes
 that agree in at least `POSTED_MATCHES` of them must share one of the first `128 - POSTED_MATCHES + 1` pairs of either, if
 both order their pairs alike; ordered by rising frequency, that prefix skips the pairs that half the corpus has. So only
-prefixes are posted. 128 more coordinates are not posted and sharpen the comparison. Every list of nodes under one pair is
-then compared without writing out its square:
+prefixes are posted. 128 more coordinates are not posted and sharpen the comparison, for which 4 bits of every coordinate are
+enough and all that is sent around. Every list of nodes under one pair is then compared without writing out its square:
 
 1. each node with two pivots of the list, the least node and one that changes among lists; pairs that agree in
    `MATCHES` coordinates are confirmed and components built;
@@ -13,8 +13,8 @@ then compared without writing out its square:
 
 A pair inside one component is not compared again, for it cannot change the result.
 
-At a similarity of 0.75, 192 of 256 coordinates agree on average; fewer than 174 do for one pair in 250, and at 0.8 for
-one in 300,000. Fewer than 80 of the 128 posted ones do for one pair in 2,500.
+At a similarity of 0.75, 196 of 256 coordinates agree in 4 bits on average; fewer than 174 do for one pair in 1,600, and at
+0.8 for one in millions. Fewer than 80 of the 128 posted ones do for one pair in 2,500.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from concord.llm.shingles import WordHashes, coordinates, mixed, shingle_sets, s
 from concord.operators.clusters import components
 from concord.session import drop_table, stored
 
-#: Coordinates that are posted, with values of 32 bits, and all coordinates, of which 16 bits are compared.
+#: Coordinates that are posted, with values of 32 bits, and all coordinates, of which 4 bits are compared.
 POSTED, ALL = 128, 256
 #: Coordinates of all that must agree, and of those that are posted.
 MATCHES, POSTED_MATCHES = 174, 80
@@ -47,33 +47,42 @@ BLOCK, PAIRS = 2048, 4096
 SLOTS = 1 << 22
 
 
-def _rows(column: pa.Array, width: int) -> np.ndarray:
-    """16-bit numbers, `width` in a row."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), width)
+def _rows(column: pa.Array, kind: type) -> np.ndarray:
+    """Numbers of a column of equally long bytes, one row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def _halves(values: np.ndarray) -> tuple[bytes, bytes]:
-    """What is compared of a signature: 16 bits of every coordinate; and the other 16 of those that are posted."""
-    return values.astype(np.uint16).tobytes(), (values[:POSTED] >> np.uint32(16)).astype(np.uint16).tobytes()
+def _kept(values: np.ndarray) -> tuple[bytes, bytes]:
+    """What is kept of a signature: the coordinates that are posted; and 4 bits of every one, two in a byte."""
+    few = (values & np.uint32(15)).astype(np.uint8)
+    return values[:POSTED].astype(np.uint32).tobytes(), (few[::2] | few[1::2] << 4).tobytes()
+
+
+#: How many of the two halves of a byte are zero.
+_ZEROS = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], np.uint8)
+
+
+def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many coordinates the rows agree."""
+    return _ZEROS[x ^ y].sum(1, dtype=np.int64)
 
 
 def _digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-_SKETCH = "doc_id bigint, text_key bigint, n_shingles bigint, digest binary, signature binary, upper binary"
+_SKETCH = "doc_id bigint, text_key bigint, n_shingles bigint, digest binary, posted binary, short binary"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """`doc_id, text_key, n_shingles, digest, signature, upper` of every text; `text_key` is a hash of the text. `signature`
-    has 16 bits of every coordinate, `upper` the upper 16 of those that are posted. Texts without words have null in the
-    last three."""
+    """`doc_id, text_key, n_shingles, digest, posted, short` of every text; `text_key` is a hash of the text. `posted` has the
+    coordinates that are posted, `short` 4 bits of every coordinate. Texts without words have null in the last three."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, functions = WordHashes(), coordinates(ALL)
         for part in slices(batches, "text"):
             sets = shingle_sets(utf8(part, "text"), memo)
-            signed = iter([_halves(v) for v in signatures(sets, functions)])
+            signed = iter([_kept(v) for v in signatures(sets, functions)])
             signed = [next(signed) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -84,18 +93,16 @@ def sketches(docs: DataFrame) -> DataFrame:
                     pa.array([s for s, _ in signed], pa.binary()),
                     pa.array([u for _, u in signed], pa.binary()),
                 ],
-                ["doc_id", "text_key", "n_shingles", "digest", "signature", "upper"],
+                ["doc_id", "text_key", "n_shingles", "digest", "posted", "short"],
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     return rows.mapInArrow(frugal(run), _SKETCH)
 
 
-def _pairs(signature: pa.Array, upper: pa.Array) -> np.ndarray:
+def _pairs(posted: pa.Array) -> np.ndarray:
     """Coordinate-value pairs of signatures as 64-bit integers."""
-    low = _rows(signature, ALL)[:, :POSTED].astype(np.uint64)
-    value = (_rows(upper, POSTED).astype(np.uint64) << np.uint64(16)) | low
-    return (value << np.uint64(7)) | np.arange(POSTED, dtype=np.uint64)
+    return (_rows(posted, np.uint32).astype(np.uint64) << np.uint64(7)) | np.arange(POSTED, dtype=np.uint64)
 
 
 def _buckets(pairs: np.ndarray) -> np.ndarray:
@@ -110,13 +117,13 @@ def frequencies(nodes: DataFrame) -> np.ndarray:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
-                counts += np.bincount(_buckets(_pairs(some.column(0), some.column(1))).ravel(), minlength=BUCKETS)
+                counts += np.bincount(_buckets(_pairs(some.column(0))).ravel(), minlength=BUCKETS)
         full = np.flatnonzero(counts)
         for at in range(0, len(full), 1 << 14):
             some = full[at : at + (1 << 14)]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["bucket", "n"])
 
-    counted = nodes.select("signature", "upper").mapInArrow(frugal(run), "bucket bigint, n bigint")
+    counted = nodes.select("posted").mapInArrow(frugal(run), "bucket bigint, n bigint")
     summed = counted.groupBy("bucket").agg(F.sum("n").alias("n"))
     level = F.least(F.lit(255), F.floor(4 * F.log2(F.col("n").cast("double")))).cast("int").alias("level")
     found = summed.select("bucket", level).toPandas()
@@ -133,14 +140,14 @@ def postings(nodes: DataFrame, levels: np.ndarray) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
-                pairs = _pairs(some.column(1), some.column(2))
+                pairs = _pairs(some.column(1))
                 rank = (shared.value[_buckets(pairs)].astype(np.uint64) << np.uint64(56)) | (mixed(pairs) >> np.uint64(8))
                 first = np.argpartition(rank, PREFIX - 1, axis=1)[:, :PREFIX]
                 chosen = np.take_along_axis(pairs, first, 1).astype(np.int64)
                 node = np.repeat(some.column(0).to_numpy(zero_copy_only=False), PREFIX)
                 yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel()), pa.array(node)], ["pair", "node"])
 
-    return nodes.select("node", "signature", "upper").mapInArrow(frugal(run), "pair bigint, node bigint")
+    return nodes.select("node", "posted").mapInArrow(frugal(run), "pair bigint, node bigint")
 
 
 def _with_component(rows: DataFrame, of: DataFrame) -> DataFrame:
@@ -157,16 +164,16 @@ def _pivot_pairs(shared: DataFrame, order: str) -> DataFrame:
 
 def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of the pairs `a, b` those whose signatures agree in `MATCHES` coordinates and whose sizes allow a link."""
-    left = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
+    left = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("short").alias("sa"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("short").alias("sb"))
     sized = 100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 some = batch.slice(at, 4096)
-                same = _rows(some.column(2), ALL) == _rows(some.column(3), ALL)
-                yield some.select([0, 1]).filter(pa.array(same.sum(1) >= MATCHES))
+                agree = _agree(_rows(some.column(2), np.uint8), _rows(some.column(3), np.uint8))
+                yield some.select([0, 1]).filter(pa.array(agree >= MATCHES))
 
     both = pairs.join(left, "a").join(right, "b").filter(sized)
     return both.select("a", "b", "sa", "sb").mapInArrow(frugal(run), "a bigint, b bigint")
@@ -178,7 +185,7 @@ def _rest(shared: DataFrame, of: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Members get a block number by their hash, so that a block holds about `BLOCK` of them, and a list of n blocks gives
     n * (n + 1) / 2 tasks' worth of block pairs. A pair that meets in several lists comes out of the one with the least
-    coordinate, of those in both prefixes in which both halves of the values are equal.
+    coordinate, of those in both prefixes in which the values are equal.
     """
     members = _with_component(shared, of)
     mixed_lists = members.groupBy("pair").agg(
@@ -193,18 +200,18 @@ def _rest(shared: DataFrame, of: DataFrame, nodes: DataFrame) -> DataFrame:
     prefix = shared.groupBy("node").agg(
         F.bit_or(F.when(coordinate < 64, bit).otherwise(F.lit(0).cast("bigint"))).alias("p0"),
         F.bit_or(F.when(coordinate >= 64, bit).otherwise(F.lit(0).cast("bigint"))).alias("p1"),
-        # and the upper halves of their values, PREFIX at most, by rising coordinate
+        # and their values, PREFIX at most, by rising coordinate
         F.transform(
-            F.array_sort(F.collect_list(F.struct(coordinate.alias("at"), (F.shiftright("pair", 23) - 32768).alias("value")))),
-            lambda x: x["value"].cast("smallint"),
-        ).alias("uppers"),
+            F.array_sort(F.collect_list(F.struct(coordinate.alias("at"), (F.shiftright("pair", 7) - (1 << 31)).alias("value")))),
+            lambda x: x["value"].cast("int"),
+        ).alias("held"),
     )
-    known = nodes.select("node", "n_shingles", "signature").join(prefix, "node")
+    known = nodes.select("node", "n_shingles", "short").join(prefix, "node")
     rows = rows.join(known, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     ordered = dealt.repartition("pair", "i", "j").sortWithinPartitions("pair", "i", "j", "own", "node")
-    columns = ["pair", "i", "j", "own", "node", "component", "n_shingles", "p0", "p1", "uppers", "signature"]
+    columns = ["pair", "i", "j", "own", "node", "component", "n_shingles", "p0", "p1", "held", "short"]
 
     def compare(table: pa.RecordBatch) -> pa.RecordBatch | None:
         names = {name: table.column(k) for k, name in enumerate(columns)}
@@ -215,9 +222,9 @@ def _rest(shared: DataFrame, of: DataFrame, nodes: DataFrame) -> DataFrame:
         p0, p1 = get("p0").view(np.uint64), get("p1").view(np.uint64)
         inside = np.stack([p0, p1], 1).view(np.uint8)
         inside = np.unpackbits(inside, axis=1, bitorder="little").astype(bool)
-        upper = np.zeros(inside.shape, np.int16)
-        upper[inside] = names["uppers"].flatten().to_numpy(zero_copy_only=False)
-        signed = _rows(names["signature"], ALL)
+        value = np.zeros(inside.shape, np.int32)
+        value[inside] = names["held"].flatten().to_numpy(zero_copy_only=False)
+        short = _rows(names["short"], np.uint8)
         found_a, found_b = [], []
         second = np.flatnonzero(own == j)
         for at in np.flatnonzero(own == i):
@@ -227,12 +234,10 @@ def _rest(shared: DataFrame, of: DataFrame, nodes: DataFrame) -> DataFrame:
             others = others[100 * low >= SIMILARITY * high]
             if not len(others):
                 continue
-            same = signed[others] == signed[at]
-            enough = same.sum(1) >= MATCHES
-            if not enough.any():
+            others = others[_agree(short[others], short[at]) >= MATCHES]
+            if not len(others):
                 continue
-            others, same = others[enough], same[enough]
-            first = (same[:, :POSTED] & (upper[others] == upper[at]) & inside[others] & inside[at]).argmax(1)
+            first = ((value[others] == value[at]) & inside[others] & inside[at]).argmax(1)
             others = others[first == coordinate]
             found_a.append(np.minimum(node[others], node[at]))
             found_b.append(np.maximum(node[others], node[at]))
@@ -360,8 +365,8 @@ def groups(docs: DataFrame) -> DataFrame:
     sketch = stored(sketches(docs), "sketch")
     # rows without a word have no class and never enter a group
     classes = sketch.filter("digest IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"),
-        F.first("upper").alias("upper"),
+        F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("posted").alias("posted"),
+        F.first("short").alias("short"),
     )
     nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     posted = stored(postings(nodes, frequencies(nodes)), "postings")

@@ -124,7 +124,7 @@ def test_pairs_in_blocks_are_all_pairs(spark, monkeypatch):
     assert as_rows(found) == brute_near(rows)
 
 
-def test_pair_whose_earlier_coordinate_agrees_in_the_low_half_only(spark):
+def test_pair_whose_earlier_coordinate_agrees_in_its_low_bits_only(spark):
     import numpy as np
 
     rng = np.random.default_rng(3)
@@ -133,8 +133,8 @@ def test_pair_whose_earlier_coordinate_agrees_in_the_low_half_only(spark):
     b[2] ^= np.uint64(1 << 20)
     c, d = (rng.integers(0, 2**32, near.ALL, dtype=np.uint64) for _ in range(2))
     c[2], d[2] = a[2], b[2]
-    rows = [(k, 100, *map(bytearray, near._halves(v))) for k, v in enumerate((a, b, c, d))]
-    nodes = spark.createDataFrame(rows, "node bigint, n_shingles bigint, signature binary, upper binary")
+    rows = [(k, 100, *map(bytearray, near._kept(v))) for k, v in enumerate((a, b, c, d))]
+    nodes = spark.createDataFrame(rows, "node bigint, n_shingles bigint, posted binary, short binary")
     pair = lambda v, at: int(v[at]) << 7 | at
     lists = [(pair(a, 2), 0), (pair(c, 2), 2), (pair(b, 2), 1), (pair(d, 2), 3), (pair(a, 5), 0), (pair(b, 5), 1), (pair(a, 90), 0), (pair(b, 90), 1)]
     shared = spark.createDataFrame(lists, "pair bigint, node bigint")
