@@ -262,6 +262,17 @@ def sort_relevance(spark: SparkSession, sf: str) -> DataFrame:
     return _numbered(spark, sf, [("relevance", False)], R.rank(kept_offers(spark, sf), OFFERS, QUERY))
 
 
+@register
+def sort_native(spark: SparkSession, sf: str) -> DataFrame:
+    """The order of the only active source, which sorts its records itself; of several sources it would be that of the titles."""
+    supplier = table(spark, sf, "supplier")
+    first = F.col("s_suppkey") == supplier.agg(F.min("s_suppkey")).scalar()
+    status = stored(supplier.select(F.col("s_name").alias("source"), first.alias("active"), F.lit(True).alias("native_sort")), "status")
+    records = kept_offers(spark, sf, position=True).join(status.filter("active").select("source"), "source", "left_semi")
+    spec = [("position", True)] if O.keeps_native_order(status) else [("title", True)]
+    return _numbered(spark, sf, spec, M.merge_records(records, OFFERS))
+
+
 @register
 def page_title(spark: SparkSession, sf: str) -> DataFrame:
     """Third page of twenty by title."""

@@ -199,6 +199,8 @@ SQL["sort_price_desc"] = numbered("price_high DESC NULLS LAST, recid")
 SQL["sort_position"] = numbered("first_position, recid")
 SQL["sort_retrieval"] = numbered("first_arrival, recid")
 SQL["sort_relevance"] = numbered("relevance DESC, recid", "ranked", rank(WIDGET))
+SQL["sort_native"] = f"""{KEPT} SELECT key AS recid, row_number() OVER (ORDER BY min(position), key) AS rank FROM kept
+    WHERE source = (SELECT min_by(s_name, s_suppkey) FROM supplier) GROUP BY key"""
 SQL["page_title"] = f"{KEPT}, {CLUSTERS} SELECT recid, members FROM clusters ORDER BY {TITLE_KEY}, recid LIMIT 20 OFFSET 40"
 SQL["page_past_end"] = f"{KEPT}, {CLUSTERS} SELECT recid, members FROM clusters ORDER BY recid LIMIT 20 OFFSET 1000000"
 SQL["neighbours_title"] = f"""{KEPT}, {CLUSTERS}
