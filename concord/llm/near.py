@@ -19,13 +19,13 @@ one in 300,000. Fewer than 80 of the 128 posted ones do for one pair in 2,500.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from concord.llm.common import frugal, slices, utf8
 from concord.llm.shingles import WordHashes, coordinates, mixed, shingle_sets, signatures
@@ -41,6 +41,8 @@ PREFIX = POSTED - POSTED_MATCHES + 1
 SIMILARITY = 75
 #: Coordinate-value pairs are counted in so many buckets: a table of one byte per bucket goes to the tasks.
 BUCKETS = 1 << 18
+#: Orders whose least member of a list is a pivot. The second is one of eight: lists of much the same members have few pivots.
+ORDERS = ("node", "xxhash64(node, pair & 7)")
 #: Members of a list that are compared with so many others at once, and pairs that are confirmed at once.
 BLOCK, PAIRS = 2048, 4096
 #: Bits of the table that tells which documents' sets are wanted.
@@ -149,10 +151,13 @@ def _with_component(rows: DataFrame, of: DataFrame) -> DataFrame:
     return rows.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def _pivot(order: str) -> Column:
+    return F.min(F.struct(F.expr(order).alias("o"), "node"))["node"]
+
+
 def _pivot_pairs(shared: DataFrame, order: str) -> DataFrame:
     """`a, b`: every member of a list with the list's least member by `order`."""
-    members = shared.withColumn("o", F.expr(order))
-    pivot = members.groupBy("pair").agg(F.min(F.struct("o", "node"))["node"].alias("pivot"))
+    pivot = shared.groupBy("pair").agg(_pivot(order).alias("pivot"))
     met = shared.join(pivot, "pair").filter("node <> pivot")
     return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
 
@@ -174,21 +179,26 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(frugal(run), "a bigint, b bigint")
 
 
-def _rest(shared: DataFrame, of: DataFrame, nodes: DataFrame) -> DataFrame:
+def _rest(shared: DataFrame, of: DataFrame, nodes: DataFrame, compared: Sequence[str] = ()) -> DataFrame:
     """`pair, i, j, a, b`: all pairs of members of one list (under `pair`) in different components that agree in `MATCHES`
-    coordinates, with the two blocks of the list that they are from.
+    coordinates, with the two blocks of the list that they are from. Pairs with the pivots by the orders `compared` have been compared
+    already, so these pivots are left out, and with them the many lists of two or three.
 
     Members get a block number by their hash, so that a block holds about `BLOCK` of them, and a list of n blocks gives
     n * (n + 1) / 2 tasks' worth of block pairs. A pair that meets in several lists comes out of the one with the least
     coordinate, of those in both prefixes in which the values are equal.
     """
-    members = _with_component(shared, of)
+    members, pivots = _with_component(shared, of), [f"pivot_{k}" for k in range(len(compared))]
     mixed_lists = members.groupBy("pair").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")
-    )
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    open_lists = mixed_lists.filter("low <> high").select("pair", blocks.alias("blocks"))
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"),
+        *[_pivot(order).alias(name) for name, order in zip(pivots, compared)],
+    )
+    left = F.col("n") - F.size(F.array_distinct(F.array(*pivots).cast("array<bigint>")))
+    blocks = F.ceil(left / BLOCK).cast("int")
+    open_lists = mixed_lists.filter((F.col("low") != F.col("high")) & (left > 1)).select("pair", *pivots, blocks.alias("blocks"))
     rows = members.join(open_lists, "pair")
+    for pivot in pivots:
+        rows = rows.filter(F.col("node") != F.col(pivot)).drop(pivot)
     # the coordinates that are in a node's prefix, as two 64-bit sets
     coordinate = F.col("pair").bitwiseAND(127)
     bit = F.expr("shiftleft(1L, cast(pair & 63 AS INT))")
@@ -369,13 +379,12 @@ def groups(docs: DataFrame) -> DataFrame:
     shared = stored(posted.join(lists, "pair"), "shared")
     drop_table(posted)
 
-    # the same eight orders for all lists: lists of much the same members have few pivots
-    pivots = _pivot_pairs(shared, "node").union(_pivot_pairs(shared, "xxhash64(node, pair & 7)")).distinct()
+    pivots = _pivot_pairs(shared, ORDERS[0]).union(_pivot_pairs(shared, ORDERS[1])).distinct()
     pairs = stored(_agreeing(pivots, nodes), "pairs")
     sets = stored(_shingles_of(docs, nodes, pairs), "shingles")
     links = stored(_confirmed(pairs, sets), "links")
     drop_table(sets)
-    rest = stored(_rest(shared, components(links), nodes), "rest")
+    rest = stored(_rest(shared, components(links), nodes, ORDERS), "rest")
     drop_table(shared)
     links = links.union(_confirmed_in_blocks(rest, stored(_shingles_of(docs, nodes, rest), "shingles")))
     of = components(links)

@@ -143,6 +143,24 @@ def test_pair_whose_earlier_coordinate_agrees_in_its_low_bits_only(spark):
     assert [(r["pair"], r["a"], r["b"]) for r in near._rest(shared, alone, nodes).collect()] == [(pair(a, 5), 0, 1)]
 
 
+def test_pairs_with_a_pivot_are_not_compared_again(spark):
+    import numpy as np
+
+    value = np.random.default_rng(4).integers(0, 2**32, near.ALL, dtype=np.uint64)
+    rows = [(k, 100, *map(bytearray, near._kept(value))) for k in range(8)]
+    nodes = spark.createDataFrame(rows, "node bigint, n_shingles bigint, posted binary, short binary")
+    pair = lambda at: int(value[at]) << 7 | at
+    # a list of two, one of three and one of five others
+    lists = [(pair(at), k) for at, members in ((3, (0, 1)), (4, (0, 1, 2)), (9, (3, 4, 5, 6, 7))) for k in members]
+    shared = spark.createDataFrame(lists, "pair bigint, node bigint")
+    alone = spark.createDataFrame([], "node bigint, component bigint")
+    ends = lambda rows: {(r["a"], r["b"]) for r in rows.collect()}
+    before = set().union(*(ends(near._pivot_pairs(shared, order)) for order in near.ORDERS))
+    every = ends(near._rest(shared, alone, nodes))
+    rest = ends(near._rest(shared, alone, nodes, near.ORDERS))
+    assert every == before | rest and not before & rest and len(rest) in (3, 6)
+
+
 # -- byte-level BPE ---------------------------------------------------------------------------------------------------
 
 
