@@ -3,7 +3,7 @@
 A URL is a set of tokens (scheme, parts of the host, path segments, extension, names of parameters). FP-growth finds the
 token combinations that occur with the label often enough; those that lead to it with enough confidence are the rules. A
 rule is indexed under its rarest token, and a URL meets only the rules under its own tokens. Tokens that always occur together, as
-those of a site's template do, are mined as one.
+those of a site's template do, are mined as one. Labelled URLs with too many tokens for FP-growth are mined level by level.
 """
 
 from __future__ import annotations
@@ -12,15 +12,15 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from concord.llm.common import ascii_lower
-from concord.session import stored
+from concord.session import drop_table, stored
 
 #: Item that marks a blocked URL in a transaction; no token looks like it.
 BLOCKED = "=blocked"
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
-#: Classes of tokens of a labelled URL that rules are mined from, at most.
+#: Classes of tokens of a labelled URL up to which FP-growth mines the rules; beyond, sets of tokens are grown.
 MAX_TOKENS = 16
 
 
@@ -92,34 +92,78 @@ def tokens(url: Column) -> Column:
     return F.coalesce(F.array_distinct(every), F.array().cast("array<string>"))
 
 
-def _baskets(known: DataFrame, min_support: float, max_tokens: int) -> tuple[DataFrame, DataFrame]:
-    """Transactions `items` of the labelled URLs, and `token, freq, class` of the tokens in them.
+def _classes(rows: DataFrame, least: float) -> DataFrame:
+    """`token, freq, bad, class` of the tokens that may be in a rule: at least `least` blocked URLs have them.
 
     Tokens that occur in just the same URLs are one class, and the first by name stands for them, since a rule says the same with
-    any of them. Tokens that are too rare for a rule are left out, and of a URL with more than `max_tokens` classes those that
-    tell least about the label: the number of combinations that FP-growth writes out doubles with each.
+    any of them. `freq` and `bad` count URLs and blocked URLs.
     """
-    rows = stored(known.select(tokens(F.col("url")).alias("items"), "blocked").withColumn("id", F.monotonically_increasing_id()), "urls")
-    n, blocked = rows.agg(F.count(F.lit(1)), F.count_if("blocked")).first()
-    every = rows.select("id", "blocked", F.explode("items").alias("token"))
-    found = every.groupBy("token").agg(
+    found = rows.select("id", "blocked", F.explode("items").alias("token")).groupBy("token").agg(
         F.count(F.lit(1)).alias("freq"),
         F.count_if("blocked").alias("bad"),
         F.bit_xor(F.xxhash64("id")).alias("where_1"),
         F.bit_xor(F.xxhash64(F.lit("second"), "id")).alias("where_2"),
     )
-    found = found.filter(F.col("freq") >= min_support * n)
     # a few per URL and support: at most the tokens of a URL over the least support
     same = ["freq", "bad", "where_1", "where_2"]
-    classes = stored(found.groupBy(*same).agg(F.sort_array(F.collect_list("token")).alias("class")), "classes")
-    classes = classes.select(F.col("class")[0].alias("token"), "freq", "bad", "class")
-    telling = F.abs(F.col("bad") / F.col("freq") - F.lit(blocked / n)) * F.sqrt("freq")
-    order = W.partitionBy("id").orderBy(telling.desc(), "token")
-    chosen = every.select("id", "token").join(classes, "token").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max_tokens)
-    chosen = chosen.groupBy("id").agg(F.collect_list("token").alias("chosen"))
-    items = F.coalesce("chosen", F.array().cast("array<string>"))
-    items = F.when(F.col("blocked"), F.array_append(items, BLOCKED)).otherwise(items)
-    return rows.select("id", "blocked").join(chosen, "id", "left").select(items.alias("items")), classes.drop("bad")
+    classes = found.filter(F.col("bad") >= least).groupBy(*same).agg(F.sort_array(F.collect_list("token")).alias("class"))
+    return stored(classes, "classes").select(F.col("class")[0].alias("token"), "freq", "bad", "class")
+
+
+def _grown(baskets: DataFrame, live: DataFrame, least: float) -> DataFrame:
+    """`tokens, freq, bad` of the sets of two tokens and more that a kept rule may have, from the sets of one token (`live`).
+
+    Sets grow by a token at a time, out of two sets of one URL that differ in their last token. A set that occurs as often as one
+    without one of its tokens says nothing new, nor does any larger set; one that only blocked URLs have can't gain confidence.
+    So neither grows, and no kept rule is lost. URLs with the same classes are one row.
+    """
+    same = baskets.groupBy("chosen").agg(F.count(F.lit(1)).alias("n"), F.count_if("blocked").alias("bad"))
+    same = same.withColumn("url", F.monotonically_increasing_id())
+    occur = stored(same.select("url", "n", "bad", F.explode("chosen").alias("token")).withColumn("tokens", F.array("token")).drop("token"), "sets")
+    every = None
+    while not live.isEmpty():
+        ended = occur.select("url", "n", "bad", F.expr("slice(tokens, 1, size(tokens) - 1)").alias("head"), F.element_at("tokens", -1).alias("last"))
+        other = ended.select("url", "head", F.col("last").alias("next"))
+        larger = ended.join(other, ["url", "head"]).filter("last < next")
+        larger = larger.select("url", "n", "bad", F.concat("head", F.array("last", "next")).alias("tokens"))
+        counted = larger.groupBy("tokens").agg(F.sum("n").alias("freq"), F.sum("bad").alias("bad")).filter(F.col("bad") >= least)
+        without = counted.select("tokens", "freq", "bad", F.explode("tokens").alias("out")).select(
+            F.col("tokens").alias("whole"), F.col("freq").alias("had"), "bad", F.array_remove("tokens", F.col("out")).alias("tokens")
+        )
+        rarer = without.join(live.select("tokens", "freq"), "tokens").filter("had < freq")
+        rarer = rarer.groupBy("whole", "had", "bad").agg(F.count(F.lit(1)).alias("parts")).filter("parts = size(whole)")
+        found = stored(rarer.select(F.col("whole").alias("tokens"), F.col("had").alias("freq"), "bad"), "grown")
+        every = found if every is None else every.union(found)
+        live = found.filter("bad < freq")
+        before, occur = occur, stored(larger.join(live.select("tokens"), "tokens", "left_semi"), "sets")
+        drop_table(before)
+    return every
+
+
+def _rules(rows: DataFrame, classes: DataFrame, n: int, min_support: float, min_confidence: float, max_tokens: int) -> DataFrame:
+    """`tokens, confidence, support` of all rules that may be kept, by the first tokens of classes.
+
+    A class that every URL has, or only blocked ones, adds nothing to a rule with others. FP-growth goes over the rest. It writes out
+    a number of combinations that doubles with each class of a URL, so that where a URL has more than `max_tokens` of them the
+    sets are grown without those that can't be kept. Both give the same kept rules.
+    """
+    single = classes.select(F.array("token").alias("tokens"), "freq", "bad")
+    open_classes = classes.filter((F.col("bad") < F.col("freq")) & (F.col("freq") < n))
+    tokens_of = rows.select("id", F.explode("items").alias("token")).join(open_classes.select("token"), "token")
+    chosen = tokens_of.groupBy("id").agg(F.sort_array(F.collect_list("token")).alias("chosen"))
+    none = F.array().cast("array<string>")
+    baskets = rows.select("id", "blocked").join(chosen, "id", "left").withColumn("chosen", F.coalesce("chosen", none))
+    baskets = stored(baskets, "baskets")
+    shares = [(F.col("bad") / F.col("freq")).alias("confidence"), (F.col("bad") / F.lit(n)).alias("support")]
+    if baskets.agg(F.max(F.size("chosen"))).first()[0] > max_tokens:
+        live = open_classes.select(F.array("token").alias("tokens"), "freq")
+        found = single.union(_grown(baskets, live, min_support * n))
+        return found.select("tokens", *shares).filter(F.col("confidence") >= min_confidence)
+    items = F.when(F.col("blocked"), F.array_append("chosen", BLOCKED)).otherwise(F.col("chosen"))
+    model = FPGrowth(minSupport=min_support, minConfidence=min_confidence).fit(baskets.select(items.alias("items")))
+    found = model.associationRules.filter(F.array_contains("consequent", BLOCKED)).filter(F.size("antecedent") > 1)
+    found = found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+    return found.union(single.select("tokens", *shares).filter(F.col("confidence") >= min_confidence))
 
 
 def mine(
@@ -130,18 +174,17 @@ def mine(
     Support counts URLs with the tokens and the label among all labelled URLs, confidence among those with the tokens. A
     rule that has the tokens of another one and more, without more confidence, says nothing new and goes. `classes` has for each
     of the tokens all that occur in the same URLs, any of which will do; `keys` are those of the class that occurs least, by
-    name where several do. Null URLs and labels are left out; without rows there are no rules.
+    name where several do. Null URLs and labels are left out; without rows there are no rules. No tokens are left out: where a
+    URL has more than `max_tokens` classes, rules are mined in another way with the same result.
     """
     known = labelled.filter("url IS NOT NULL AND blocked IS NOT NULL")
     empty = "rule_id string, tokens array<string>, classes array<array<string>>, keys array<string>, confidence double, support double"
     if known.isEmpty():
         return labelled.sparkSession.createDataFrame([], empty)
-    baskets, classes = _baskets(known, min_support, max_tokens)
-    model = FPGrowth(minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.filter(F.array_contains("consequent", BLOCKED)).select(
-        F.array_sort("antecedent").alias("tokens"), "confidence", "support"
-    )
-    found = stored(found, "rules")
+    rows = stored(known.select(tokens(F.col("url")).alias("items"), "blocked").withColumn("id", F.monotonically_increasing_id()), "urls")
+    n = rows.count()
+    classes = _classes(rows, min_support * n)
+    found = stored(_rules(rows, classes, n, min_support, min_confidence, max_tokens), "rules")
     # the subsets of a rule that miss one token; rules hold a few tokens
     smaller = found.select("tokens", "confidence", F.explode("tokens").alias("out")).select(
         F.col("tokens").alias("whole"), F.col("confidence").alias("had"), F.array_remove("tokens", F.col("out")).alias("tokens")

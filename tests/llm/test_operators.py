@@ -563,6 +563,21 @@ def test_rules_of_long_templates(spark):
     assert max(len(r["tokens"]) for r in rules.collect()) <= 8
 
 
+def test_rules_of_urls_with_many_tokens_are_all_mined(spark):
+    rows = []
+    for i in range(120):
+        parts = [p for k, p in enumerate("abcdefghij") if (i * 7919 + k * k * 31 + i * i * k) % 11 < 7]
+        rows.append((f"http://{'x' if i % 2 else 'y'}.net/{'/'.join(parts)}/{i}", {"a", "c"} <= set(parts) and i % 5 > 0 or i % 7 == 0))
+    frame = spark.createDataFrame(rows, "url string, blocked boolean")
+    few = urls.mine(frame, 0.03, 0.6, max_tokens=3).collect()
+    assert sorted(few) == sorted(urls.mine(frame, 0.03, 0.6, max_tokens=99).collect())
+    assert max(len(r["tokens"]) for r in few) > 3
+    baskets = [(set(r["t"]), r["blocked"]) for r in frame.select(urls.tokens(F.col("url")).alias("t"), "blocked").collect()]
+    for r in few:
+        having = [bad for b, bad in baskets if b.issuperset(r["tokens"])]
+        assert (r["confidence"], r["support"]) == (sum(having) / len(having), sum(having) / len(baskets))
+
+
 def test_language_of_a_page_with_much_before_it():
     words = "der die und das haus fluss garten fenster markt brief morgen wasser zeit leute " * 6
     tag, body = "<html lang=de>", f"<body><p>{words}</p><p>short text</p><p>{words}"
