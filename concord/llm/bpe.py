@@ -7,7 +7,9 @@ import heapq
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,7 +34,7 @@ class ByteBpe:
     def __init__(self, tokens: list[bytes], pattern: str) -> None:
         self.tokens, self.pattern = tokens, pattern
         keys = [xxhash.xxh3_64_intdigest(t) for t in tokens]
-        self.hash = mph.build(mph.np.array(keys, mph.np.uint64))
+        self.hash = mph.build(np.array(keys, np.uint64))
         self.at = [0] * len(tokens)
         for rank, key in enumerate(keys):
             self.at[self.hash.slot(key)] = rank
@@ -137,7 +139,10 @@ def decode(encoded: DataFrame, bpe: ByteBpe, ids: str = "ids", to: str = "decode
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                data = pa.array([bpe.decode(x or ()) for x in part.column(at).to_pylist()], pa.binary())
+                column = part.column(at)
+                every = column.flatten().to_numpy().tolist()
+                ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy()).tolist()
+                data = pa.array([bpe.decode(every[i:j]) for i, j in zip([0, *ends], ends)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, data], [*names, to])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{to}` binary"])
