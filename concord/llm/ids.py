@@ -46,9 +46,9 @@ TASK = 64 << 20
 #: Words that a worker remembers, after which it starts anew.
 MEMO = 800_000
 #: Signs that often end a word.
-SIGNS = ",."
+SIGNS = (",", ".")
 #: Words that are encoded at once.
-GROUP = 2_000
+GROUP = 200
 
 
 class Coder:
@@ -135,21 +135,22 @@ class Coder:
             self.words.clear()
             self.other.clear()
         split = [t.split(" ") for t in texts]
-        new = set().union(*(s[1:] for s in split)).difference(self.words)
+        heads = [s.pop(0) for s in split]
+        new = set().union(*split).difference(self.words)
         odd = {w for w in new if not _word(w)}
         # a sign after a letter is a match of its own, so the word before it need not be learned twice
-        signed = [w for w in new if w.endswith(tuple(SIGNS)) and w[-2:-1].isalpha() and _word(w)]
+        signed = [w for w in new if w.endswith(SIGNS) and w[-2:-1].isalpha() and w not in odd]
         self._learn(list((new - odd).difference(signed) | {w[:-1] for w in signed}.difference(self.words)))
         sign = dict(zip(SIGNS, self._matches(list(SIGNS))))
         self.words.update([(w, self.words[w[:-1]] + sign[w[-1]]) for w in signed])
-        plain = [(not s[0] or _word(s[0]) or len(s) == 1) and (not odd or odd.isdisjoint(s[1:])) for s in split]
-        start = self._matches([s[0] if simple else t for t, s, simple in zip(texts, split, plain)])
+        plain = [(not h or _word(h) or not s) and (not odd or odd.isdisjoint(s)) for h, s in zip(heads, split)]
+        start = self._matches([h if simple else t for t, h, simple in zip(texts, heads, plain)])
         known = self.words.__getitem__
-        return [b"".join((first, *map(known, s[1:]))) if simple else first for first, s, simple in zip(start, split, plain)]
+        return [first + b"".join(map(known, s)) if simple else first for first, s, simple in zip(start, split, plain)]
 
 
 def _word(text: str) -> bool:
-    return bool(text) and not text[0].isspace() and not text[-1].isspace()
+    return bool(text) and text.strip() == text
 
 
 def _shard_file(keys: list[int | None], payloads: list[bytes], width: int) -> bytes:
