@@ -25,9 +25,11 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs
 import regex
 from pyspark import TaskContext
@@ -43,20 +45,25 @@ MAGIC = b"CONCIDS1"
 SHARD = 32 << 20
 #: Text bytes for one task of the writer.
 TASK = 64 << 20
-#: Words that a worker remembers, after which it starts anew.
+#: Words that a worker remembers, after which it keeps those of the texts at hand.
 MEMO = 800_000
 #: Signs that often end a word.
 SIGNS = (",", ".")
 #: Words that are encoded at once.
 GROUP = 200
+#: Text bytes and rows that are taken apart at once: the more, the fewer words are looked up twice.
+SLICE = 8 << 20
+ROWS = 4096
+#: Line ends with more white space around them: a text that has any is taken apart at its spaces only.
+BLANKS = ("\n\n", "\r\n", "\t\n", "\n\t")
 
 
 class Coder:
     """Byte-level tokenizer of the `tokenizers` library with the ids of words remembered.
 
     The tokenizer merges inside matches of its pattern only and cuts a match by itself in the same way, so the ids of a
-    text are those of its matches one after the other. Where a space stands between two characters that aren't white
-    space, a match begins: such texts are taken apart at their spaces, which is cheaper, and others by the pattern. The string of
+    text are those of its matches one after the other. Where a space or a line end stands between two characters that aren't
+    white space, a match begins: such texts are taken apart there, which is cheaper, and others by the pattern. The string of
     a special token gets that token's id, as the library does unless it is told otherwise, and what is around it is encoded by
     itself.
     """
@@ -90,11 +97,16 @@ class Coder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.special_ids = {content: i.to_bytes(self.width, "little") for content, i in added.items()}
         self.find = regex.compile(self.pattern).findall
-        self.words: dict[str, bytes] = {}  # raw ids of a space and this word
+        self.words: dict[str, bytes] = {}  # raw ids of a space and this word, or of a line end and the word behind it
         self.other: dict[str, bytes] = {}  # raw ids of matches of the pattern
-        # the byte-level alphabet writes a space as U+0120
-        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+        # the byte-level alphabet writes a space as U+0120 and a line end as U+010A
+        self.leading = {lead: self._led_by(sign) for lead, sign in ((" ", "\u0120"), ("\n", "\u010a"))}
+
+    def _led_by(self, sign: str) -> np.ndarray:
+        """Of every id whether its token begins with a sign."""
+        led = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        led[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(sign)]] = True
+        return led
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         kind = {2: "H", 4: "I"}[self.width]
@@ -111,14 +123,15 @@ class Coder:
         self.other.update(zip(new, self._raw(new)))
         return [b"".join(map(self.other.__getitem__, m)) for m in matches]
 
-    def _learn(self, words: list[str]) -> None:
-        """Raw ids of words after a space, many in one text: the first token of each starts with a space, no other does."""
+    def _learn(self, words: list[str], lead: str) -> None:
+        """Raw ids of words after a space or a line end, many in one text: the first token of each starts with it, no other
+        does. What is learned behind a line end has it before the word."""
         for at in range(0, len(words), GROUP):
             some = words[at : at + GROUP]
-            raw = self._raw([" " + " ".join(some)])[0]
-            starts = np.flatnonzero(self.spaced[np.frombuffer(raw, f"<u{self.width}")]) * self.width
+            raw = self._raw(["".join(some) if lead == "\n" else lead + lead.join(some)])[0]
+            starts = np.flatnonzero(self.leading[lead][np.frombuffer(raw, f"<u{self.width}")]) * self.width
             if len(starts) != len(some):
-                raise ValueError("the pattern of the tokenizer doesn't cut at spaces")
+                raise ValueError("the pattern of the tokenizer doesn't cut at spaces and line ends")
             ends = np.append(starts[1:], len(raw))
             self.words.update(zip(some, [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist())]))
 
@@ -131,22 +144,51 @@ class Coder:
         return [b"".join(self.special_ids[p] if k % 2 else next(plain) for k, p in enumerate(each)) for each in pieces]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        # words of all texts in one column, its different words once
+        split = pa.compute.split_pattern(pa.array(map(_cut, texts), pa.string()), " ")
+        starts, ends = split.offsets[:-1].to_numpy(), split.offsets[1:].to_numpy()
+        flat = split.flatten()
+        heads = flat.take(pa.array(starts)).to_numpy(zero_copy_only=False).tolist()
+        behind = np.ones(len(flat), bool)
+        behind[starts] = False
+        column = flat.filter(pa.array(behind)).dictionary_encode()
+        used, number = column.dictionary.to_numpy(zero_copy_only=False).tolist(), column.indices.to_numpy()
+        ends = ends - np.arange(1, len(texts) + 1)  # without the heads
+        starts = np.append(0, ends[:-1])
+
         if len(self.words) + len(self.other) > MEMO:
-            self.words.clear()
+            self.words = {w: self.words[w] for w in used if w in self.words}
             self.other.clear()
-        split = [t.split(" ") for t in texts]
-        heads = [s.pop(0) for s in split]
-        new = set().union(*split).difference(self.words)
-        odd = {w for w in new if not _word(w)}
+        new = set(used).difference(self.words)
+        odd = {w for w in new if not _word(w[1:] if w[:1] == "\n" else w)}
         # a sign after a letter is a match of its own, so the word before it need not be learned twice
         signed = [w for w in new if w.endswith(SIGNS) and w[-2:-1].isalpha() and w not in odd]
-        self._learn(list((new - odd).difference(signed) | {w[:-1] for w in signed}.difference(self.words)))
+        whole = (new - odd).difference(signed) | {w[:-1] for w in signed}.difference(self.words)
+        lines = {w for w in whole if w[:1] == "\n"}
+        self._learn(list(whole - lines), " ")
+        self._learn(list(lines), "\n")
         sign = dict(zip(SIGNS, self._matches(list(SIGNS))))
         self.words.update([(w, self.words[w[:-1]] + sign[w[-1]]) for w in signed])
-        plain = [(not h or _word(h) or not s) and (not odd or odd.isdisjoint(s)) for h, s in zip(heads, split)]
-        start = self._matches([h if simple else t for t, h, simple in zip(texts, heads, plain)])
-        known = self.words.__getitem__
-        return [first + b"".join(map(known, s)) if simple else first for first, s, simple in zip(start, split, plain)]
+
+        strange = np.append(0, np.cumsum(np.array([w in odd for w in used], bool)[number])) if odd else np.zeros(len(number) + 1)
+        simple = (starts == ends) | np.array([not h or _word(h) for h in heads], bool) & (strange[starts] == strange[ends])
+        first = self._matches([h if plain else t for t, h, plain in zip(texts, heads, simple.tolist())])
+        raw = list(map(self.words.get, used, repeat(b"")))
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // self.width
+        ids = np.frombuffer(b"".join(raw), f"<u{self.width}")
+        stops = np.append(0, np.cumsum(sizes[number]))  # of the words' ids in the texts
+        shift = (np.cumsum(sizes) - sizes)[number] - stops[:-1]
+        every = ids[np.repeat(shift, sizes[number]) + np.arange(stops[-1])].tobytes()
+        bounds = zip((stops[starts] * self.width).tolist(), (stops[ends] * self.width).tolist())
+        return [f + every[i:j] if plain else f for f, (i, j), plain in zip(first, bounds, simple.tolist())]
+
+
+def _cut(text: str) -> str:
+    """`text` with a space before its line ends, to be taken apart at its spaces. What begins with a line end has no space before
+    it: a text in which one follows a space has an empty word instead, so that it is taken apart by the pattern."""
+    if " \n" in text:
+        return " "
+    return text if any(map(text.__contains__, BLANKS)) else text.replace("\n", " \n")
 
 
 def _word(text: str) -> bool:
@@ -255,7 +297,7 @@ def write(docs: DataFrame, coder: Coder, folder: str, end_id: int, shard: int =
                 [{"part": part, "shard": number, "path": path, "n_docs": len(keys), "n_ids": held // coder.width}], manifest
             )
 
-        for some in slices(batches, "text"):
+        for some in slices(batches, "text", SLICE, ROWS):
             texts = [t or "" for t in some.column(1).to_pylist()]
             for key, raw in zip(some.column(0).to_pylist(), coder.encode(texts)):
                 if keys and held + len(raw) > shard:

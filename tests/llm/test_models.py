@@ -194,3 +194,25 @@ def test_ids_are_those_of_the_library():
     for text, raw in zip(texts, own.encode(texts)):
         assert np.frombuffer(raw, "<u2").tolist() == public.encode(text, add_special_tokens=False).ids
     assert zlib.crc32(b"") == 0
+
+
+def test_words_are_learned_without_the_line_before_them(monkeypatch):
+    from tokenizers import Tokenizer
+
+    public = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = ids.Coder.read(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    rng = random.Random(5)
+    parts = ["\n", "\n\n", " \n", "\n ", "\r\n", "\t\n", "\n\t", "\x85\n", "\n\u3000", " ", "  ", "one", "Two.", "'s", "9,", "é!"]
+    texts = ["one\nTwo.\nthree", "of one.\nTwo one,\nTwo one\nTwo\n", "\nTwo one"] + ["".join(rng.choices(parts, k=9)) for _ in range(800)]
+    for text, raw in zip(texts, own.encode(texts)):
+        assert np.frombuffer(raw, "<u2").tolist() == public.encode(text, add_special_tokens=False).ids
+    own.words.clear()
+    own.encode(["of one.\nTwo one,\nTwo one\nTwo"])
+    assert set(own.words) == {"one", "one.", "one,", "\nTwo"}
+    # a full memory keeps the words of the texts at hand
+    learned = []
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda words, lead: learned.extend(words) or learn(words, lead))
+    monkeypatch.setattr(ids, "MEMO", 1)
+    own.encode(["of one\nTwo four"])
+    assert learned == ["four"] and set(own.words) == {"one", "\nTwo", "four"}
