@@ -216,3 +216,21 @@ def test_words_are_learned_without_the_line_before_them(monkeypatch):
     monkeypatch.setattr(ids, "MEMO", 1)
     own.encode(["of one\nTwo four"])
     assert learned == ["four"] and set(own.words) == {"one", "\nTwo", "four"}
+
+
+def test_pre_tokens_are_merged_together_as_one_by_one(coder):
+    rng = random.Random(6)
+    parts = ["th", "e", "ing", "a", "\u00e9", "\u4e2d", "!", "\0", "12", "'s"]
+    pieces = ["".join(rng.choices(parts, k=rng.randint(1, 12))).encode() for _ in range(3000)] + [b"a", b"aaaaaaaa", b"\0\0"]
+    assert coder.merged_together(pieces) == [tuple(coder.merged(p)) for p in pieces]
+    texts = ["".join(rng.choices([*parts, " ", "\n", "th" * 40], k=20)) for _ in range(200)] + ["", " "]
+    want = [[r for m in coder.find(t) for r in coder.merged(m.encode())] for t in texts]
+    assert coder.encode_all(texts).to_pylist() == want
+
+
+def test_full_memory_keeps_the_pre_tokens_at_hand(monkeypatch):
+    own = bpe.ByteBpe([bytes([b]) for b in range(256)] + [b"ab", b"abc"], r" ?\w+")
+    own.encode_all(["abc ab", "cab"])
+    monkeypatch.setattr(bpe, "MEMO", 1)
+    assert own.encode_all(["abc x", ""]).to_pylist() == [[257, 32, 120], []]
+    assert set(own.memo) == {"abc", " x"}
