@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from concord.llm.common import frugal, slices, utf8
 from concord.llm.shingles import WordHashes, coordinates, mixed, shingle_sets, signatures
 from concord.operators.clusters import components
-from concord.session import drop_table, stored
+from concord.session import drop_table, stored, tidy
 
 #: Coordinates that are posted, with values of 32 bits, and all coordinates, of which 8 bits are compared.
 POSTED, ALL = 128, 256
@@ -123,7 +123,8 @@ def frequencies(nodes: DataFrame) -> np.ndarray:
     counted = nodes.select("posted").mapInArrow(frugal(run), "bucket bigint, n bigint")
     summed = counted.groupBy("bucket").agg(F.sum("n").alias("n"))
     level = F.least(F.lit(255), F.floor(4 * F.log2(F.col("n").cast("double")))).cast("int").alias("level")
-    found = summed.select("bucket", level).toPandas()
+    with tidy(nodes.sparkSession):
+        found = summed.select("bucket", level).toPandas()
     levels = np.zeros(BUCKETS, np.uint8)
     levels[found["bucket"].to_numpy()] = found["level"].to_numpy()
     return levels
@@ -297,7 +298,8 @@ def _shingles_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFra
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slots(batch.column(0))))], ["slot"])
 
-    full = wanted.select("doc_id").mapInArrow(slots, "slot bigint").distinct().toPandas()["slot"].to_numpy()
+    with tidy(docs.sparkSession):
+        full = wanted.select("doc_id").mapInArrow(slots, "slot bigint").distinct().toPandas()["slot"].to_numpy()
     table = np.zeros(SLOTS, bool)
     table[full] = True
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table))

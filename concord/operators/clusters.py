@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from concord.catalog import Catalog, FieldSpec
 from concord.functions.chains import TextChain
 from concord.operators.records import filled, md, raw_texts, shown
-from concord.session import cut
+from concord.session import cut, tidy
 
 CONTENT = "content: "
 
@@ -118,7 +118,11 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     and an equi-join, and the number of rounds grows with the logarithm of the longest chain.
     """
     edges = cut(edges.filter("u <> v").select("u", "v").distinct())
-    digest = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+    def digest(links: DataFrame):
+        with tidy(links.sparkSession):
+            return links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
     before = digest(edges)
     for _ in range(max_rounds):
         edges = cut(_small_star(_large_star(edges)))
