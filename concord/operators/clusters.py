@@ -70,16 +70,22 @@ def explode_subrecords(payloads: DataFrame, catalog: Catalog, keys: Sequence[str
     """
 
     chain = catalog.chain("mergekey")
+    fields = _key_fields(catalog, keys)
 
-    def key(sub: Column) -> Column:
-        texts = lambda n: F.transform(
-            F.filter(sub["values"], lambda v: (v["field"] == n) & filled(v["value"])), lambda v: v["value"]
-        )
-        parts = {f: _field_key(f.name, texts(f.name), chain) for f in _key_fields(catalog, keys)}
+    # step by step over all sub-records, so that every part is computed once
+    def parts(sub: Column) -> Column:
+        texts = lambda n: F.filter(sub["values"], lambda v: (v["field"] == n) & filled(v["value"]))["value"]
         supplied = F.when(filled(sub["key"]), chain.joined(sub["key"]))
-        return _key_or_alone(_content(parts, keys, supplied), F.col("source"), F.col("position"))
+        return F.struct(supplied.alias("s"), *[_field_key(f.name, texts(f.name), chain).alias(f"f{i}") for i, f in enumerate(fields)])
+
+    def content(part: Column) -> Column:
+        return _content({f: part[f"f{i}"] for i, f in enumerate(fields)}, keys, part["s"])
+
+    def key(text: Column) -> Column:
+        return _key_or_alone(text, F.col("source"), F.col("position"))
 
-    with_keys = payloads.withColumn("keys", F.array_distinct(F.transform("subrecords", key)))
+    found = F.transform(F.transform(F.transform("subrecords", parts), content), key)
+    with_keys = payloads.withColumn("keys", F.array_distinct(found))
     return with_keys.select(
         "source", "position", "arrival", "keys", F.posexplode_outer("subrecords").alias("sub", "record")
     ).filter("record IS NOT NULL").select(

@@ -68,7 +68,11 @@ def offers(
     """Every line item is the offer of a supplier; `position` numbers the offers of a supplier as they arrive. With `limits`
     only line items that may meet them are read."""
     where = table_condition(catalog, limits, OFFER_SOURCES) if limits else None
-    rows = offers_table(spark, sf, position, where)
+    return offer_records(offers_table(spark, sf, position, where), position, catalog)
+
+
+def offer_records(rows: DataFrame, position: bool = False, catalog: Catalog = OFFERS) -> DataFrame:
+    """Rows of `offers_table` as records."""
     columns = {"title": "p_name", "author": "p_brand", "medium": "p_type", "date": "l_year", "price": "l_extendedprice"}
     arrival = f"struct({', '.join(ARRIVAL)})"
     return table_records(rows, catalog, columns, "s_name", arrival, "position" if position else None)
