@@ -12,8 +12,8 @@ from concord.functions import text as X, values as V
 from concord.functions.chains import ENGLISH, TextChain, trim_trailing
 from concord.operators import clusters as C, facets as FA, filters as FI, merge as M, order as O, rank as R
 from concord.operators.records import md
-from concord.plans.views import DOCS, OFFERS, docs, docs_table, offers, table
-from concord.session import stored
+from concord.plans.views import DOCS, OFFERS, docs, docs_table, line_slices, offers, table
+from concord.session import stored, stored_parts, tidy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 QUERY = "small widget"
@@ -140,15 +140,23 @@ def rank_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def doc_freq_late(spark: SparkSession, sf: str) -> DataFrame:
-    """Document frequency when a term shows up late in a cluster: clusters by author only."""
+    """Document frequency when a term shows up late in a cluster: clusters by author only.
+
+    The records are made once, in slices: copies have the same price, so that they are found in one slice.
+    """
     catalog = with_fields(OFFERS, title={"mergekey": "no", "limitcluster": None}, medium={"mergekey": "no"}, author={"mergekey": "required"})
-    rows = offers(spark, sf, catalog=catalog).withColumn("position", F.lit(0))
-    records = C.drop_exact_duplicates(C.with_merge_key(rows, catalog, keys=["author", "medium"]), catalog)
     terms = R.query_terms(QUERY, catalog)
-    counted = R.with_term_counts(records, catalog, terms)
-    found = R.doc_freq(R.ranked_clusters(counted, catalog, terms), counted, terms)
+
+    def counted_records(where: Column) -> DataFrame:
+        rows = offers(spark, sf, catalog=catalog, where=where).withColumn("position", F.lit(0))
+        records = C.drop_exact_duplicates(C.with_merge_key(rows, catalog, keys=["author", "medium"]), catalog)
+        return R.with_term_counts(records, catalog, terms)
+
+    counted = stored_parts((counted_records(s) for s in line_slices(spark, sf, "l_extendedprice")), "records")
+    with tidy(spark):
+        found = R.doc_freq(R.ranked_clusters(counted, catalog, terms), counted, terms)
     # the numbers are on the driver; a count over the records carries them
-    total = records.agg(F.count(F.lit(1)).alias("records"))
+    total = counted.agg(F.count(F.lit(1)).alias("records"))
     return total.select("records", F.lit(found.n).alias("n"), *[F.lit(d).alias(f"df_{t.text}") for t, d in zip(terms, found.df)])
 
 

@@ -62,17 +62,33 @@ def offers_table(spark: SparkSession, sf: str, position: bool = False, where: Co
     )
 
 
+#: Bytes of lineitem that are joined at a time, and the most slices.
+SLICE_BYTES, MOST_SLICES = 64 << 20, 8
+
+
+def line_slices(spark: SparkSession, sf: str, key: str) -> list[Column]:
+    """Conditions that deal all line items to slices by `key`; those with equal keys are in the same one.
+
+    What is made of line items slice by slice (`stored_parts`) needs the shuffle files of one slice at a time. The hash is another one than
+    that of shuffles, which would leave partitions empty.
+    """
+    read = table(spark, sf, "lineitem")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    n = min(MOST_SLICES, 1 + int(str(read)) // SLICE_BYTES)
+    return [F.pmod(F.xxhash64(key), F.lit(n)) == i for i in range(n)]
+
+
 def offers(
-    spark: SparkSession, sf: str, position: bool = False, catalog: Catalog = OFFERS, limits: Limits | None = None
+    spark: SparkSession,
+    sf: str,
+    position: bool = False,
+    catalog: Catalog = OFFERS,
+    limits: Limits | None = None,
+    where: Column | None = None,
 ) -> DataFrame:
     """Every line item is the offer of a supplier; `position` numbers the offers of a supplier as they arrive. With `limits`
-    only line items that may meet them are read."""
-    where = table_condition(catalog, limits, OFFER_SOURCES) if limits else None
-    return offer_records(offers_table(spark, sf, position, where), position, catalog)
-
-
-def offer_records(rows: DataFrame, position: bool = False, catalog: Catalog = OFFERS) -> DataFrame:
-    """Rows of `offers_table` as records."""
+    only line items that may meet them are read, else with `where` only those that it is true for."""
+    where = table_condition(catalog, limits, OFFER_SOURCES) if limits else where
+    rows = offers_table(spark, sf, position, where)
     columns = {"title": "p_name", "author": "p_brand", "medium": "p_type", "date": "l_year", "price": "l_extendedprice"}
     arrival = f"struct({', '.join(ARRIVAL)})"
     return table_records(rows, catalog, columns, "s_name", arrival, "position" if position else None)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,9 +73,16 @@ _made: list[str] = []
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: made once, read with column pruning, and safe when
     executors are lost. The table stays until `drop_table` or `drop_stored`."""
-    path = scratch_path(df.sparkSession, name)
-    with tidy(df.sparkSession):
-        df.write.parquet(path)
+    return stored_parts([df], name)
+
+
+def stored_parts(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """Frames of the same columns as one `stored` table, written one after another: the shuffle files of one are gone before the next."""
+    path = None
+    for df in parts:
+        path = path or scratch_path(df.sparkSession, name)
+        with tidy(df.sparkSession):
+            df.write.mode("append").parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.stored_path = path
     _made.append(path)
