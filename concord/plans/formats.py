@@ -8,8 +8,8 @@ from concord.functions.text import sort_string, xml_escape
 from concord.operators import clusters as C, merge as M, normalize as NO, rank as R, records as RE
 from concord.plans.core import QUERY, kept_offers, with_fields
 from concord.plans.sources import resolved
-from concord.plans.views import ARRIVAL, DOCS, OFFERS, offers_table, table
-from concord.session import drop_table, scratch_path, stored
+from concord.plans.views import ARRIVAL, DOCS, OFFERS, line_slices, offers_table, table
+from concord.session import scratch_path, stored, stored_parts
 from concord.sources import formats as FO, internal as I, marc as MA, settings as SE, sinks as SI, splits as SP
 
 QUERIES = {}
@@ -49,13 +49,9 @@ def exploded(raw: DataFrame, *keep: str) -> DataFrame:
 
 # -- internal records ----------------------------------------------------------------------------------------------------
 
-#: What the payload of an order is made of.
-LINE = (*ARRIVAL, "p_name", "p_type", "l_year")
 
-
-def order_payloads(spark: SparkSession, sf: str, table: DataFrame | None = None) -> DataFrame:
-    """Every order is a payload: a cluster of its line items, or one record. Some payloads are broken. `table` is an `offers_table` that
-    is at hand.
+def order_payloads(spark: SparkSession, sf: str, where: Column | None = None) -> DataFrame:
+    """Every order is a payload: a cluster of its line items, or one record. Some payloads are broken. `where` picks orders.
 
     The line items of an order are brought together as they are, which takes less than their XML.
     """
@@ -67,7 +63,7 @@ def order_payloads(spark: SparkSession, sf: str, table: DataFrame | None = None)
         '<metadata type="author" empty="nobody"/>',
         leaf("metadata", F.col("l_quantity"), type="quantity"),
     )
-    lines = (offers_table(spark, sf) if table is None else table).select(*LINE)
+    lines = offers_table(spark, sf, where=where).select(*ARRIVAL, "p_name", "p_type", "l_year")
     rows = lines.repartition("l_orderkey").select("l_orderkey", F.struct(*ARRIVAL).alias("a"), record.alias("xml"))
     # the line items of one order
     orders = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("a", "xml"))).alias("r"))
@@ -91,8 +87,8 @@ def internal_failures(spark: SparkSession, sf: str) -> DataFrame:
     return parsed.groupBy("source").agg(F.count(F.lit(1)).alias("payloads"), F.count("failure").alias("failures"))
 
 
-def subrecords(spark: SparkSession, sf: str, table: DataFrame | None = None) -> DataFrame:
-    parsed = I.parse_payloads(order_payloads(spark, sf, table)).drop("payload", "failure")
+def subrecords(spark: SparkSession, sf: str, where: Column | None = None) -> DataFrame:
+    parsed = I.parse_payloads(order_payloads(spark, sf, where)).drop("payload", "failure")
     return C.explode_subrecords(parsed, OFFERS)
 
 
@@ -106,13 +102,12 @@ def internal_values(spark: SparkSession, sf: str) -> DataFrame:
 def cluster_payloads(spark: SparkSession, sf: str) -> DataFrame:
     """Sub-records share the keys of their payload; payloads with a common key are one cluster.
 
-    The payloads are parsed once: links and clusters are made of stored keys. The joins that the payloads are made of end with a table
-    too, so that their shuffle files are gone before the payloads are brought together.
+    The payloads are parsed once: links and clusters are made of stored keys. They are made in slices of orders, since the shuffles of the
+    joins and of the orders take several times the tables.
     """
-    lines = stored(offers_table(spark, sf).select(*LINE), "lines")
-    rows = subrecords(spark, sf, lines).select("position", F.col("arrival.sub").alias("sub"), "keys", F.size("keys").alias("n_keys"))
-    rows = stored(rows, "subrecords")
-    drop_table(lines)
+    slices = (subrecords(spark, sf, where) for where in line_slices(spark, sf, "l_orderkey"))
+    columns = ["position", F.col("arrival.sub").alias("sub"), "keys", F.size("keys").alias("n_keys")]
+    rows = stored_parts((rows.select(*columns) for rows in slices), "subrecords")
     return C.assign_clusters(rows).select("position", "sub", "cluster", "n_keys")
 
 

@@ -73,10 +73,12 @@ def test_long_payloads_take_no_stack(spark):
     assert [tuple(r) for r in parsed.select("n", F.size("subrecords")).orderBy("n").collect()] == [(n, n) for n, _ in rows]
 
 
-def test_payloads_of_a_query_are_parsed_once(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("slice_bytes", [1, 1 << 30])
+def test_payloads_of_a_query_are_parsed_once(spark, tmp_path, monkeypatch, slice_bytes):
     from concord.operators import clusters as C
-    from concord.plans import formats as FO
+    from concord.plans import formats as FO, views
 
+    monkeypatch.setattr(views, "SLICE_BYTES", slice_bytes)
     spark.createDataFrame(
         [(o, n, 1 + (o + n) % 3, 1, float(n), 1.0) for o in range(1, 100) for n in range(3)],
         "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_extendedprice double",
