@@ -63,8 +63,9 @@ def _plain_subrecords(payload: Column, attributes: Sequence[str]) -> Column:
 
     def one(v: Column) -> Column:
         head = F.substring_index(v, ">", 1)
-        found = lambda a: F.nullif(F.regexp_extract(head, f' {re.escape(a)}="([^"]*)"', 1), F.lit(""))
-        pairs = [x for a in ("empty", *attributes) for x in (F.lit(a), found(a))]
+        # no value has a quotation mark or an equals sign
+        found = lambda m: F.when(F.contains(head, F.lit(m)), F.substring_index(F.substring_index(head, m, -1), '"', 1))
+        pairs = [x for a in ("empty", *attributes) for x in (F.lit(a), found(f' {a}="'))]
         some = F.map_filter(F.create_map(*pairs), lambda _, value: value.isNotNull())
         attrs = F.when(F.contains(head, F.lit('" ')), some).otherwise(F.create_map().cast(ATTRS))
         field = F.substring_index(F.substring_index(v, '"', 2), '"', -1)
@@ -74,7 +75,9 @@ def _plain_subrecords(payload: Column, attributes: Sequence[str]) -> Column:
         values = F.filter(F.split(record, "<"), lambda v: F.startswith(v, F.lit('metadata type="')))
         return F.struct(F.lit(None).cast("string").alias("key"), F.transform(values, one).alias("values"))
 
-    records = F.filter(F.split(payload, "</record>"), lambda r: F.contains(r, F.lit("<record>")))
+    # a plain payload has no line ends, and a split by one character takes no pattern
+    lines = F.split(F.replace(payload, F.lit("</record>"), F.lit("\n")), "\n")
+    records = F.filter(lines, lambda r: F.contains(r, F.lit("<record>")))
     return F.transform(records, sub)
 
 
