@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from concord.catalog import Catalog, FieldSpec
 from concord.functions.chains import TextChain
 from concord.operators.records import filled, md, raw_texts, shown
-from concord.session import cut, tidy
+from concord.session import cut, stored, tidy
 
 CONTENT = "content: "
 
@@ -151,10 +151,13 @@ def key_components(keys: DataFrame, max_rounds: int = 100) -> DataFrame:
     return components(links, max_rounds).toDF("key", "cluster")
 
 
-def assign_clusters(records: DataFrame) -> DataFrame:
+def assign_clusters(records: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """Add `cluster` to records with an array of merge `keys`: records that share a key, directly or by way of other
-    records, are one cluster."""
-    components = key_components(records)
+    records, are one cluster. `links` are rows with every list of `keys` that the records have, if there are fewer of them.
+
+    The components are stored, so that it is known before the join whether they are few.
+    """
+    components = stored(key_components(records if links is None else links), "components")
     first = records.withColumn("key", F.get("keys", F.lit(0)))
     return first.join(components, "key", "left").withColumn("cluster", F.coalesce("cluster", "key")).drop("key")
 

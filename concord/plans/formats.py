@@ -108,7 +108,8 @@ def cluster_payloads(spark: SparkSession, sf: str) -> DataFrame:
     slices = (subrecords(spark, sf, where) for where in line_slices(spark, sf, "l_orderkey"))
     columns = ["position", F.col("arrival.sub").alias("sub"), "keys", F.size("keys").alias("n_keys")]
     rows = stored_parts((rows.select(*columns) for rows in slices), "subrecords")
-    return C.assign_clusters(rows).select("position", "sub", "cluster", "n_keys")
+    # the sub-records of a payload have the same keys
+    return C.assign_clusters(rows, rows.filter("sub = 0")).select("position", "sub", "cluster", "n_keys")
 
 
 @register

@@ -88,7 +88,7 @@ def test_payloads_of_a_query_are_parsed_once(spark, tmp_path, monkeypatch, slice
     spark.createDataFrame([(1, "s")], "s_suppkey bigint, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
     plans = []
     assign = C.assign_clusters
-    monkeypatch.setattr(C, "assign_clusters", lambda rows: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or assign(rows))
+    monkeypatch.setattr(C, "assign_clusters", lambda rows, *a: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or assign(rows, *a))
     got = FO.cluster_payloads(spark, str(tmp_path)).collect()
     # links and clusters are both made of what comes here
     assert len(plans) == 1 and "from_xml" not in plans[0] and "Join" not in plans[0]
