@@ -153,8 +153,10 @@ def doc_freq_late(spark: SparkSession, sf: str) -> DataFrame:
         return R.with_term_counts(records, catalog, terms)
 
     counted = stored_parts((counted_records(s) for s in line_slices(spark, sf, "l_extendedprice")), "records")
+    clusters = R.ranked_clusters(counted, catalog, terms).select("cluster", "members", "first_arrival", "first_hit")
     with tidy(spark):
-        found = R.doc_freq(R.ranked_clusters(counted, catalog, terms), counted, terms)
+        # stored, so that it is known before the join of records whether the clusters are few
+        found = R.doc_freq(stored(clusters, "clusters"), counted, terms)
     # the numbers are on the driver; a count over the records carries them
     total = counted.agg(F.count(F.lit(1)).alias("records"))
     return total.select("records", F.lit(found.n).alias("n"), *[F.lit(d).alias(f"df_{t.text}") for t, d in zip(terms, found.df)])
